@@ -76,7 +76,7 @@ def arrow_schema(df: DataFrame, id_col: str, *fields: tuple[str, pa.DataType]) -
 
     if id_col in dict(fields):
         raise ValueError(f"the id column can't be called {id_col}: the result has a column of that name")
-    return pa.schema([(id_col, to_arrow_type(df.schema[id_col].dataType, timezone="UTC")), *fields])
+    return pa.schema([(id_col, to_arrow_type(df.schema[id_col].dataType)), *fields])
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, fields, make) -> DataFrame:
