@@ -9,6 +9,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: DuckDB SQL of the queries that SQL can express.
+SQL: dict[str, str] = {}
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,6 +21,32 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import dedup_exact
+
+    return dedup_exact(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+SQL["op5_exact_dedup"] = """
+with d as (
+    select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+    from documents
+)
+select doc_id,
+       max(doc_id) over (partition by t) as keep_id,
+       count(*) over (partition by t) as group_size,
+       doc_id = max(doc_id) over (partition by t) as kept,
+       sha256(t) as text_sha256
+from d
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(_read(spark, sf_dir, "documents"), "doc_id", "text", "source").drop("copies")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_secrets
 
@@ -25,8 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
