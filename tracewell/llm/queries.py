@@ -21,6 +21,26 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(_read(spark, sf_dir, "pages"), "page_id", "url", "html").drop("record_id")
+
+
+SQL["op4_warc"] = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+q as (select page_id, strlen(h) as n, sha1(h) as d, max(page_id) over (partition by h) as k from p)
+select page_id,
+       n as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((cast('0x' || substr(d, 1 + 5 * cast(i // 4 as integer), 5) as bigint) >> cast(15 - 5 * (i % 4) as integer)) & 31), 1)), '') as payload_digest,
+       case when page_id = k then 'response' else 'revisit' end as record_type,
+       case when page_id = k then null else k end as refers_to
+from q
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup_exact
 
@@ -55,6 +75,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
