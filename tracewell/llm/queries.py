@@ -61,6 +61,18 @@ from d
 """
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_crf import score_quality
+
+    return score_quality(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_documents
 
@@ -77,6 +89,8 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality_crf": op6_quality_crf,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
