@@ -13,6 +13,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SQL: dict[str, str] = {}
 
 
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fingerprint_documents
+
+    return fingerprint_documents(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +92,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_merkle": op2_merkle,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
