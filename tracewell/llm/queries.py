@@ -73,6 +73,12 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_classes
+
+    return near_classes(_read(spark, sf_dir, "documents"), "doc_id", "text").drop("kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -97,6 +103,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_crf": op6_quality_crf,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
