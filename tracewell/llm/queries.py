@@ -13,6 +13,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SQL: dict[str, str] = {}
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import fingerprint_documents
 
@@ -98,6 +104,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz": op1_katz,
     "op2_merkle": op2_merkle,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
