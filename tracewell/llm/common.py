@@ -98,6 +98,13 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fields, make) -> DataFr
     return texts(df, id_col, text_col).mapInArrow(run, from_arrow_schema(schema))
 
 
+def keep_rows(df: DataFrame, id_col: str, text_col: str, decided: DataFrame) -> DataFrame:
+    """The rows of df whose id and hash of the text (_id, _print) decided marks as kept."""
+    left = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_p"))
+    right = decided.filter("kept").select("_id", "_print")
+    return left.join(right, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_print")), "left_semi").select("_row.*")
+
+
 def slices(b: pa.RecordBatch, most: int = 8_000_000):
     """(ids, texts) of a batch of two columns, in slices of about most bytes of text at most."""
     import numpy as np

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, batch, ready, slices, table
+from .common import arrow_schema, batch, keep_rows, ready, slices, table
 
 BATCHES = 3
 #: Keys of a filter at most, on average: a filter takes about nine bits a key.
@@ -150,18 +150,8 @@ def screen(groups: DataFrame, filters: DataFrame) -> DataFrame:
     return left.cogroup(filters.groupBy("_bucket")).applyInArrow(run, "_digest binary, _batch int, _hit int")
 
 
-def dedup_exact(df: DataFrame, id_col: str, text_col: str, *, batches: int = BATCHES, digest=sha256) -> DataFrame:
-    """One row per row of df: id_col, keep_id, group_size, kept, text_sha256.
-
-    keep_id is the largest id of the equal texts; group_size counts rows.  Null
-    texts are empty.  Null ids count as smaller than all others; a group of
-    null ids only keeps null.  Rows that repeat an id are the same document:
-    they are counted, and kept alike.  An empty table gives an empty table.
-
-    batches: rows fall into that many batches by a hash of id and text; each
-    is a snapshot for those after it.  digest: of normalised bytes; rows of
-    one digest whose bytes differ are told apart.
-    """
+def placed_rows(df: DataFrame, id_col: str, text_col: str, batches: int, digest) -> DataFrame:
+    """_id, _print, _digest of each row of df, with _keep and _n (rows) of its class."""
     spark = df.sparkSession
     rows = table(digest_rows(df, id_col, text_col, batches, digest), "dedup-rows")
     groups = table(rows.groupBy("_batch", "_digest").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")), "dedup-groups")
@@ -177,12 +167,27 @@ def dedup_exact(df: DataFrame, id_col: str, text_col: str, *, batches: int = BAT
     placed = groups.join(origins, (F.col("_digest") == F.col("_d")) & (F.col("_batch") == F.col("_b")), "left").withColumn("_origin", F.coalesce("_origin", "_batch"))
     classes = placed.groupBy("_digest", "_origin").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_n"))
     classes = classes.select(F.col("_digest").alias("_d"), "_keep", "_n")
-    placed_rows = table(rows.join(classes, F.col("_digest") == F.col("_d")).select("_id", "_print", "_digest", "_keep", "_n"), "dedup-placed")
+    placed = table(rows.join(classes, F.col("_digest") == F.col("_d")).select("_id", "_print", "_digest", "_keep", "_n"), "dedup-placed")
 
-    apart = table(byte_check(df, id_col, text_col, placed_rows), "dedup-apart")
+    apart = table(byte_check(df, id_col, text_col, placed), "dedup-apart")
     if not apart.isEmpty():
-        placed_rows = tell_apart(placed_rows, apart)
-    return placed_rows.select(
+        placed = tell_apart(placed, apart)
+    return placed
+
+
+def dedup_exact(df: DataFrame, id_col: str, text_col: str, *, batches: int = BATCHES, digest=sha256) -> DataFrame:
+    """One row per row of df: id_col, keep_id, group_size, kept, text_sha256.
+
+    keep_id is the largest id of the equal texts; group_size counts rows.  Null
+    texts are empty.  Null ids count as smaller than all others; a group of
+    null ids only keeps null.  Rows that repeat an id are the same document:
+    they are counted, and kept alike.  An empty table gives an empty table.
+
+    batches: rows fall into that many batches by a hash of id and text; each
+    is a snapshot for those after it.  digest: of normalised bytes; rows of
+    one digest whose bytes differ are told apart.
+    """
+    return placed_rows(df, id_col, text_col, batches, digest).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_n").alias("group_size"),
@@ -191,6 +196,12 @@ def dedup_exact(df: DataFrame, id_col: str, text_col: str, *, batches: int = BAT
     )
 
 
+def one_of_each_text(df: DataFrame, id_col: str, text_col: str, *, batches: int = BATCHES) -> DataFrame:
+    """The rows of df that dedup_exact() keeps, with df's own columns."""
+    rows = placed_rows(df, id_col, text_col, batches, sha256)
+    return keep_rows(df, id_col, text_col, rows.withColumn("kept", F.col("_id").eqNullSafe(F.col("_keep"))))
+
+
 def normal(column) -> F.Column:
     """A-Z lowered, all else as it is."""
     return F.translate(column, _UPPER, _LOWER)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, batch, ready, slices, table
+from .common import arrow_schema, batch, keep_rows, ready, slices, table
 from .components import components
 
 WORDS = 5
@@ -296,8 +296,8 @@ def exact_links(df: DataFrame, id_col: str, text_col: str, words: int, members:
     return dealt.mapInArrow(run, "set binary, top binary, links long")
 
 
-def near_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = WORDS, recall: float = RECALL, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
-    """One row per row of df: id_col, class_id, n_links, kept.
+def near_rows(df: DataFrame, id_col: str, text_col: str, *, words: int = WORDS, recall: float = RECALL, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
+    """One row per row of df: _id, _print (xxhash64 of the text), class_id, n_links, kept.
 
     Rows are linked if their sets of runs of five words are similar by 0.8 or
     more (Jaccard); a class is what links connect, class_id its least id that
@@ -324,8 +324,19 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, *, words: int = WORD
     alone = F.col("s").isNull()
     kept = alone | (F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_print") == F.col("first.print")))
     return out.select(
-        F.col("_id").alias(id_col),
+        "_id",
+        "_print",
         F.when(alone, F.col("_id")).otherwise(F.col("first.id")).alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         kept.alias("kept"),
     )
+
+
+def near_classes(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """near_rows() with the ids under their own name: id_col, class_id, n_links, kept."""
+    return near_rows(df, id_col, text_col, **options).select(F.col("_id").alias(id_col), "class_id", "n_links", "kept")
+
+
+def one_of_each_class(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """The rows of df that near_rows() keeps, with df's own columns."""
+    return keep_rows(df, id_col, text_col, near_rows(df, id_col, text_col, **options))

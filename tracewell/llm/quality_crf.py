@@ -237,3 +237,14 @@ def score_quality(df: DataFrame, id_col: str, text_col: str, labels: DataFrame,
 
     scored = map_texts(df, id_col, text_col, [("score", pa.float64())], make)
     return scored.select(id_col, (fold_of(id_col, folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def good_documents(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", *, folds: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """The rows of df that score_quality() predicts as 1, with df's own columns."""
+    field = fit_sample(df, id_col, text_col, labels, label_id, label_col, folds, held, per_class)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array([field.score(t or "") for t in text.to_pylist()], pa.float64())
+
+    return df.filter(score(F.col(text_col)) >= THRESHOLD)
