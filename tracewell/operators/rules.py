@@ -51,6 +51,18 @@ def current_file(window: int) -> Column:
     return F.col("path").isNotNull() & ~F.col("tool").isin(*EDITING) & last_index(recent, "path").isNotNull()
 
 
+def with_facts(calls: DataFrame, current_window: int) -> DataFrame:
+    """calls with what looking around in the session tells, in one step: windows over the same columns are one operator, and all share the session's partitioning."""
+    return calls.select(
+        "*",
+        resolved_later("path").alias("resolved"),
+        resolved_later("raw_path").alias("resolved_raw"),
+        target_changed_later().alias("changed_later"),
+        superseded().alias("superseded"),
+        current_file(current_window).alias("on_current_file"),
+    )
+
+
 def non_reproducible(tools: tuple[str, ...]) -> Column:
     whole = [t for t in tools if not t.endswith("*")]
     out = F.col("tool").isin(*whole) if whole else F.lit(False)
@@ -70,13 +82,14 @@ def exact_duplicates(calls: DataFrame, least: int = 40) -> DataFrame:
 
 
 def with_protections(calls: DataFrame, options: RuleOptions, references: DataFrame | None = None) -> DataFrame:
-    """calls with protections (names of rules, in order) and strong and weak references, if any are given by session_id and tool_use_id."""
+    """calls with its facts, protections (names of rules, in order) and strong and weak references, if any are given by session_id and tool_use_id."""
+    calls = with_facts(calls, options.current_window)
     rows = calls.join(references, ["session_id", "tool_use_id"], "left") if references is not None else calls.withColumn("strong", F.lit(0)).withColumn("weak", F.lit(0))
     rules = [
-        ("unresolved_error", unresolved_error() if options.unresolved_errors else F.lit(False)),
+        ("unresolved_error", F.col("is_error") & ~F.col("resolved") if options.unresolved_errors else F.lit(False)),
         ("non_reproducible", non_reproducible(options.non_reproducible)),
         ("referenced_later", (F.coalesce(F.col("strong"), F.lit(0)) > 0) if options.referenced else F.lit(False)),
-        ("current_file", current_file(options.current_window) if options.current_files else F.lit(False)),
+        ("current_file", F.col("on_current_file") if options.current_files else F.lit(False)),
         ("ambiguous_structure", F.col("ambiguous")),
     ]
     flags = [F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import PolicyOptions, RulesetOptions, clamp
 from ..functions.text import FAILURE_WORD, paths_in
-from .rules import EDITING_RULESET, resolved_later, superseded, target_changed_later
+from .rules import EDITING_RULESET
 
 #: Characters of a text that are searched for paths, and from which a result is large.
 PATH_SCAN, LARGE = 4000, 20_000
@@ -39,7 +39,7 @@ def recent_paths(messages: DataFrame, newest: int = 6) -> DataFrame:
 
 
 class RulesetScorer:
-    """Deterministic scores from tool, age, errors, repetition and size: column expressions only."""
+    """Deterministic scores from tool, age, errors, repetition and size: column expressions only, over calls with their facts."""
 
     default_threshold = 0.4
 
@@ -55,10 +55,10 @@ class RulesetScorer:
         keep_result = base({"rerun": 0.25, "edit": 0.3, "bash": 0.45, "once": 0.7, "other": 0.4})
         short = (F.col("result_chars") < 200) & ~F.col("is_error")
         keep_result = F.when((tool == "Bash") & F.col("result").rlike(FAILURE_WORD), F.lit(0.7)).when((tool == "Bash") & short, F.lit(0.2)).otherwise(keep_result)
-        keep_result = F.when(F.col("is_error"), F.when(resolved_later("raw_path"), F.lit(0.2)).otherwise(F.lit(0.75))).otherwise(keep_result)
+        keep_result = F.when(F.col("is_error"), F.when(F.col("resolved_raw"), F.lit(0.2)).otherwise(F.lit(0.75))).otherwise(keep_result)
         age = F.greatest(F.lit(0), F.col("total") - 1 - F.col("result_index"))
         scale = 0.5 + 0.5 * unit(1 - age / F.lit(float(max(1, o.stale_after))))
-        again = superseded()
+        again = F.col("superseded")
         keep_call, keep_result = keep_call * scale * F.when(again, 0.5).otherwise(1.0), keep_result * scale * F.when(again, 0.3).otherwise(1.0)
         if messages is not None:
             calls = calls.join(recent_paths(messages), "session_id", "left")
@@ -94,7 +94,7 @@ class ReplayScorer:
 def decide(calls: DataFrame, options: PolicyOptions | None = None) -> DataFrame:
     """calls with action, codes (of the reasons) and confidence.
 
-    calls has protections, duplicate_of, weak, keep_call and keep_result; the
+    calls has its facts, protections, duplicate_of, weak, keep_call and keep_result; the
     first rule that applies wins, and whatever is in doubt stays.
     """
     o = options or PolicyOptions()
@@ -106,7 +106,7 @@ def decide(calls: DataFrame, options: PolicyOptions | None = None) -> DataFrame:
     boost = F.when(boosted, F.array(F.lit("referenced_weakly"))).otherwise(F.array().cast("array<string>"))
     by_result = F.concat(F.array(F.lit("classifier_result")), boost)
     by_both = F.concat(by_result, F.array(F.lit("classifier_call")))
-    rerun = F.col("tool").isin(*o.rerunnable) & ~target_changed_later()
+    rerun = F.col("tool").isin(*o.rerunnable) & ~F.col("changed_later")
 
     def verdict(action: str, codes: Column, confidence: Column) -> Column:
         return F.struct(F.lit(action).alias("action"), codes.cast("array<string>").alias("codes"), unit(confidence.cast("double")).alias("confidence"))

@@ -288,7 +288,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_SCORES} select session_id, call_seq, case when pinned or keep_result >= 0.5e0 then 'keep' when keep_call >= 0.5e0 then 'drop_result' else 'drop_call' end as action from k2")
 def ancestor_pruner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = ledger.tool_calls(_session(spark, sf_dir), CONFIG.preserve_recent)
+    calls = rules.with_facts(_calls(spark, sf_dir), CONFIG.rules.current_window)
     scored = scoring.RulesetScorer(CONFIG.ruleset).score(calls, _session(spark, sf_dir))
     return scoring.decide_ancestor(scored).select("session_id", "call_seq", "action")
 
