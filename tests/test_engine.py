@@ -1,0 +1,375 @@
+"""The engine on small transcripts: each operator, and what a compaction must never break."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell.config import EngineConfig, PolicyOptions, RehydrateOptions, RuleOptions
+from tracewell.functions import redaction, sketch, terms, text
+from tracewell.operators import archive, evals, fit, graph, ledger, rebuild, retrieve, rules, scoring, search
+from tracewell.plans import compaction
+from tracewell.schema import ARCHIVE, MESSAGES
+from tracewell.sources import transcripts
+from tracewell.streaming import trigger
+
+
+def use(id, tool, **given):
+    return (id, tool, json.dumps(given, separators=(",", ":")), None, None)
+
+
+def transcript(spark, *messages, session="s"):
+    rows = [(session, i, m[0], m[1], m[2] if len(m) > 2 else [], m[3] if len(m) > 3 else []) for i, m in enumerate(messages)]
+    return spark.createDataFrame(rows, MESSAGES)
+
+
+LINE = "a line that is long enough to be quoted by somebody later"
+
+
+def session(spark):
+    """A read, its repeat, a failed and a repaired command, an edit, a fetch; filler so that early calls aren't pinned."""
+    calls = [
+        ("u1", "Read", {"file_path": "src/a.ts"}, LINE + "\nmore", False),
+        ("u2", "Read", {"file_path": "src/a.ts"}, LINE + "\nmore", False),
+        ("u3", "Bash", {"command": "make"}, "Error: nothing works in this place at all", True),
+        ("u4", "Bash", {"command": "make"}, "done, and it took a while to get here", False),
+        ("u5", "Bash", {"command": "test"}, "panic: the test is broken beyond repair", True),
+        ("u6", "Edit", {"file_path": "./src/B.ts"}, "edited", False),
+        ("u7", "WebFetch", {"url": "https://example.org"}, "page " * 20, False),
+        ("u8", "Read", {"file_path": "src/b.ts"}, "x" * 900, False),
+        ("d1", "Glob", {"pattern": "*"}, "z " * 50, False),
+        ("d2", "Glob", {"pattern": "*"}, "z " * 50, False),
+        ("u9", "Grep", {"pattern": "TODO", "path": "lib/c.py"}, "lib/c.py:1 " + "y" * 900, False),
+    ]
+    messages = [("user", "Never delete the database. Please fix the build!")]
+    for id, tool, given, result, failed in calls:
+        messages.append(("assistant", "", [use(id, tool, **given)]))
+        messages.append(("user", "", [], [(id, result, failed)]))
+    messages += [("user", f"As it said:\n{LINE}"), ("assistant", "so"), ("assistant", "Looking at lib/c.py once more.")]
+    messages += [("assistant", f"thinking {i}") for i in range(8)]
+    return transcript(spark, *messages)
+
+
+def one(df, column, **where):
+    for k, v in where.items():
+        df = df.filter(F.col(k) == v)
+    return [r[0] for r in df.select(column).collect()]
+
+
+# ---- text
+
+
+@pytest.mark.parametrize("value, tokens", [("", 0), (None, 0), ("word", 1), ("sevenly", 2), ("12", 1), ("1234", 2), ("{}", 2), ("a b", 2), ("…" * 10, 9)])
+def test_estimate_tokens(spark, value, tokens):
+    assert spark.createDataFrame([(value,)], "t string").select(text.estimate_tokens(F.col("t"))).first()[0] == tokens
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("see ./Src/App.ts and C:\\a\\b.txt, src/app.ts; FooBar foo_bar plain function ABCDEF\n  TypeError: bad \n" + LINE,)], "t string")
+    t = F.col("t")
+    r = df.select(text.paths_in(t), text.symbols_in(t), text.errors_in(t), text.quotes_in(t), text.count_lines(t), text.truncate(t, 5), text.collapse(F.lit(" a \n b "))).first()
+    assert r[0] == ["src/app.ts", "a/b.txt"]
+    assert r[1] == ["FooBar", "foo_bar", "ABCDEF", "TypeError"]
+    assert r[2] == ["TypeError: bad", "TypeError"]
+    assert LINE in r[3] and r[4] == 3 and r[5] == "see …" and r[6] == "a b"
+    long = spark.createDataFrame([("h" * 400 + "m" * 100 + "t" * 150,)], "t string").select(text.abridge(F.col("t"))).first()[0]
+    assert long == "h" * 400 + "\n[… 100 chars omitted …]\n" + "t" * 150
+
+
+def test_sketches(spark):
+    rows = [
+        ("Read", '{"file_path":"a.py"}', "  1\timport os\n  2\tdef f(x):\n", False, "path=a.py; lines=2; symbols=f; imports=1; head=import os"),
+        ("Grep", '{"pattern":"x  y"}', "a/b.py:1\na/c.py:2", False, "matches=2; files=a/b.py,a/c.py; pattern=x y"),
+        ("Bash", '{"command":"ls"}', "Exit code: 3\nout", False, "cmd=ls; exit=3; lines=2; head=Exit code: 3 out; tail=Exit code: 3 out"),
+        ("Edit", '{"file_path":"a.py"}', "ok\nthen", False, "path=a.py; result=ok"),
+        ("Task", "{}", "short", False, "head=short; tail=short"),
+        ("Other", "{}", "", False, ""),
+        ("Read", "{}", "fine\nTypeError: x", True, "ERR: TypeError: x; tail=fine TypeError: x"),
+    ]
+    df = spark.createDataFrame(rows, "tool string, given string, result string, is_error boolean, want string")
+    for got, want in df.select(sketch.sketch(F.col("tool"), F.col("given"), F.col("result"), F.col("is_error")), "want").collect():
+        assert got == want
+
+
+# ---- ledger
+
+
+def test_ledger(spark):
+    messages = transcript(spark, ("user", "hi"), ("assistant", " ", [use("a", "Read", path="x")]), ("user", "hi", [], [("a", "r", None), ("b", None, True)]))
+    got = [tuple(r) for r in ledger.ledger(messages).orderBy("seq").select("seq", "role", "kind", "content", "is_error").collect()]
+    assert got == [(0, "user", "user_text", "hi", None), (1, "assistant", "tool_use", '{"path":"x"}', None), (2, "user", "user_text", "hi", None), (3, "tool", "tool_result", "r", None), (4, "tool", "tool_result", "", True)]
+    ids = one(ledger.ledger(messages).orderBy("seq"), "event_id")
+    assert len(set(ids)) == 5 and ids[2] == ids[0] + "~2"
+
+
+def test_pairs(spark):
+    messages = transcript(spark, ("assistant", "", [use("a", "Read"), use("b", "Bash"), use("a", "Read")]), ("user", "", [], [("a", "first", False), ("z", "stray", False)]), ("user", "", [], [("a", "last", True)]))
+    got = [(r["call_seq"], r["tool_use_id"], r["result"], r["is_error"], r["ambiguous"]) for r in ledger.tool_calls(messages).orderBy("call_seq").collect()]
+    assert got == [(1, "a", "last", True, True), (2, "a", "last", True, True)]
+
+
+def test_constraints(spark):
+    got = rules.constraints(transcript(spark, ("user", "Do not touch it. > never quoted.\n```never``` Fine. Only blue!"), ("assistant", "never"))).collect()
+    assert [(r["text"], r["cue"]) for r in got] == [("Do not touch it.", "do not"), ("Only blue!", "only")]
+
+
+# ---- rules, graph, policy
+
+
+def test_rules(spark):
+    calls = rules.exact_duplicates(ledger.tool_calls(session(spark)))
+    rows = rules.with_protections(calls, RuleOptions(current_window=25), graph.references_of_calls(ledger.ledger(session(spark))))
+    got = {r["tool_use_id"]: r for r in rows.collect()}
+    assert got["d1"]["duplicate_of"] == "d2" and got["u1"]["duplicate_of"] == "u2" and got["u2"]["duplicate_of"] is None
+    assert got["u1"]["superseded"] and not got["u2"]["superseded"]
+    assert got["u3"]["resolved"] and "unresolved_error" not in got["u3"]["protections"]
+    assert got["u5"]["protections"] == ["unresolved_error"]
+    assert got["u7"]["protections"] == ["non_reproducible"]
+    assert got["u8"]["protections"] == ["current_file"]
+    assert got["u2"]["protections"] == ["referenced_later"]
+    assert got["u9"]["weak"] == 1 and got["u9"]["protections"] == []
+    assert not got["u8"]["changed_later"]
+
+
+def test_edges(spark):
+    edges = graph.dependency_edges(ledger.ledger(session(spark))).collect()
+    assert {e["via"] for e in edges if e["from_kind"] == "user_text"} == {"quote"}
+    assert [e["fragment"] for e in edges if e["from_kind"] == "assistant_text"] == ["lib/c.py"]
+
+
+def test_path_hides_quote(spark):
+    line = f"src/a.ts {LINE}"
+    messages = transcript(spark, ("assistant", "", [use("a", "Read")]), ("user", "", [], [("a", line, False)]), ("assistant", "x"), ("assistant", "y"), ("assistant", line))
+    assert [(e["via"], e["fragment"]) for e in graph.dependency_edges(ledger.ledger(messages)).collect()] == [("path", "src/a.ts")]
+
+
+def decide_one(spark, options=None, **values):
+    row = {"session_id": "s", "pinned": False, "protections": [], "duplicate_of": None, "weak": 0, "keep_call": 0.5, "keep_result": 0.5, "tool": "Read", "changed_later": False} | values
+    df = spark.createDataFrame([row], "session_id string, pinned boolean, protections array<string>, duplicate_of string, weak long, keep_call double, keep_result double, tool string, changed_later boolean")
+    r = scoring.decide(df, options or PolicyOptions()).first()
+    return r["action"], r["codes"], round(r["confidence"], 6)
+
+
+@pytest.mark.parametrize(
+    "values, want",
+    [
+        ({"pinned": True, "protections": ["x"]}, ("PIN_VERBATIM", ["pinned_window"], 1)),
+        ({"protections": ["x"], "duplicate_of": "d"}, ("KEEP_VERBATIM", ["x"], 1)),
+        ({"duplicate_of": "d", "keep_result": 1.0}, ("DROP_REDUNDANT", ["duplicate"], 1)),
+        ({"keep_result": None}, ("KEEP_VERBATIM", ["unscored"], 0)),
+        ({}, ("KEEP_VERBATIM", ["classifier_result"], 0.5)),
+        ({"keep_result": 0.25, "weak": 2}, ("KEEP_VERBATIM", ["classifier_result", "referenced_weakly"], 0.45)),
+        ({"keep_result": 0.1}, ("RERUN_ON_DEMAND", ["classifier_result", "classifier_call", "rerunnable"], 0.9)),
+        ({"keep_result": 0.1, "changed_later": True}, ("KEEP_HEAD_TAIL", ["classifier_result", "classifier_call"], 0.9)),
+        ({"keep_result": 0.1, "keep_call": 0.3}, ("ARCHIVE_ONLY", ["classifier_result", "classifier_call"], 0.7)),
+    ],
+)
+def test_policy(spark, values, want):
+    assert decide_one(spark, **values) == want
+
+
+def test_margin(spark):
+    assert decide_one(spark, PolicyOptions(margin=0.1), keep_result=0.35) == ("KEEP_VERBATIM", ["classifier_result", "safety_margin"], 0.05)
+
+
+def test_replay_and_review(spark):
+    calls = ledger.tool_calls(session(spark))
+    answers = spark.createDataFrame([("s", "u1", 0.9, 1.7), ("s", "u2", 0.1, 0.2)], "session_id string, tool_use_id string, keep_call double, keep_result double")
+    got = {r["tool_use_id"]: r["keep_result"] for r in scoring.ReplayScorer(answers).score(calls).collect()}
+    assert got["u1"] is None and got["u2"] == 0.2 and got["u3"] is None
+    with pytest.raises(Exception, match="no recorded answer"):
+        scoring.ReplayScorer(answers, strict=True).score(calls).collect()
+    kept = scoring.apply_review(answers, answers.filter("tool_use_id = 'u2'")).collect()
+    assert {r["tool_use_id"]: r["keep_result"] for r in kept} == {"u1": 1.7, "u2": 1.0}
+
+
+# ---- compaction
+
+
+def test_compaction_keeps_its_promises(spark):
+    messages = session(spark)
+    made = compaction.compact(messages, EngineConfig())
+    actions = {r["tool_use_id"]: r["action"] for r in made.decisions.collect()}
+    assert actions["d1"] == "DROP_REDUNDANT" and actions["u1"] == actions["u2"] == "KEEP_VERBATIM"
+    after = made.messages
+    assert evals.structure_valid(after).first()["valid"]
+    before = {r["message_index"]: r for r in messages.collect()}
+    rows = after.orderBy("message_index").collect()
+    assert [r["message_index"] for r in rows] == sorted(r["message_index"] for r in rows)
+    assert rows[0]["text"] == before[0]["text"] and rows[-1]["text"] == before[max(before)]["text"]
+    assert any("1 tool call made here" in r["text"] or "tool calls made here" in r["text"] for r in rows)
+    records = {(r["tool_use_id"], r["kind"]): r for r in made.archive.collect()}
+    for id, action in actions.items():
+        if action not in rebuild.KEEPS:
+            original = next(x["text"] for m in before.values() for x in m["tool_results"] if x["tool_use_id"] == id)
+            assert records[id, "tool_result"]["content"] == original
+            assert ((id, "tool_use") in records) == (action in scoring.DROPS_CALL)
+    report = made.report.first()
+    assert report["tokens_after"] < report["tokens_before"] and report["drop_redundant"] == 1
+    again = compaction.compact(messages, EngineConfig()).messages.orderBy("message_index").collect()
+    assert again == rows
+
+
+def test_markers_merge(spark):
+    messages = []
+    for i in range(12):
+        messages += [("assistant", "", [use(f"u{i}", "Bash", command=f"run {i}")]), ("user", "", [], [(f"u{i}", f"plain output {i} " * 30, False)])]
+    made = compaction.compact(transcript(spark, ("user", "go"), *messages, *[("assistant", "more")] * 30), EngineConfig(policy=PolicyOptions(threshold=0.9)))
+    rows = made.messages.orderBy("message_index").collect()
+    assert "[archived 12 tool calls made here: Bash command=run 0 -> e_" in rows[1]["text"]
+    assert len(rows) == 32
+
+
+# ---- archive, search, retrieval
+
+
+def record(id, content, session="s", seq=0, tool="Read"):
+    return (id, session, seq, "tool", "tool_result", content, f"h{hash(content) % 1000}", 5, tool, None, None, "2020-01-01", "c", "ARCHIVE_ONLY", [], [], "{}")
+
+
+def test_archive(spark, tmp_path):
+    store = archive.Archive(spark, f"file://{tmp_path}/archive")
+    assert store.read().count() == 0
+    first = spark.createDataFrame([record("a", "one", seq=1), record("b", "two", "t", 2)], ARCHIVE)
+    store.put(first)
+    store.put(first)
+    assert store.read().count() == 2 and one(store.get("a"), "content") == ["one"]
+    with pytest.raises(Exception, match="exists with different content"):
+        store.put(spark.createDataFrame([record("a", "other")], ARCHIVE))
+    assert [tuple(r) for r in store.stats().orderBy("overall", "session_id").collect()] == [("s", 1, 5, 0), ("t", 1, 5, 0), (None, 2, 10, 1)]
+    assert one(store.list(limit=1), "preview") == ["one"]
+    assert one(archive.get_many(store.read(), ["b", "x", "a"]), "id") == ["b", "a"]
+    store.put(spark.createDataFrame([record("c", "three", seq=3)], ARCHIVE))
+    assert store.purge(["a", "b", "nothing"]) == 2
+    assert one(store.read(), "id") == ["c"] and store.sessions().count() == 1
+
+
+def test_terms(spark):
+    df = spark.createDataFrame([("Please check uploadHandler, MAX_SIZE and src/io.py; the failing uploads 123",)], "t string")
+    r = df.select(terms.query_terms(F.col("t")), terms.code_terms(F.col("t")), terms.components_of(terms.code_terms(F.col("t")))).first()
+    assert {"check", "uploadhandler", "max_size", "src/io.py", "failing", "fail", "uploads", "upload", "123"} == set(r[0])
+    assert set(r[1]) == {"uploadhandler", "max_size", "src/io.py", "123"} and r[2] == ["size"]
+
+
+def test_search_and_rehydrate(spark):
+    common = [record(f"n{i}", f"ordinary words about build number {i}", seq=i) for i in range(12)]
+    rows = spark.createDataFrame([*common, record("hit", "the upload_handler module\n" + "fill\n" * 3000 + "upload_handler again", seq=50)], ARCHIVE)
+    prompts = spark.createDataFrame([(1, "why does upload_handler break?"), (2, "say where that came from"), (3, "/why upload_handler"), (4, "short")], "query_id long, text string")
+    found = search.search_topk(prompts, rows, 5).collect()
+    assert {(r["query_id"], r["id"]) for r in found if r["score"] >= 0.5} >= {(1, "hit")}
+    assert not [r for r in found if r["query_id"] == 2]
+    blocks = retrieve.rehydrate(prompts, rows, RehydrateOptions(budget=1000)).collect()
+    assert [(b["query_id"], b["id"]) for b in blocks] == [("1", "hit")]
+    assert blocks[0]["chars"] <= 1000 and "upload_handler" in blocks[0]["block"]
+
+
+def test_best_window():
+    content = "x\n" * 500 + "needle here\n" + "y\n" * 500
+    a, b = retrieve.best_window(content, ["needle"], 200)
+    assert "needle" in content[a:b] and b - a <= 200
+    assert retrieve.best_window("short", ["a"], 100) == (0, 5)
+
+
+# ---- redaction
+
+
+@pytest.mark.parametrize(
+    "kind, value",
+    [
+        ("private_key", "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"),
+        ("jwt", "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12),
+        ("github_token", "ghp_" + "A" * 36),
+        ("aws_access_key", "AKIA" + "B" * 16),
+        ("google_api_key", "AIza" + "c" * 35),
+        ("slack_token", "xoxb-" + "1" * 12),
+        ("stripe_key", "sk_live_" + "d" * 20),
+    ],
+)
+def test_detectors(spark, kind, value):
+    df = spark.createDataFrame([(f"before {value} after",)], "t string")
+    spans = df.select(redaction.secret_spans(F.col("t"))).first()[0]
+    assert [(s["kind"], s["value"]) for s in spans] == [(kind, value)]
+
+
+def test_redact(spark):
+    rows = [("s", 0, "password=hunter2hunter and again hunter2hunter"), ("s", 1, "token: hunter2hunter, api_key = otherother1"), ("t", 0, "secret=otherother1"), ("t", 1, "password=${VAR_NAME} token=<redacted>"), ("t", 2, "cd /home/alice/x"), ("t", 3, None)]
+    df = spark.createDataFrame(rows, "session string, at int, text string")
+    got = [r[0] for r in redaction.redact(df, "session", ["at"], "text", user_paths=True).orderBy("session", "at").select("text").collect()]
+    assert got == ["password=<SECRET_1> and again hunter2hunter", "token: <SECRET_1>, api_key = <SECRET_2>", "secret=<SECRET_1>", "password=${VAR_NAME} token=<redacted>", "cd /home/<USER>/x", None]
+
+
+# ---- fitting, evals, trigger
+
+
+def test_fit_and_batches(spark):
+    messages = session(spark)
+    calls = ledger.tool_calls(messages)
+    stages = [fit.fit_state(messages, calls, n).first() for n in (100_000, 600, 400, 1)]
+    assert stages[0]["stage"] == "full" and stages[-1]["stage"] == "too large"
+    assert all(s["tokens"] <= n for s, n in zip(stages[:-1], (100_000, 600, 400)) if s["stage"] != "too large")
+    batches = fit.batch_calls(calls, 80).orderBy("call_seq").collect()
+    sums = {}
+    for b in batches:
+        sums[b["batch"]] = sums.get(b["batch"], 0) + b["tokens"]
+    assert max(sums.values()) <= 80 and len(sums) > 1 and [b["batch"] for b in batches] == sorted(b["batch"] for b in batches)
+    with pytest.raises(Exception, match="larger than a request"):
+        fit.batch_calls(calls, 10).collect()
+    assert one(fit.goal_text(messages), "goal")[0].startswith("Never delete")
+
+
+def test_sampled(spark):
+    df = spark.createDataFrame([("s", i) for i in range(10)], "s string, i int")
+    assert sorted(one(evals.sampled(df, "s", "i", 4), "i")) == [0, 2, 5, 7]
+    assert evals.sampled(df, "s", "i", 50).count() == 10
+
+
+def test_probes(spark):
+    probes = spark.createDataFrame([(1, "needle"), (2, "absent")], "id int, p string")
+    texts = spark.createDataFrame([(7, "a needle"), (8, "needle b"), (9, None)], "d int, t string")
+    assert {tuple(r) for r in evals.probe_retention(probes, texts, "id", "p", "d", "t").collect()} == {(1, 2, 7), (2, 0, None)}
+
+
+def test_trigger_batch_and_stream(spark, tmp_path):
+    tokens = [50, 60, 10, 10, 30, 100]
+    turns = spark.createDataFrame([("s", i, n) for i, n in enumerate(tokens)] + [("t", 0, 10)], "session_id string, turn int, tokens long")
+    want = [("s", 1, 110), ("s", 4, 160), ("s", 5, 260)]
+    assert sorted(tuple(r) for r in trigger.auto_trigger(turns, 100).collect()) == want
+    turns.coalesce(1).write.parquet(f"{tmp_path}/turns")
+    stream = spark.readStream.schema(turns.schema).parquet(f"{tmp_path}/turns")
+    query = trigger.trigger_stream(stream, 100).writeStream.format("memory").queryName("fired").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.table("fired").collect()) == want
+
+
+# ---- ingest
+
+
+def test_transcripts(spark, tmp_path):
+    def line(kind, uuid, parent, content, **more):
+        inner = {"content": content} | more.pop("inner", {})
+        return json.dumps({"type": kind, "uuid": uuid, "parentUuid": parent, "message": inner} | more)
+
+    lines = [
+        line("user", "1", None, "hello <system-reminder>x</system-reminder>there", sessionId="abc"),
+        "not json",
+        "",
+        json.dumps({"type": "summary"}),
+        line("assistant", "2", "1", [{"type": "text", "text": "hm"}], inner={"id": "m1", "usage": {"input_tokens": 1}}),
+        line("assistant", "3", "2", [{"type": "tool_use", "id": "t1", "name": "Read", "input": {"path": "x"}}], inner={"id": "m1", "usage": {"input_tokens": 5, "output_tokens": 2}}),
+        line("user", "4", "3", [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "a"}, {"type": "image"}], "is_error": True}]),
+        line("user", "9", "1", "another branch"),
+        line("user", "s", None, "side", isSidechain=True),
+        line("assistant", "5", "4", "bye", inner={"id": "m2"}),
+    ]
+    (tmp_path / "f.jsonl").write_text("\n".join(lines))
+    (tmp_path / "g.jsonl").write_text("\n".join([line("user", "1", "gone", "a"), line("user", "2", "1", "b")]))
+    got = transcripts.read_transcripts(spark, str(tmp_path))
+    rows = got.messages.orderBy("session_id", "message_index").collect()
+    mine = [r for r in rows if r["session_id"] == "abc"]
+    assert [(r["role"], r["text"]) for r in mine] == [("user", "hello there"), ("assistant", "hm"), ("user", ""), ("assistant", "bye")]
+    assert mine[1]["tool_uses"][0]["text"] == "a\n[image]" and mine[1]["tool_uses"][0]["is_error"]
+    assert [tuple(r)[1:4] for r in got.usage.collect()] == [(1, 5, 2)]
+    skipped = {(r["session_id"], r["reason"]): r["count"] for r in got.skipped.collect()}
+    assert skipped == {("abc", "parse_error"): 1, ("abc", "summary"): 1, ("abc", "sidechain"): 1, ("g", "orphan_chain"): 1}
+    assert [r["text"] for r in rows if r["session_id"] == "g"] == ["a", "b"]
+    assert one(transcripts.list_sessions(spark, str(tmp_path)), "session_id") == ["f", "g"]

@@ -68,7 +68,8 @@ def sampled(rows: DataFrame, session: str, order: str, most: int) -> DataFrame:
 
     place = F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1
     n = F.count("*").over(Window.partitionBy(session))
-    step = n / F.lit(float(most))
-    rows = rows.withColumn("_p", place).withColumn("_n", n).withColumn("_k", F.ceil(F.col("_p") / step).cast("int"))
+    rows = rows.withColumn("_p", place).withColumn("_n", n)
+    step = F.col("_n") / F.lit(float(most))
+    rows = rows.withColumn("_k", F.ceil(F.col("_p") / step).cast("int"))
     chosen = (F.col("_n") <= most) | ((F.floor(F.col("_k") * step) == F.col("_p")) & (F.col("_k") < most))
     return rows.filter(chosen).drop("_p", "_n", "_k")
