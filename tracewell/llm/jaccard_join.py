@@ -8,9 +8,11 @@ hang on the path so far, and so on.  With two tokens a level, a pair at the
 threshold survives a run to any depth with a fixed probability (CHANCE), and
 runs repeat until the target recall.
 
-Large buckets also get a pivot that all members are compared with.  A bucket
-whose members all hang on one pivot tells nothing new and isn't split further,
-so large groups of near copies end early.
+Members of large buckets are also compared with a pivot.  A bucket whose members
+are all connected by now tells nothing new and isn't split further, so large
+groups of near copies end early.  Where few sets are outside a bucket's largest
+connected part, these are compared with all of the bucket, tile by tile; so are
+buckets that are still large after LEVELS splits.
 
 What the buckets yield are candidates, joined to blocks by connected
 components.  Within a block all pairs are then compared exactly, on whole
@@ -42,7 +44,10 @@ RECALL = 0.9999
 BUCKET = 128
 #: Sets of a tile.
 TILE = 384
-LEVELS = 24
+#: Splits of a large bucket before its tiles are compared: what shares more than half its tokens with others wouldn't get smaller.
+LEVELS = 4
+#: Sets of a large bucket outside its largest connected part up to which they are compared with all of it at once.
+OUTSIDERS = 1024
 #: Agreement of coordinates from which two sets are candidates: over four standard deviations below the threshold.
 AGREE = 84
 #: Rows of a large bucket that share one copy of its pivot, on average.
@@ -192,46 +197,79 @@ def step(path: Column, sig: Column, place: Column) -> Column:
     return F.xxhash64(path, place, F.substring(sig, place * 4 + 1, F.lit(4)))
 
 
-def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
+def tile_links(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """a, b: links of the candidates of each large bucket with other labels; rows has path, set, sig, label, n and outsider.
+
+    Every row is in one tile of its bucket, and every outsider is compared
+    with all tiles; what isn't an outsider has one label.
+    """
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    rows = rows.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
+    dealt = F.when(F.col("outsider"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("own"))
+    rows = rows.withColumn("tile", F.explode(dealt)).select(F.xxhash64("path", "tile").alias("group"), "set", "sig", "label", "outsider", (F.col("own") == F.col("tile")).alias("here"))
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches):
+        for g in groups_of(batches, 1):
+            n = g.num_rows
+            sets, labels = g.column(1).to_pylist(), np.unique(np.array(g.column(3).to_pylist(), object), return_inverse=True)[1]
+            sigs = np.frombuffer(b"".join(g.column(2).to_pylist()), np.uint32).reshape(n, COORDINATES)
+            here = np.flatnonzero(np.array(g.column(5).to_pylist(), bool))
+            pairs = []
+            for i in np.flatnonzero(np.array(g.column(4).to_pylist(), bool)).tolist():
+                other = here[labels[here] != labels[i]]
+                if len(other):
+                    pairs += [(i, int(j)) for j in other[(sigs[other] == sigs[i]).sum(1) >= AGREE]]
+            tops = forest(n, pairs)
+            chosen = [i for i in range(n) if tops[i] != i]
+            yield batch(schema, [sets[i] for i in chosen], [sets[tops[i]] for i in chosen])
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary")
+
+
+def pivot_links(large: DataFrame) -> DataFrame:
+    """a, b: links of each bucket's members with its pivot, the member of least hash; shares of a bucket's rows meet copies of it."""
+    salts = F.ceil(F.col("k") / ROWS_PER_SALT).cast("int")
+    pivots = large.groupBy("path").agg(F.min_by(F.struct("set", "sig"), F.xxhash64("set")).alias("v"), F.count("*").alias("k"))
+    pivots = pivots.select(F.col("path").alias("p"), "v", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = large.withColumn("own", F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / ROWS_PER_SALT)).cast("int"))
+    compared = salted.join(pivots, (F.col("path") == F.col("p")) & (F.col("own") == F.col("salt")))
+    return compared.filter((F.col("set") != F.col("v.set")) & (agreement(F.col("sig"), F.col("v.sig")) >= AGREE)).select(F.col("set").alias("a"), F.col("v.set").alias("b"))
+
+
+def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, tile: int = TILE, outsiders: int = OUTSIDERS) -> DataFrame:
     """a, b: links whose components hold every pair of sets near enough, but for one in 1 / (1 - recall); nodes has set and sig."""
     runs = runs_for(recall)
     # Each run's first two tokens, drawn without replacement over runs.
     places = F.sequence(F.lit(0), F.lit(2 * runs - 1))
-    rows = nodes.select("set", F.explode(F.transform(places, lambda i: F.struct(step(i / 2, F.col("sig"), i).alias("path")))).alias("s")).select("set", "s.path")
+    rows = nodes.select("set", F.explode(F.transform(places, lambda i: F.struct(step(F.lit(0), F.col("sig"), i).alias("path")))).alias("s")).select("set", "s.path")
     counts = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("path").alias("p"), "n")
     met = rows.join(counts, F.col("path") == F.col("p")).select("path", "set", "n")
-    now = table(met.join(nodes.withColumnRenamed("set", "s"), F.col("set") == F.col("s")).select("path", "set", "sig", "n", F.lit(None).cast("binary").alias("pivot")), "join-level")
-    found = [table(bucket_links(now.filter(F.col("n") <= bucket)), "join-links")]
-    for level in range(1, LEVELS + 1):
-        large = now.filter(F.col("n") > bucket).drop("n")
+    now = table(met.join(nodes.withColumnRenamed("set", "s"), F.col("set") == F.col("s")).select("path", "set", "sig", "n", F.col("set").alias("label")), "join-level")
+    found = None
+    for level in range(levels + 1):
+        large = now.filter(F.col("n") > bucket)
+        links = table(bucket_links(now.filter(F.col("n") <= bucket)).unionByName(pivot_links(large)), "join-links")
+        found = links if found is None else found.unionByName(links)
         if large.isEmpty():
             break
-        # The pivot is the member of least hash; copies of it go to shares of a bucket's rows.
-        salts = F.ceil(F.col("k") / ROWS_PER_SALT).cast("int")
-        pivots = large.groupBy("path").agg(F.min_by(F.struct("set", "sig"), F.xxhash64("set")).alias("v"), F.count("*").alias("k"))
-        pivots = pivots.select(F.col("path").alias("p"), "v", salts.alias("salts"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        sizes = pivots.filter("salt = 0").select(F.col("p").alias("q"), F.col("salts").alias("of"))
-        salted = large.join(sizes, F.col("path") == F.col("q")).withColumn("own", F.pmod(F.xxhash64("set"), F.col("of")).cast("int"))
-        compared = salted.join(pivots, (F.col("path") == F.col("p")) & (F.col("own") == F.col("salt")))
-        near = agreement(F.col("sig"), F.col("v.sig")) >= AGREE
-        pivoted = table(compared.select("path", "set", "sig", F.when(near, F.col("v.set")).otherwise(F.col("pivot")).alias("pivot"), F.when(near, F.col("v.set")).alias("hangs")), "join-pivots")
-        found.append(pivoted.filter("hangs is not null and hangs <> set").select(F.col("set").alias("a"), F.col("hangs").alias("b")))
-        if level == LEVELS:
-            raise RuntimeError(f"buckets of over {bucket} sets are left after {LEVELS} levels")
-        # Two tokens of each path that has members not all on one pivot.
-        spread = pivoted.groupBy("path").agg(F.min("pivot").alias("lo"), F.max("pivot").alias("hi"), F.count("*").alias("all"), F.count("pivot").alias("hung"))
-        spread = spread.filter("hung < all or lo <> hi").select(F.col("path").alias("p"))
-        open_rows = pivoted.join(spread, F.col("path") == F.col("p"))
+        # What is connected already needs no more comparisons: buckets of one component are done.
+        roots = components(found)
+        labelled = large.drop("label").join(roots, F.col("set") == F.col("node"), "left").select("path", "set", "sig", "n", F.coalesce("root", "set").alias("label"))
+        # A bucket's main label is its most frequent; the others' rows are its outsiders.
+        most = labelled.groupBy("path", "label").agg(F.count("*").alias("m")).groupBy("path").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
+        mixed = labelled.join(most.withColumnRenamed("path", "p"), F.col("path") == F.col("p")).filter(F.col("m") < F.col("n")).drop("p")
+        mixed = table(mixed.withColumn("outsider", F.col("label") != F.col("main")), "join-mixed")
+        few = (F.col("n") - F.col("m") <= outsiders) | F.lit(level == levels)
+        found = found.unionByName(table(tile_links(mixed.filter(few), tile), "join-links"))
+        left = mixed.filter(~few)
+        if level == levels or left.isEmpty():
+            break
         below = F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.struct(step(F.col("path"), F.col("sig"), F.pmod(F.xxhash64(F.col("path"), k), F.lit(COORDINATES)).cast("int")).alias("path")))
-        split = open_rows.select("set", "sig", "pivot", F.explode(below).alias("s")).select("s.path", "set", "sig", "pivot").distinct()
-        counts = split.groupBy("path").agg(F.count("*").alias("n"), F.min("pivot").alias("lo"), F.max("pivot").alias("hi"), F.count("pivot").alias("hung"))
-        counts = counts.filter("n > 1 and (hung < n or lo <> hi)").select(F.col("path").alias("p"), "n")
-        now = table(split.join(counts, F.col("path") == F.col("p")).select("path", "set", "sig", "n", "pivot"), "join-level")
-        found.append(table(bucket_links(now.filter(F.col("n") <= bucket)), "join-links"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        split = left.select("set", "sig", "label", F.explode(below).alias("s")).select("s.path", "set", "sig", "label").distinct()
+        counts = split.groupBy("path").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("path").alias("p"), "n")
+        now = table(split.join(counts, F.col("path") == F.col("p")).select("path", "set", "sig", "n", "label"), "join-level")
+    return found.distinct()
 
 
 def near_pairs(own: list[np.ndarray], other: list[np.ndarray] | None):
@@ -296,7 +334,7 @@ def exact_links(df: DataFrame, id_col: str, text_col: str, words: int, members:
     return dealt.mapInArrow(run, "set binary, top binary, links long")
 
 
-def near_rows(df: DataFrame, id_col: str, text_col: str, *, words: int = WORDS, recall: float = RECALL, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
+def near_rows(df: DataFrame, id_col: str, text_col: str, *, words: int = WORDS, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, tile: int = TILE, outsiders: int = OUTSIDERS) -> DataFrame:
     """One row per row of df: _id, _print (xxhash64 of the text), class_id, n_links, kept.
 
     Rows are linked if their sets of runs of five words are similar by 0.8 or
@@ -310,7 +348,7 @@ def near_rows(df: DataFrame, id_col: str, text_col: str, *, words: int = WORDS,
     rows = table(set_rows(df, id_col, text_col, words), "join-sets")
     keeper = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_print").alias("print"))
     sets = table(rows.filter("_set is not null").groupBy(F.col("_set").alias("set")).agg(F.min("_sig").alias("sig"), F.count("*").alias("n"), F.min(keeper).alias("keeper")), "join-nodes")
-    blocks = table(components(candidates(sets.select("set", "sig"), recall, bucket)), "join-blocks")
+    blocks = table(components(candidates(sets.select("set", "sig"), recall, bucket, levels, tile, outsiders)), "join-blocks")
     sized = blocks.join(blocks.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
     members = sized.join(sets, F.col("node") == F.col("set")).select(F.col("keeper.id").alias("_id"), F.col("keeper.print").alias("_print"), "set", "n", F.col("root").alias("block"), "size")
     linked = table(exact_links(df, id_col, text_col, words, members, tile), "join-exact")
