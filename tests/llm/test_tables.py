@@ -101,7 +101,7 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket": 4, "tile": 8, "levels": 2, "outsiders": 2}, {"bucket": 4, "tile": 8}])
+@pytest.mark.parametrize("options", [{}, {"bucket": 4, "tile": 8, "levels": 2, "outsiders": 2, "direct": 6}, {"bucket": 4, "tile": 8, "link_tile": 5}])
 def test_near_classes(spark, options):
     rows = near_rows()
     got = jaccard_join.near_classes(documents(spark, rows), "doc_id", "text", **options).collect()

@@ -12,7 +12,7 @@ Members of large buckets are also compared with a pivot.  A bucket whose members
 are all connected by now tells nothing new and isn't split further, so large
 groups of near copies end early.  Where few sets are outside a bucket's largest
 connected part, these are compared with all of the bucket, tile by tile; so are
-buckets that are still large after LEVELS splits.
+buckets of up to DIRECT sets, and those still larger after LEVELS splits.
 
 What the buckets yield are candidates, joined to blocks by connected
 components.  Within a block all pairs are then compared exactly, on whole
@@ -48,8 +48,12 @@ TILE = 384
 LEVELS = 4
 #: Sets of a large bucket outside its largest connected part up to which they are compared with all of it at once.
 OUTSIDERS = 1024
+#: Sets of a bucket up to which it is compared by tiles without more splits, and sets of those tiles.
+DIRECT, LINK_TILE = 6144, 2048
 #: Agreement of coordinates from which two sets are candidates: over four standard deviations below the threshold.
 AGREE = 84
+#: The same for the first coordinates alone, over five standard deviations below.
+FIRST, AGREE_FIRST = 32, 14
 #: Rows of a large bucket that share one copy of its pivot, on average.
 ROWS_PER_SALT = 1024
 
@@ -197,7 +201,7 @@ def step(path: Column, sig: Column, place: Column) -> Column:
     return F.xxhash64(path, place, F.substring(sig, place * 4 + 1, F.lit(4)))
 
 
-def tile_links(rows: DataFrame, tile: int = TILE) -> DataFrame:
+def tile_links(rows: DataFrame, tile: int) -> DataFrame:
     """a, b: links of the candidates of each large bucket with other labels; rows has path, set, sig, label, n and outsider.
 
     Every row is in one tile of its bucket, and every outsider is compared
@@ -214,10 +218,10 @@ def tile_links(rows: DataFrame, tile: int = TILE) -> DataFrame:
             n = g.num_rows
             sets, labels = g.column(1).to_pylist(), np.unique(np.array(g.column(3).to_pylist(), object), return_inverse=True)[1]
             sigs = np.frombuffer(b"".join(g.column(2).to_pylist()), np.uint32).reshape(n, COORDINATES)
-            here = np.flatnonzero(np.array(g.column(5).to_pylist(), bool))
-            pairs = []
+            here, pairs = np.flatnonzero(np.array(g.column(5).to_pylist(), bool)), []
+            first, own_labels = np.ascontiguousarray(sigs[here, :FIRST]), labels[here]
             for i in np.flatnonzero(np.array(g.column(4).to_pylist(), bool)).tolist():
-                other = here[labels[here] != labels[i]]
+                other = here[((first == sigs[i, :FIRST]).sum(1) >= AGREE_FIRST) & (own_labels != labels[i])]
                 if len(other):
                     pairs += [(i, int(j)) for j in other[(sigs[other] == sigs[i]).sum(1) >= AGREE]]
             tops = forest(n, pairs)
@@ -237,7 +241,7 @@ def pivot_links(large: DataFrame) -> DataFrame:
     return compared.filter((F.col("set") != F.col("v.set")) & (agreement(F.col("sig"), F.col("v.sig")) >= AGREE)).select(F.col("set").alias("a"), F.col("v.set").alias("b"))
 
 
-def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, tile: int = TILE, outsiders: int = OUTSIDERS) -> DataFrame:
+def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, outsiders: int = OUTSIDERS, direct: int = DIRECT, link_tile: int = LINK_TILE) -> DataFrame:
     """a, b: links whose components hold every pair of sets near enough, but for one in 1 / (1 - recall); nodes has set and sig."""
     runs = runs_for(recall)
     # Each run's first two tokens, drawn without replacement over runs.
@@ -260,8 +264,8 @@ def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET, l
         most = labelled.groupBy("path", "label").agg(F.count("*").alias("m")).groupBy("path").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
         mixed = labelled.join(most.withColumnRenamed("path", "p"), F.col("path") == F.col("p")).filter(F.col("m") < F.col("n")).drop("p")
         mixed = table(mixed.withColumn("outsider", F.col("label") != F.col("main")), "join-mixed")
-        few = (F.col("n") - F.col("m") <= outsiders) | F.lit(level == levels)
-        found = found.unionByName(table(tile_links(mixed.filter(few), tile), "join-links"))
+        few = (F.col("n") <= direct) | (F.col("n") - F.col("m") <= outsiders) | F.lit(level == levels)
+        found = found.unionByName(table(tile_links(mixed.filter(few), link_tile), "join-links"))
         left = mixed.filter(~few)
         if level == levels or left.isEmpty():
             break
@@ -334,7 +338,7 @@ def exact_links(df: DataFrame, id_col: str, text_col: str, words: int, members:
     return dealt.mapInArrow(run, "set binary, top binary, links long")
 
 
-def near_rows(df: DataFrame, id_col: str, text_col: str, *, words: int = WORDS, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, tile: int = TILE, outsiders: int = OUTSIDERS) -> DataFrame:
+def near_rows(df: DataFrame, id_col: str, text_col: str, *, words: int = WORDS, tile: int = TILE, **options) -> DataFrame:
     """One row per row of df: _id, _print (xxhash64 of the text), class_id, n_links, kept.
 
     Rows are linked if their sets of runs of five words are similar by 0.8 or
@@ -348,7 +352,7 @@ def near_rows(df: DataFrame, id_col: str, text_col: str, *, words: int = WORDS,
     rows = table(set_rows(df, id_col, text_col, words), "join-sets")
     keeper = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_print").alias("print"))
     sets = table(rows.filter("_set is not null").groupBy(F.col("_set").alias("set")).agg(F.min("_sig").alias("sig"), F.count("*").alias("n"), F.min(keeper).alias("keeper")), "join-nodes")
-    blocks = table(components(candidates(sets.select("set", "sig"), recall, bucket, levels, tile, outsiders)), "join-blocks")
+    blocks = table(components(candidates(sets.select("set", "sig"), **options)), "join-blocks")
     sized = blocks.join(blocks.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
     members = sized.join(sets, F.col("node") == F.col("set")).select(F.col("keeper.id").alias("_id"), F.col("keeper.print").alias("_print"), "set", "n", F.col("root").alias("block"), "size")
     linked = table(exact_links(df, id_col, text_col, words, members, tile), "join-exact")
