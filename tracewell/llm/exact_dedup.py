@@ -211,7 +211,7 @@ def byte_check(df: DataFrame, id_col: str, text_col: str, placed: DataFrame) ->
     """Rows whose text differs from the text of their class: _id, _print, _digest, _text (normalised)."""
     members = placed.filter("_n > 1").select(F.col("_id").alias("_m"), F.col("_print").alias("_p"), "_digest", "_keep", "_n").distinct()
     read = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_print", F.xxhash64("_text"))
-    own = read.join(members, F.col("_id").eqNullSafe(F.col("_m")) & (F.col("_print") == F.col("_p"))).drop("_m", "_p")
+    own = table(read.join(members, F.col("_id").eqNullSafe(F.col("_m")) & (F.col("_print") == F.col("_p"))).drop("_m", "_p"), "dedup-members")
     salts = F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int")
     held = own.filter(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_digest").agg(F.min("_text").alias("_held"), F.max("_n").alias("_n"))
     held = held.select(F.col("_digest").alias("_d"), "_held", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_s"))
