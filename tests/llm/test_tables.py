@@ -298,6 +298,28 @@ def test_katz(spark):
     assert all(r["held_out"] and r["train_tokens"] == 0 and r["score"] == 0 and r["n_known"] == 0 for r in none)
 
 
+def test_katz_with_groups_of_copies():
+    """Copies bend the counts of counts; Good-Turing still frees what there is in counts of 1, and no count loses all or gains."""
+    rng = np.random.default_rng(3)
+    words = [f"w{int(x)}" for x in rng.zipf(1.4, 40_000) if x < 100_000]
+    texts = [" ".join(words[i * 60 : i * 60 + 60]) for i in range(len(words) // 60)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts + [t for t in texts[:80] for _ in range(4)])]
+    docs = [[*t.split(), None] for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    for counted in (Counter(w for d in docs for w in d), Counter(p for d in docs for p in zip([d[-1], *d[:-1]], d))):
+        hist = katz.histogram(np.array(list(counted.values()), np.int64))
+        n = Counter(counted.values())
+        assert any((r + 1) * n[r + 1] > r * n[r] for r in range(1, katz.K + 1))
+        found = katz.discounts(hist)
+        assert all(0 < d < 1 for d in found)
+        assert sum(r * n[r] * (1 - d) for r, d in zip(range(1, katz.K + 1), found)) == pytest.approx(n[1])
+
+
+def test_katz_without_bends_is_plain_good_turing():
+    n = {1: 660501, 2: 173283, 3: 73669, 4: 42244, 5: 33576, 6: 22558}
+    top = 6 * n[6] / n[1]
+    assert katz.discounts(n) == pytest.approx([((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) for r in range(1, 6)])
+
+
 # ---- classifiers
 
 PROSE = ["The cat sat on the mat and looked at us.", "It was a fine day, and nobody said much.", "Later we went home by the old road.", "She read a book about ships and storms."]

@@ -41,8 +41,8 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b"\0end of document"))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: What travels: kind, whose it is (chunk), where it belongs (bucket), and packed arrays.
-ROW = pa.schema([("kind", pa.string()), ("chunk", pa.string()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("hist", pa.list_(pa.int64()))])
-_DDL = "kind string, chunk string, bucket int, a binary, b binary, c binary, d binary, hist array<long>"
+ROW = pa.schema([("kind", pa.string()), ("chunk", pa.string()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("hist", pa.list_(pa.struct([("r", pa.int64()), ("n", pa.int64())])))])
+_DDL = "kind string, chunk string, bucket int, a binary, b binary, c binary, d binary, hist array<struct<r: long, n: long>>"
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -73,19 +73,41 @@ def rows(*given: dict) -> pa.Table:
     return pa.Table.from_pylist([{f: r.get(f) for f in ROW.names} for r in given], schema=ROW)
 
 
-def histogram(counts: np.ndarray) -> list[int]:
-    """Sum of counts, how many are above 0, and how many are 1, 2, to K + 1."""
-    return [int(counts.sum()), int((counts > 0).sum()), *(int((counts == r).sum()) for r in range(1, K + 2))]
+def histogram(counts: np.ndarray) -> dict[int, int]:
+    """How many counts are r, by r above 0."""
+    return dict(zip(*(x.tolist() for x in np.unique(counts[counts > 0], return_counts=True))))
 
 
-def discounts(hist: list[int]) -> list[float]:
-    """The factors of counts 1 to K by Good and Turing, as Katz scales them; where the counts of counts are too uneven, absolute discounting."""
-    n = [0, *hist[2:]]
-    if n[1]:
-        top = (K + 1) * n[K + 1] / n[1]
-        found = [((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) if n[r] and top != 1 else 2.0 for r in range(1, K + 1)]
-        if all(0 < d < 1 for d in found):
-            return found
+def slope(hist: dict[int, int]) -> float | None:
+    """Of Gale's line through the logs of r and of the counts of counts, each spread over the gap to its neighbours."""
+    if len(hist) < 2:
+        return None
+    r = np.array(sorted(hist), np.float64)
+    n = np.array([hist[int(x)] for x in r], np.float64)
+    before = np.concatenate([[0.0], r[:-1]])
+    after = np.concatenate([r[1:], [2 * r[-1] - before[-1]]])
+    return float(np.polyfit(np.log(r), np.log(2 * n / (after - before)), 1)[0])
+
+
+def discounts(hist: dict[int, int]) -> list[float]:
+    """The factors of counts 1 to K by Good and Turing, as Katz scales them: together they free as much as there is in counts of 1.
+
+    Groups of copies bend the counts of counts: from the first count whose own
+    estimate doesn't hold, estimates are those of Gale's line.  Absolute
+    discounting is left where there is nothing to estimate from: no count of 1,
+    none of 2 to K, or a line that doesn't fall fast enough (slope -1).
+    """
+    n, line = [0, *(hist.get(r, 0) for r in range(1, K + 2))], slope(hist)
+    own = [(r + 1) * n[r + 1] / (r * n[r]) if n[r] else math.inf for r in range(1, K + 1)]
+    if n[1] and any(n[2 : K + 1]):
+        for kept in range(K, -1, -1):
+            if kept < K and (line is None or line >= -1):
+                break
+            left = [own[r - 1] if r <= kept else ((r + 1) / r) ** (line + 1) for r in range(1, K + 1)]
+            lost = sum(r * n[r] * (1 - x) for r, x in zip(range(1, K + 1), left) if n[r])
+            found = [1 - n[1] / lost * (1 - x) for x in left] if lost > 0 else []
+            if found and all(0 < d < 1 for d in found):
+                return found
     off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
     return [(r - off) / r for r in range(1, K + 1)]
 
@@ -94,12 +116,12 @@ def discounts(hist: list[int]) -> list[float]:
 class Unigrams:
     """Probabilities of single words by their counts; what discounting frees belongs to the words never seen."""
 
-    hist: list[int]
+    hist: dict[int, int]
 
     def __post_init__(self):
-        self.total, self.kinds = self.hist[0], self.hist[1]
+        self.total, self.kinds = sum(r * n for r, n in self.hist.items()), sum(self.hist.values())
         factors = discounts(self.hist)
-        self.freed = sum(n * r * (1 - d) for n, r, d in zip(self.hist[2:], range(1, K + 1), factors)) / self.total if self.total else 1.0
+        self.freed = sum(self.hist.get(r, 0) * r * (1 - d) for r, d in zip(range(1, K + 1), factors)) / self.total if self.total else 1.0
         self.factors = np.array([0.0, *factors, 1.0])
         self.scale = 1.0
         if self.freed <= 0:  # no low counts at all: one count of total + 1 for what is unseen
@@ -186,7 +208,7 @@ def count_words(t: pa.Table) -> pa.Table:
     words, inverse = np.unique(np.concatenate(lists), return_inverse=True)
     totals = np.bincount(inverse, np.concatenate([unpack(r["b"], np.uint32) for r in asked]), len(words)).astype(np.uint64)
     bucket = asked[0]["bucket"]
-    out = [{"kind": "model", "bucket": bucket, "a": pack(gaps(words)), "b": pack(totals), "hist": histogram(totals)}]
+    out = [{"kind": "model", "bucket": bucket, "a": pack(gaps(words)), "b": pack(totals), "hist": [{"r": r, "n": n} for r, n in histogram(totals).items()]}]
     for r, own in zip(asked, np.split(inverse, np.cumsum([len(x) for x in lists])[:-1])):
         out.append({"kind": "reply", "chunk": r["chunk"], "bucket": bucket, "a": pack(gaps(own.astype(np.uint32))), "b": pack(totals[own])})
     return rows(*out)
@@ -269,7 +291,7 @@ def count_pairs(t: pa.Table, unigrams: Unigrams) -> pa.Table:
         out.append({"kind": "reply", "chunk": r["chunk"], "bucket": bucket, "a": pack(totals[own])})
     seen = np.flatnonzero(totals > 0)
     context, word, totals = context[first][seen], word[first][seen], totals[seen]
-    out.append({"kind": "model", "bucket": bucket, "a": pack(gaps(context_ids[context])), "b": pack(word_ids[word]), "c": pack(totals), "hist": histogram(totals)})
+    out.append({"kind": "model", "bucket": bucket, "a": pack(gaps(context_ids[context])), "b": pack(word_ids[word]), "c": pack(totals), "hist": [{"r": r, "n": n} for r, n in histogram(totals).items()]})
     n, counted = len(context_ids), totals.astype(np.int64)
     sums = [np.bincount(context, np.where(counted == r, 1, 0), n) for r in range(1, K + 1)] + [np.bincount(context, np.where(counted > K, counted, 0), n)]
     lower = np.bincount(context, unigrams.p(alone[seen]), n)
@@ -335,12 +357,13 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, *, chunk_tokens:
     entries = made.agg(F.sum("entries")).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries / BUCKET_ENTRIES))
 
-    def sums(counted: DataFrame) -> list[int]:
-        found = counted.filter("kind = 'model'").agg(*[F.sum(F.col("hist")[i]) for i in range(K + 3)]).first()
-        return [int(x or 0) for x in found]
+    def whole(counted: DataFrame) -> dict[int, int]:
+        """The histogram over all buckets: its distinct counts number at most the root of twice the tokens."""
+        found = counted.filter("kind = 'model'").selectExpr("inline(hist)").groupBy("r").agg(F.sum("n").alias("n"))
+        return {r["r"]: r["n"] for r in found.collect()}
 
     words = table(ask_words(made, buckets).groupBy("bucket").applyInArrow(count_words, _DDL), "katz-words", "kind").select(*ROW.names)
-    unigrams = Unigrams(sums(words))
+    unigrams = Unigrams(whole(words))
     hot = max(1000.0, unigrams.total / (4 * buckets))
 
     keyed = ("chunk", "ids", "codes", "words", "lengths", "train", "kind", "bucket", "a")
@@ -349,7 +372,7 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, *, chunk_tokens:
     told = blank(words.filter("kind = 'reply'"), "word")
     asking = own.drop("ids").unionByName(told, allowMissingColumns=True).groupBy("chunk").applyInArrow(lambda t: ask_pairs(t, buckets, hot), _DDL)
     pairs = table(asking.groupBy("bucket").applyInArrow(lambda t: count_pairs(t, unigrams), _DDL), "katz-pairs", "kind").select(*ROW.names)
-    factors = discounts(sums(pairs))
+    factors = discounts(whole(pairs))
     weights = pairs.filter("kind in ('part', 'context')").groupBy("bucket").applyInArrow(lambda t: weigh(t, factors), _DDL)
 
     everything = own.unionByName(told, allowMissingColumns=True)
