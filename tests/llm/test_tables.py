@@ -388,6 +388,20 @@ def test_score_toxicity(spark):
     assert len({r["score"] for r in got if r["doc_id"] >= 1000}) == 1
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """What makes these documents toxic comes after more than 2,000 words."""
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(80):
+        own = list(rng.choice(words, 2100))
+        rows.append((i, " ".join(own + ["vile", "wretched", "scoundrel"] * 4 if i % 2 else own + list(rng.choice(words, 12))), "en", "a"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(documents(spark, rows), "doc_id", "text", labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert held and all(r["predicted"] == r["doc_id"] % 2 for r in held)
+
+
 def test_models_sum_to_one():
     rng = np.random.default_rng(6)
     docs = [(toxicity.word_keys(" ".join(f"w{x}" for x in rng.zipf(1.5, 200) % 50)), i % 2) for i in range(20)]

@@ -7,8 +7,9 @@ that is frequent in a class says much.  Documents are compared by the two
 log-likelihoods over their length, of the whole text and of the window where
 they differ most, and a logistic fit turns those into a probability.
 
-The models are fitted on the driver to a bounded sample of labelled documents
-(their parameter bounds what is broadcast); scoring is one scan.
+The models are fitted to a bounded sample of labelled documents, each whole:
+executors count words and pairs and compute the documents' features, the driver
+gets aggregates per word.  Scoring is one scan.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_texts, ready, texts
+from .common import fold_of, map_texts, ready, slices, table, texts
 from .quality_crf import logistic, sample_of
 
-#: Labelled documents of each class, and words of each, that the fit sees at most.
+#: Labelled documents of each class that the fit sees at most.
 SAMPLE_PER_CLASS = 1_000
-SAMPLE_WORDS = 2_000
 #: Words of the windows in which the models are compared besides the whole text.
 WINDOWS = (4, 16)
 #: What is taken off each count for the order below: a count up to it says nothing of the class.
@@ -97,8 +98,8 @@ class Class:
 class Models:
     """The models of ordinary (0) and toxic (1) documents."""
 
-    def __init__(self, documents: list[tuple[np.ndarray, int]]):
-        self.classes = [Class.of([d for d, y in documents if y == label]) for label in (0, 1)]
+    def __init__(self, documents: list[tuple[np.ndarray, int]] = (), classes: list[Class] | None = None):
+        self.classes = classes or [Class.of([d for d, y in documents if y == label]) for label in (0, 1)]
         both = [c.continuations for c in self.classes]
         # What discounting takes off a word is what the shared order gives back: no more for frequent words than for rare ones.
         self.shared = Counts.of(np.concatenate([c.keys for c in both]), np.concatenate([np.minimum(c.values, DISCOUNT) for c in both]))
@@ -148,42 +149,78 @@ class Scorer:
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
-def fit(documents: list[tuple[np.ndarray, int]], share: float) -> Scorer:
-    """Fits models and the logistic fit; the latter sees each document through models that didn't."""
-    labels = np.array([y for _, y in documents])
-    if len(set(labels.tolist())) < 2:
-        return Scorer(None, np.zeros(0), share)
-    half = np.arange(len(documents)) % 2
-    x = np.zeros((len(documents), FEATURES + 1))
-    for part in (0, 1):
-        other = Models([d for d, h in zip(documents, half) if h != part])
-        for i in np.flatnonzero(half == part):
-            x[i, :-1] = other.features(documents[i][0])
-    x[:, -1] = 1
-    weight = np.where(labels == 1, share / max((labels == 1).sum(), 1), (1 - share) / max((labels == 0).sum(), 1)) * len(labels)
-    return Scorer(Models(documents), logistic(x, labels, weight, 1e-4), share)
+def count_pairs(sample: DataFrame) -> DataFrame:
+    """_model, label, before, word, n of the sampled documents' pairs; model 0 and 1 are of a half each, 2 is of both."""
+    schema = pa.schema([("label", pa.int32()), ("half", pa.int32()), ("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for label, half, raw in zip(*(c.to_pylist() for c in b.columns)):
+                words = np.frombuffer(raw, np.uint64)
+                _, first, n = np.unique(pair_keys(words), return_index=True, return_counts=True)
+                before = np.concatenate([[_START], words[:-1]]).astype(np.uint64)[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), label, np.int32)), pa.array(np.full(len(n), half, np.int32)), pa.array(before.view(np.int64)), pa.array(words[first].view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+
+    counted = sample.select("label", "half", "words").mapInArrow(run, "label int, half int, before long, word long, n long")
+    counted = counted.withColumn("_model", F.explode(F.array("half", F.lit(2))))
+    return counted.groupBy("_model", "label", "before", "word").agg(F.sum("n").alias("n"))
+
+
+def models_of(sample: DataFrame) -> list[Models]:
+    """Models of the first half of the sampled documents, of the second, and of all."""
+    counted = table(count_pairs(sample), "toxicity-pairs")
+    low = F.least("n", F.lit(int(DISCOUNT)))
+    pairs = counted.filter(F.col("n") > DISCOUNT).toArrow()
+    contexts = counted.groupBy("_model", "label", "before").agg(F.sum("n").alias("n"), F.sum(low).alias("freed")).toArrow()
+    words = counted.groupBy("_model", "label", "word").agg(F.count("*").alias("n")).toArrow()
+    keys = lambda t, c: t[c].to_numpy().view(np.uint64)
+    values = lambda t, c: t[c].to_numpy().astype(np.float64)
+
+    def made(model: int, label: int) -> Class:
+        p, c, w = (t.filter(pc.and_(pc.equal(t["_model"], model), pc.equal(t["label"], label))) for t in (pairs, contexts, words))
+        continuations = Counts.of(keys(w, "word"), values(w, "n"))
+        kept = Counts.of((keys(p, "before") * _MIX) ^ keys(p, "word"), values(p, "n"))
+        return Class(kept, Counts.of(keys(c, "before"), values(c, "n")), Counts.of(keys(c, "before"), values(c, "freed")), continuations, float(np.minimum(continuations.values, DISCOUNT).sum()))
+
+    return [Models(classes=[made(model, label) for label in (0, 1)]) for model in (0, 1, 2)]
 
 
 def fit_sample(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str, folds: int, held: int, per_class: int) -> Scorer:
+    """Fits models and the logistic fit to whole documents; the latter sees each document through models of the other half."""
     spark = ready(df)
     ids, counts = sample_of(labels, label_id, label_col, folds, held, per_class)
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    if not ids:
-        return fit([], share)
+    if len({r["label"] for r in ids}) < 2:
+        return Scorer(None, np.zeros(0), share)
     kind = labels.schema[label_id].dataType
-    chosen = spark.createDataFrame([(r["id"], r["label"]) for r in ids], f"_k {kind.simpleString()}, _label int")
-    # A row for each sampled id: per_class bounds both the broadcast and what comes back.
-    found = texts(df, id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_k")).select("_label", "text", F.xxhash64(id_col).alias("_h"))
-    schema = pa.schema([("label", pa.int32()), ("h", pa.int64()), ("words", pa.binary())])
+    chosen = spark.createDataFrame([(r["id"], r["label"], i % 2) for i, r in enumerate(ids)], f"_k {kind.simpleString()}, _label int, _half int")
+    # A row for each sampled id: per_class bounds both the broadcast and the rows that are fitted to.
+    found = texts(df, id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_k"))
+    found = found.select(F.struct("_label", "_half", F.xxhash64(id_col).alias("_h")).alias("_key"), "text")
+    schema = pa.schema([("label", pa.int32()), ("half", pa.int32()), ("h", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
         for b in batches:
-            out = [(label, h, word_keys(text)[:SAMPLE_WORDS].tobytes()) for label, text, h in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+            for of, part in slices(b):
+                yield pa.RecordBatch.from_arrays([*(of.field(i) for i in range(3)), pa.array([word_keys(t).tobytes() for t in part], pa.binary())], schema=schema)
+
+    ddl = "label int, half int, h long, words binary"
+    sample = table(found.mapInArrow(run, ddl).limit(2 * per_class).repartition(F.col("h")), "toxicity-sample")
+    *halves, whole = models_of(sample)
+    shared = spark.sparkContext.broadcast(halves)
 
-    got = found.mapInArrow(run, "label int, h long, words binary").limit(2 * per_class).collect()
-    got.sort(key=lambda r: (r["h"], r["words"]))
-    return fit([(np.frombuffer(r["words"], np.uint64), r["label"]) for r in got], share)
+    def look(batches):
+        for b in batches:
+            rows = [(label, h, shared.value[1 - half].features(np.frombuffer(words, np.uint64)).tolist()) for label, half, h, words in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_pylist([{"label": y, "h": h, "x": x} for y, h, x in rows], schema=pa.schema([("label", pa.int32()), ("h", pa.int64()), ("x", pa.list_(pa.float64()))]))
+
+    got = sorted(sample.mapInArrow(look, "label int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["x"]))
+    y = np.array([r["label"] for r in got])
+    if len(set(y.tolist())) < 2:
+        return Scorer(None, np.zeros(0), share)
+    x = np.array([[*r["x"], 1.0] for r in got])
+    weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
+    return Scorer(whole, logistic(x, y, weight, 1e-4), share)
 
 
 def score_toxicity(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str = "doc_id", label_col: str = "toxic", *, folds: int = 4, held: int = 2, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
@@ -197,7 +234,7 @@ def score_toxicity(df: DataFrame, id_col: str, text_col: str, labels: DataFrame,
     Null and repeated ids stay, a row each.
     """
     scorer = fit_sample(df, id_col, text_col, labels, label_id, label_col, folds, held, per_class)
-    shared = df.sparkSession.sparkContext.broadcast(scorer)  # per_class times SAMPLE_WORDS bounds it
+    shared = df.sparkSession.sparkContext.broadcast(scorer)  # the distinct words of the sampled documents bound it
 
     def make():
         own = shared.value
