@@ -402,12 +402,105 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert held and all(r["predicted"] == r["doc_id"] % 2 for r in held)
 
 
-def test_models_sum_to_one():
+def kneser_ney(counts, both):
+    """Interpolated Kneser-Ney by dictionaries: p(gram) for grams of characters, of one class."""
+
+    def levels(top):
+        out = {toxicity.ORDER: top}
+        for k in range(toxicity.ORDER - 1, 0, -1):
+            out[k] = Counter()
+            for g, n in out[k + 1].items():
+                out[k][g[1:]] += n if k > 1 and g[1] == "^" else 1
+        return out
+
+    def off(level):
+        n = Counter(level.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        found = [r - (r + 1) * y * n[r + 1] / n[r] if n[r] else 0.5 for r in (1, 2, 3)]
+        return [0.0, *(d if 0 < d < r else 0.5 for r, d in zip((1, 2, 3), found))]
+
+    own, shared = levels(counts), levels(both)
+    offs = {k: off((shared if k <= toxicity.SHARED else own)[k]) for k in own}
+
+    def p(gram, kinds, k=toxicity.ORDER):
+        if not k:
+            return 1 / kinds
+        level, g = (shared if k <= toxicity.SHARED else own)[k], gram[-k:]
+        follow = {x: n for x, n in level.items() if x[:-1] == g[:-1]}
+        total, lower = sum(follow.values()), p(gram, kinds, k - 1)
+        if not total:
+            return lower
+        freed = sum(offs[k][min(n, 3)] for n in follow.values())
+        return (max(level[g] - offs[k][min(level[g], 3)], 0) + freed * lower) / total
+
+    return p
+
+
+def test_models_equal_dictionaries():
+    """Every order of both models, by probabilities of seen, rare and unseen spellings; and each context's sum to 1."""
     rng = np.random.default_rng(6)
-    docs = [(toxicity.word_keys(" ".join(f"w{x}" for x in rng.zipf(1.5, 200) % 50)), i % 2) for i in range(20)]
-    models = toxicity.Models(docs)
-    shared = (models.shared.values + 0.5).sum() + 0.5
-    assert shared / (models.total + 0.5 * models.kinds) == pytest.approx(1)
+    words = ["".join(rng.choice(list("abcdé"), int(rng.integers(1, 7)))) for _ in range(80)]
+    texts = [Counter({w: int(n) for w, n in zip(words[i * 30 :], rng.zipf(1.6, 50) % 40 + 1)}) for i in (0, 1)]
+    alphabet = toxicity.alphabet_of(Counter("".join(words)))
+    codes, counts, grams = {}, [], [Counter(), Counter()]
+    for y, own in enumerate(texts):
+        for w, n in own.items():
+            padded = "^" * (toxicity.ORDER - 1) + w + "$"
+            for i, code in enumerate(toxicity.spellings([w], alphabet)[0].tolist()):
+                gram = padded[i : i + toxicity.ORDER]
+                codes[code] = gram
+                grams[y][gram] += n
+    order = sorted(codes)
+    counts = np.array([[g[codes[c]] for c in order] for g in grams])
+    models = toxicity.Models(alphabet, np.array(order, np.uint64), counts)
+    brute = [kneser_ney(g, grams[0] + grams[1]) for g in grams]
+    new = ["abcde", "zz", "éa", "bbbbbbbb", words[0], words[-1]]
+    for w in new:
+        own = toxicity.spellings([w], alphabet)[0]
+        padded = "^" * (toxicity.ORDER - 1) + w + "$"
+        got = models.probabilities(own)
+        for i in range(len(own)):
+            assert got[:, i] == pytest.approx([p(padded[i : i + toxicity.ORDER], models.kinds) for p in brute])
+        ratio, length = models.evidence([w])
+        assert ratio[0] == pytest.approx(float(np.log(got[1] / got[0]).sum())) and length == [len(w) + 1]
+    for context in ("^^^^", "^^ab", "abcd", "éééé"):
+        number = {c: i + 3 for i, c in enumerate(map(chr, alphabet))} | {"^": toxicity.START}
+        base = sum(number[c] << (toxicity.BITS * (4 - i)) for i, c in enumerate(context))
+        every = np.array([base | x for x in (toxicity.END, toxicity.RARE, *range(3, 3 + len(alphabet)))], np.uint64)
+        assert models.probabilities(every).sum(1) == pytest.approx([1.0, 1.0])
+    text = "abc abc zz"
+    assert models.reader()([text, ""]) == pytest.approx([sum(n * models.evidence([w])[0][0] for w, n in (("abc", 2), ("zz", 1))) / 11, 0.0])
+    assert toxicity.Models(alphabet[:0], np.zeros(0, np.uint64), np.zeros((2, 0))).reader()(["x y"]) == [0.0]
+
+
+@pytest.mark.parametrize("module, column", [(quality_crf.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
+def test_classifiers_with_repeated_ids(spark, module, column):
+    """Labelled ids that repeat, with other texts and the same, give the same scores whatever the rows' order."""
+    rows, labels = labelled(spark, PROSE, JUNK, column)
+    rows = rows[:60] + [(i, f"{t} once more", "en", "a") for i, t, *_ in rows[:60]] + rows[:60]
+    scores = [sorted((r["doc_id"], round(r["score"], 9)) for r in module(documents(spark, rows).repartition(n), "doc_id", "text", labels, per_class=10).collect()) for n in (1, 3)]
+    assert scores[0] == scores[1] and len(scores[0]) == 180
+
+
+def test_lines_of_mixed_documents(spark):
+    """Poor documents here have plain first lines: they are good, the others bad."""
+    rng = np.random.default_rng(11)
+    junk = lambda: "\n".join(rng.choice(JUNK, 4))
+    rows = [(i, "\n".join(rng.choice(PROSE, 5)) if i % 2 else f"{rng.choice(PROSE)}\n{junk()}", "en", "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    for r in quality_crf.good_lines(documents(spark, rows), "doc_id", "text", labels, per_class=80).collect():
+        assert all(p >= 0.5 for p in r["goods"]) if r["doc_id"] % 2 else r["goods"][0] >= 0.5 and all(p < 0.5 for p in r["goods"][1:])
+
+
+def test_told_meets_the_label():
+    """The tilt gives the demanded share, and none is needed where the label holds already."""
+    rng = np.random.default_rng(12)
+    unary, moves, sizes = rng.normal(size=9), rng.normal(size=(2, 2)), rng.integers(1, 50, 9).astype(float)
+    free = quality_crf.chain(unary, moves)[0] @ sizes / sizes.sum()
+    for label in (0, 1):
+        share = quality_crf.told(unary, moves, sizes, label)[0] @ sizes / sizes.sum()
+        holds = free >= quality_crf.GOOD_LEAST if label else free <= quality_crf.GOOD_MOST
+        assert share == pytest.approx(free if holds else quality_crf.GOOD_LEAST if label else quality_crf.GOOD_MOST, abs=0.01)
 
 
 # ---- pipeline

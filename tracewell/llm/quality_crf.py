@@ -2,12 +2,21 @@
 
 Each line is good or bad.  A line's features are its own, those of the lines
 before and after it, and what both are to each other; transitions between
-labels are learned as well.  Training lines carry their document's label.  A
-document's quality is the mean of its lines' marginal probabilities of good,
-weighted by length, turned into a probability by a logistic fit.
-
-The field is fitted on the driver to a bounded sample of labelled documents;
-scoring is one scan.
+labels are learned as well.  A document's quality is the mean of its lines'
+marginal probabilities of good, weighted by length, turned into a probability by
+a logistic fit.
+
+Only documents are labelled, their lines aren't: line labels are latent.  Lines
+are first judged by themselves.  From there the fit goes by expectation and
+maximisation: chains of those judgments and the learned transitions say what
+lines are, bent as little as a document's label demands (of a good one most is
+good, of a bad one half is bad), and the field moves towards that.  A plain line
+beside junk thus stays plain.
+
+The fit is to a bounded sample of labelled documents, each with all its lines.
+They stay on the executors: every round is a pass over them that sums
+statistics, and the driver holds the field's weights and these sums alone.
+Scoring is one scan.
 """
 
 from __future__ import annotations
@@ -21,12 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_texts, texts, ready
+from .common import fold_of, map_texts, ready, table
+from .labelled import calibrated, sample_of, sampled_texts
 
-#: Labelled documents of each class that the fit sees at most, and lines of each.
+#: Labelled documents of each class that the fit sees at most.
 SAMPLE_PER_CLASS = 800
-SAMPLE_LINES = 120
 THRESHOLD = 0.3
+#: Passes that start the weights from the documents' labels, and passes that find the lines' own.
+STARTS, ROUNDS = 5, 20
+RIDGE = 3e-3
+#: Good lines' share of the length of a document of label 1 at least, and of label 0 at most, while fitting.
+GOOD_LEAST, GOOD_MOST = 0.8, 0.5
 
 _UPPER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _LETTER = _UPPER + _UPPER.lower() + bytes(range(0xC0, 0x100))
@@ -87,14 +101,18 @@ class Field:
         unary = ((with_neighbours(x) - self.mean) / self.scale) @ self.weights
         return chain(unary, self.moves)[0]
 
-    def quality(self, text: str) -> float:
-        x, sizes = line_features(text)
+    def quality_of(self, x: np.ndarray, sizes: np.ndarray) -> float:
         good, weights = self.marginals(x), np.maximum(sizes, 1e-9)
         return float(good @ weights / weights.sum())
 
+    @staticmethod
+    def logit(quality: float) -> float:
+        q = min(max(quality, 1e-6), 1 - 1e-6)
+        return math.log(q / (1 - q))
+
     def score(self, text: str) -> float:
-        q = min(max(self.quality(text), 1e-6), 1 - 1e-6)
-        return 1 / (1 + math.exp(-(self.slope * math.log(q / (1 - q)) + self.offset)))
+        z = self.slope * self.logit(self.quality_of(*line_features(text))) + self.offset
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
 def chain(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -126,98 +144,143 @@ def chain(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.array(out), expected, float(np.sum(np.log(norms)) + shift.sum())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression, by Newton's method."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + ridge * weight.sum() * w
-        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + (ridge * weight.sum() + 1e-9) * np.eye(len(w)), gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
-def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], share_good: float, rounds: int = 20) -> Field:
-    """A field from (features, sizes, label) of documents; share_good: of label 1 among all labels."""
-    labels = np.array([y for _, _, y in documents])
-    rows = [with_neighbours(x) for x, _, _ in documents]
-    every = np.concatenate(rows) if rows else np.zeros((0, 4 * len(FEATURES) + 1))
-    if len(set(labels.tolist())) < 2:
-        width = every.shape[1] or 1
-        field = Field(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.0, 0.0)
-        field.offset = math.log((share_good + 1e-3) / (1 - share_good + 1e-3))
-        return field
-    mean, scale = every.mean(0), every.std(0)
+def told(unary: np.ndarray, moves: np.ndarray, sizes: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and expected moves of a document's lines, bent by the least tilt that gives the share of good its label demands."""
+    weights = np.maximum(sizes, 1e-9) / np.maximum(sizes, 1e-9).sum()
+    sign = 1.0 if label else -1.0
+
+    def bent(tilt: float):
+        good, expected, _ = chain(unary + sign * tilt, moves)
+        share = float(good @ weights)
+        return good, expected, share >= GOOD_LEAST if label else share <= GOOD_MOST
+
+    good, expected, holds = bent(0.0)
+    if holds:
+        return good, expected
+    low, high = 0.0, 1.0
+    while not bent(high)[2] and high < 64:
+        low, high = high, 2 * high
+    for _ in range(8):
+        middle = (low + high) / 2
+        low, high = (low, middle) if bent(middle)[2] else (middle, high)
+    return bent(high)[:2]
+
+
+def moments(documents, _) -> np.ndarray:
+    """Sums of lines, features and squared features."""
+    out = np.zeros((3, 4 * len(FEATURES) + 1))
+    for x, _, _ in documents:
+        rows = with_neighbours(x)
+        out += np.stack([np.full(rows.shape[1], len(rows)), rows.sum(0), (rows**2).sum(0)])
+    return out
+
+
+def start_sums(documents, state) -> np.ndarray:
+    """Gradient and Hessian (last rows) of the logistic loss of lines that have their document's label; documents of a class weigh the same."""
+    mean, scale, of_class, w = state
+    out = np.zeros((len(w) + 2, len(w)))
+    for x, _, y in documents:
+        rows = (with_neighbours(x) - mean) / scale
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        own = of_class[y] / len(rows)
+        out[0] += own * (rows.T @ (p - y))
+        out[1] += own * (rows**2).sum(0)
+        out[2:] += own * (rows * (p * (1 - p) + 1e-9)[:, None]).T @ rows
+    return out
+
+
+def line_sums(documents, state) -> np.ndarray:
+    """Gradients of weights and (last row) moves towards what the latent labels are, by expectation."""
+    mean, scale, of_class, start, w, moves = state
+    out = np.zeros((2, len(w)))
+    for x, sizes, y in documents:
+        rows = (with_neighbours(x) - mean) / scale
+        own = of_class[y] / len(rows)
+        free, free_moves, _ = chain(rows @ w, moves)
+        good, good_moves = told(rows @ start, moves, sizes, y)
+        out[0] += own * (rows.T @ (good - free))
+        out[1, :4] += own * (good_moves - free_moves).ravel()
+    return out
+
+
+def fit(summed, counts: dict[int, int], share_good: float) -> Field:
+    """A field for documents that summed(function, state) passes over, adding up what the function gives for parts of them.
+
+    counts: documents of each label; share_good: of label 1 among all labels.
+    """
+    width = 4 * len(FEATURES) + 1
+    if not counts.get(0) or not counts.get(1):
+        return Field(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.0, math.log((share_good + 1e-3) / (1 - share_good + 1e-3)))
+    lines, first, second = summed(moments, None)
+    mean, scale = first / lines, np.sqrt(np.maximum(second / lines - (first / lines) ** 2, 0))
     mean[-1], scale[scale < 1e-6] = 0.0, 1.0
-    rows = [(r - mean) / scale for r in rows]
-    every = np.concatenate(rows)
-    lines = np.concatenate([np.full(len(r), y) for r, y in zip(rows, labels)])
-    # Each document weighs the same, and so does each class.
-    of_class = {y: 1 / max((labels == y).sum(), 1) for y in (0, 1)}
-    weight = np.concatenate([np.full(len(r), of_class[y] / len(r)) for r, y in zip(rows, labels)]) * len(labels) / 2
-    w, moves = logistic(every, lines, weight, 3e-3), np.zeros((2, 2))
-    # From there, gradient steps on the likelihood of the labellings.
-    ridge, total = 3e-3, weight.sum()
-    momentum_w, momentum_m = np.zeros_like(w), np.zeros_like(moves)
-    spread = np.sqrt((every**2 * weight[:, None]).sum(0) / total) + 1e-3
-    for _ in range(rounds):
-        gw, gm = -ridge * w, -ridge * moves
-        for x, y in zip(rows, labels):
-            own = of_class[y] * len(labels) / 2 / len(x) / total
-            good, expected, _ = chain(x @ w, moves)
-            gw = gw + own * (x.T @ (y - good))
-            expected = -expected
-            expected[y, y] += len(x) - 1
-            gm = gm + own * expected
-        momentum_w, momentum_m = 0.7 * momentum_w + gw / spread, 0.7 * momentum_m + gm
+    of_class = {y: 1 / (2 * counts[y]) for y in (0, 1)}  # each document weighs the same, and so does each class
+    # The start looks at lines by themselves: a plain line beside junk is plain.
+    w, own = np.zeros(width), np.array([*range(len(FEATURES)), width - 1])
+    for _ in range(STARTS):
+        gradient, squares, *hessian = summed(start_sums, (mean, scale, of_class, w))
+        w[own] -= np.linalg.solve(np.array(hessian)[np.ix_(own, own)] + (RIDGE + 1e-9) * np.eye(len(own)), (gradient + RIDGE * w)[own])
+    spread = np.sqrt(squares) + 1e-3
+    start, moves = w.copy(), np.zeros((2, 2))
+    momentum_w, momentum_m = np.zeros(width), np.zeros((2, 2))
+    for _ in range(ROUNDS):
+        gw, gm = summed(line_sums, (mean, scale, of_class, start, w, moves))
+        momentum_w = 0.7 * momentum_w + (gw - RIDGE * w) / spread
+        momentum_m = 0.7 * momentum_m + gm[:4].reshape(2, 2) - RIDGE * moves
         w, moves = w + 0.5 * momentum_w, moves + 0.5 * momentum_m
-    field = Field(mean, scale, w, moves)
-    quality = np.array([float(chain(r @ w, moves)[0] @ np.maximum(s, 1e-9) / np.maximum(s, 1e-9).sum()) for r, (_, s, _) in zip(rows, documents)])
-    q = np.clip(quality, 1e-6, 1 - 1e-6)
-    logit = np.log(q / (1 - q))
-    true = np.where(labels == 1, of_class[1] * share_good, of_class[0] * (1 - share_good)) * len(labels)
-    field.slope, field.offset = logistic(np.stack([logit, np.ones_like(logit)], 1), labels, true, 1e-4).tolist()
-    return field
+    return Field(mean, scale, w, moves)
 
 
-def sample_of(labels: DataFrame, id_col: str, label_col: str, folds: int, held: int, per_class: int) -> tuple[list, dict[int, int]]:
-    """Ids of at most per_class labelled rows of each class, the first by a hash, of the training folds; and all training rows by class."""
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
-    rows = rows.filter(fold_of("id", folds) != held).groupBy("id").agg(F.max("label").alias("label"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    ids = []
-    for label in (0, 1):
-        ids += rows.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()
-    return ids, counts
+def unpacked(labels, features, sizes):
+    """(features, sizes, label) of documents from their bytes."""
+    for y, x, s in zip(labels.to_pylist(), features.to_pylist(), sizes.to_pylist()):
+        yield np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(float), np.frombuffer(s, "<f4").astype(float), y
 
 
 def fit_sample(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str, folds: int, held: int, per_class: int) -> Field:
-    """Fits a field to the sampled documents' lines, whose features come from the executors."""
-    spark = ready(df)
+    """Fits a field to all lines of the sampled documents, in passes over them on the executors."""
+    ready(df)
     ids, counts = sample_of(labels, label_id, label_col, folds, held, per_class)
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     if not ids:
-        return fit([], share)
-    kind = labels.schema[label_id].dataType
-    chosen = spark.createDataFrame([(r["id"], r["label"]) for r in ids], "_k string, _label int" if kind.typeName() == "string" else f"_k {kind.simpleString()}, _label int")
-    # A row for each sampled id: per_class bounds both the broadcast and what comes back.
-    found = texts(df, id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_k")).select("_label", "text", F.xxhash64(id_col).alias("_h"))
-    schema = pa.schema([("label", pa.int32()), ("h", pa.int64()), ("features", pa.binary()), ("sizes", pa.binary())])
-
-    def run(batches):
+        return fit(None, {}, share)
+    schema = pa.schema([("label", pa.int32()), ("features", pa.binary()), ("sizes", pa.binary())])
+
+    def features(batches):
         for b in batches:
-            out = []
-            for label, text, h in zip(*(c.to_pylist() for c in b.columns)):
-                x, sizes = line_features(text)
-                out.append((label, h, x[:SAMPLE_LINES].astype("<f4").tobytes(), sizes[:SAMPLE_LINES].astype("<f4").tobytes()))
+            out = [(label, *(a.astype("<f4").tobytes() for a in line_features(text))) for label, text in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    got = found.mapInArrow(run, "label int, h long, features binary, sizes binary").limit(2 * per_class).collect()
-    got.sort(key=lambda r: (r["h"], r["features"]))
-    width = len(FEATURES)
-    return fit([(np.frombuffer(r["features"], "<f4").reshape(-1, width).astype(float), np.frombuffer(r["sizes"], "<f4").astype(float), r["label"]) for r in got], share)
+    found = sampled_texts(df, id_col, text_col, labels, label_id, ids).select("_label", "text")
+    sample = table(found.mapInArrow(features, "label int, features binary, sizes binary"), "quality-sample")
+
+    def summed(function, state) -> np.ndarray:
+        def run(batches):
+            total = None
+            for b in batches:
+                own = function(unpacked(*b.columns), state)
+                total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([len(total)], pa.int32())], ["sums", "rows"])
+
+        parts = sorted((r["sums"], r["rows"]) for r in sample.mapInArrow(run, "sums binary, rows int").collect())  # a row for each file of the sample
+        return sum(np.frombuffer(s, np.float64).reshape(n, -1) for s, n in parts)
+
+    seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    field = fit(summed, seen, share)
+    if not seen.get(0) or not seen.get(1):
+        return field
+    pairs = pa.schema([("label", pa.int32()), ("quality", pa.float64())])
+
+    def qualities(batches):
+        for b in batches:
+            out = [(y, field.quality_of(x, s)) for x, s, y in unpacked(*b.columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), pairs)] if out else [pa.array([], f.type) for f in pairs], schema=pairs)
+
+    got = sorted(tuple(r) for r in sample.mapInArrow(qualities, "label int, quality double").collect())  # a row for each sampled id
+    logit = np.array([field.logit(q) for _, q in got])
+    field.slope, field.offset = calibrated(logit, np.array([y for y, _ in got]), share)
+    return field
 
 
 def score_quality(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", *, folds: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
@@ -226,8 +289,9 @@ def score_quality(df: DataFrame, id_col: str, text_col: str, labels: DataFrame,
     Learns from labelled rows whose crc32 of the id modulo folds is not held,
     at most per_class of each label.  Null and empty texts are one empty line.
     Labels other than 0 and 1 and null ids of labels are not used; an id
-    labelled twice has its larger label.  With labels of one class only, or
-    none, all scores are the share of label 1, or 0.5.  Null and repeated ids
+    labelled twice has its larger label; of rows of df that repeat a labelled
+    id, the fit sees the text of the least hash.  With labels of one class only,
+    or none, all scores are the share of label 1, or 0.5.  Null and repeated ids
     stay, a row each.
     """
     field = fit_sample(df, id_col, text_col, labels, label_id, label_col, folds, held, per_class)
@@ -248,3 +312,13 @@ def good_documents(df: DataFrame, id_col: str, text_col: str, labels: DataFrame,
         return pa.array([field.score(t or "") for t in text.to_pylist()], pa.float64())
 
     return df.filter(score(F.col(text_col)) >= THRESHOLD)
+
+
+def good_lines(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality", *, folds: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """id_col and goods, the probability of good of each line of the text in order (an empty text is one line): a row per row of df."""
+    field = fit_sample(df, id_col, text_col, labels, label_id, label_col, folds, held, per_class)
+
+    def make():
+        return lambda part: [[field.marginals(line_features(t)[0]).tolist() for t in part]]
+
+    return map_texts(df, id_col, text_col, [("goods", pa.list_(pa.float64()))], make)

@@ -1,188 +1,248 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word-bigram models, of toxic and of ordinary documents, share the lowest
-order: the continuation counts of both classes together.  An expression rare in
-a class thus gets nearly the same probability from either, and says little; one
-that is frequent in a class says much.  Documents are compared by the two
-log-likelihoods over their length, of the whole text and of the window where
-they differ most, and a logistic fit turns those into a probability.
+Two models, of toxic and of ordinary documents, spell words: each gives the
+probability of a word's next character by the ones before it in that word.
+Both are interpolated Kneser-Ney models whose discounts are estimated from
+counts of counts; their lowest orders are one model of both classes together.
+A rare word, or one never seen, thus gets nearly the same probability from
+either, and says little, unless its spelling is that of many words of a class.
+
+A document's evidence is the difference of its two log-likelihoods over its
+length in characters, and nothing else; a logistic fit of that one number turns
+it into a probability.
 
 The models are fitted to a bounded sample of labelled documents, each whole:
-executors count words and pairs and compute the documents' features, the driver
-gets aggregates per word.  Scoring is one scan.
+executors count words and spellings, the driver gets a row per spelling of
+ORDER characters.  Scoring is one scan, in which each word is spelled once per
+task.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_texts, ready, slices, table, texts
-from .quality_crf import logistic, sample_of
+from .common import fold_of, map_texts, ready, table
+from .labelled import calibrated, sample_of, sampled_texts
 
 #: Labelled documents of each class that the fit sees at most.
-SAMPLE_PER_CLASS = 1_000
-#: Words of the windows in which the models are compared besides the whole text.
-WINDOWS = (4, 16)
-#: What is taken off each count for the order below: a count up to it says nothing of the class.
-DISCOUNT = 3.0
-FEATURES = len(WINDOWS) + 7
+SAMPLE_PER_CLASS = 3_000
+#: Characters of the longest spelling, and those up to which both classes share their counts.
+ORDER, SHARED = 5, 2
+#: Bits of a character in a spelling's code; rarer characters than fit in are one.
+BITS = 12
 THRESHOLD = 0.3
+#: Words that a task remembers the evidence of.
+REMEMBERED = 400_000
 
-_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_START = np.uint64(xxhash.xxh3_64_intdigest(b"\0start"))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+START, END, RARE = 0, 1, 2
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LOWER = {ord(a): a.lower() for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
-def word_keys(text: str) -> np.ndarray:
-    """64-bit keys of the words of text, A-Z lowered and punctuation at their ends removed."""
-    digest = xxhash.xxh3_64_intdigest
-    words = [w.strip(_PUNCTUATION) or w for w in text.encode("utf-8", "surrogatepass").lower().split()]
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+def words_of(text: str) -> Counter:
+    """The words of text, A-Z lowered and punctuation at their ends removed."""
+    return Counter([w.strip(_PUNCTUATION) or w for w in text.translate(_LOWER).split()])
 
 
-def pair_keys(words: np.ndarray) -> np.ndarray:
-    """Keys of each word with the one before it."""
-    before = np.concatenate([[_START], words[:-1]]).astype(np.uint64)
-    return (before * _MIX) ^ words
+def alphabet_of(counts: dict[str, int]) -> np.ndarray:
+    """The sorted code points that have a code of their own: the most frequent."""
+    kept = sorted(counts, key=lambda c: (-counts[c], c))[: 2**BITS - 3]
+    return np.array(sorted(map(ord, kept)), np.uint32)
 
 
-@dataclass
-class Counts:
-    """Values by sorted keys."""
+def spellings(words: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the last ORDER characters at each place of words (their ends included), and the places of each word.
+
+    A code has its last character in the lowest bits; places before a word are START.
+    """
+    raw = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = raw == 10
+    at = np.minimum(np.searchsorted(alphabet, raw), max(len(alphabet) - 1, 0))
+    known = alphabet[at] == raw if len(alphabet) else np.zeros(len(raw), bool)
+    own = np.where(ends, END, np.where(known, at + 3, RARE)).astype(np.uint64)
+    lengths = np.diff(np.flatnonzero(ends), prepend=-1)
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    codes = own.copy()
+    for j in range(1, ORDER):
+        codes[j:] |= np.where(place[j:] >= j, own[:-j], START).astype(np.uint64) << np.uint64(BITS * j)
+    return codes, lengths
 
-    keys: np.ndarray
-    values: np.ndarray
 
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray | None = None) -> Counts:
-        unique, inverse = np.unique(keys, return_inverse=True)
-        return cls(unique, np.bincount(inverse, weights=values, minlength=len(unique)))
+def mask(order: int) -> np.uint64:
+    return np.uint64((1 << (BITS * order)) - 1)
 
-    def at(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[place] == keys, self.values[place], 0.0)
+
+def orders_of(codes: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes and counts of each order from 1 to ORDER, from distinct codes of ORDER and their counts.
+
+    Below the highest order a count is one of continuations: of the different
+    characters before; at a word's start, where there is none, it's plain.
+    """
+    seen = counts > 0
+    levels = [(codes[seen], counts[seen].astype(np.float64))]
+    for order in range(ORDER - 1, 0, -1):
+        longer, n = levels[0]
+        shorter, inverse = np.unique(longer & mask(order), return_inverse=True)
+        starts = (longer >> np.uint64(BITS * (order - 1))) & mask(1) == START if order > 1 else np.zeros(len(longer), bool)
+        levels.insert(0, (shorter, np.bincount(inverse, np.where(starts, n, 1.0), len(shorter))))
+    return levels
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2 and 3 or more, from the counts of counts (Chen and Goodman); a half where they say nothing."""
+    n = [0, *(int((counts == r).sum()) for r in (1, 2, 3, 4))]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    off = [r - (r + 1) * y * n[r + 1] / n[r] if n[r] else 0.5 for r in (1, 2, 3)]
+    return np.array([0.0, *(d if 0 < d < r else 0.5 for r, d in zip((1, 2, 3), off))])
 
 
 @dataclass
-class Class:
-    """Kneser-Ney counts of one class: pairs, contexts, what discounting takes off each context, continuations of words, and what it takes off those."""
+class Level:
+    """One order: sorted codes; by class (row) the discounted share of each code in its context, and what each context leaves to the order below."""
 
-    pairs: Counts
-    contexts: Counts
-    freed: Counts
-    continuations: Counts
-    freed_words: float
+    codes: np.ndarray
+    share: np.ndarray
+    contexts: np.ndarray
+    left: np.ndarray
 
     @classmethod
-    def of(cls, documents: list[np.ndarray]) -> Class:
-        before = np.concatenate([np.concatenate([[_START], d[:-1]]).astype(np.uint64) for d in documents] or [np.zeros(0, np.uint64)])
-        words = np.concatenate(documents or [np.zeros(0, np.uint64)])
-        pairs = (before * _MIX) ^ words
-        _, first = np.unique(pairs, return_index=True)
-        counts, continuations = Counts.of(pairs), Counts.of(words[first])
-        freed = Counts.of(before[first], np.minimum(counts.values, DISCOUNT))
-        kept = counts.values > DISCOUNT
-        return cls(Counts(counts.keys[kept], counts.values[kept]), Counts.of(before), freed, continuations, float(np.minimum(continuations.values, DISCOUNT).sum()))
+    def of(cls, classes: list[tuple[np.ndarray, np.ndarray]]) -> Level:
+        codes = np.unique(np.concatenate([c for c, _ in classes]))
+        contexts, context = np.unique(codes >> np.uint64(BITS), return_inverse=True)
+        share, left = np.zeros((len(classes), len(codes))), np.ones((len(classes), len(contexts)))
+        for row, (own, counts) in enumerate(classes):
+            if not len(own):
+                continue
+            n = np.zeros(len(codes))
+            n[np.searchsorted(codes, own)] = counts
+            off = discounts(counts)[np.minimum(n, 3).astype(int)]
+            total, freed = np.bincount(context, n, len(contexts)), np.bincount(context, off, len(contexts))
+            share[row] = (n - off) / np.maximum(total, 1)[context]
+            left[row] = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
+        return cls(codes, share, contexts, left)
+
+    def interpolate(self, codes: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probabilities by class (row) of the last characters of codes, given those one order below."""
+
+        def find(keys, wanted):
+            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+            return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+        at, seen = find(self.codes, codes)
+        context, known = find(self.contexts, codes >> np.uint64(BITS))
+        share = np.where(seen, self.share[:, at], 0.0) if len(self.codes) else 0.0
+        left = np.where(known, self.left[:, context], 1.0) if len(self.contexts) else 1.0
+        return share + left * lower
 
 
 class Models:
-    """The models of ordinary (0) and toxic (1) documents."""
-
-    def __init__(self, documents: list[tuple[np.ndarray, int]] = (), classes: list[Class] | None = None):
-        self.classes = classes or [Class.of([d for d, y in documents if y == label]) for label in (0, 1)]
-        both = [c.continuations for c in self.classes]
-        # What discounting takes off a word is what the shared order gives back: no more for frequent words than for rare ones.
-        self.shared = Counts.of(np.concatenate([c.keys for c in both]), np.concatenate([np.minimum(c.values, DISCOUNT) for c in both]))
-        self.total = self.shared.values.sum()
-        self.kinds = len(self.shared.keys) + 1  # one for all words never seen
-
-    def log_ratios(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per word, the natural log of its toxic over its ordinary probability: given the word before it, and by continuations alone."""
-        before, pairs = np.concatenate([[_START], words[:-1]]).astype(np.uint64), pair_keys(words)
-        lowest = (self.shared.at(words) + 0.5) / (self.total + 0.5 * self.kinds)
-        logs, lower = [], []
-        for c in self.classes:
-            total = c.continuations.values.sum()
-            if not total:
-                logs.append(np.log(lowest))
-                lower.append(np.log(lowest))
-                continue
-            p = (np.maximum(c.continuations.at(words) - DISCOUNT, 0) + c.freed_words * lowest) / total
-            lower.append(np.log(p))
-            seen = c.contexts.at(before)
-            known = np.maximum(seen, 1)
-            high = (np.maximum(c.pairs.at(pairs) - DISCOUNT, 0) + c.freed.at(before) * p) / known
-            logs.append(np.log(np.where(seen > 0, high, p)))
-        return logs[1] - logs[0], lower[1] - lower[0]
-
-    def features(self, words: np.ndarray) -> np.ndarray:
-        """Both ratios over the length, the second's largest over windows and how many words stand out, and the length."""
-        if not len(words):
-            return np.zeros(FEATURES)
-        pairs, r = (np.clip(x, -6, 6) for x in self.log_ratios(words))
-        sums = np.concatenate([[0.0], np.cumsum(r)])
-        best = [float((sums[w:] - sums[:-w]).max()) / w if len(r) >= w else sums[-1] / w for w in WINDOWS]
-        out = int((r > 2).sum())
-        return np.array([pairs.mean(), r.mean(), *best, math.log1p(out), out / len(r), out > 0, float(r.max()), math.log1p(len(r)) / 5])
+    """The models of ordinary (0) and toxic (1) documents, from codes of ORDER characters and their counts by class."""
+
+    def __init__(self, alphabet: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+        self.alphabet = alphabet
+        classes, both = [orders_of(codes, counts[row]) for row in (0, 1)], orders_of(codes, counts.sum(0))
+        self.levels = [Level.of([both[k]] if k < SHARED else [c[k] for c in classes]) for k in range(ORDER)]
+        self.kinds = len(alphabet) + 2  # all characters that can come next
+
+    def probabilities(self, codes: np.ndarray) -> np.ndarray:
+        """By class (row), of the last character of each code given those before it."""
+        p = np.full((2, len(codes)), 1 / self.kinds)
+        for k, level in enumerate(self.levels, 1):
+            p = level.interpolate(codes & mask(k), p)
+        return p
+
+    def evidence(self, words: list[str]) -> tuple[list[float], list[int]]:
+        """Of each word, the natural log of its toxic over its ordinary probability, and its characters, the end counted."""
+        if not words:
+            return [], []
+        codes, lengths = spellings(words, self.alphabet)
+        different, inverse = np.unique(codes, return_inverse=True)
+        p = self.probabilities(different)
+        ratios = np.log(p[1] / p[0])[inverse]
+        return np.add.reduceat(ratios, np.cumsum(lengths) - lengths).tolist(), lengths.tolist()
+
+    def reader(self):
+        """A function of a list of texts to the difference of their log-likelihoods over their length; a text without words has none."""
+        known: dict[str, tuple[float, int]] = {}
+
+        def read(texts: list[str]) -> list[float]:
+            counted = [words_of(t) for t in texts]
+            new = list({w for c in counted for w in c if w not in known})
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list({w for c in counted for w in c})
+            known.update(zip(new, zip(*self.evidence(new))))
+            out = []
+            for c in counted:
+                ratio = length = 0
+                for w, n in c.items():
+                    r, size = known[w]
+                    ratio += n * r
+                    length += n * size
+                out.append(ratio / max(length, 1))
+            return out
+
+        return read
 
 
 @dataclass
 class Scorer:
     models: Models | None
-    weights: np.ndarray
+    slope: float
+    offset: float
     share: float
 
-    def score(self, text: str) -> float:
+    def reader(self):
+        """A function of a list of texts to their probabilities of label 1."""
         if self.models is None:
-            return self.share
-        z = float(self.weights[:-1] @ self.models.features(word_keys(text)) + self.weights[-1])
-        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+            return lambda texts: [self.share] * len(texts)
+        read = self.models.reader()
+        return lambda texts: [1 / (1 + math.exp(-min(max(self.slope * x + self.offset, -30.0), 30.0))) for x in read(texts)]
 
 
-def count_pairs(sample: DataFrame) -> DataFrame:
-    """_model, label, before, word, n of the sampled documents' pairs; model 0 and 1 are of a half each, 2 is of both."""
-    schema = pa.schema([("label", pa.int32()), ("half", pa.int32()), ("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+def count_words(sample: DataFrame) -> DataFrame:
+    """_label, _half, word, n of the sampled documents."""
+    schema = pa.schema([("_label", pa.int32()), ("_half", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
 
     def run(batches):
         for b in batches:
-            for label, half, raw in zip(*(c.to_pylist() for c in b.columns)):
-                words = np.frombuffer(raw, np.uint64)
-                _, first, n = np.unique(pair_keys(words), return_index=True, return_counts=True)
-                before = np.concatenate([[_START], words[:-1]]).astype(np.uint64)[first]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), label, np.int32)), pa.array(np.full(len(n), half, np.int32)), pa.array(before.view(np.int64)), pa.array(words[first].view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+            for label, half, text in zip(*(c.to_pylist() for c in b.columns)):
+                counted = words_of(text)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(counted), pa.int32()), pa.array([half] * len(counted), pa.int32()), pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], schema=schema)
 
-    counted = sample.select("label", "half", "words").mapInArrow(run, "label int, half int, before long, word long, n long")
-    counted = counted.withColumn("_model", F.explode(F.array("half", F.lit(2))))
-    return counted.groupBy("_model", "label", "before", "word").agg(F.sum("n").alias("n"))
+    counted = sample.select("_label", "_half", "text").mapInArrow(run, "_label int, _half int, word string, n long")
+    return counted.groupBy("_label", "_half", "word").agg(F.sum("n").alias("n"))
 
 
 def models_of(sample: DataFrame) -> list[Models]:
     """Models of the first half of the sampled documents, of the second, and of all."""
-    counted = table(count_pairs(sample), "toxicity-pairs")
-    low = F.least("n", F.lit(int(DISCOUNT)))
-    pairs = counted.filter(F.col("n") > DISCOUNT).toArrow()
-    contexts = counted.groupBy("_model", "label", "before").agg(F.sum("n").alias("n"), F.sum(low).alias("freed")).toArrow()
-    words = counted.groupBy("_model", "label", "word").agg(F.count("*").alias("n")).toArrow()
-    keys = lambda t, c: t[c].to_numpy().view(np.uint64)
-    values = lambda t, c: t[c].to_numpy().astype(np.float64)
+    words = table(count_words(sample), "toxicity-words")
+    characters = words.select("n", F.explode(F.split("word", "")).alias("c")).filter("c <> ''").groupBy("c").agg(F.sum("n").alias("n"))
+    alphabet = alphabet_of({r["c"]: r["n"] for r in characters.collect()})  # no more rows than Unicode has characters
+    schema = pa.schema([("_label", pa.int32()), ("_half", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
 
-    def made(model: int, label: int) -> Class:
-        p, c, w = (t.filter(pc.and_(pc.equal(t["_model"], model), pc.equal(t["label"], label))) for t in (pairs, contexts, words))
-        continuations = Counts.of(keys(w, "word"), values(w, "n"))
-        kept = Counts.of((keys(p, "before") * _MIX) ^ keys(p, "word"), values(p, "n"))
-        return Class(kept, Counts.of(keys(c, "before"), values(c, "n")), Counts.of(keys(c, "before"), values(c, "freed")), continuations, float(np.minimum(continuations.values, DISCOUNT).sum()))
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes, lengths = spellings(b.column(2).to_pylist(), alphabet)
+            repeat = lambda i: np.repeat(b.column(i).to_numpy(zero_copy_only=False), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(repeat(0), pa.int32()), pa.array(repeat(1), pa.int32()), pa.array(codes.view(np.int64)), pa.array(repeat(3), pa.int64())], schema=schema)
 
-    return [Models(classes=[made(model, label) for label in (0, 1)]) for model in (0, 1, 2)]
+    spelled = words.mapInArrow(run, "_label int, _half int, code long, n long")
+    cell = lambda label, half: F.sum(F.when((F.col("_label") == label) & (F.col("_half") == half), F.col("n")).otherwise(0)).alias(f"n{label}{half}")
+    counted = spelled.groupBy("code").agg(*(cell(label, half) for label in (0, 1) for half in (0, 1))).toArrow()
+    codes = counted["code"].to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    n = np.array([[counted[f"n{label}{half}"].to_numpy()[order] for half in (0, 1)] for label in (0, 1)])
+    return [Models(alphabet, codes[order], x) for x in (n[:, 0], n[:, 1], n.sum(1))]
 
 
 def fit_sample(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str, folds: int, held: int, per_class: int) -> Scorer:
@@ -191,36 +251,23 @@ def fit_sample(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, lab
     ids, counts = sample_of(labels, label_id, label_col, folds, held, per_class)
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     if len({r["label"] for r in ids}) < 2:
-        return Scorer(None, np.zeros(0), share)
-    kind = labels.schema[label_id].dataType
-    chosen = spark.createDataFrame([(r["id"], r["label"], i % 2) for i, r in enumerate(ids)], f"_k {kind.simpleString()}, _label int, _half int")
-    # A row for each sampled id: per_class bounds both the broadcast and the rows that are fitted to.
-    found = texts(df, id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_k"))
-    found = found.select(F.struct("_label", "_half", F.xxhash64(id_col).alias("_h")).alias("_key"), "text")
-    schema = pa.schema([("label", pa.int32()), ("half", pa.int32()), ("h", pa.int64()), ("words", pa.binary())])
-
-    def run(batches):
-        for b in batches:
-            for of, part in slices(b):
-                yield pa.RecordBatch.from_arrays([*(of.field(i) for i in range(3)), pa.array([word_keys(t).tobytes() for t in part], pa.binary())], schema=schema)
-
-    ddl = "label int, half int, h long, words binary"
-    sample = table(found.mapInArrow(run, ddl).limit(2 * per_class).repartition(F.col("h")), "toxicity-sample")
+        return Scorer(None, 0.0, 0.0, share)
+    sample = table(sampled_texts(df, id_col, text_col, labels, label_id, ids), "toxicity-sample")
     *halves, whole = models_of(sample)
     shared = spark.sparkContext.broadcast(halves)
+    schema = pa.schema([("label", pa.int32()), ("x", pa.float64())])
 
     def look(batches):
+        readers = [m.reader() for m in shared.value]
         for b in batches:
-            rows = [(label, h, shared.value[1 - half].features(np.frombuffer(words, np.uint64)).tolist()) for label, half, h, words in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_pylist([{"label": y, "h": h, "x": x} for y, h, x in rows], schema=pa.schema([("label", pa.int32()), ("h", pa.int64()), ("x", pa.list_(pa.float64()))]))
+            rows = [(label, readers[1 - half]([text])[0]) for label, half, text in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    got = sorted(sample.mapInArrow(look, "label int, h long, x array<double>").collect(), key=lambda r: (r["h"], r["x"]))
-    y = np.array([r["label"] for r in got])
+    got = sorted(tuple(r) for r in sample.select("_label", "_half", "text").mapInArrow(look, "label int, x double").collect())  # a row for each sampled id
+    y, x = np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64)
     if len(set(y.tolist())) < 2:
-        return Scorer(None, np.zeros(0), share)
-    x = np.array([[*r["x"], 1.0] for r in got])
-    weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
-    return Scorer(whole, logistic(x, y, weight, 1e-4), share)
+        return Scorer(None, 0.0, 0.0, share)
+    return Scorer(whole, *calibrated(x, y, share), share)
 
 
 def score_toxicity(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str = "doc_id", label_col: str = "toxic", *, folds: int = 4, held: int = 2, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
@@ -228,17 +275,18 @@ def score_toxicity(df: DataFrame, id_col: str, text_col: str, labels: DataFrame,
 
     Learns from labelled rows whose crc32 of the id modulo folds is not held,
     at most per_class of each label.  Null and empty texts have no words and
-    a score of their own.  Labels other than 0 and 1 and null ids of labels
-    are not used; an id labelled twice has its larger label.  With labels of
-    one class only, or none, all scores are the share of label 1, or 0.5.
-    Null and repeated ids stay, a row each.
+    a score of their own, that of no evidence.  Labels other than 0 and 1 and
+    null ids of labels are not used; an id labelled twice has its larger label;
+    of rows of df that repeat a labelled id, the fit sees the text of the least
+    hash.  With labels of one class only, or none, all scores are the share of
+    label 1, or 0.5.  Null and repeated ids stay, a row each.
     """
     scorer = fit_sample(df, id_col, text_col, labels, label_id, label_col, folds, held, per_class)
-    shared = df.sparkSession.sparkContext.broadcast(scorer)  # the distinct words of the sampled documents bound it
+    shared = df.sparkSession.sparkContext.broadcast(scorer)  # the spellings of the sampled documents bound it
 
     def make():
-        own = shared.value
-        return lambda part: [[own.score(t) for t in part]]
+        read = shared.value.reader()
+        return lambda part: [read(part)]
 
     scored = map_texts(df, id_col, text_col, [("score", pa.float64())], make)
     return scored.select(id_col, (fold_of(id_col, folds) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
