@@ -1,7 +1,9 @@
 """Operators of one scan: encoding, secrets."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import pytest
@@ -56,17 +58,20 @@ def test_encode_texts(spark):
     assert bpe.encode_texts(empty(spark), "doc_id", "text", PATH, P.PATTERN).count() == 0
 
 
-def brute(text):
+PLAIN = (
+    ("assign", r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))", lambda m: len(m[2]) >= 8),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    ("forge", r"gh[opsur]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])", lambda m: secret_scan.checksum_base62(m[1].encode()).decode() == m[2]),
+    ("registry", r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])", lambda m: secret_scan.checksum_base62(m[1].encode()).decode() == m[2]),
+    ("pem", r"-----BEGIN ((?:[A-Z0-9]{1,16} ){0,4}PRIVATE KEY)-----(?:(?!-----BEGIN |-----END )[A-Za-z0-9+/=\s\\:,-])+-----END \1-----", lambda m: True),
+)
+
+
+def brute(text, kinds=secret_scan.KINDS[:3]):
     """All spans by plain searches over the whole text."""
-    found = []
-    for kind, pattern, holds in (
-        ("assign", r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))", lambda m: len(m[2]) >= 8),
-        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
-        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
-    ):
-        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text, re.ASCII) if holds(m)]
-    order = {"assign": 0, "access": 1, "hex": 2}
-    return sorted(found, key=lambda f: (f[0], order[f[1]]))
+    found = [(m.start(), kind, m.end()) for kind, pattern, holds in PLAIN if kind in kinds for m in re.finditer(pattern, text, re.ASCII) if holds(m)]
+    return sorted(found, key=lambda f: (f[0], secret_scan.KINDS.index(f[1])))
 
 
 GOOD = b"A" * 30
@@ -80,7 +85,31 @@ SECRETS = [
 @pytest.mark.parametrize("text", SECRETS)
 def test_scanner_equals_brute_force(text):
     found = [(a, secret_scan.KINDS[k], b) for a, k, b in secret_scan.scanner()(text)]
-    assert [f for f in found if f[1] in ("assign", "access", "hex")] == brute(text)
+    assert found == brute(text, secret_scan.KINDS)
+
+
+def test_scanner_equals_brute_force_on_random_texts():
+    """Pieces of secrets in any order: nested, cut, repeated."""
+    rng, scan = random.Random(3), secret_scan.scanner()
+    sum_of = secret_scan.checksum_base62(b"b" * 30).decode()
+    pieces = ["-----BEGIN ", "-----END ", "RSA ", "PRIVATE KEY-----", "PRIVATE KEY", "-----", "\n", "MIIB", "é", "ghp_", "npm_", "b" * 30, sum_of, "AKIA", "ABCDEFGHIJKL", "token", ": ", "=", "abcdef01" * 4, " ", "'"]
+    for _ in range(4000):
+        text = "".join(rng.choices(pieces, k=rng.randrange(24)))
+        assert [(a, secret_scan.KINDS[k], b) for a, k, b in scan(text)] == brute(text, secret_scan.KINDS), text
+
+
+@pytest.mark.parametrize("piece", ["-----BEGIN RSA PRIVATE KEY-----\nab", "-----BEGIN PRIVATE KEY-----x-----END ", "-----BEGIN A A A A ", "token ", "AKIA", "ghp_", "token=a "])
+def test_time_grows_with_the_text(piece):
+    """Eight times the text takes about eight times as long (a quadratic search would take 64 times)."""
+    scan, best = secret_scan.scanner(), []
+    for n in (8_000, 64_000):
+        text, times = piece * n, []
+        for _ in range(3):
+            began = time.perf_counter()
+            scan(text)
+            times.append(time.perf_counter() - began)
+        best.append(min(times))
+    assert best[1] < 24 * best[0] + 0.02
 
 
 def test_checksums_decide():
@@ -97,7 +126,7 @@ def test_scan_secrets(spark):
     want = []
     for i, t, *_ in rows:
         spans = [f"{k}:{a}:{b}" for a, k, b in brute(t or "")]
-        every = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in secret_scan.scanner()(t or ""))
+        every = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in ((a, secret_scan.KINDS.index(k), b) for a, k, b in brute(t or "", secret_scan.KINDS)))
         want.append((str(i), every, hashlib.sha256(",".join(spans).encode()).hexdigest(), len(spans)))
     assert got == sorted(want)
     assert secret_scan.scan_secrets(empty(spark), "doc_id", "text").count() == 0

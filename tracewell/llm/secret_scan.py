@@ -34,7 +34,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 FORGE = re.compile(rb"(gh[opsur]_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 REGISTRY = re.compile(rb"(npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=\s\\:,-]+?-----END \1-----")
+PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]{1,16} ){0,4}PRIVATE KEY)-----")
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access",
@@ -44,6 +44,8 @@ KEYWORDS = {
 }
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
+#: What can be between a key's BEGIN and its END.
+_PEM_BODY = bytes(c for c in range(256) if chr(c) not in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/= \t\n\x0b\x0c\r\\:,-")
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _HEX_CLASS = bytes(ord("h") if chr(c) in "0123456789abcdef" else ord(".") for c in range(256))
 
@@ -61,13 +63,26 @@ def _checked(m: re.Match) -> bool:
     return checksum_base62(m[2]) == m[3]
 
 
+def pem_end(flat: bytes, m: re.Match) -> int | None:
+    """Where the key ends that m begins: at an END of its label before any other BEGIN or END, with nothing strange between.
+
+    The next BEGIN ends the search, so each part of a text is looked through once.
+    """
+    begin = flat.find(b"-----BEGIN ", m.end())
+    stop = flat.find(b"-----END ", m.end(), begin if begin >= 0 else len(flat))
+    end = b"-----END " + m[1] + b"-----"
+    if stop <= m.end() or not flat.startswith(end, stop) or len(flat[m.end() : stop].translate(None, _PEM_BODY)) < stop - m.end():
+        return None
+    return stop + len(end)
+
+
 #: Of each kind: its pattern, and what a match has to hold; a match that fails still takes its characters.
 RULES = {
     "assign": (ASSIGN, lambda m: len(m[2]) >= VALUE_LEAST),
     "access": (ACCESS, lambda m: len(m[0]) >= ACCESS_LEAST),
     "forge": (FORGE, _checked),
     "registry": (REGISTRY, _checked),
-    "pem": (PEM, lambda m: True),
+    "pem": (PEM, lambda m: True),  # and where its key ends: pem_end()
 }
 
 
@@ -90,6 +105,11 @@ def scanner():
                 continue
             pattern, holds = RULES[kind]
             if m := pattern.match(flat, start):
+                if kind == "pem":
+                    if end := pem_end(flat, m):
+                        ends[kind] = end
+                        spans.append((start, place[kind], end))
+                    continue
                 ends[kind] = m.end()
                 if holds(m):
                     spans.append((start, place[kind], m.end()))
