@@ -26,10 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, ready, table
+from .common import fresh_path, join_by_size, ready, table
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Payload that a task reads back, about.
+READ_BYTES = 16 << 20
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
 
@@ -38,6 +40,7 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+_UNSAFE = re.compile(r"[\x00-\x1f\x7f%]")
 _HEAD = re.compile(rb"([A-Za-z-]+): ?(.*?)\r\n", re.DOTALL)
 
 
@@ -54,35 +57,41 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def escaped(value: str) -> str:
+    """value without what could end a header line; unescaped() turns it back."""
+    return _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def unescaped(value: str) -> str:
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), value)
+
+
 def make_record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, is_revisit: bool) -> tuple[str, bytes]:
     """Identifier and bytes of one record."""
     own = record_id(page_id, digest)
     head = [("WARC-Type", "revisit" if is_revisit else "response"), ("WARC-Record-ID", f"<{own}>"), ("WARC-Date", DATE)]
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
+    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{escaped(str(page_id))}"
     head += [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if page_id is not None:
-        head.append(("Page-ID", page_id))
+        head.append(("Page-ID", escaped(page_id)))
     if is_revisit:
         head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{record_id(refers_to, digest)}>")]
         if refers_to is not None:
-            head.append(("Refers-To-Page-ID", refers_to))
+            head.append(("Refers-To-Page-ID", escaped(refers_to)))
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block += b"" if is_revisit else payload
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     return own, b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes):
-    """(headers, HTTP headers, payload) of each record in data; headers are dicts of bytes by lower-case name."""
-    at = 0
-    while at < len(data):
-        body = data.index(b"\r\n\r\n", at) + 4
-        head = {k.lower().decode(): v for k, v in _HEAD.findall(data[data.index(b"\r\n", at) + 2 : body - 2])}
-        stop = body + int(head["content-length"])
-        start = data.index(b"\r\n\r\n", body) + 4
-        http = {k.lower().decode(): v for k, v in _HEAD.findall(data[body : start - 2])}
-        yield head, http, data[start:stop]
-        at = stop + 4
+def parse_record(data: bytes, at: int = 0) -> tuple[dict, dict, bytes, int]:
+    """Headers, HTTP headers and payload of the record at that place, and where it ends; headers are dicts of bytes by lower-case name."""
+    body = data.index(b"\r\n\r\n", at) + 4
+    head = {k.lower().decode(): v for k, v in _HEAD.findall(data[data.index(b"\r\n", at) + 2 : body - 2])}
+    stop = body + int(head["content-length"])
+    start = data.index(b"\r\n\r\n", body) + 4
+    http = {k.lower().decode(): v for k, v in _HEAD.findall(data[body : start - 2])}
+    return head, http, data[start:stop], stop + 4
 
 
 class BundleWriter:
@@ -156,8 +165,8 @@ def write_archive(pages: DataFrame, id_col: str, url_col: str, html_col: str, fo
     rows = rows.withColumn("_sha", F.sha2("_html", 256))
     # Light rows decide; the largest id of a payload is its response.
     light = table(rows.select("_id", "_sha").distinct(), "warc-payloads")
-    groups = light.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1").select(F.col("_sha").alias("_s"), "_keep")
-    revisits = light.join(groups, F.col("_sha") == F.col("_s")).filter(~F.col("_id").eqNullSafe(F.col("_keep")))
+    groups = table(light.groupBy(F.col("_sha").alias("_s")).agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1"), "warc-groups")
+    revisits = join_by_size(light, "_sha", groups, "_s", "_n", light.count()).filter(~F.col("_id").eqNullSafe(F.col("_keep")))
     revisits = revisits.select(F.col("_id").alias("_r"), "_s", F.col("_keep").cast("string").alias("_keep"), F.lit(True).alias("_is"))
     joined = rows.join(revisits, F.col("_id").eqNullSafe(F.col("_r")) & (F.col("_sha") == F.col("_s")), "left")
     joined = joined.select(F.col("_id").cast("string").alias("id"), "_url", F.col("_html").cast("binary").alias("html"), "_keep", F.coalesce("_is", F.lit(False)).alias("is_revisit"))
@@ -190,34 +199,48 @@ def write_archive(pages: DataFrame, id_col: str, url_col: str, html_col: str, fo
 
 
 def read_archive(index: DataFrame, folder: str) -> DataFrame:
-    """Reads every frame that the index names: page_id (as text), payload_bytes, payload_digest, record_type, refers_to (as text), record_id, url."""
-    ready(index)
-    frames = index.groupBy("bundle", "frame").agg(F.count("*").cast("long").alias("n"))
-    schema = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("record_id", pa.string()), ("url", pa.string())])
+    """Reads the records that the index (or any part of it) names: page_id (as text), payload_bytes, payload_digest, record_type, refers_to (as text), record_id, url, payload (null for revisits).
+
+    A frame is read once for all its records that are asked for, each cut out at
+    its offset.  Tasks get frames by hash, as many as the records' bytes need.
+    """
+    spark = ready(index)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // READ_BYTES)
+    places = F.array_sort(F.collect_list(F.struct("offset", "length", "record_id")))  # a frame's records: a frame has FRAME_BYTES, or one record
+    frames = index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame").agg(places.alias("places"))
+    string = pa.string()
+    schema = pa.schema([("page_id", string), ("payload_bytes", pa.int64()), ("payload_digest", string), ("record_type", string), ("refers_to", string), ("record_id", string), ("url", string), ("payload", pa.binary())])
 
     def read(batches):
         text = lambda x: None if x is None else x.decode()
+        name = lambda x: None if x is None else unescaped(x.decode())
         for b in batches:
-            rows = sorted(zip(*(c.to_pylist() for c in b.columns)))
             reader, opened = None, None
-            for bundle, frame, n in rows:
+            for bundle, frame, places in sorted(zip(*(c.to_pylist() for c in b.columns)), key=lambda r: r[:2]):
                 if bundle != opened:
                     if reader:
                         reader.close()
                     reader, opened = BundleReader(f"{folder}/{bundle}"), bundle
-                found = []
-                for head, http, payload in parse_records(reader.frame(frame)):
+                data, found = reader.frame(frame), []
+                for place in places:
+                    head, http, payload, end = parse_record(data, place["offset"])
+                    if (own := head["warc-record-id"].decode().strip("<>")) != place["record_id"] or end != place["offset"] + place["length"]:
+                        raise ValueError(f"{bundle}, frame {frame}: the record at {place['offset']} isn't {place['record_id']}")
                     kind = head["warc-type"].decode()
                     # A revisit's payload is its response's; size and digest are in its headers.
                     size, digest = (len(payload), digest_of(payload)) if kind == "response" else (int(http["content-length"]), head["warc-payload-digest"].decode().removeprefix("sha1:"))
-                    found.append((text(head.get("page-id")), size, digest, kind, text(head.get("refers-to-page-id")), head["warc-record-id"].decode().strip("<>"), text(head.get("warc-target-uri"))))
-                if len(found) != n:
-                    raise ValueError(f"{bundle}, frame {frame}: {len(found)} records, the index has {n}")
+                    found.append((name(head.get("page-id")), size, digest, kind, name(head.get("refers-to-page-id")), own, text(head.get("warc-target-uri")), payload if kind == "response" else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
             if reader:
                 reader.close()
 
-    return frames.mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, url string")
+    return frames.mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, url string, payload binary")
+
+
+def find_records(index: DataFrame, folder: str, record_ids: DataFrame) -> DataFrame:
+    """read_archive() of the records named in the column record_id of record_ids: their frames alone are read."""
+    return read_archive(index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi"), folder)
 
 
 def archive_round_trip(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
