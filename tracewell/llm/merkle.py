@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,7 +165,7 @@ def fingerprint_documents(df: DataFrame, id_col: str, text_col: str) -> DataFram
     waits for the first of the range after it: these few rows, two a range,
     meet in a second small step.
     """
-    ready(df)
+    spark = ready(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_print"))
     order = [F.col("_id").asc_nulls_first(), F.col("_print")]
@@ -206,11 +206,13 @@ def fingerprint_documents(df: DataFrame, id_col: str, text_col: str) -> DataFram
     walked = table(rows.mapInArrow(walk, spark_schema), "merkle")
     names = [n for n, _, _ in _FIELDS]
 
-    # Rows that wait: each range's last, with the text of the first of the next range.
+    # Rows that wait: each range's last, with the text of the first of the next range that has rows.
     edges = walked.filter("_seq is not null").select("_id", "_part", "_seq", "_text")
-    ranges = Window.orderBy("_part", "_seq")
-    following = F.coalesce(F.lead("_text").over(ranges), F.first("_text").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    waiting = edges.withColumn("_next", following).filter("_seq = 1").select("_id", "_text", "_next")
+    parts = sorted(r[0] for r in edges.filter("_seq = 1").select("_part").collect())  # a number for each range
+    after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "_of int, _after int")
+    firsts = edges.filter("_seq = 0").select(F.col("_part").alias("_at"), F.col("_text").alias("_next"))
+    last = edges.filter("_seq = 1").join(F.broadcast(after), F.col("_part") == F.col("_of"))
+    waiting = last.join(firsts.hint("shuffle_hash"), F.col("_after") == F.col("_at")).select("_id", "_text", "_next")
     done_schema = T.StructType(spark_schema.fields[: 1 + len(_FIELDS)])
     arrow_done = pa.schema(kinds[: 1 + len(_FIELDS)])
 
