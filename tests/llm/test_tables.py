@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import components, exact_dedup, jaccard_join, katz, merkle, mixing, quality_crf, toxicity, warc
+from tracewell.llm import common, components, exact_dedup, jaccard_join, katz, merkle, mixing, quality_crf, toxicity, warc
 
 from .cases import ROWS, documents, empty
 
@@ -29,7 +29,7 @@ def dedup_answers(rows):
     return sorted(str((i, ids[lower(t)], sizes[lower(t)], i == ids[lower(t)])) for i, t, *_ in rows)
 
 
-@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda data: hashlib.sha256(data).digest()[:1] if len(data) % 2 else b"x"])
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda text: F.when(F.length(text) % 2 == 0, F.lit("x")).otherwise(F.substring(F.sha2(text, 256), 1, 1)).cast("binary")])
 def test_dedup_exact(spark, digest):
     """The second digest makes texts collide: bytes tell them apart."""
     got = exact_dedup.dedup_exact(documents(spark), "doc_id", "text", digest=digest).collect()
@@ -44,6 +44,22 @@ def test_dedup_of_a_hot_text(spark):
     assert kept.count() == 1001 and kept.columns == documents(spark, rows).columns
 
 
+def test_one_row_of_each_text(spark):
+    """Rows that repeat id and text, ids that have a text in two cases, and groups without ids: one row stays of each text."""
+    rows = [(1, "Same", "en", "a"), (1, "same", "en", "a"), (1, "same", "en", "a"), (None, "no id", "en", "a"), (None, "No id", "en", "b"), (None, "No id", "en", "b"), (2, None, "en", "a"), (3, "", "en", "a")]
+    kept = exact_dedup.one_of_each_text(documents(spark, rows), "doc_id", "text").collect()
+    assert sorted(str((r["doc_id"], lower(r["text"]))) for r in kept) == sorted(map(str, [(1, "same"), (None, "no id"), (3, "")]))
+
+
+def test_join_by_size(spark):
+    """Hot and cool keys, with more rows than the bar and fewer."""
+    left = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id % 1000 + 1) as a", "id")
+    right = left.groupBy("a").count().selectExpr("a as b", "count as n").filter("b <> 5")
+    got = common.join_by_size(left, "a", right, "b", "n", 9000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, left.a == right.b).collect()))
+    assert "Broadcast" in got._jdf.queryExecution().toString()
+
+
 def test_dedup_of_nothing(spark):
     assert exact_dedup.dedup_exact(empty(spark), "doc_id", "text").count() == 0
 
@@ -113,6 +129,8 @@ def test_near_rows_kept(spark):
     kept = jaccard_join.one_of_each_class(documents(spark, rows), "doc_id", "text").collect()
     classes = {a for a in (eval(x)[1] for x in near_answers(rows))} - {None}
     assert {r["doc_id"] for r in kept} - {None} == classes
+    # Texts without words and ids are a class each; the rows that repeat id and text are one.
+    assert len(kept) == len({r["doc_id"] for r in kept} - {None}) + sum(r["doc_id"] is None for r in kept)
     assert jaccard_join.near_classes(empty(spark), "doc_id", "text").count() == 0
 
 
@@ -156,6 +174,64 @@ def test_mix_documents(spark):
     assert copies == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
+def pareto(rows, luck):
+    """The mix by a full sort of each source, straight from its definition: copies by id."""
+    sizes = {i: len((t or "").split()) for i, t, *_ in rows}
+    by_source = {}
+    for i, _, _, s in rows:
+        by_source.setdefault(s, []).append(i)
+    order = sorted(by_source, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total = {s: sum(sizes[i] for i in own) for s, own in by_source.items()}
+    target, left, free = {}, 1.5 * sum(total.values()), set(order)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if 2 * total[s] < weight[s] * level}
+        for s in full or free:
+            target[s] = 2 * total[s] if full else weight[s] * level
+        left -= sum(2 * total[s] for s in full)
+        free = free - full if full else set()
+    copies = {}
+    for s, own in by_source.items():
+        whole = int(target[s] // total[s]) if total[s] else 0
+        rest = target[s] - whole * total[s]
+        copies |= dict.fromkeys(own, whole)
+        if rest < 0.5:
+            continue
+        down, certain = sorted((i for i in own if sizes[i]), key=lambda i: -sizes[i]), set()
+        while True:
+            drawn = [i for i in down if i not in certain]
+            pull = (rest - sum(sizes[i] for i in certain)) / sum(sizes[i] ** 1.5 for i in drawn) if drawn else math.inf
+            most = [i for i in drawn if sizes[i] == sizes[drawn[0]]]
+            if not drawn or pull * math.sqrt(sizes[drawn[0]]) < 1:
+                break
+            certain |= set(most)
+        odds = lambda p: p / (1 - p)
+        ranked = sorted(drawn, key=lambda i: odds(luck[i]) / odds(pull * math.sqrt(sizes[i])))
+        words = 0
+        for i in certain:
+            copies[i] += 1
+            words += sizes[i]
+        for i in ranked:
+            if words + sizes[i] / 2 > rest:
+                break
+            copies[i] += 1
+            words += sizes[i]
+    return copies
+
+
+@pytest.mark.parametrize("options", [{}, {"LAST_ROWS": 3, "BINS": 4}, {"BROADCAST_ROWS": 1}])
+def test_mix_equals_a_full_sort(spark, monkeypatch, options):
+    for name, value in options.items():
+        monkeypatch.setattr(mixing, name, value)
+    rng = np.random.default_rng(13)
+    rows = [(i, "w " * int(rng.zipf(1.7) % 300), "en", ["a", "b", "c", None][min(int(rng.integers(0, 6)), 3)]) for i in range(1500)]
+    docs = documents(spark, rows)
+    luck = {r["doc_id"]: r["l"] for r in docs.select("doc_id", mixing.luck_of("doc_id", "text").alias("l")).collect()}
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix_documents(docs, "doc_id", "text", "source").collect()}
+    assert got == pareto(rows, luck)
+
+
 def test_mix_of_odd_rows(spark):
     got = mixing.mix_documents(documents(spark), "doc_id", "text", "source").collect()
     assert len(got) == len(ROWS) and all(r["size"] == 0 and r["taken"] == 0 for r in got if r["doc_id"] in (3, 4, 5))
@@ -182,7 +258,10 @@ def test_bundles(tmp_path):
     data = (tmp_path / "x.warc.zst").read_bytes()
     with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as plain:
         assert plain.read() == b"".join(r for _, r in made)
-    heads = [h for h, _, _ in warc.parse_records(b"".join(r for _, r in made))]
+    data, at, heads = b"".join(r for _, r in made), 0, []
+    while at < len(data):
+        head, _, _, at = warc.parse_record(data, at)
+        heads.append(head)
     assert [h["warc-record-id"].decode().strip("<>") for h in heads] == [i for i, _ in made]
 
 
@@ -206,6 +285,26 @@ def test_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0), "page_id", "url", "html").count() == 0
 
 
+def test_records_by_identifier(spark, tmp_path):
+    """Every record by its place in the index, with identifiers of any characters; one record reads one frame."""
+    ids = ["a", "x\r\nWARC-Type: revisit", "x\r\n\r\ny", "%0D", " space ", "é漢", "", "n" * 300]
+    pages = spark.createDataFrame([(i, f"http://a/{n}", f"<p>{n // 2}</p>" * 50) for n, i in enumerate(ids * 4)], "page_id string, url string, html string").dropDuplicates()
+    folder = f"file://{tmp_path}/bundles"
+    index = warc.write_archive(pages, "page_id", "url", "html", folder, frame_bytes=2000)
+    assert index.select("bundle", "frame").distinct().count() > 3
+    every = {r["record_id"]: r for r in warc.read_archive(index, folder).collect()}
+    assert {r["page_id"] for r in every.values()} == set(ids)
+    for r in index.collect():
+        reader = warc.BundleReader(f"{folder}/{r['bundle']}")
+        head, _, payload, _ = warc.parse_record(reader.record(r["frame"], r["offset"], r["length"]))
+        assert warc.unescaped(head.get("page-id", b"").decode()) == r["page_id"] and head["warc-record-id"].decode() == f"<{r['record_id']}>"
+        reader.close()
+    wanted = spark.createDataFrame([(i,) for i in list(every)[:3]] + [("urn:uuid:none",)], "record_id string")
+    assert {r["record_id"]: r for r in warc.find_records(index, folder, wanted).collect()} == {i: every[i] for i in list(every)[:3]}
+    back = warc.archive_round_trip(pages, "page_id", "url", "html")
+    assert sorted(r["page_id"] for r in back.collect()) == sorted(r["page_id"] for r in pages.collect())
+
+
 # ---- fingerprints
 
 
@@ -225,6 +324,53 @@ def test_trees():
     assert merkle.tree(b"a\nb").digest != merkle.tree(b"ab\n").digest
 
 
+def plain_likeness(a, b):
+    """By nested lists of branches, without digests: what one tree has of the other's branches, level by level."""
+
+    def cut(data):
+        raw, leaves, start = np.frombuffer(data, np.uint8), [], 0
+        for i in range(len(data)):
+            rolled = 0
+            for x in raw[max(0, i - merkle.WINDOW + 1) : i + 1].tolist():
+                rolled = (rolled * 2 + int(merkle._GEAR[x])) % 2**32
+            if rolled >> (32 - merkle.LEAF_BITS) == 0 or raw[i] == 10 or i == len(data) - 1 or i + 1 - start == merkle.LEAF_MOST:
+                leaves.append(data[start : i + 1])
+                start = i + 1
+        paragraphs, sections = [[]], [[]]
+        for leaf in leaves:
+            paragraphs[-1].append(leaf)
+            if leaf.endswith(b"\n"):
+                paragraphs.append([])
+        for p in filter(None, paragraphs):
+            sections[-1].append(tuple(p))
+            digest = merkle._join(b"paragraph", [merkle.Node(hashlib.blake2b(x, digest_size=16).digest(), len(x), ()) for x in p]).digest
+            if (len(p) == 1 and p[0].endswith(b"\n") and not p[0].strip()) or (len(p) == 1 and not p[0].strip()) or digest[0] % merkle.SECTION == 0:
+                sections.append([])
+        return [tuple(x) for x in sections if x]
+
+    size = lambda n: len(n) if isinstance(n, bytes) else sum(map(size, n))
+    left, right, shared = cut(a), cut(b), 0
+    while left and right and isinstance(left[0], (tuple, bytes)):
+        common = Counter(left) & Counter(right)
+        shared += sum(size(x) * n for x, n in common.items())
+        left, right = list((Counter(left) - common).elements()), list((Counter(right) - common).elements())
+        if isinstance(left[0] if left else b"", bytes):
+            break
+        left, right = [c for x in left for c in x], [c for x in right for c in x]
+    return 1.0 if a == b else min(1.0, 2 * shared / (len(a) + len(b)))
+
+
+def test_likeness_equals_plain_branches():
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda: "\n".join(" ".join(rng.choice(words, int(rng.integers(0, 14)))) for _ in range(int(rng.integers(1, 30))))
+    for _ in range(60):
+        a, b = text(), text()
+        c = merkle.edited(a, b)
+        for x, y in ((a, b), (a, c), (b, c), (a, a + "\n" + b)):
+            assert merkle.likeness(merkle.tree(x.encode()), merkle.tree(y.encode())) == pytest.approx(plain_likeness(x.encode(), y.encode()))
+
+
 def test_fingerprint_documents(spark):
     rows = [r for r in ROWS if r[0] is not None and r[:2] != (6, "one two")] + [(20 + i, f"text {i} " * i, "en", "a") for i in range(60)]
     got = {r["doc_id"]: r for r in merkle.fingerprint_documents(documents(spark, rows).repartition(3), "doc_id", "text").collect()}
@@ -237,8 +383,14 @@ def test_fingerprint_documents(spark):
         r = got[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(want).hexdigest()
         assert r["fingerprint"] == merkle.tree(t.encode()).digest.hex() and r["edited_fingerprint"] == merkle.tree(want).digest.hex()
-        assert (r["near_next"] == 1) == (t == following) and 0 <= r["near_edited"] <= 1
-    assert merkle.fingerprint_documents(documents(spark), "doc_id", "text").count() == len(ROWS)
+        trees = [merkle.tree(x) for x in (t.encode(), want, following.encode())]
+        assert r["near_edited"] == merkle.likeness(trees[0], trees[1]) and r["near_next"] == merkle.likeness(trees[0], trees[2])
+    # Null ids come first, rows of one id by the hash of their text.
+    odd = merkle.fingerprint_documents(documents(spark), "doc_id", "text").collect()
+    hashed = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t, *_ in ROWS], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    ordered = sorted(((i is not None, i or 0, hashed[t or ""], t or "") for i, t, *_ in ROWS))
+    pairs = [(o[3], ordered[(k + 1) % len(ordered)][3]) for k, o in enumerate(ordered)]
+    assert Counter((r["fingerprint"], r["near_next"]) for r in odd) == Counter((merkle.tree(a.encode()).digest.hex(), merkle.likeness(merkle.tree(a.encode()), merkle.tree(b.encode()))) for a, b in pairs)
     assert merkle.fingerprint_documents(documents(spark, ROWS[:1]), "doc_id", "text").first()["near_next"] == 1
     assert merkle.fingerprint_documents(empty(spark), "doc_id", "text").count() == 0
 

@@ -28,12 +28,14 @@ def ready(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own on a single machine, and an error on a cluster."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     context = spark.sparkContext
     if (kept := context._jsc.sc().getCheckpointDir()).isDefined():
         return kept.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="tracewell-shared-")
     context.setCheckpointDir(f"file://{made}")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -48,7 +50,37 @@ def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._table_path = path
+    return made
+
+
+def drop_tables(*made: DataFrame) -> None:
+    """Removes the files of tables that table() wrote; no plan that is still to run may read them."""
+    for df in made:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df._table_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows from which a key counts as hot, and hot keys at most: the bar rises with the rows, so that no more keys can reach it.
+HOT_ROWS, HOT_KEYS = 2_000, 100_000
+
+
+def join_by_size(left: DataFrame, left_key: str, right: DataFrame, right_key: str, size: str, total: int) -> DataFrame:
+    """The inner join of left with right, whose keys are unique; size is a column of right, how many rows of left have its key, and total no less than left's rows.
+
+    Rows of hot keys stay where they are and meet a broadcast: at most
+    HOT_KEYS keys can be hot.  All others are joined by a shuffle in which
+    no key has more rows than the bar.
+    """
+    bar = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cool = right.filter(F.col(size) > bar), right.filter(F.col(size) <= bar)
+    same = F.col(left_key) == F.col(right_key)
+    if hot.isEmpty():
+        return left.join(cool, same)
+    rest = left.join(F.broadcast(hot.select(right_key)), same, "left_anti").join(cool, same)
+    return left.join(F.broadcast(hot), same).unionByName(rest)
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,11 +130,22 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fields, make) -> DataFr
     return texts(df, id_col, text_col).mapInArrow(run, from_arrow_schema(schema))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a column _row that tells all rows apart, those that repeat others too, written so that it stays as it is."""
+    return table(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def keep_rows(df: DataFrame, id_col: str, text_col: str, decided: DataFrame) -> DataFrame:
-    """The rows of df whose id and hash of the text (_id, _print) decided marks as kept."""
-    left = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_p"))
-    right = decided.filter("kept").select("_id", "_print")
-    return left.join(right, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_print")), "left_semi").select("_row.*")
+    """One row of df for each id and hash of the text (_id, _print) that decided marks as kept, with df's own columns.
+
+    Rows that repeat id and text are told apart by a number each; the first
+    stays.  Only these numbers are grouped, not the rows.
+    """
+    left = numbered(df.select(F.struct(*[df[c] for c in df.columns]).alias("_own"), F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_p")))
+    firsts = left.groupBy("_i", "_p").agg(F.min("_row").alias("_first"))
+    right = decided.filter("kept").select("_id", "_print").distinct()
+    kept = firsts.join(right, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_print")), "left_semi").select("_first")
+    return left.join(kept, F.col("_row") == F.col("_first"), "left_semi").select("_own.*")
 
 
 def slices(b: pa.RecordBatch, most: int = 8_000_000):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_by_size, table
 
 ROUNDS = 50
 
@@ -32,8 +32,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if done(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        hung = both.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"), "k"), "least")
+        # The neighbours of a hub don't meet in one task.
+        hung = join_by_size(both, "u", least, "n", "k", 2 * now.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = table(normal(hung.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))), "links")
     else:
         raise RuntimeError(f"components aren't done after {ROUNDS} rounds")

@@ -11,17 +11,15 @@ hot classes are split by salts for that.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_schema, batch, keep_rows, ready, slices, table
+from .common import join_by_size, keep_rows, ready, table
 
 BATCHES = 3
 #: Keys of a filter at most, on average: a filter takes about nine bits a key.
@@ -100,25 +98,17 @@ def keys_of(digests: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(d) for d in digests.to_pylist()), np.uint64, len(digests))
 
 
-def sha256(data: bytes) -> bytes:
-    return hashlib.sha256(data).digest()
+def sha256(text: Column) -> Column:
+    """The digest of a normalised text."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def digest_rows(df: DataFrame, id_col: str, text_col: str, batches: int, digest=sha256) -> DataFrame:
-    """id_col, _print (tells texts of one id apart), _batch and _digest of each row, in one scan."""
+    """_id, _print (tells texts of one id apart), _batch and _digest of each row, in one scan."""
     ready(df)
-    rows = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print")).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = pa.schema([("_key", pa.struct([("id", arrow_schema(df, id_col)[0].type), ("print", pa.int64())])), ("_digest", pa.binary())])
-
-    def run(incoming):
-        for b in incoming:
-            for ids, part in slices(b):
-                yield batch(schema, ids, [digest(t.encode("utf-8", "surrogatepass").lower()) for t in part])
-
-    spark_schema = T.StructType([rows.schema["_key"], T.StructField("_digest", T.BinaryType())])
-    out = rows.mapInArrow(run, spark_schema)
-    number = F.pmod(F.xxhash64("_key.id", "_key.print"), F.lit(batches)).cast("int")
-    return out.select(F.col("_key.id").alias("_id"), F.col("_key.print").alias("_print"), number.alias("_batch"), "_digest")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_print"), digest(normal(text)).alias("_digest"))
+    return out.withColumn("_batch", F.pmod(F.xxhash64("_id", "_print"), F.lit(batches)).cast("int"))
 
 
 def snapshots(groups: DataFrame) -> DataFrame:
@@ -151,10 +141,10 @@ def screen(groups: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def placed_rows(df: DataFrame, id_col: str, text_col: str, batches: int, digest) -> DataFrame:
-    """_id, _print, _digest of each row of df, with _keep and _n (rows) of its class."""
+    """_id, _print, _digest of each row of df, with _keep, _first (the largest _print of rows of that id) and _n (rows) of its class."""
     spark = df.sparkSession
     rows = table(digest_rows(df, id_col, text_col, batches, digest), "dedup-rows")
-    groups = table(rows.groupBy("_batch", "_digest").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")), "dedup-groups")
+    groups = table(rows.groupBy("_batch", "_digest").agg(F.max(F.struct("_id", "_print")).alias("_top"), F.count("*").alias("_n")), "dedup-groups")
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups.count() / KEYS_PER_FILTER))
     groups = groups.withColumn("_bucket", F.pmod(F.xxhash64("_digest"), F.lit(buckets)).cast("int"))
     filters = table(snapshots(groups), "dedup-filters")
@@ -165,9 +155,10 @@ def placed_rows(df: DataFrame, id_col: str, text_col: str, batches: int, digest)
     origins = positives.join(exact, (F.col("_digest") == F.col("_d")) & (F.col("_hit") == F.col("_b"))).groupBy("_digest", "_batch").agg(F.min("_hit").alias("_origin"))
     origins = origins.select(F.col("_digest").alias("_d"), F.col("_batch").alias("_b"), "_origin")
     placed = groups.join(origins, (F.col("_digest") == F.col("_d")) & (F.col("_batch") == F.col("_b")), "left").withColumn("_origin", F.coalesce("_origin", "_batch"))
-    classes = placed.groupBy("_digest", "_origin").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_n"))
-    classes = classes.select(F.col("_digest").alias("_d"), "_keep", "_n")
-    placed = table(rows.join(classes, F.col("_digest") == F.col("_d")).select("_id", "_print", "_digest", "_keep", "_n"), "dedup-placed")
+    classes = placed.groupBy("_digest", "_origin").agg(F.max("_top").alias("_top"), F.sum("_n").alias("_n"))
+    classes = table(classes.select(F.col("_digest").alias("_d"), F.col("_top._id").alias("_keep"), F.col("_top._print").alias("_first"), "_n"), "dedup-classes")
+    met = join_by_size(rows, "_digest", classes, "_d", "_n", rows.count())
+    placed = table(met.select("_id", "_print", "_digest", "_keep", "_first", "_n"), "dedup-placed")
 
     apart = table(byte_check(df, id_col, text_col, placed), "dedup-apart")
     if not apart.isEmpty():
@@ -184,8 +175,8 @@ def dedup_exact(df: DataFrame, id_col: str, text_col: str, *, batches: int = BAT
     they are counted, and kept alike.  An empty table gives an empty table.
 
     batches: rows fall into that many batches by a hash of id and text; each
-    is a snapshot for those after it.  digest: of normalised bytes; rows of
-    one digest whose bytes differ are told apart.
+    is a snapshot for those after it.  digest: a column (binary) of the
+    normalised text; rows of one digest whose bytes differ are told apart.
     """
     return placed_rows(df, id_col, text_col, batches, digest).select(
         F.col("_id").alias(id_col),
@@ -197,23 +188,23 @@ def dedup_exact(df: DataFrame, id_col: str, text_col: str, *, batches: int = BAT
 
 
 def one_of_each_text(df: DataFrame, id_col: str, text_col: str, *, batches: int = BATCHES) -> DataFrame:
-    """The rows of df that dedup_exact() keeps, with df's own columns."""
+    """One row of df for each text, with df's own columns: of the largest id; of rows that share it (or have none), that of the largest hash of its text."""
     rows = placed_rows(df, id_col, text_col, batches, sha256)
-    return keep_rows(df, id_col, text_col, rows.withColumn("kept", F.col("_id").eqNullSafe(F.col("_keep"))))
+    return keep_rows(df, id_col, text_col, rows.withColumn("kept", F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_print") == F.col("_first"))))
 
 
-def normal(column) -> F.Column:
+def normal(column: Column) -> Column:
     """A-Z lowered, all else as it is."""
     return F.translate(column, _UPPER, _LOWER)
 
 
 def byte_check(df: DataFrame, id_col: str, text_col: str, placed: DataFrame) -> DataFrame:
     """Rows whose text differs from the text of their class: _id, _print, _digest, _text (normalised)."""
-    members = placed.filter("_n > 1").select(F.col("_id").alias("_m"), F.col("_print").alias("_p"), "_digest", "_keep", "_n").distinct()
+    members = placed.filter("_n > 1").select(F.col("_id").alias("_m"), F.col("_print").alias("_p"), "_digest", "_keep", "_first", "_n").distinct()
     read = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_print", F.xxhash64("_text"))
     own = table(read.join(members, F.col("_id").eqNullSafe(F.col("_m")) & (F.col("_print") == F.col("_p"))).drop("_m", "_p"), "dedup-members")
     salts = F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int")
-    held = own.filter(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_digest").agg(F.min("_text").alias("_held"), F.max("_n").alias("_n"))
+    held = own.filter(F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_print") == F.col("_first"))).groupBy("_digest").agg(F.min("_text").alias("_held"), F.max("_n").alias("_n"))
     held = held.select(F.col("_digest").alias("_d"), "_held", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_s"))
     own = own.withColumn("_salt", F.pmod(F.xxhash64("_id", "_print"), salts).cast("int"))
     same = (F.col("_text") == F.col("_held")) | (normal(F.col("_text")) == normal(F.col("_held")))
@@ -225,7 +216,7 @@ def tell_apart(placed: DataFrame, apart: DataFrame) -> DataFrame:
     """placed with classes by digest and text, where texts of one digest differ."""
     right = apart.select(F.col("_id").alias("_a"), F.col("_print").alias("_b"), F.col("_digest").alias("_d"), "_text")
     rows = placed.join(right, F.col("_id").eqNullSafe(F.col("_a")) & (F.col("_print") == F.col("_b")) & (F.col("_digest") == F.col("_d")), "left").select("_id", "_print", "_digest", "_text")
-    classes = rows.groupBy("_digest", "_text").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
-    classes = classes.withColumnsRenamed({"_digest": "_d", "_text": "_t"})
+    classes = rows.groupBy("_digest", "_text").agg(F.max(F.struct("_id", "_print")).alias("_top"), F.count("*").alias("_n"))
+    classes = classes.select(F.col("_digest").alias("_d"), F.col("_text").alias("_t"), F.col("_top._id").alias("_keep"), F.col("_top._print").alias("_first"), "_n")
     joined = rows.join(classes, (F.col("_digest") == F.col("_d")) & F.col("_text").eqNullSafe(F.col("_t")))
-    return joined.select("_id", "_print", "_digest", "_keep", "_n")
+    return joined.select("_id", "_print", "_digest", "_keep", "_first", "_n")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, batch, keep_rows, ready, slices, table
+from .common import arrow_schema, batch, join_by_size, keep_rows, ready, slices, table
 from .components import components
 
 WORDS = 5
@@ -248,7 +248,8 @@ def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET, l
     places = F.sequence(F.lit(0), F.lit(2 * runs - 1))
     rows = nodes.select("set", F.explode(F.transform(places, lambda i: F.struct(step(F.lit(0), F.col("sig"), i).alias("path")))).alias("s")).select("set", "s.path")
     counts = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("path").alias("p"), "n")
-    met = rows.join(counts, F.col("path") == F.col("p")).select("path", "set", "n")
+    total = 2 * runs * nodes.count()
+    met = join_by_size(rows, "path", table(counts, "join-counts"), "p", "n", total).select("path", "set", "n")
     now = table(met.join(nodes.withColumnRenamed("set", "s"), F.col("set") == F.col("s")).select("path", "set", "sig", "n", F.col("set").alias("label")), "join-level")
     found = None
     for level in range(levels + 1):
@@ -261,8 +262,9 @@ def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET, l
         roots = components(found)
         labelled = large.drop("label").join(roots, F.col("set") == F.col("node"), "left").select("path", "set", "sig", "n", F.coalesce("root", "set").alias("label"))
         # A bucket's main label is its most frequent; the others' rows are its outsiders.
-        most = labelled.groupBy("path", "label").agg(F.count("*").alias("m")).groupBy("path").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
-        mixed = labelled.join(most.withColumnRenamed("path", "p"), F.col("path") == F.col("p")).filter(F.col("m") < F.col("n")).drop("p")
+        labelled = table(labelled, "join-labelled")
+        most = labelled.groupBy("path", "label").agg(F.count("*").alias("m")).groupBy(F.col("path").alias("p")).agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("_rows"))
+        mixed = join_by_size(labelled, "path", table(most, "join-most"), "p", "_rows", labelled.count()).filter(F.col("m") < F.col("n")).drop("p", "_rows")
         mixed = table(mixed.withColumn("outsider", F.col("label") != F.col("main")), "join-mixed")
         few = (F.col("n") <= direct) | (F.col("n") - F.col("m") <= outsiders) | F.lit(level == levels)
         found = found.unionByName(table(tile_links(mixed.filter(few), link_tile), "join-links"))
@@ -270,9 +272,9 @@ def candidates(nodes: DataFrame, recall: float = RECALL, bucket: int = BUCKET, l
         if level == levels or left.isEmpty():
             break
         below = F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.struct(step(F.col("path"), F.col("sig"), F.pmod(F.xxhash64(F.col("path"), k), F.lit(COORDINATES)).cast("int")).alias("path")))
-        split = left.select("set", "sig", "label", F.explode(below).alias("s")).select("s.path", "set", "sig", "label").distinct()
+        split = table(left.select("set", "sig", "label", F.explode(below).alias("s")).select("s.path", "set", "sig", "label").distinct(), "join-split")
         counts = split.groupBy("path").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("path").alias("p"), "n")
-        now = table(split.join(counts, F.col("path") == F.col("p")).select("path", "set", "sig", "n", "label"), "join-level")
+        now = table(join_by_size(split, "path", table(counts, "join-counts"), "p", "n", split.count()).select("path", "set", "sig", "n", "label"), "join-level")
     return found.distinct()
 
 
@@ -360,9 +362,12 @@ def near_rows(df: DataFrame, id_col: str, text_col: str, *, words: int = WORDS,
     roots = components(linked.filter("set <> top"), "set", "top")
     placed = sets.select("set", "n", "keeper").join(degrees, F.col("set") == F.col("s"), "left").join(roots, F.col("set") == F.col("node"), "left")
     placed = table(placed.select("set", "n", "keeper", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root")), "join-placed")
-    classes = placed.groupBy("root").agg(F.min("keeper").alias("first")).withColumnRenamed("root", "r")
-    answers = placed.join(classes, F.col("root") == F.col("r")).select(F.col("set").alias("s"), (F.col("n") - 1 + F.col("links")).alias("links"), "first")
-    out = rows.drop("_sig").join(answers, F.col("_set") == F.col("s"), "left")
+    classes = placed.groupBy("root").agg(F.min("keeper").alias("first"), F.count("*").alias("k")).withColumnRenamed("root", "r")
+    answers = join_by_size(placed, "root", table(classes, "join-classes"), "r", "k", placed.count())
+    answers = table(answers.select(F.col("set").alias("s"), (F.col("n") - 1 + F.col("links")).alias("links"), "first", "n"), "join-answers")
+    rows = rows.drop("_sig")
+    out = join_by_size(rows.filter("_set is not null"), "_set", answers, "s", "n", rows.count()).drop("n")
+    out = out.unionByName(rows.filter("_set is null"), allowMissingColumns=True)  # texts without words have no class to join
     alone = F.col("s").isNull()
     kept = alone | (F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_print") == F.col("first.print")))
     return out.select(
