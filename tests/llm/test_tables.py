@@ -398,56 +398,76 @@ def test_fingerprint_documents(spark):
 # ---- language model
 
 
-def katz_answers(rows):
+def katz_answers(rows, order):
     """The model by dictionaries, straight from its definition."""
     docs = [[*lower(t).replace("\x0b", " ").replace("\x0c", " ").split(), None] for _, t, *_ in rows]
     trains = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for i, *_ in rows]
-    one, two = Counter(), Counter()
+    contexts = lambda d, k: [tuple([None] * (k - 1) + d[:-1])[j : j + k - 1] for j in range(len(d))]
+    counts = {k: Counter() for k in range(1, order + 1)}
     for d, train in zip(docs, trains):
         if train:
-            one.update(d)
-            two.update(zip([d[-1], *d[:-1]], d))
-    uni = katz.Unigrams(katz.histogram(np.array(list(one.values()), np.int64)))
-    factors = katz.discounts(katz.histogram(np.array(list(two.values()), np.int64)))
-    p = lambda w: float(uni.p(np.array([one[w]]))[0])
-    d = lambda c: c * (factors[c - 1] if c <= katz.K else 1)
-    follow = {}
-    for (a, b), c in two.items():
-        follow.setdefault(a, {})[b] = c
-
-    def q(a, b):
-        if a not in follow:
-            return p(b)
-        seen = follow[a]
+            for k in counts:
+                counts[k].update(zip(contexts(d, k), d))
+    one = Counter({w: n for (_, w), n in counts[1].items()})
+    hist = {k: katz.histogram(np.array(list(c.values()), np.int64)) for k, c in counts.items()}
+    uni, factors = katz.Unigrams(hist[1]), {k: katz.discounts(h) for k, h in hist.items()}
+    follow = {k: {} for k in counts}
+    for k, c in counts.items():
+        for (h, w), n in c.items():
+            follow[k].setdefault(h, {})[w] = n
+
+    def parts(h):
+        """What a context's words get, and the weight of all others."""
+        k, seen = len(h) + 1, follow[len(h) + 1][h]
         total = sum(seen.values())
-        freed, scale = 1 - sum(map(d, seen.values())) / total, 1.0
-        if freed <= 1e-12:
-            freed, scale = 1 / (total + 1), total / (total + 1)
-        return d(seen[b]) / total * scale if b in seen else freed / (1 - sum(map(p, seen))) * p(b)
+        left = {w: c * (factors[k][c - 1] if c <= katz.K else 1) / total for w, c in seen.items()}
+        freed = 1 - sum(left.values())
+        if all(c > katz.K for c in seen.values()):
+            left, freed = {w: p * total / (total + 1) for w, p in left.items()}, 1 / (total + 1)
+        return left, freed / max(1 - sum(q(h[1:], w) for w in seen), 1e-12)
+
+    known = {}
+
+    def q(h, w):
+        if not h:
+            return float(uni.p(np.array([one[w]]))[0])
+        if h not in follow[len(h) + 1]:
+            return q(h[1:], w)
+        if h not in known:
+            known[h] = parts(h)
+        return known[h][0][w] if w in known[h][0] else known[h][1] * q(h[1:], w)
 
     kinds, total = len(one), sum(one.values())
     answers = []
     for (i, *_), doc in zip(rows, docs):
         base = sum(math.log10((one[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in doc)
-        answers.append((i, len(doc), sum(one[w] > 0 for w in doc), total, base, sum(math.log10(q(a, b)) for a, b in zip([doc[-1], *doc[:-1]], doc))))
-    sums = [sum(map(p, one)) + uni.freed] + [sum(q(a, b) for b in one) + q(a, "\0never") for a in list(follow)[:20]]
+        answers.append((i, len(doc), sum(one[w] > 0 for w in doc), total, base, sum(math.log10(q(h, w)) for h, w in zip(contexts(doc, order), doc))))
+    sums = [sum(q(h, w) for w in one) + q(h, "\0never") for k in follow for h in list(follow[k])[:12]]
     return answers, sums
 
 
-def test_katz(spark):
+@pytest.mark.parametrize("order, hot", [(1, None), (2, None), (3, None), (4, None), (3, 5.0)])
+def test_katz(spark, monkeypatch, order, hot):
+    """Every order against dictionaries; the last with nearly all contexts hot. Some contexts have no count that is discounted."""
+    if hot:
+        monkeypatch.setattr(katz, "Order", lambda buckets, _, made=katz.Order: made(buckets, hot))
     rng = np.random.default_rng(9)
-    words = [f"w{int(x)}" for x in rng.zipf(1.3, 6000) if x < 10_000]
-    rows = [(i, " ".join(words[i * 40 : i * 40 + 40]), "en", "a") for i in range(120)] + [(i, t if t is None else t[:3000], la, s) for i, t, la, s in ROWS]
-    want, sums = katz_answers(rows)
+    words = [f"w{int(x)}" for x in rng.zipf(1.3, 5000) if x < 10_000]
+    rows = [(i, " ".join(words[i * 40 : i * 40 + 40]), "en", "a") for i in range(100)] + [(i, t if t is None else t[:3000], la, s) for i, t, la, s in ROWS]
+    rows += [(500 + i, "always the same words in the same order", "en", "a") for i in range(20)]
+    want, sums = katz_answers(rows, order)
     assert sums == pytest.approx([1.0] * len(sums), abs=1e-9)
-    got = katz.score_documents(documents(spark, rows), "doc_id", "text", chunk_tokens=500).collect()
+    got = katz.score_documents(documents(spark, rows), "doc_id", "text", order=order, chunk_tokens=500, bucket_entries=300).collect()
     key = lambda r: (str(r[0]), r[1], round(r[4], 6))
     got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=key)
     for g, w in zip(got, sorted(want, key=key), strict=True):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], rel=1e-9)
+
+
+def test_katz_without_rows(spark):
     assert katz.score_documents(empty(spark), "doc_id", "text").count() == 0
-    none = katz.score_documents(documents(spark, [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1]), "doc_id", "text").collect()
-    assert all(r["held_out"] and r["train_tokens"] == 0 and r["score"] == 0 and r["n_known"] == 0 for r in none)
+    none = katz.score_documents(documents(spark, [(i, "a b", "en", "a") for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1]), "doc_id", "text").collect()
+    assert none and all(r["held_out"] and r["train_tokens"] == 0 and r["score"] == 0 and r["n_known"] == 0 for r in none)
 
 
 def test_katz_with_groups_of_copies():

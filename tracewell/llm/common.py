@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Words of every contract: runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,11 +48,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df written to the shared folder and read again: later stages depend on the files, not on executors."""
-    path = fresh_path(df.sparkSession, name)
+    """df written to the shared folder and read again: later stages depend on the files, not on executors.
+
+    Once the files are there, nobody needs the shuffles that made them, so these are removed.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    made = spark.read.schema(df.schema).parquet(path)
     made._table_path = path
     return made
 

@@ -1,17 +1,21 @@
-"""A Katz backoff bigram model, trained on a table and evaluated on it.
+"""A Katz backoff model of n-grams, trained on a table and evaluated on it.
 
 Counts are discounted after Good and Turing; what a context loses goes to the
-words that never followed it, by their own probability, with a weight that
-makes each context's probabilities sum to 1 exactly.  Single words back off to
-one class for all words never seen.
+words that never followed it, by the model one order below, with a weight that
+makes each context's probabilities sum to 1 exactly.  So every token is
+evaluated recursively, from the longest context down to single words, which back
+off to one class for all words never seen.
 
 How it scales: a scan turns documents into chunks, whose tokens are places in
-the chunk's own list of words.  From then on only lists travel: each chunk asks
-the buckets (partitions of the tables) for the counts of its distinct words,
-then of its distinct pairs, then for its contexts' backoff weights, and gets
-them back in the order it asked.  All are pre-aggregated by chunk.  A bucket
-has the words of a range of hashes; pairs are at home with their context,
-but those of contexts too frequent for one bucket are dealt out by pair.
+the chunk's own list of words.  From then on only packed lists travel: order by
+order, each chunk asks the buckets (partitions of the tables of counts) for its
+distinct n-grams and gets back, in the order it asked, their numbers and counts
+and what the backoff weights of its contexts are made of.  An n-gram is asked for
+as the number of its context, which the order below has given, and that of its
+word.  All are pre-aggregated by chunk.  N-grams are at home with their context,
+but those of contexts too frequent for one bucket are dealt out by n-gram, and
+their sums meet in a step of their own.  Chunks are written bucketed, so they stay
+where they are and only replies are shuffled to them.
 """
 
 from __future__ import annotations
@@ -28,21 +32,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, fold_of, ready, slices, table
+from .common import arrow_schema, drop_tables, fold_of, fresh_path, ready, slices, table
 
-CHUNK_TOKENS = 2_500_000
-#: Entries of a bucket, on average, at most.
+ORDER = 3
+CHUNK_TOKENS = 1_250_000
+#: Entries of a bucket, on average, at most: tokens asked about.
 BUCKET_ENTRIES = 2_000_000
 #: Counts up to this are discounted.
 K = 5
 HELD = (5, 1)  # folds, and the one that isn't trained on
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\0end of document"))
+#: The identifier of the context that is only ends, before a document's first word.
+START = np.uint64(2**64 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-#: What travels: kind, whose it is (chunk), where it belongs (bucket), and packed arrays.
-ROW = pa.schema([("kind", pa.string()), ("chunk", pa.string()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("hist", pa.list_(pa.struct([("r", pa.int64()), ("n", pa.int64())])))])
-_DDL = "kind string, chunk string, bucket int, a binary, b binary, c binary, d binary, hist array<struct<r: long, n: long>>"
+#: What travels: kind, order, whose it is (chunk), where it belongs (bucket), and packed arrays.
+ROW = pa.schema([("kind", pa.string()), ("order", pa.int32()), ("chunk", pa.string()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in "abcdefg"], ("hist", pa.list_(pa.struct([("r", pa.int64()), ("n", pa.int64())])))])
+_DDL = "kind string, `order` int, chunk string, bucket int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, hist array<struct<r: long, n: long>>"
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -141,7 +148,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, chunk_tokens: int) -> Data
     ready(df)
     read = df.select(F.struct(F.col(id_col).alias("id"), (fold_of(id_col, HELD[0]) != HELD[1]).alias("train")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = arrow_schema(df, id_col)[0].type
-    schema = pa.schema([("chunk", pa.string()), ("ids", pa.list_(id_type)), *[(c, pa.binary()) for c in ("codes", "words", "counts", "lengths", "train")], ("entries", pa.int64())])
+    schema = pa.schema([("chunk", pa.string()), ("ids", pa.list_(id_type)), *[(c, pa.binary()) for c in ("codes", "words", "counts", "lengths", "train")], ("entries", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -155,7 +162,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, chunk_tokens: int) -> Data
             packed = (pack(codes.astype(np.uint32)), pack(gaps(words)), pack(counts), pack(of), pack(train))
             all_ids = pa.concat_arrays(ids)
             listed = pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), listed, *[pa.array([x], pa.binary()) for x in packed], pa.array([len(words)], pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), listed, *[pa.array([x], pa.binary()) for x in packed], pa.array([len(words)], pa.int64()), pa.array([len(codes)], pa.int64())], schema=schema)
 
         for b in batches:
             for keys, part in slices(b):
@@ -173,15 +180,22 @@ def chunks(df: DataFrame, id_col: str, text_col: str, chunk_tokens: int) -> Data
         if lengths:
             yield flush()
 
-    ddl = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("codes", "words", "counts", "lengths", "train")], T.StructField("entries", T.LongType())])
-    return table(read.mapInArrow(run, ddl), "katz-chunks")
+    ddl = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("codes", "words", "counts", "lengths", "train")], T.StructField("entries", T.LongType()), T.StructField("tokens", T.LongType())])
+    return read.mapInArrow(run, ddl)
 
 
 def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of sorted word hashes: ranges of their upper halves."""
+    """The bucket of hashes: ranges of their upper halves."""
     return (((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """Hashes of identifiers."""
+    x = (ids ^ (ids >> np.uint64(29))) * _MIX
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(31))
+
+
 def runs(keys: np.ndarray):
     """(key, start, stop) of each run of equal values of a sorted array."""
     if len(keys):
@@ -190,205 +204,342 @@ def runs(keys: np.ndarray):
 
 
 def ask_words(made: DataFrame, buckets: int) -> DataFrame:
-    """Rows of kind word: a chunk's words of a bucket, and their counts in the chunk."""
+    """Rows of kind ask: a chunk's words of a bucket, and their counts in the chunk."""
 
     def run(batches):
         for b in batches:
             for chunk, words, counts in zip(*(c.to_pylist() for c in b.columns)):
                 words, counts = ungaps(unpack(words, np.uint64)), unpack(counts, np.uint32)
-                yield from rows(*({"kind": "word", "chunk": chunk, "bucket": k, "a": pack(gaps(words[i:j])), "b": pack(counts[i:j])} for k, i, j in runs(bucket_of(words, buckets)))).to_batches()
+                yield from rows(*({"kind": "ask", "chunk": chunk, "bucket": k, "a": pack(gaps(words[i:j])), "b": pack(counts[i:j])} for k, i, j in runs(bucket_of(words, buckets)))).to_batches()
 
     return made.select("chunk", "words", "counts").mapInArrow(run, _DDL)
 
 
 def count_words(t: pa.Table) -> pa.Table:
-    """A bucket's words with their counts (kind model), and to each chunk the numbers and counts of the words it asked for (kind reply)."""
+    """A bucket's words with their counts (kind model), and to each chunk the numbers and counts of the words it asked for (kind reply).
+
+    Numbers begin with the most frequent word, so that most are small.
+    """
     asked = t.sort_by("chunk").to_pylist()
     lists = [ungaps(unpack(r["a"], np.uint64)) for r in asked]
     words, inverse = np.unique(np.concatenate(lists), return_inverse=True)
     totals = np.bincount(inverse, np.concatenate([unpack(r["b"], np.uint32) for r in asked]), len(words)).astype(np.uint64)
+    numbers = np.empty(len(words), np.uint32)
+    numbers[np.argsort(-totals.astype(np.int64), kind="stable")] = np.arange(len(words), dtype=np.uint32)
     bucket = asked[0]["bucket"]
-    out = [{"kind": "model", "bucket": bucket, "a": pack(gaps(words)), "b": pack(totals), "hist": [{"r": r, "n": n} for r, n in histogram(totals).items()]}]
+    out = [{"kind": "model", "order": 1, "bucket": bucket, "a": pack(gaps(words)), "b": pack(totals), "c": pack(numbers), "hist": [{"r": r, "n": n} for r, n in histogram(totals).items()]}]
     for r, own in zip(asked, np.split(inverse, np.cumsum([len(x) for x in lists])[:-1])):
-        out.append({"kind": "reply", "chunk": r["chunk"], "bucket": bucket, "a": pack(gaps(own.astype(np.uint32))), "b": pack(totals[own])})
+        out.append({"kind": "reply", "order": 1, "chunk": r["chunk"], "bucket": bucket, "a": pack(numbers[own]), "b": pack(totals[own])})
     return rows(*out)
 
 
+@dataclass
+class Order:
+    """How one order is dealt to buckets: how many there are, and from which count on a context is too frequent for one."""
+
+    buckets: int
+    hot: float
+    factors: np.ndarray | None = None  # of counts 0 to K + 1, once known
+
+
+def factors_of(hist: dict[int, int]) -> np.ndarray:
+    return np.array([0.0, *discounts(hist), 1.0])
+
+
+class Level:
+    """A chunk's distinct n-grams of one order: of each token its n-gram (code); of each n-gram its context (a place among the n-grams one order below, or START after them), word and shorter n-gram; and what the chunk has been told."""
+
+    def __init__(self, codes: np.ndarray, contexts: np.ndarray, words: np.ndarray, shorter: np.ndarray, hist: np.ndarray, context_ids: np.ndarray):
+        self.codes, self.contexts, self.words, self.shorter = codes, contexts, words, shorter
+        self.hist, self.context_ids = hist, context_ids
+        self.totals = np.zeros(len(words), np.int64)
+        self.ids = np.zeros(len(words), np.uint64)
+        self.none = np.zeros(len(hist), bool)  # contexts that lost nothing to discounting
+        self.weights = np.ones(len(hist))
+
+
 class Chunk:
-    """A chunk with what it has been told: its words' identifiers (bucket and number there) and counts, and its distinct pairs in the order of asking."""
-
-    def __init__(self, codes: bytes, words: bytes, lengths: bytes, replies: list[dict], buckets: int, hot: float):
-        self.codes, self.lengths = unpack(codes, np.uint32).astype(np.int64), unpack(lengths, np.uint32).astype(np.int64)
-        words = ungaps(unpack(words, np.uint64))
-        replies = sorted(replies, key=lambda r: r["bucket"])
-        self.home = bucket_of(words, buckets)
-        numbers = np.concatenate([ungaps(unpack(r["a"], np.uint32)) for r in replies]).astype(np.uint64)
-        self.ids = (self.home.astype(np.uint64) << np.uint64(32)) | numbers
-        self.totals = np.concatenate([unpack(r["b"], np.uint64) for r in replies]).astype(np.int64)
-        ends = np.cumsum(self.lengths)
-        self.starts = ends - self.lengths
-        self.before = np.concatenate([[0], self.codes[:-1]])
-        self.before[self.starts] = self.codes[ends - 1]  # a document's first word follows the end
-        n = np.uint64(len(words))
-        keys = self.before.astype(np.uint64) * n + self.codes.astype(np.uint64)
-        keys, self.pair_of = np.unique(keys, return_inverse=True)
-        self.context, self.word = (keys // n).astype(np.int64), (keys % n).astype(np.int64)
-        hashed = (self.ids[self.context] * _MIX) ^ self.ids[self.word]
-        hashed = (hashed ^ (hashed >> np.uint64(31))) * _MIX
-        dealt = np.where(self.totals[self.context] > hot, bucket_of(hashed, buckets), self.home[self.context])
-        # Contexts never trained on have nothing to ask.
-        known = np.flatnonzero(self.totals[self.context] > 0)
-        order = np.argsort(dealt[known], kind="stable")
-        self.order, self.dealt = known[order], dealt[known][order]
-        used = np.zeros(len(words), bool)
-        used[self.before] = True
-        self.contexts = np.flatnonzero(used & (self.totals > 0))
-
-
-def ask_pairs(t: pa.Table, buckets: int, hot: float) -> pa.Table:
-    """A chunk's questions: kind pair has contexts, how many words follow each, the words, their counts in training and alone; kind context has contexts."""
-    chunk, replies = _chunk_of(t)
-    own = Chunk(chunk["codes"], chunk["words"], chunk["lengths"], replies, buckets, hot)
-    train = np.repeat(unpack(chunk["train"], np.uint8), own.lengths)
-    counts = np.bincount(own.pair_of, train, len(own.context)).astype(np.uint32)
-    out = []
-    for k, i, j in runs(own.dealt):
-        pairs = own.order[i:j]
-        context = own.context[pairs]
-        each = np.array([b - a for _, a, b in runs(context)], np.uint32)
-        first = np.cumsum(each) - each
-        asked = {"a": np.concatenate([own.ids[context[first]], each.astype(np.uint64)]), "b": own.ids[own.word[pairs]], "c": counts[pairs], "d": own.totals[own.word[pairs]].astype(np.uint64)}
-        out.append({"kind": "pair", "chunk": chunk["chunk"], "bucket": k} | {f: pack(x) for f, x in asked.items()})
-    for k, i, j in runs(own.home[own.contexts]):
-        out.append({"kind": "context", "chunk": chunk["chunk"], "bucket": k, "a": pack(own.ids[own.contexts[i:j]])})
-    return rows(*out)
+    """A chunk with what it has been told so far."""
+
+    def __init__(self, chunk: dict, replies: list[dict], orders: dict[int, Order], unigrams: Unigrams):
+        self.orders, self.unigrams = orders, unigrams
+        self.codes, self.lengths = unpack(chunk["codes"], np.uint32).astype(np.int64), unpack(chunk["lengths"], np.uint32).astype(np.int64)
+        self.train = np.repeat(unpack(chunk["train"], np.uint8), self.lengths)
+        words = ungaps(unpack(chunk["words"], np.uint64))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.first = np.zeros(len(self.codes), bool)
+        self.first[self.starts] = True
+        of = {}
+        for r in replies:
+            of.setdefault((r["kind"], r["order"]), []).append(r)
+        self.told = {k: sorted(v, key=lambda r: r["bucket"]) for k, v in of.items()}
+        mine = self.told["reply", 1]
+        numbers = np.concatenate([unpack(r["a"], np.uint32) for r in mine]).astype(np.uint64)
+        home = bucket_of(words, orders[1].buckets).astype(np.uint64)
+        one = Level(self.codes, np.zeros(0, np.int64), np.arange(len(words)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        one.totals = np.concatenate([unpack(r["b"], np.uint64) for r in mine]).astype(np.int64)
+        one.ids = (home << np.uint64(32)) | numbers
+        self.levels = {1: one}
+        self.documents = one.totals[np.searchsorted(words, END)]  # trained on: as often as there is an end
+
+    def extend(self, order: int) -> Level:
+        """The level of an order, one above the last."""
+        below, words = self.levels[order - 1], self.levels[1]
+        n = len(words.ids)
+        contexts = np.empty(len(self.codes), np.int64)
+        contexts[1:] = below.codes[:-1]
+        contexts[self.starts] = len(below.ids)
+        keys, place, codes = np.unique(contexts * n + self.codes, return_index=True, return_inverse=True)
+        hist, ids = np.append(below.totals, self.documents), np.append(below.ids, START)
+        made = self.levels[order] = Level(codes, keys // n, keys % n, below.codes[place], hist, ids)
+        return made
+
+    def asked(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams in the order of asking (by bucket, then context, then word), and their buckets; contexts never trained on have nothing to ask."""
+        level, how, words = self.levels[order], self.orders[order], self.levels[1]
+        rank_of = lambda ids: np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        known = np.flatnonzero(level.hist[level.contexts] > 0)
+        contexts, own = level.contexts[known], level.words[known]
+        sorted_ = np.argsort(rank_of(level.context_ids)[contexts] * len(words.ids) + rank_of(words.ids)[own], kind="stable")
+        contexts, own, known = contexts[sorted_], own[sorted_], known[sorted_]
+        hashes = mixed(level.context_ids)
+        hot = (level.hist > how.hot)[contexts]
+        dealt = bucket_of(hashes, how.buckets)[contexts]
+        dealt[hot] = bucket_of(mixed(hashes[contexts[hot]] ^ words.ids[own[hot]]), how.buckets)
+        sorted_ = np.argsort(dealt, kind="stable")
+        return known[sorted_], dealt[sorted_]
+
+    def needs(self, order: int) -> np.ndarray:
+        """Of each context: 2 if it's hot, 1 if its weight can be needed (an n-gram of it that the chunk doesn't train on), else 0."""
+        level = self.levels[order]
+        trained = np.bincount(level.codes, self.train, len(level.words)) > 0
+        needed = np.zeros(len(level.hist), np.uint8)
+        needed[level.contexts[~trained]] = 1
+        needed[level.hist > self.orders[order].hot] = 2
+        return needed
+
+    def hear(self, order: int) -> None:
+        """Takes in what the chunk was told of an order."""
+        level, how = self.levels[order], self.orders[order]
+        gram, dealt = self.asked(order)
+        needed = self.needs(order)
+        mine = self.told.get(("reply", order), [])
+        if mine:
+            level.totals[gram] = np.concatenate([unpack(r["b"], np.uint64) for r in mine]).astype(np.int64)
+            numbers = np.concatenate([ungaps(unpack(r["a"], np.uint32)) for r in mine]).astype(np.uint64)
+            level.ids[gram] = (dealt.astype(np.uint64) << np.uint64(32)) | numbers
+        for r, (_, i, j) in zip(mine, runs(dealt)):
+            contexts = level.contexts[gram[i:j]]
+            own = contexts[[a for _, a, _ in runs(contexts)]]
+            cool = own[needed[own] < 2]
+            level.none[cool] = unpack(r["c"], np.uint8).astype(bool)
+            wanted = own[needed[own] == 1]
+            lower, low_counts = unpack(r["d"], np.float64), unpack(r["e"], np.uint64).reshape(K, -1).astype(np.float64)
+            level.weights[wanted] = weights_of(low_counts, lower, level.hist[wanted], how.factors)
+        hot = self.hot(order)
+        for r, (_, i, j) in zip(self.told.get(("weight", order), []), runs(bucket_of(mixed(level.context_ids[hot]), how.buckets))):
+            got = unpack(r["a"], np.float64)
+            level.weights[hot[i:j]], level.none[hot[i:j]] = np.abs(got), got < 0
+        level.weights[level.hist == 0] = 1.0
+
+    def hot(self, order: int) -> np.ndarray:
+        """The hot contexts in the order of asking for their weights."""
+        level = self.levels[order]
+        used = np.zeros(len(level.hist), bool)
+        used[level.contexts] = True
+        hot = np.flatnonzero(used & (level.hist > self.orders[order].hot))
+        return hot[np.lexsort((level.context_ids[hot], bucket_of(mixed(level.context_ids[hot]), self.orders[order].buckets)))]
+
+    def probabilities(self, order: int) -> np.ndarray:
+        """Of each of the chunk's n-grams, by recursion."""
+        level = self.levels[order]
+        if order == 1:
+            return self.unigrams.p(level.totals)
+        lower = self.probabilities(order - 1)
+        hist, none = level.hist[level.contexts], level.none[level.contexts]
+        seen = self.orders[order].factors[np.minimum(level.totals, K + 1)] * level.totals / np.maximum(hist, 1) * np.where(none, hist / (hist + 1), 1.0)
+        return np.where(level.totals > 0, seen, level.weights[level.contexts] * lower[level.shorter])
+
+
+def weights_of(low_counts: np.ndarray, lower: np.ndarray, hist: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Backoff weights of contexts: from how many of their words have each count up to K, the probability of their words one order below, and their counts.
+
+    A context that lost nothing to discounting gives one count of its own plus one.
+    """
+    freed = sum(r * (1 - factors[r]) * low_counts[r - 1] for r in range(1, K + 1)) / np.maximum(hist, 1)
+    freed = np.where(low_counts.sum(0) == 0, 1 / (hist + 1), freed)
+    return freed / np.maximum(1 - lower, 1e-12)
 
 
-def _chunk_of(t: pa.Table) -> tuple[dict, list[dict]]:
-    """The chunk itself among the rows of its group, and the replies to it."""
-    listed = t.to_pylist()
-    return next(r for r in listed if r["kind"] == "chunk"), [r for r in listed if r["kind"] != "chunk"]
+def ask_grams(chunk: dict, replies: list[dict], order: int, orders: dict[int, Order], unigrams: Unigrams) -> pa.Table:
+    """A chunk's questions of an order.
 
+    Kind ask, by bucket: contexts, how many words follow each, whether its weight
+    is needed, and how often its own shorter context was seen (below 0 if that
+    lost nothing to discounting); words, their counts in the chunk's training,
+    and those of the shorter n-grams, which are what the lower order's
+    probability of a seen n-gram is made of.  Kind hot: contexts whose weights
+    are asked for.
+    """
+    own = Chunk(chunk, replies, orders, unigrams)
+    for k in range(2, order + 1):
+        own.extend(k)
+        if k < order:
+            own.hear(k)
+    level, below = own.levels[order], own.levels[order - 1]
+    counts = np.bincount(level.codes, own.train, len(level.words)).astype(np.uint32)
+    needed, out = own.needs(order), []
+    if order > 2:
+        inner = below.contexts[level.shorter]
+        base = np.where(below.none[inner], -1, 1) * below.hist[inner]
+    else:
+        base = np.zeros(len(level.words), np.int64)
+    gram, dealt = own.asked(order)
+    for k, i, j in runs(dealt):
+        grams = gram[i:j]
+        contexts = level.contexts[grams]
+        first = np.array([a for _, a, _ in runs(contexts)])
+        each = np.diff(np.append(first, len(grams))).astype(np.uint32)
+        lists = (gaps(level.context_ids[contexts[first]]), each, needed[contexts[first]], base[grams[first]], own.levels[1].ids[level.words[grams]], counts[grams], below.totals[level.shorter[grams]].astype(np.uint64))
+        out.append({"kind": "ask", "order": order, "chunk": chunk["chunk"], "bucket": k} | {c: pack(x) for c, x in zip("abcdefg", lists)})
+    hot = own.hot(order)
+    for k, i, j in runs(bucket_of(mixed(level.context_ids[hot]), orders[order].buckets)):
+        out.append({"kind": "hot", "order": order, "chunk": chunk["chunk"], "bucket": k, "a": pack(level.context_ids[hot[i:j]])})
+    return rows(*out)
 
-def count_pairs(t: pa.Table, unigrams: Unigrams) -> pa.Table:
-    """Of a bucket: its pairs' counts (kind model), the replies (kind reply), per context the sums its backoff weight needs (kind part, by the context's own bucket), and the questions for weights as they were (kind context)."""
+
+def count_grams(t: pa.Table, order: int, orders: dict[int, Order], unigrams: Unigrams) -> pa.Table:
+    """Of a bucket: its n-grams' counts (kind model), replies (kind reply), the sums of its share of hot contexts (kind part, by the context's own bucket), and the questions for those as they were (kind hot)."""
     listed = t.sort_by("chunk").to_pylist()
-    out = [r for r in listed if r["kind"] == "context"]
-    asked = [r for r in listed if r["kind"] == "pair"]
+    out = [r for r in listed if r["kind"] == "hot"]
+    asked = [r for r in listed if r["kind"] == "ask"]
     if not asked:
         return rows(*out)
-    bucket, contexts = asked[0]["bucket"], []
-    for r in asked:
-        both = unpack(r["a"], np.uint64)
-        contexts.append(np.repeat(both[: len(both) // 2], both[len(both) // 2 :].astype(np.int64)))
-    sizes = np.cumsum([len(x) for x in contexts])[:-1]
-    context_ids, context = np.unique(np.concatenate(contexts), return_inverse=True)
-    word_ids, word = np.unique(np.concatenate([unpack(r["b"], np.uint64) for r in asked]), return_inverse=True)
-    keys, first, inverse = np.unique(context.astype(np.uint64) * np.uint64(len(word_ids)) + word.astype(np.uint64), return_index=True, return_inverse=True)
-    totals = np.bincount(inverse, np.concatenate([unpack(r["c"], np.uint32) for r in asked]), len(keys)).astype(np.uint64)
-    alone = np.concatenate([unpack(r["d"], np.uint64) for r in asked])[first].astype(np.int64)
-    for r, own in zip(asked, np.split(inverse, sizes)):
-        out.append({"kind": "reply", "chunk": r["chunk"], "bucket": bucket, "a": pack(totals[own])})
+    bucket, lists = asked[0]["bucket"], [[unpack(r[c], kind) for c, kind in zip("abcdefg", (np.uint64, np.uint32, np.uint8, np.int64, np.uint64, np.uint32, np.uint64))] for r in asked]
+    ids = [ungaps(x[0]) for x in lists]
+    context_ids, at = np.unique(np.concatenate(ids), return_inverse=True)
+    own_contexts = np.split(at, np.cumsum([len(x) for x in ids])[:-1])
+    base = np.zeros(len(context_ids), np.int64)
+    base[at] = np.concatenate([x[3] for x in lists])
+    hot = np.zeros(len(context_ids), bool)
+    hot[at] = np.concatenate([x[2] for x in lists]) == 2
+    context = np.concatenate([np.repeat(own, x[1]) for own, x in zip(own_contexts, lists)])
+    word_ids, word = np.unique(np.concatenate([x[4] for x in lists]), return_inverse=True)
+    keys, first, inverse = np.unique(context * len(word_ids) + word, return_index=True, return_inverse=True)
+    totals = np.bincount(inverse, np.concatenate([x[5] for x in lists]), len(keys)).astype(np.int64)
+    shorter = np.concatenate([x[6] for x in lists])[first].astype(np.int64)
+    context, word = keys // len(word_ids), keys % len(word_ids)
+
     seen = np.flatnonzero(totals > 0)
-    context, word, totals = context[first][seen], word[first][seen], totals[seen]
-    out.append({"kind": "model", "bucket": bucket, "a": pack(gaps(context_ids[context])), "b": pack(word_ids[word]), "c": pack(totals), "hist": [{"r": r, "n": n} for r, n in histogram(totals).items()]})
-    n, counted = len(context_ids), totals.astype(np.int64)
-    sums = [np.bincount(context, np.where(counted == r, 1, 0), n) for r in range(1, K + 1)] + [np.bincount(context, np.where(counted > K, counted, 0), n)]
-    lower = np.bincount(context, unigrams.p(alone[seen]), n)
-    for home, i, j in runs((context_ids >> np.uint64(32)).astype(np.int64)):
-        out.append({"kind": "part", "bucket": home, "a": pack(context_ids[i:j]), "b": pack(np.stack([s[i:j] for s in sums]).astype(np.uint64).ravel()), "c": pack(lower[i:j])})
+    of, n = context[seen], len(context_ids)
+    if order == 2:
+        below = unigrams.p(shorter[seen])
+    else:
+        times = np.abs(base[of])
+        below = orders[order - 1].factors[np.minimum(shorter[seen], K + 1)] * shorter[seen] / np.maximum(times, 1) * np.where(base[of] < 0, times / (times + 1), 1.0)
+    lower = np.bincount(of, below, n)
+    low_counts = np.stack([np.bincount(of, totals[seen] == r, n) for r in range(1, K + 1)]).astype(np.uint64)
+    none = (low_counts.sum(0) == 0).astype(np.uint8)
+
+    for r, x, contexts, own in zip(asked, lists, own_contexts, np.split(inverse, np.cumsum([len(x[4]) for x in lists])[:-1])):
+        cool, wanted = contexts[x[2] < 2], contexts[x[2] == 1]
+        told = (gaps(own.astype(np.uint32)), totals[own].astype(np.uint64), none[cool], lower[wanted], low_counts[:, wanted].ravel())
+        out.append({"kind": "reply", "order": order, "chunk": r["chunk"], "bucket": bucket} | {c: pack(y) for c, y in zip("abcde", told)})
+    out.append({"kind": "model", "order": order, "bucket": bucket, "a": pack(gaps(context_ids[of])), "b": pack(word_ids[word[seen]]), "c": pack(totals[seen].astype(np.uint64)), "hist": [{"r": r, "n": n} for r, n in histogram(totals).items()]})
+    shared = np.flatnonzero(hot)
+    home = bucket_of(mixed(context_ids[shared]), orders[order].buckets)
+    big = np.bincount(of, np.where(totals[seen] > K, totals[seen], 0), n).astype(np.uint64)
+    shared = shared[np.argsort(home, kind="stable")]
+    for k, i, j in runs(np.sort(home)):
+        own = shared[i:j]
+        out.append({"kind": "part", "order": order, "bucket": k, "a": pack(context_ids[own]), "b": pack(np.vstack([low_counts[:, own], big[None, own]]).ravel()), "c": pack(lower[own])})
     return rows(*out)
 
 
-def weigh(t: pa.Table, factors: list[float]) -> pa.Table:
-    """To each chunk, the backoff weights of the contexts it asked for (kind weight).
-
-    A weight below 0 stands for its amount and says that the context lost
-    nothing to discounting: one count of total + 1 is taken instead.
-    """
+def weigh(t: pa.Table, factors: np.ndarray) -> pa.Table:
+    """To each chunk, the backoff weights of the hot contexts it asked for (kind weight); below 0 where the context lost nothing to discounting."""
     listed = t.sort_by("chunk").to_pylist()
-    asked, parts = [r for r in listed if r["kind"] == "context"], [r for r in listed if r["kind"] == "part"]
-    if not asked:
+    asked, parts = [r for r in listed if r["kind"] == "hot"], [r for r in listed if r["kind"] == "part"]
+    if not asked or not parts:
         return ROW.empty_table()
     ids, inverse = np.unique(np.concatenate([unpack(r["a"], np.uint64) for r in parts]), return_inverse=True)
-    sums = np.concatenate([unpack(r["b"], np.uint64).reshape(K + 1, -1) for r in parts], axis=1).astype(np.float64)
     lower = np.bincount(inverse, np.concatenate([unpack(r["c"], np.float64) for r in parts]), len(ids))
+    sums = np.concatenate([unpack(r["b"], np.uint64).reshape(K + 1, -1) for r in parts], axis=1).astype(np.float64)
     sums = np.stack([np.bincount(inverse, s, len(ids)) for s in sums])
-    total = sums[K] + sum(r * sums[r - 1] for r in range(1, K + 1))
-    freed = sum(r * (1 - d) * sums[r - 1] for r, d in zip(range(1, K + 1), factors)) / total
-    none = freed <= 0
-    weights = np.where(none, -1 / (total + 1), freed) / np.maximum(1 - lower, 1e-12)
-    out = []
-    for r in asked:
-        wanted = unpack(r["a"], np.uint64)
-        out.append({"kind": "weight", "chunk": r["chunk"], "bucket": r["bucket"], "a": pack(weights[np.searchsorted(ids, wanted)])})
-    return rows(*out)
+    times = sums[K] + sum(r * sums[r - 1] for r in range(1, K + 1))
+    weights = weights_of(sums[:K], lower, times, factors) * np.where(sums[:K].sum(0) == 0, -1, 1)
+    return rows(*({"kind": "weight", "order": r["order"], "chunk": r["chunk"], "bucket": r["bucket"], "a": pack(weights[np.searchsorted(ids, unpack(r["a"], np.uint64))])} for r in asked))
 
 
-def evaluate(chunk: dict, replies: list[dict], unigrams: Unigrams, factors: list[float], buckets: int, hot: float) -> list[np.ndarray]:
-    """Of each document of a chunk: tokens, known tokens, the base's and the model's log10 probability."""
-    of = {k: sorted((r for r in replies if r["kind"] == k), key=lambda r: r["bucket"]) for k in ("word", "pair", "weight")}
-    own = Chunk(chunk["codes"], chunk["words"], chunk["lengths"], of["word"], buckets, hot)
-    pair = np.zeros(len(own.context), np.int64)
-    if of["pair"]:
-        pair[own.order] = np.concatenate([unpack(r["a"], np.uint64) for r in of["pair"]]).astype(np.int64)
-    weight = np.ones(len(own.ids))
-    if of["weight"]:
-        weight[own.contexts] = np.concatenate([unpack(r["a"], np.float64) for r in of["weight"]])
-    lower, context = unigrams.p(own.totals), own.totals[own.context]
-    own_weight = weight[own.context]
-    factor = np.array([0.0, *factors, 1.0])[np.minimum(pair, K + 1)] * np.where(own_weight < 0, context / (context + 1), 1.0)
-    p = np.where(pair > 0, factor * pair / np.maximum(context, 1), np.abs(own_weight) * lower[own.word])
-    total = lambda x: np.add.reduceat(x, own.starts)
-    return [own.lengths, total((own.totals > 0).astype(np.int64)[own.codes]), total(np.log10(unigrams.base(own.totals))[own.codes]), total(np.log10(p)[own.pair_of])]
-
-
-def score_documents(df: DataFrame, id_col: str, text_col: str, *, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str, text_col: str, *, order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """One row per row of df: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Trains on the rows whose crc32 of the id modulo 5 is not 1.  Words are
-    compared by 64-bit hashes, A-Z lowered.  A null text is empty: its one
-    token is the end.  Null and repeated ids stay, a row each, and repeated
-    rows train each.  Without training rows every token has probability 1.
-    An empty table gives an empty table.
+    Trains on the rows whose crc32 of the id modulo 5 is not 1.  A token's
+    context is the order - 1 tokens before it in its document, with ends before
+    the first.  Words are compared by 64-bit hashes, A-Z lowered.  A null text
+    is empty: its one token is the end.  Null and repeated ids stay, a row each,
+    and repeated rows train each.  Without training rows every token has
+    probability 1.  An empty table gives an empty table.
     """
     spark = df.sparkSession
-    made = chunks(df, id_col, text_col, chunk_tokens)
-    entries = made.agg(F.sum("entries")).first()[0] or 0
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries / BUCKET_ENTRIES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    name, where = f"katz_chunks_{uuid.uuid4().hex}", fresh_path(spark, "katz-chunks")
+    chunks(df, id_col, text_col, chunk_tokens).write.bucketBy(tasks, "chunk").option("path", where).option("compression", "zstd").saveAsTable(name)
+    made = spark.table(name)
+    entries, tokens = made.agg(F.sum("entries"), F.sum("tokens")).first()
+    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def whole(counted: DataFrame) -> dict[int, int]:
         """The histogram over all buckets: its distinct counts number at most the root of twice the tokens."""
         found = counted.filter("kind = 'model'").selectExpr("inline(hist)").groupBy("r").agg(F.sum("n").alias("n"))
         return {r["r"]: r["n"] for r in found.collect()}
 
-    words = table(ask_words(made, buckets).groupBy("bucket").applyInArrow(count_words, _DDL), "katz-words", "kind").select(*ROW.names)
-    unigrams = Unigrams(whole(words))
-    hot = max(1000.0, unigrams.total / (4 * buckets))
-
-    keyed = ("chunk", "ids", "codes", "words", "lengths", "train", "kind", "bucket", "a")
-    own = made.select("*", F.lit("chunk").alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
-    blank = lambda rows, kind: rows.select("chunk", F.lit(kind).alias("kind"), "bucket", "a", "b")
-    told = blank(words.filter("kind = 'reply'"), "word")
-    asking = own.drop("ids").unionByName(told, allowMissingColumns=True).groupBy("chunk").applyInArrow(lambda t: ask_pairs(t, buckets, hot), _DDL)
-    pairs = table(asking.groupBy("bucket").applyInArrow(lambda t: count_pairs(t, unigrams), _DDL), "katz-pairs", "kind").select(*ROW.names)
-    factors = discounts(whole(pairs))
-    weights = pairs.filter("kind in ('part', 'context')").groupBy("bucket").applyInArrow(lambda t: weigh(t, factors), _DDL)
-
-    everything = own.unionByName(told, allowMissingColumns=True)
-    everything = everything.unionByName(blank(pairs.filter("kind = 'reply'"), "pair"), allowMissingColumns=True).unionByName(blank(weights, "weight"), allowMissingColumns=True)
+    def by_bucket(asking: DataFrame, buckets: int, function) -> DataFrame:
+        return asking.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(function, _DDL)
+
+    def by_chunk(replies: DataFrame, columns: tuple, function, ddl) -> DataFrame:
+        """function of each chunk and the replies to it; the chunks stay in place."""
+        told = replies.filter("kind in ('reply', 'weight')").select("kind", "order", "chunk", "bucket", "a", "b", "c", "d", "e").repartition(tasks, "chunk")
+        return made.select("chunk", *columns).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(function, ddl)
+
+    # Spark counts the arguments of what it calls, so the order goes in by closure.
+    asks = lambda k: lambda own, told: ask_grams(own.to_pylist()[0], told.to_pylist(), k, orders, unigrams)
+    counts = lambda k: lambda t: count_grams(t, k, orders, unigrams)
+    weights = lambda k: lambda t: weigh(t, orders[k].factors)
+
+    orders = {1: Order(max(least, math.ceil((entries or 0) / bucket_entries)), math.inf)}
+    kept = [table(by_bucket(ask_words(made, orders[1].buckets), orders[1].buckets, count_words), "katz-1", "kind")]
+    replies = kept[0].select(*ROW.names)
+    unigrams = Unigrams(whole(replies))
+    lists = ("codes", "words", "lengths", "train")
+    for k in range(2, order + 1):
+        buckets = max(least, math.ceil((tokens or 0) / bucket_entries))
+        orders[k] = Order(buckets, max(1000.0, unigrams.total / (4 * buckets)))
+        asking = by_chunk(replies, lists, asks(k), _DDL)
+        kept.append(table(by_bucket(asking, buckets, counts(k)), f"katz-{k}", "kind"))
+        counted = kept[-1].select(*ROW.names)
+        orders[k].factors = factors_of(whole(counted))
+        kept.append(table(by_bucket(counted.filter("kind in ('part', 'hot')"), buckets, weights(k)), f"katz-weights-{k}"))
+        replies = replies.unionByName(counted).unionByName(kept[-1].select(*ROW.names))
+
     first = arrow_schema(df, id_col)[0]
     schema = pa.schema([("_id", first.type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def finish(t: pa.Table) -> pa.Table:
-        row = t.column("kind").to_pylist().index("chunk")
-        ids = t.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        mine = ids.slice(row, 1).flatten()
-        chunk, replies = _chunk_of(t.drop_columns(["ids"]))
-        n, known, base, score = evaluate(chunk, replies, unigrams, factors, buckets, hot)
-        return pa.table([mine, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], schema=schema)
+    def finish(own: pa.Table, told: pa.Table) -> pa.Table:
+        ids = pa.concat_arrays([c.flatten() for c in own.column("ids").chunks])
+        chunk = Chunk(own.drop_columns(["ids"]).to_pylist()[0], told.to_pylist(), orders, unigrams)
+        for k in range(2, order + 1):
+            chunk.extend(k)
+            chunk.hear(k)
+        one = chunk.levels[1]
+        total = lambda x: np.add.reduceat(x, chunk.starts)
+        known, base = total((one.totals > 0).astype(np.int64)[one.codes]), total(np.log10(unigrams.base(one.totals))[one.codes])
+        score = total(np.log10(chunk.probabilities(order))[chunk.levels[order].codes])
+        return pa.table([ids, pa.array(chunk.lengths), pa.array(known), pa.array(base), pa.array(score)], schema=schema)
 
     ddl = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = everything.select("ids", "chunk", "codes", "words", "lengths", "kind", "bucket", "a", "b").groupBy("chunk").applyInArrow(finish, ddl)
+    scored = table(by_chunk(replies, ("ids", *lists), finish, ddl), "katz-scores")
+    spark.sql(f"drop table {name}")
+    made._table_path = where
+    drop_tables(made, *kept)
     return scored.select(F.col("_id").alias(id_col), (fold_of("_id", HELD[0]) == HELD[1]).alias("held_out"), "n_tokens", "n_known", F.lit(unigrams.total).cast("long").alias("train_tokens"), "base_score", "score")
