@@ -1,6 +1,9 @@
 """The engine on small transcripts: each operator, and what a compaction must never break."""
 
 import json
+import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,15 +236,54 @@ def test_archive(spark, tmp_path):
     first = spark.createDataFrame([record("a", "one", seq=1), record("b", "two", "t", 2)], ARCHIVE)
     store.put(first)
     store.put(first)
-    assert store.read().count() == 2 and one(store.get("a"), "content") == ["one"]
+    assert store.read().count() == 2 and one(store.get("s", "a"), "content") == ["one"]
     with pytest.raises(Exception, match="exists with different content"):
         store.put(spark.createDataFrame([record("a", "other")], ARCHIVE))
     assert [tuple(r) for r in store.stats().orderBy("overall", "session_id").collect()] == [("s", 1, 5, 0), ("t", 1, 5, 0), (None, 2, 10, 1)]
     assert one(store.list(limit=1), "preview") == ["one"]
-    assert one(archive.get_many(store.read(), ["b", "x", "a"]), "id") == ["b", "a"]
+    assert one(archive.get_many(store.read(), [("t", "b"), ("s", "x"), ("s", "b"), ("s", "a")]), "id") == ["b", "a"]
     store.put(spark.createDataFrame([record("c", "three", seq=3)], ARCHIVE))
-    assert store.purge(["a", "b", "nothing"]) == 2
+    keys = spark.createDataFrame([("s", "a"), ("t", "b"), ("t", "c"), ("s", "nothing")], "session_id string, id string")
+    assert store.purge(keys) == 2 and store.purge(keys) == 0
     assert one(store.read(), "id") == ["c"] and store.sessions().count() == 1
+    assert [f for f in os.listdir(tmp_path) if "purge" in f] == []
+
+
+def test_archive_keeps_equal_ids_of_sessions_apart(spark, tmp_path):
+    """Two sessions of the same calls: all records of both stay, and each is found by its session."""
+    store = archive.Archive(spark, f"file://{tmp_path}/archive")
+    both = session(spark).unionByName(session(spark).withColumn("session_id", F.lit("other=s/1")))
+    rows = compaction.compact(both, EngineConfig()).archive
+    store.put(rows)
+    store.put(rows)
+    counts = {r["session_id"]: r["count"] for r in store.read().groupBy("session_id").count().collect()}
+    assert len(counts) == 2 and counts["s"] == counts["other=s/1"] == rows.count() / 2 > 0
+    id = one(store.read(), "id")[0]
+    assert sorted(one(store.locate(id), "session_id")) == ["other=s/1", "s"] and store.get("s", id).count() == 1
+    assert store.purge(store.read().filter("session_id = 'other=s/1'")) == counts["s"] and one(store.sessions(), "session_id") == ["s"]
+
+
+@pytest.mark.parametrize("sessions, fails", [(("s", "s"), True), (("s", "t"), False)])
+def test_conflicts_inside_a_batch(spark, tmp_path, sessions, fails):
+    store = archive.Archive(spark, f"file://{tmp_path}/archive")
+    rows = spark.createDataFrame([record("a", c, s)[:6] + (f"hash of {c}",) + record("a", c, s)[7:] for c, s in zip(("one", "two"), sessions)], ARCHIVE)
+    if fails:
+        with pytest.raises(Exception, match="exists with different content"):
+            store.put(rows)
+    else:
+        store.put(rows)
+        assert store.read().count() == 2
+
+
+def test_why_and_restore(spark, tmp_path):
+    store = archive.Archive(spark, f"file://{tmp_path}/archive")
+    made = compaction.compact(session(spark), EngineConfig())
+    store.put(made.archive)
+    gone = made.archive.filter("kind = 'tool_result'").first()
+    reasons = store.why("s", gone["id"]).orderBy("place").collect()
+    assert [r["code"] for r in reasons] == [r["code"] for r in gone["reasons"]] and reasons[0]["related"].startswith("call e_")
+    block = one(store.restore([("s", gone["id"])]), "block")[0]
+    assert block.startswith(f'<restored_context id="{gone["id"]}" kind="tool_result" tool="') and block.endswith(f">\n{gone['content']}\n</restored_context>")
 
 
 def test_terms(spark):
@@ -270,6 +312,26 @@ def test_best_window():
     assert retrieve.best_window("short", ["a"], 100) == (0, 5)
 
 
+def test_best_window_equals_trying_all():
+    """Of slices that begin a quarter before a hit, the first with the most distinct terms, then hits."""
+    rng = random.Random(4)
+    for _ in range(300):
+        content, terms, most = "".join(rng.choices(["abc", "bcd ", "xyz", "ab", "\n", "q" * 9], k=rng.randrange(1, 60))), ["abc", "bcd", "xyzab", "ab", "cdx"], rng.randrange(5, 60)
+        if len(content) <= most:
+            continue
+        hits = sorted((m.start(), t) for t in terms if len(t) >= 3 for m in re.finditer(t, content))
+        best = (-1, 0)
+        for begin in sorted({max(0, min(at - most // 4, len(content) - most)) for at, _ in hits}):
+            inside = [t for at, t in hits if begin <= at < begin + most]
+            best = max(best, (10 * len(set(inside)) + min(len(inside), 50), -begin))
+        start, end = -best[1], -best[1] + most
+        if start and content[start - 1] != "\n" and 0 <= (line := content.find("\n", start)) < start + 200:
+            start = line + 1
+        if end < len(content) and (line := content.rfind("\n", 0, end + 1)) > start and end - line < 200:
+            end = line
+        assert retrieve.best_window(content, terms, most) == (start, end)
+
+
 # ---- redaction
 
 
@@ -291,6 +353,23 @@ def test_detectors(spark, kind, value):
     assert [(s["kind"], s["value"]) for s in spans] == [(kind, value)]
 
 
+def test_secrets_by_precedence():
+    """Against claiming places one detector after the other; and many secrets take no more than their share of time."""
+    detectors = [(k, re.compile(p), g) for k, p, g in redaction.DETECTORS]
+    rng = random.Random(5)
+    pieces = ["password=", "token: ", "sk-ant-", "sk-", "A" * 24, "ghp_" + "b" * 36, "Bearer ", "eyJ" + "c" * 12 + ".", "d" * 12 + ".", "\n", "API_KEY=", "postgres://u:", "@h", " ", "${X}", "xxx", "AKIA" + "E" * 16]
+    for _ in range(1500):
+        text, taken, want = "".join(rng.choices(pieces, k=rng.randrange(16))), set(), []
+        for kind, pattern, group in detectors:
+            for m in pattern.finditer(text):
+                a, b = m.span(group)
+                if redaction.is_secret(m[group]) and not taken & set(range(a, b)):
+                    taken |= set(range(a, b))
+                    want.append((a, b, kind))
+        assert [(s["start"], s["end"], s["kind"]) for s in redaction.secrets_of(text, detectors)] == sorted(want), text
+    assert len(redaction.secrets_of("password=abcdefgh1 " * 20_000, detectors)) == 20_000
+
+
 def test_redact(spark):
     rows = [("s", 0, "password=hunter2hunter and again hunter2hunter"), ("s", 1, "token: hunter2hunter, api_key = otherother1"), ("t", 0, "secret=otherother1"), ("t", 1, "password=${VAR_NAME} token=<redacted>"), ("t", 2, "cd /home/alice/x"), ("t", 3, None)]
     df = spark.createDataFrame(rows, "session string, at int, text string")

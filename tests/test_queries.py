@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables, where they are."""
 
+import numbers
 import os
 
 import pytest
@@ -24,7 +25,7 @@ def duck():
 
 def rows(frame, columns):
     def plain(v):
-        return "null" if v is None or str(v) in ("nan", "<NA>", "NaT") else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return "null" if v is None or str(v) in ("nan", "<NA>", "NaT", "None") else f"{float(v):.6f}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False, name=None))
 

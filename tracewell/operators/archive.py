@@ -1,22 +1,36 @@
-"""The archive: an append-only Parquet table by session, with lookups, lists and totals."""
+"""The archive: an append-only Parquet table by session, with lookups, lists and totals.
+
+A record is known by its session and id: ids are hashes of content, so two
+sessions may well have the same.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, truncate
 from ..schema import ARCHIVE
 
+KEY = ["session_id", "id"]
+
 
 def fresh_records(known: DataFrame, records: DataFrame) -> DataFrame:
-    """The first of each id among records, without those that known has; an id that comes with other content is an error."""
-    had = known.select(F.col("id").alias("k"), F.col("content_hash").alias("had")).distinct()
-    clash = F.raise_error(F.concat(F.lit("archive record "), F.col("id"), F.lit(" exists with different content"))).cast("string")
-    joined = records.join(had, F.col("id") == F.col("k"), "left")
-    checked = joined.withColumn("content_hash", F.when(F.col("had").isNull() | (F.col("had") == F.col("content_hash")), F.col("content_hash")).otherwise(clash))
-    return checked.filter("had is null or content_hash <> had").drop("k", "had").dropDuplicates(["id"])
+    """One of each session and id among records, without those that known has.
+
+    An id that comes with other content than in known, or with two contents
+    among records, is an error.
+    """
+    had = known.groupBy(*KEY).agg(F.min("content_hash").alias("had"))
+    once = records.groupBy(*KEY).agg(F.min(F.struct("content_hash", *[c for c in records.columns if c not in (*KEY, "content_hash")])).alias("r"), F.max("content_hash").alias("other"))
+    joined = once.join(had, KEY, "left")
+    clash = F.raise_error(F.concat(F.lit("archive record "), F.col("id"), F.lit(" of session "), F.col("session_id"), F.lit(" exists with different content")))
+    same = (F.col("r.content_hash") == F.col("other")) & F.coalesce(F.col("had") == F.col("other"), F.lit(True))
+    checked = joined.withColumn("fresh", F.when(same, F.col("had").isNull()).otherwise(clash.cast("boolean")))
+    return checked.filter("fresh").select(*[F.col(c) if c in KEY else F.col(f"r.{c}").alias(c) for c in records.columns])
 
 
 def summaries(records: DataFrame) -> DataFrame:
@@ -43,10 +57,28 @@ def totals(records: DataFrame) -> DataFrame:
     return records.rollup("session_id").agg(F.count("*").alias("records"), F.sum("token_estimate").alias("tokens"), F.grouping("session_id").cast("int").alias("overall"))
 
 
-def get_many(records: DataFrame, ids: list[str]) -> DataFrame:
-    """Records of ids in the order asked for; ids that aren't there have no row."""
-    wanted = records.sparkSession.createDataFrame(list(enumerate(ids)), "place int, id string")
-    return records.join(F.broadcast(wanted), "id").orderBy("place").drop("place")
+def get_many(records: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """Records of (session_id, id) in the order asked for; keys that aren't there have no row."""
+    wanted = records.sparkSession.createDataFrame([(n, *k) for n, k in enumerate(keys)], "place int, session_id string, id string")
+    return records.join(F.broadcast(wanted), KEY).orderBy("place").drop("place")
+
+
+def why(records: DataFrame) -> DataFrame:
+    """A row for each reason why a record left: session_id, id, kind, tool_name, action, place, code, detail, related."""
+    related = F.array_join(F.transform("related", lambda r: F.concat(r["relation"], F.lit(" "), r["id"])), ", ")
+    return records.select(*KEY, "kind", "tool_name", "action", F.posexplode_outer("reasons").alias("place", "r"), related.alias("related")).select(*KEY, "kind", "tool_name", "action", "place", "r.code", "r.detail", "related")
+
+
+def restored(records: DataFrame) -> DataFrame:
+    """Records with block: the whole content in a wrapper that says where it is from."""
+    return records.withColumn("block", wrapped("restored_context", F.col("content")))
+
+
+def wrapped(tag: str, content: Column) -> Column:
+    """content between tags that carry a record's id, kind, tool and seq; what is null or empty has no attribute."""
+    value = lambda c: F.regexp_replace(F.col(c).cast("string"), '["<>]', "")
+    named = [F.when(F.coalesce(value(c), F.lit("")) != "", F.concat(F.lit(f' {name}="'), value(c), F.lit('"'))) for name, c in (("id", "id"), ("kind", "kind"), ("tool", "tool_name"), ("seq", "seq"))]
+    return F.concat(F.lit(f"<{tag}"), F.concat_ws("", *named), F.lit(">\n"), F.coalesce(content, F.lit("")), F.lit(f"\n</{tag}>"))
 
 
 class Archive:
@@ -64,14 +96,25 @@ class Archive:
             return self.spark.createDataFrame([], ARCHIVE)
 
     def put(self, records: DataFrame) -> None:
-        """Adds what is new; the same record again changes nothing, other content under a known id fails."""
+        """Adds what is new; the same record again changes nothing, other content under a known id of its session fails."""
         self._write(fresh_records(self.read(), records))
 
     def _write(self, rows: DataFrame) -> None:
         rows.repartition("session_id").write.mode("append").partitionBy("session_id").parquet(self.path)
 
-    def get(self, id: str) -> DataFrame:
-        return self.read().filter(F.col("id") == id)
+    def get(self, session_id: str, id: str) -> DataFrame:
+        return self.read().filter((F.col("session_id") == session_id) & (F.col("id") == id))
+
+    def locate(self, id: str) -> DataFrame:
+        """The sessions that have a record of that id."""
+        return self.read().filter(F.col("id") == id).select("session_id").distinct()
+
+    def why(self, session_id: str, id: str) -> DataFrame:
+        return why(self.get(session_id, id))
+
+    def restore(self, keys: list[tuple[str, str]]) -> DataFrame:
+        """The blocks that put records back, in the order asked for."""
+        return restored(get_many(self.read(), keys))
 
     def list(self, limit: int | None = None, **where) -> DataFrame:
         rows = summaries(matching(self.read(), **where)).orderBy("seq", "archived_at", "id")
@@ -83,26 +126,37 @@ class Archive:
     def sessions(self) -> DataFrame:
         return self.read().select("session_id").distinct()
 
-    def purge(self, ids: list[str]) -> int:
-        """Removes records by id, rewriting only the sessions that have them; how many went."""
-        wanted = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        hit = self.read().join(F.broadcast(wanted), "id", "left_semi").groupBy("session_id").count()
-        touched = {r["session_id"]: r["count"] for r in hit.collect()}  # no more rows than ids
-        for session in touched:
-            rows = self.read().filter(F.col("session_id") == session).join(F.broadcast(wanted), "id", "left_anti")
-            staged = f"{self.path}/_staged"
-            rows.write.mode("overwrite").parquet(staged)
-            kept = self.spark.read.schema(rows.schema).parquet(staged)
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(self.path)
-            if kept.isEmpty():
-                self._drop(session)
-            self._drop_path(staged)
-        return sum(touched.values())
-
-    def _drop(self, session: str) -> None:
-        self._drop_path(f"{self.path}/session_id={session}")
+    def purge(self, keys: DataFrame) -> int:
+        """Removes the records of keys (session_id, id); how many went.
+
+        One pass over the sessions that have any: what stays of them is written
+        to a folder of its own beside the archive first, and put in place from
+        there, all sessions at once.  If that is cut short, the folder still has
+        every record that stays, and putting it in place again mends it.
+        """
+        keys = keys.select(*KEY).distinct()
+        before = self.read()
+        gone = before.join(keys, KEY, "left_semi")
+        touched = gone.select("session_id").distinct()
+        n = gone.count()
+        if not n:
+            return 0
+        staged = f"{self.path.rstrip('/')}-purge-{uuid.uuid4().hex}"
+        before.join(touched, "session_id", "left_semi").join(keys, KEY, "left_anti").write.parquet(staged)
+        kept = self.spark.read.schema(before.schema).parquet(staged)
+        emptied = touched.join(kept.select("session_id").distinct(), "session_id", "left_anti")
+        folders = [f"{self.path}/session_id={_escaped(self.spark, r['session_id'])}" for r in emptied.toLocalIterator()]  # sessions without any record left
+        kept.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(self.path)
+        for folder in folders:
+            self._drop_path(folder)
+        self._drop_path(staged)
+        return n
 
     def _drop_path(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _escaped(spark: SparkSession, value: str | None) -> str:
+    """A session's name as Spark writes it in a folder's."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("x", value)[2:]

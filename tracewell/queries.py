@@ -315,8 +315,7 @@ def apply_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with {_SCORES}{_decided('0.4e0')} select session_id, action, 'tool_result' as kind, count(*) as records, cast(sum(length(result)) as bigint) as chars from v where action not in ('PIN_VERBATIM', 'KEEP_VERBATIM') group by all union all select session_id, action, 'tool_use', count(*), cast(sum(length(input)) as bigint) from v where action in ('ARCHIVE_ONLY', 'DROP_REDUNDANT') group by all"
 )
 def archive_put(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _compaction(spark, sf_dir).archive
-    fresh = archive.fresh_records(spark.createDataFrame([], "id string, content_hash string"), rows.withColumn("id", F.concat_ws(":", "session_id", "id")))
+    fresh = archive.fresh_records(spark.createDataFrame([], "session_id string, id string, content_hash string"), _compaction(spark, sf_dir).archive)
     return fresh.groupBy("session_id", "action", "kind").agg(F.count("*").alias("records"), F.sum(F.length("content")).cast("long").alias("chars"))
 
 
