@@ -13,7 +13,7 @@ from tracewell.functions import redaction, sketch, terms, text
 from tracewell.operators import archive, evals, fit, graph, ledger, rebuild, retrieve, rules, scoring, search
 from tracewell.plans import compaction
 from tracewell.schema import ARCHIVE, MESSAGES
-from tracewell.sources import transcripts
+from tracewell.sources import datasets, transcripts
 from tracewell.streaming import trigger
 
 
@@ -452,3 +452,120 @@ def test_transcripts(spark, tmp_path):
     assert skipped == {("abc", "parse_error"): 1, ("abc", "summary"): 1, ("abc", "sidechain"): 1, ("g", "orphan_chain"): 1}
     assert [r["text"] for r in rows if r["session_id"] == "g"] == ["a", "b"]
     assert one(transcripts.list_sessions(spark, str(tmp_path)), "session_id") == ["f", "g"]
+
+
+# ---- redaction before scoring, and what follows a compaction
+
+KEY = "sk-ant-" + "k" * 30
+
+
+class Spy:
+    """A scorer that keeps what it is shown."""
+
+    default_threshold = 0.4
+
+    def __init__(self):
+        self.seen = []
+
+    def score(self, calls):
+        self.seen += [r.asDict() for r in calls.collect()]
+        return calls.withColumn("keep_call", F.lit(0.5)).withColumn("keep_result", F.lit(0.5))
+
+
+def secretive(spark):
+    first = [("user", f"my key is {KEY}"), ("assistant", "", [use("a", "Bash", command=f"curl -H {KEY}", env={"K": [KEY, "fine"]})]), ("user", "", [], [("a", f"{KEY} was refused\ntoken=" + "q" * 20, False)])]
+    return transcript(spark, *first, ("assistant", "no more")).unionByName(transcript(spark, ("user", "plain"), ("assistant", "", [use("a", "Read", path="x/y.py")]), ("user", "", [], [("a", "text", None)]), session="t"))
+
+
+def test_redact_messages(spark):
+    hidden = {r["message_index"]: r for r in redaction.redact_messages(secretive(spark)).collect()}
+    assert {r["session_id"] for r in hidden.values()} == {"s"} and len(hidden) == 4
+    assert hidden[0]["text"] == "my key is <SECRET_1>" and hidden[3]["text"] == "no more"
+    assert json.loads(hidden[1]["tool_uses"][0]["input"]) == {"command": "curl -H <SECRET_1>", "env": {"K": ["<SECRET_1>", "fine"]}}
+    assert hidden[2]["tool_results"][0]["text"] == "<SECRET_1> was refused\ntoken=<SECRET_2>"
+    assert [tuple(r) for r in redaction.secret_counts(secretive(spark)).collect()] == [("s", 2)]
+    assert redaction.redact_messages(secretive(spark).filter("session_id = 't'")).count() == 0
+
+
+def test_scorers_see_no_secrets(spark):
+    spy = Spy()
+    rows = {r["session_id"]: r for r in compaction.decided(secretive(spark), EngineConfig(), spy).collect()}
+    assert len(spy.seen) == 2 and KEY not in repr(spy.seen) and "<SECRET_1>" in repr(spy.seen)
+    assert KEY in rows["s"]["input"] and KEY in rows["s"]["result"] and rows["t"]["result"] == "text"
+    shown = Spy()
+    compaction.decided(secretive(spark), EngineConfig(redact=False), shown).collect()
+    assert KEY in repr(shown.seen)
+
+
+def test_gate_and_notes(spark):
+    messages = session(spark)
+    for least, changed in ((0.05, True), (0.99, False)):
+        config = EngineConfig(min_reduction=least)
+        made = compaction.compact(messages, config)
+        after = compaction.accepted(messages, made)
+        assert made.report.first()["accepted"] is changed
+        assert (sorted(map(str, after.collect())) == sorted(map(str, messages.collect()))) is not changed
+    noted = rebuild.with_notes(made.messages, made.report, "c_1", "now").orderBy("message_index").collect()
+    old = made.messages.orderBy("message_index").collect()
+    assert len(noted) == len(old) + 1 and noted[0]["text"] == old[0]["text"] and noted[1]["text"].startswith("[compaction c_1 at now] ") and noted[2]["text"] == old[1]["text"]
+    assert [r["message_index"] for r in rebuild.rechained(made.messages).orderBy("message_index").collect()] == list(range(len(old)))
+
+
+def test_orphans_and_rendering(spark):
+    messages = transcript(spark, ("user", "hi", [], [("a", "stray", False)]), ("assistant", " ", [use("a", "Read")]), ("user", "", [], [("a", "r" * 50, False), ("z", "stray", False)]), ("user", " "))
+    kept = rebuild.without_orphans(messages).orderBy("message_index").collect()
+    assert [[x["tool_use_id"] for x in r["tool_results"]] for r in kept] == [[], [], ["a"], []]
+    assert [r["message_index"] for r in rebuild.rechained(rebuild.without_orphans(messages)).orderBy("message_index").collect()] == [0, 1, 2]
+    lines = {r["message_index"]: r["line"] for r in rebuild.rendered(messages, most_result=10, most=90).collect()}
+    assert lines[2] == "user: [result a: " + "r" * 10 + "\n[... 40 more chars]]\n[result z: stray]" and lines[0].startswith("user: [message of ")
+
+
+def test_ancestor(spark):
+    messages = session(spark)
+    calls = rules.with_facts(ledger.tool_calls(messages), 12)
+    decisions = scoring.decide_ancestor(scoring.RulesetScorer().score(calls, messages), 0.25)
+    after = scoring.apply_ancestor(messages, decisions)
+    actions = {r["tool_use_id"]: r["action"] for r in decisions.collect()}
+    left = {u["tool_use_id"] for r in after.collect() for u in r["tool_uses"]}
+    assert left == {i for i, a in actions.items() if a != "drop_call"} and set(actions.values()) > {"drop_call"}
+    stats = scoring.ancestor_stats(messages, after, decisions).first()
+    assert stats["chars_after"] < stats["chars_before"] and stats["calls"] == len(actions)
+    lines = one(scoring.decision_lines(compaction.decided(messages, EngineConfig())), "line")
+    assert len(lines) == 11 and any(x.startswith("d1 Glob DROP_REDUNDANT duplicate call=") for x in lines)
+
+
+def test_cassette(spark, tmp_path):
+    calls = ledger.tool_calls(session(spark)).withColumn("keep_call", F.lit(0.25)).withColumn("keep_result", F.lit(0.75))
+    tape = scoring.Cassette.record(calls)
+    tape.save(f"{tmp_path}/tape")
+    again = scoring.Cassette.load(spark, f"{tmp_path}/tape")
+    plain = ledger.tool_calls(session(spark))
+    got = again.scorer(plain, strict=True).score(plain).collect()
+    assert len(got) == 11 and {r["keep_result"] for r in got} == {0.75} and again.answers.count() < 11
+    with pytest.raises(ValueError, match="a cassette needs"):
+        scoring.Cassette(spark.createDataFrame([("x",)], "request_hash string"))
+
+
+def test_judges_and_needles(spark):
+    replies = spark.createDataFrame([("s", 'well {"verdicts": [{"id": "a", "present": "ABSENT"}, {"id": "b", "present": "present"}]} done'), ("s", "no json"), ("t", None)], "session_id string, text string")
+    assert sorted(tuple(r) for r in evals.verdicts_of(replies).collect()) == [("s", "a", "absent"), ("s", "b", "present")]
+    needles = spark.createDataFrame([("s", 1, "red"), ("s", 2, "blue"), ("t", 3, "x")], "session_id string, needle_id int, needle string")
+    blocks = spark.createDataFrame([("s", "a red one"), ("s", "red again"), ("s", "green")], "session_id string, block string")
+    assert sorted(tuple(r) for r in evals.retrieval_check(needles, blocks).collect()) == [("s", 2, 1, 3, 1), ("t", 1, 0, 0, 0)]
+    assert trigger.threshold_of(120_000) == 120_000 and trigger.threshold_of(120_000, 100_000, 80) == 80_000
+
+
+def test_cases(spark, tmp_path):
+    case = tmp_path / "deep" / "case-1"
+    case.mkdir(parents=True)
+    (case / "transcript.json").write_text(json.dumps([{"role": "user", "text": "hi"}, {"role": "assistant", "text": "", "toolUses": [{"id": "a", "tool": "Read", "input": '{"path":"x"}', "text": "abc"}]}]))
+    (case / "labels.json").write_text(json.dumps({"labels": {"a": "must_keep"}, "probes": [{"id": "p", "kind": "value", "text": "abc", "where": "active"}]}))
+    (tmp_path / "bare").mkdir()
+    (tmp_path / "bare" / "transcript.json").write_text("[]")
+    cases = datasets.read_cases(spark, str(tmp_path))
+    assert [tuple(r)[:4] for r in cases.messages.orderBy("message_index").collect()] == [("case-1", 0, "user", "hi"), ("case-1", 1, "assistant", "")]
+    assert [tuple(r) for r in cases.labels.collect()] == [("case-1", "a", "must_keep")] and [tuple(r) for r in cases.probes.collect()] == [("case-1", "p", "value", "abc", "active")]
+    assert cases.meta.count() == 0
+    datasets.write_cases(cases.messages, cases.labels, f"{tmp_path}/out")
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out/meta").select("session_id", "messages", "tool_calls", "chars", "est_tokens").collect()] == [("case-1", 2, 1, 17, 1 + 6 + 1)]
+    assert spark.read.parquet(f"{tmp_path}/out/messages").count() == 2

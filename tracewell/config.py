@@ -66,11 +66,10 @@ class EngineConfig:
 
     preserve_recent: int = 6
     head_chars: int = 300
-    max_state_tokens: int = 25_000
-    max_request_tokens: int = 30_000
     min_reduction: float = 0.25
-    compact_at_tokens: int = 120_000
     mark_removed: bool = True
+    redact: bool = True
+    user_paths: bool = False
     rules: RuleOptions = RuleOptions()
     ruleset: RulesetOptions = RulesetOptions()
     policy: PolicyOptions = PolicyOptions()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect
 
@@ -118,3 +119,94 @@ def redact(df: DataFrame, session: str, order: list[str], text: str, **options)
     done = lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text))))
     redacted = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, done)).otherwise(F.col(text))
     return joined.withColumn("secrets", F.size("_spans")).withColumn(text, redacted).drop("_spans", "_at", "_row", "_names")
+
+
+def leaves_of(value) -> list[str]:
+    """The strings of a JSON value, in order."""
+    if isinstance(value, str):
+        return [value]
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return [leaf for x in inner for leaf in leaves_of(x)]
+
+
+def with_leaves(value, leaves):
+    """A JSON value with its strings taken from an iterator, in order."""
+    if isinstance(value, str):
+        return next(leaves)
+    if isinstance(value, dict):
+        return {k: with_leaves(x, leaves) for k, x in value.items()}
+    return [with_leaves(x, leaves) for x in value] if isinstance(value, list) else value
+
+
+def _parsed(text: str):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
+def json_leaves(json_text: Column) -> Column:
+    """The strings of a JSON text; of a text that isn't JSON, the text. Null has none."""
+
+    @F.arrow_udf("array<string>")
+    def leaves(texts: pa.Array) -> pa.Array:
+        return pa.array([leaves_of(_parsed(t)) if t is not None else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return leaves(json_text)
+
+
+def json_with_leaves(json_texts: Column, leaves: Column) -> Column:
+    """An array of JSON texts, each with its strings taken from its own array of leaves; those without leaves stay as they are."""
+
+    def rebuilt(text: str, own: list[str]) -> str:
+        made = with_leaves(value := _parsed(text), iter(own))
+        return made if value is text else json.dumps(made, ensure_ascii=False, separators=(",", ":"))
+
+    @F.arrow_udf("array<string>")
+    def inputs(texts: pa.Array, own: pa.Array) -> pa.Array:
+        return pa.array([[rebuilt(t, x) if x else t for t, x in zip(ts, xs)] for ts, xs in zip(texts.to_pylist(), own.to_pylist())], pa.list_(pa.string()))
+
+    return inputs(json_texts, leaves)
+
+
+def slots_of(messages: DataFrame) -> DataFrame:
+    """session_id, message_index, slot, sub, leaf, content: the texts of messages that look suspicious, in the order in which secrets are numbered.
+
+    A message's text is slot 0; the strings of its uses' inputs and their
+    texts are slot 1 by use (texts last), its results slot 2.
+    """
+    uses = F.transform("tool_uses", lambda u, i: F.struct(F.lit(1).alias("slot"), i.alias("sub"), u["input"].alias("json"), u["text"].alias("text")))
+    results = F.transform("tool_results", lambda r, i: F.struct(F.lit(2).alias("slot"), i.alias("sub"), F.lit(None).cast("string").alias("json"), r["text"].alias("text")))
+    own = F.array(F.struct(F.lit(0).alias("slot"), F.lit(0).alias("sub"), F.lit(None).cast("string").alias("json"), F.col("text")))
+    rows = messages.select("session_id", "message_index", F.inline(F.concat(own, uses, results)))
+    rows = rows.filter(suspicious(F.coalesce("text", F.lit(""))) | suspicious(F.coalesce("json", F.lit(""))))
+    strings = F.transform(json_leaves(F.when(suspicious(F.coalesce("json", F.lit(""))), F.col("json"))), lambda x, i: F.struct(i.alias("leaf"), x.alias("content")))
+    last = F.struct(F.lit(2**31 - 1).alias("leaf"), F.col("text").alias("content"))
+    return rows.withColumn("all", strings).select("session_id", "message_index", "slot", "sub", F.inline(F.concat("all", F.array(last)))).filter("content is not null")
+
+
+def redact_messages(messages: DataFrame, **options) -> DataFrame:
+    """The messages of sessions that have secrets, with these redacted in texts, inputs and results; sessions without any have no row.
+
+    A secret has the same number all over its session, by first sight.
+    """
+    order = ["message_index", "slot", "sub", "leaf"]
+    slots = redact(slots_of(messages), "session_id", order, "content", **options)
+    changed = slots.groupBy("session_id", "message_index", "slot", "sub").agg(F.sum("secrets").alias("secrets"), F.max(F.when(F.col("leaf") == 2**31 - 1, F.col("content"))).alias("text"), F.transform(F.array_sort(F.collect_list(F.when(F.col("leaf") < 2**31 - 1, F.struct("leaf", "content")))), lambda x: x["content"]).alias("leaves"))
+    changed = changed.filter("secrets > 0").groupBy("session_id", "message_index").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("slot", "sub"), F.struct("text", "leaves")))).alias("_new"))
+    mine = messages.join(changed.select("session_id").distinct(), "session_id", "left_semi").join(changed, ["session_id", "message_index"], "left")
+    new = lambda slot, sub: F.try_element_at("_new", F.struct(F.lit(slot).alias("slot"), sub.alias("sub")))
+    text = lambda slot, sub, old: F.coalesce(new(slot, sub)["text"], old)
+    # Inputs are rebuilt for all uses of a message at once: an Arrow function can't be called inside transform().
+    rows = mine.withColumn("_uses", F.transform("tool_uses", lambda u, i: F.struct(u.alias("u"), new(1, i)["leaves"].alias("leaves"), text(1, i, u["text"]).alias("text"))))
+    rows = rows.withColumn("_inputs", json_with_leaves(F.transform("_uses", lambda x: x["u"]["input"]), F.transform("_uses", lambda x: x["leaves"])))
+    uses = F.zip_with("_uses", "_inputs", lambda x, given: x["u"].withField("input", given).withField("text", x["text"]))
+    results = F.transform("tool_results", lambda r, i: r.withField("text", text(2, i, r["text"])))
+    kinds = dict(messages.dtypes)
+    return rows.select("session_id", "message_index", "role", text(0, F.lit(0), F.col("text")).alias("text"), uses.cast(kinds["tool_uses"]).alias("tool_uses"), results.cast(kinds["tool_results"]).alias("tool_results"))
+
+
+def secret_counts(messages: DataFrame, **options) -> DataFrame:
+    """Distinct secrets of each session that has any: session_id, secrets."""
+    spans = slots_of(messages).select("session_id", F.explode(secret_spans(F.col("content"), **options)).alias("s")).filter("s.kind <> 'user_path'")
+    return spans.groupBy("session_id").agg(F.count_distinct("s.value").alias("secrets"))

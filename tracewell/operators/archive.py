@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, truncate
 from ..schema import ARCHIVE
+from ..storage import drop_path
 
 KEY = ["session_id", "id"]
 
@@ -148,14 +149,10 @@ class Archive:
         folders = [f"{self.path}/session_id={_escaped(self.spark, r['session_id'])}" for r in emptied.toLocalIterator()]  # sessions without any record left
         kept.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(self.path)
         for folder in folders:
-            self._drop_path(folder)
-        self._drop_path(staged)
+            drop_path(self.spark, folder)
+        drop_path(self.spark, staged)
         return n
 
-    def _drop_path(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
 
 def _escaped(spark: SparkSession, value: str | None) -> str:
     """A session's name as Spark writes it in a folder's."""

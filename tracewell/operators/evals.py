@@ -73,3 +73,46 @@ def sampled(rows: DataFrame, session: str, order: str, most: int) -> DataFrame:
     rows = rows.withColumn("_k", F.ceil(F.col("_p") / step).cast("int"))
     chosen = (F.col("_n") <= most) | ((F.floor(F.col("_k") * step) == F.col("_p")) & (F.col("_k") < most))
     return rows.filter(chosen).drop("_p", "_n", "_k")
+
+
+def verdicts_of(replies: DataFrame) -> DataFrame:
+    """session_id, item_id, present of judges' replies (session_id, text): the JSON between the first and the last brace, whatever is around it; a reply without any has no verdict."""
+    json = F.regexp_extract("text", r"(?s)\{.*\}", 0)
+    parsed = F.from_json(json, "verdicts array<struct<id: string, present: string>>")
+    return replies.select("session_id", F.inline(parsed["verdicts"])).select("session_id", F.col("id").alias("item_id"), F.lower("present").alias("present")).filter("item_id is not null")
+
+
+def judge_summary(items: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per session, of judged items (session_id, item_id, kind: call, probe or drop): how many are absent, paraphrased or there against what was expected; an item without a verdict counts as absent."""
+    given = verdicts.groupBy("session_id", "item_id").agg(F.max("present").alias("present"))
+    rows = items.join(given, ["session_id", "item_id"], "left").withColumn("seen", F.coalesce("present", F.lit("absent")))
+    call, probe, drop = (F.col("kind") == k for k in ("call", "probe", "drop"))
+    absent = F.col("seen") == "absent"
+    return rows.groupBy("session_id").agg(
+        F.count_if(call).alias("must_keep_total"),
+        F.count_if(call & absent).alias("must_keep_absent"),
+        F.count_if(probe).alias("probes_total"),
+        F.count_if(probe & absent).alias("probes_absent"),
+        F.count_if(probe & (F.col("seen") == "paraphrased")).alias("probes_paraphrased"),
+        F.count_if(drop).alias("safe_to_drop_total"),
+        F.count_if(drop & ~absent).alias("safe_to_drop_present"),
+        F.count_if(F.col("present").isNull()).alias("missing_verdicts"),
+    )
+
+
+def retrieval_check(needles: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per session, of needles (session_id, needle_id, needle) that left the context: how many the retrieved blocks (session_id, block) bring back, and how many blocks have none."""
+    own = needles.select("session_id", "needle_id", "needle").distinct()
+    texts = blocks.select("session_id", F.monotonically_increasing_id().alias("n"), "block")
+    met = own.join(texts, "session_id").filter(F.contains("block", F.col("needle")))
+    found = met.select("session_id", "needle_id").distinct().groupBy("session_id").agg(F.count("*").alias("recovered"))
+    useful = met.select("session_id", "n").distinct().groupBy("session_id").agg(F.count("*").alias("useful"))
+    total, shown = own.groupBy("session_id").agg(F.count("*").alias("needles")), texts.groupBy("session_id").agg(F.count("*").alias("blocks"))
+    rows = total.join(shown, "session_id", "full").join(found, "session_id", "left").join(useful, "session_id", "left").na.fill(0)
+    return rows.select("session_id", "needles", "recovered", "blocks", (F.col("blocks") - F.col("useful")).alias("junk"))
+
+
+def write_report(results: DataFrame, path: str) -> None:
+    """Results of cases and their sums by mode, as JSON lines under path/cases and path/modes."""
+    results.write.mode("overwrite").json(f"{path}/cases")
+    mode_aggregate(results).write.mode("overwrite").json(f"{path}/modes")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.text import input_summary
 from ..schema import TOOL_RESULT, TOOL_USE
+from .ledger import interactions, ledger
 from .scoring import DROPS_CALL
 
 KEEPS = ("PIN_VERBATIM", "KEEP_VERBATIM")
@@ -30,16 +31,16 @@ def marker(items: Column) -> Column:
     return F.concat(F.lit("[archived "), n.cast("string"), F.when(n == 1, F.lit(" tool call")).otherwise(F.lit(" tool calls")), F.lit(" made here: "), F.array_join(items, "; "), F.lit(" - out of context]"))
 
 
-def evictions(decisions: DataFrame, interactions: DataFrame) -> DataFrame:
+def evictions(messages: DataFrame, decisions: DataFrame) -> DataFrame:
     """Evicted calls with the archive record that has their content."""
-    rows = decisions.filter(~F.col("action").isin(*KEEPS)).select("session_id", "tool_use_id", "tool", "action", "is_error", input_summary(F.col("input")).alias("about"))
-    ids = interactions.select("session_id", "tool_use_id", F.coalesce("result_id", "use_id").alias("archive_id"))
+    rows = decisions.filter(~F.col("action").isin(*KEEPS)).select("session_id", "tool_use_id", "tool", "action", "is_error", input_summary(F.col("input")).alias("about")).distinct()
+    ids = interactions(ledger(messages.join(rows.select("session_id").distinct(), "session_id", "left_semi"))).select("session_id", "tool_use_id", F.coalesce("result_id", "use_id").alias("archive_id"))
     return rows.join(ids, ["session_id", "tool_use_id"])
 
 
-def apply_actions(messages: DataFrame, decisions: DataFrame, interactions: DataFrame, config: EngineConfig) -> DataFrame:
+def apply_actions(messages: DataFrame, decisions: DataFrame, config: EngineConfig) -> DataFrame:
     """The transcript after eviction: removed calls leave with their results, others keep a stub; emptied messages leave; runs of messages that are markers only become one."""
-    gone = evictions(decisions, interactions).distinct()
+    gone = evictions(messages, decisions)
     # Decisions of a message's own ids, gathered per message: an array as long as its uses and results.
     ids = F.array_distinct(F.concat(F.transform("tool_uses", lambda u: u["tool_use_id"]), F.transform("tool_results", lambda r: r["tool_use_id"])))
     wanted = messages.select("session_id", "message_index", F.explode(ids).alias("tool_use_id"))
@@ -121,3 +122,47 @@ def structure_faults(messages: DataFrame) -> DataFrame:
     first = uses.groupBy("session_id", "tool_use_id").agg(F.min("use_index").alias("use_index"))
     results = messages.select("session_id", "message_index", F.explode("tool_results").alias("r")).select("session_id", "message_index", F.col("r.tool_use_id").alias("tool_use_id"))
     return results.join(first, ["session_id", "tool_use_id"], "left").filter("use_index is null or use_index > message_index").drop("use_index")
+
+
+def without_orphans(messages: DataFrame) -> DataFrame:
+    """Messages without the results whose use isn't among them (before or in the same message)."""
+    faults = structure_faults(messages).groupBy("session_id", "message_index").agg(F.collect_set("tool_use_id").alias("_stray"))
+    rows = messages.join(faults, ["session_id", "message_index"], "left")
+    kept = F.filter("tool_results", lambda r: ~F.array_contains("_stray", r["tool_use_id"]))
+    return rows.withColumn("tool_results", F.when(F.col("_stray").isNull(), F.col("tool_results")).otherwise(kept)).drop("_stray")
+
+
+def rechained(messages: DataFrame) -> DataFrame:
+    """Messages without those that say nothing, numbered anew without gaps."""
+    blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t-\r ]+", " ")) == ""
+    rows = messages.filter(~(blank & (F.size("tool_uses") == 0) & (F.size("tool_results") == 0)))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("message_index")) - 1
+    return rows.withColumn("message_index", place.cast("int"))
+
+
+def with_notes(messages: DataFrame, report: DataFrame, compaction_id: str, at: str) -> DataFrame:
+    """Messages with a user's message after the first of each session of report, which tells what was compacted; later ones move down by one."""
+    removed = F.col("archive_only") + F.col("drop_redundant")
+    units = F.concat(removed.cast("string"), F.when(removed == 1, F.lit(" tool interaction")).otherwise(F.lit(" tool interactions")))
+    fewer = F.round(100 * F.col("reduction")).cast("int").cast("string")
+    note = F.concat(
+        F.lit(f"[compaction {compaction_id} at {at}] "), units, F.lit(" left this conversation and are archived word for word; nothing was paraphrased. Tokens: about "),
+        F.col("tokens_before").cast("string"), F.lit(" before, "), F.col("tokens_after").cast("string"), F.lit(" after ("), fewer, F.lit("% fewer). Stubs and markers name the records (e_...) that bring the rest back."),
+    )
+    told = report.select("session_id", F.lit(1).alias("message_index"), F.lit("user").alias("role"), note.alias("text"), F.array().cast(f"array<{TOOL_USE}>").alias("tool_uses"), F.array().cast(f"array<{TOOL_RESULT}>").alias("tool_results"))
+    noted = report.select("session_id", F.lit(1).alias("_moved"))
+    first = F.min("message_index").over(Window.partitionBy("session_id"))
+    rows = messages.join(noted, "session_id", "left").withColumn("message_index", F.when(F.col("message_index") > first, F.col("message_index") + F.coalesce("_moved", F.lit(0))).otherwise(F.col("message_index"))).drop("_moved")
+    return rows.unionByName(told)
+
+
+def rendered(messages: DataFrame, most_result: int = 20_000, most: int = 600_000) -> DataFrame:
+    """Messages as text for a reader: session_id, message_index, line; results are cut to most_result characters, and the oldest messages to a note once newer ones fill most."""
+    cut = lambda x: F.when(F.length(x) <= most_result, x).otherwise(F.concat(F.substring(x, 1, most_result), F.lit("\n[... "), (F.length(x) - most_result).cast("string"), F.lit(" more chars]")))
+    uses = F.transform("tool_uses", lambda u: F.concat(F.lit("[call "), u["tool_use_id"], F.lit(": "), u["tool"], F.lit(" "), u["input"], F.lit("]")))
+    results = F.transform("tool_results", lambda r: F.concat(F.lit("[result "), r["tool_use_id"], F.lit(": "), cut(F.coalesce(r["text"], F.lit(""))), F.lit("]")))
+    line = F.concat(F.col("role"), F.lit(": "), F.array_join(F.filter(F.concat(F.array(F.coalesce("text", F.lit(""))), uses, results), lambda x: x != ""), "\n"))
+    newer = Window.partitionBy("session_id").orderBy(F.col("message_index").desc())
+    rows = messages.select("session_id", "message_index", "role", line.alias("line")).withColumn("_upto", F.sum(F.length("line")).over(newer))
+    note = F.concat(F.col("role"), F.lit(": [message of "), F.length("line").cast("string"), F.lit(" chars left out]"))
+    return rows.select("session_id", "message_index", F.when(F.col("_upto") <= most, F.col("line")).otherwise(note).alias("line"))

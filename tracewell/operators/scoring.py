@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PolicyOptions, RulesetOptions, clamp
@@ -91,6 +91,38 @@ class ReplayScorer:
         return rows
 
 
+def request_hash(calls: DataFrame) -> DataFrame:
+    """calls with request_hash: of what a scorer is asked about a call, without its session or place."""
+    return calls.withColumn("request_hash", F.sha2(F.to_json(F.struct("tool", "canonical_input", "result", "is_error")), 256))
+
+
+class Cassette:
+    """Recorded answers by request hash, in a table: request_hash, keep_call, keep_result."""
+
+    SCHEMA = "request_hash string, keep_call double, keep_result double"
+
+    def __init__(self, answers: DataFrame):
+        if missing := {"request_hash", "keep_call", "keep_result"} - set(answers.columns):
+            raise ValueError(f"a cassette needs {', '.join(sorted(missing))}")
+        self.answers = answers.select("request_hash", F.col("keep_call").cast("double").alias("keep_call"), F.col("keep_result").cast("double").alias("keep_result"))
+
+    @classmethod
+    def record(cls, scored: DataFrame) -> Cassette:
+        """The answers of scored calls; equal requests have one."""
+        return cls(request_hash(scored).groupBy("request_hash").agg(F.max("keep_call").alias("keep_call"), F.max("keep_result").alias("keep_result")))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Cassette:
+        return cls(spark.read.schema(cls.SCHEMA).json(path, mode="FAILFAST"))
+
+    def save(self, path: str) -> None:
+        self.answers.write.mode("overwrite").json(path)
+
+    def scorer(self, calls: DataFrame, strict: bool = False) -> ReplayScorer:
+        """A scorer for calls that replays this cassette."""
+        return ReplayScorer(request_hash(calls).join(self.answers, "request_hash").select("session_id", "tool_use_id", "keep_call", "keep_result").dropDuplicates(["session_id", "tool_use_id"]), strict)
+
+
 def decide(calls: DataFrame, options: PolicyOptions | None = None) -> DataFrame:
     """calls with action, codes (of the reasons) and confidence.
 
@@ -133,6 +165,51 @@ def decide_ancestor(calls: DataFrame, threshold: float = 0.5) -> DataFrame:
     return calls.withColumn("action", F.when(keep, "keep").when(F.col("keep_call") >= threshold, "drop_result").otherwise("drop_call"))
 
 
+def apply_ancestor(messages: DataFrame, decisions: DataFrame, head: int = 300) -> DataFrame:
+    """The transcript after the three-way pruner: dropped calls leave with their results, dropped results keep a head and a note, emptied messages leave."""
+    of_call = decisions.filter("action <> 'keep'").groupBy("session_id", "tool_use_id").agg(F.min("action").alias("action"))
+    ids = F.array_distinct(F.concat(F.transform("tool_uses", lambda u: u["tool_use_id"]), F.transform("tool_results", lambda r: r["tool_use_id"])))
+    wanted = messages.select("session_id", "message_index", F.explode(ids).alias("tool_use_id")).join(of_call, ["session_id", "tool_use_id"])
+    found = wanted.groupBy("session_id", "message_index").agg(F.map_from_entries(F.collect_list(F.struct("tool_use_id", "action"))).alias("d"))
+    rows = messages.join(found, ["session_id", "message_index"], "left")
+    action = lambda x: F.coalesce(F.try_element_at("d", x["tool_use_id"]), F.lit("keep"))
+
+    def cut(text: Column, is_error: Column) -> Column:
+        top = F.concat(F.substring(text, 1, head), F.lit("\n")) if head > 0 else F.lit("")
+        note = F.concat(F.lit("[truncated "), (F.length(text) - head).cast("string"), F.lit(" chars of this tool result"), F.when(is_error, F.lit(" (error)")).otherwise(F.lit("")), F.lit("; re-run the tool if needed]"))
+        return F.when(F.length(text) <= head + 120, text).otherwise(F.concat(top, note))
+
+    uses = F.transform(F.filter("tool_uses", lambda u: action(u) != "drop_call"), lambda u: u.withField("text", F.when(action(u) == "drop_result", cut(u["text"], F.coalesce(u["is_error"], F.lit(False)))).otherwise(u["text"])))
+    results = F.transform(F.filter("tool_results", lambda r: action(r) != "drop_call"), lambda r: r.withField("text", F.when(action(r) == "drop_result", cut(F.coalesce(r["text"], F.lit("")), F.coalesce(r["is_error"], F.lit(False)))).otherwise(r["text"])))
+    touched = F.col("d").isNotNull()
+    rows = rows.withColumn("tool_uses", F.when(touched, uses).otherwise(F.col("tool_uses"))).withColumn("tool_results", F.when(touched, results).otherwise(F.col("tool_results")))
+    emptied = touched & (F.trim(F.regexp_replace("text", r"[\t-\r ]+", " ")) == "") & (F.size("tool_uses") == 0) & (F.size("tool_results") == 0)
+    return rows.filter(~emptied).drop("d")
+
+
+def ancestor_stats(before: DataFrame, after: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Per session: messages and characters before and after, and calls by action."""
+
+    def size(messages: DataFrame, name: str) -> DataFrame:
+        return messages.groupBy("session_id").agg(F.count("*").alias(f"messages_{name}"), F.sum(_chars()).alias(f"chars_{name}"))
+
+    actions = decisions.groupBy("session_id").agg(F.count("*").alias("calls"), *[F.count_if(F.col("action") == a).alias(a) for a in ("keep", "drop_result", "drop_call")])
+    return size(before, "before").join(size(after, "after"), "session_id", "left").join(actions, "session_id", "left").na.fill(0)
+
+
+def _chars() -> Column:
+    uses = F.aggregate("tool_uses", F.lit(0).cast("long"), lambda n, u: n + F.length(u["input"]))
+    results = F.aggregate("tool_results", F.lit(0).cast("long"), lambda n, r: n + F.length(F.coalesce(r["text"], F.lit(""))))
+    return F.length("text") + uses + results
+
+
+def decision_lines(decisions: DataFrame) -> DataFrame:
+    """A line for each decision, as a log has it: session_id, call_seq, line."""
+    score = lambda c: F.coalesce(F.format_number(F.col(c), 2), F.lit("-"))
+    line = F.concat_ws(" ", F.col("tool_use_id"), F.col("tool"), F.col("action"), F.array_join("codes", ","), F.concat(F.lit("call="), score("keep_call")), F.concat(F.lit("result="), score("keep_result")))
+    return decisions.select("session_id", "call_seq", line.alias("line"))
+
+
 def action_counts(decisions: DataFrame) -> DataFrame:
     """Per session, how many calls have each action; actions that never occur count 0."""
     return decisions.groupBy("session_id").agg(F.count("*").alias("calls"), *[F.count_if(F.col("action") == a).alias(a.lower()) for a in ACTIONS])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import EngineConfig, PolicyOptions
@@ -10,6 +10,7 @@ from .functions import sketch, terms, text
 from .functions.redaction import redact
 from .operators import archive, evals, fit, graph, ledger, retrieve, rules, scoring, search
 from .plans import compaction
+from .schema import TOOL_RESULT, TOOL_USE
 from .sources.tables import archive_from_documents, messages_from_conversations, messages_from_events, read
 from .streaming import trigger
 
@@ -243,6 +244,70 @@ def reference_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.references_of_calls(ledger.ledger(_session(spark, sf_dir)), CONFIG.graph)
 
 
+def _varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of the events in which errors, quotes, symbols, paths and calls are spoken of again."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("id"), k.alias("k"), (F.row_number().over(order) - 1).alias("n"), F.lag("event_id").over(order).alias("before"))
+    text, none = F.col("k").cast("string"), F.lit("")
+    kinds = [F.concat(F.lit("TypeError: value "), text, F.lit(" is not known here")), F.concat(F.lit("the long line number "), text, F.lit(" that somebody may want to quote later on"))]
+    pick = lambda *c: F.element_at(F.array(*c), F.col("k") % 5 + 1)
+    result = pick(*kinds, F.concat(F.lit("symbol handleItem"), text, F.lit(" found")), F.concat(F.lit("see lib/m"), text, F.lit(".py")), F.concat(F.lit("plain "), text))
+    said = pick(*kinds, F.concat(F.lit("now handleItem"), text, F.lit(" again")), F.concat(F.lit("open lib/m"), text, F.lit(".py")), F.concat(F.lit("see call u"), F.coalesce(F.col("before").cast("string"), none)))
+    uses, results = (f"array<{t}>" for t in (TOOL_USE, TOOL_RESULT))
+    use = F.array(F.struct(F.col("id").alias("tool_use_id"), F.lit("Task").alias("tool"), F.concat(F.lit('{"n":'), F.col("n").cast("string"), F.lit("}")).alias("input"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("is_error")))
+    answer = F.array(F.struct(F.col("id").alias("tool_use_id"), result.alias("text"), F.lit(False).alias("is_error")))
+    message = lambda i, role, words, u, r: F.struct((F.col("n") * 2 + i).cast("int").alias("message_index"), F.lit(role).alias("role"), words.alias("text"), u.cast(uses).alias("tool_uses"), r.cast(results).alias("tool_results"))
+    return rows.select("session_id", F.inline(F.array(message(0, "assistant", said, use, F.array()), message(1, "user", F.when(F.col("k") % 7 == 0, said).otherwise(none), F.array(), answer))))
+
+
+_EDGES = (
+    """with e as (
+    select cast(user_id as varchar) as session_id, 'u' || event_id as id, cast(json_extract_string(props, '$.k') as int) as k, row_number() over w - 1 as n, lag(event_id) over w as before
+    from events window w as (partition by user_id order by ts, event_id)
+),
+t as (
+    select *, case k % 5 when 0 then 'TypeError: value ' || k || ' is not known here' when 1 then 'the long line number ' || k || ' that somebody may want to quote later on' end as line,
+           case k % 5 when 2 then 'symbol handleItem' || k || ' found' when 3 then 'see lib/m' || k || '.py' when 4 then 'plain ' || k end as r,
+           case k % 5 when 2 then 'now handleItem' || k || ' again' when 3 then 'open lib/m' || k || '.py' when 4 then 'see call u' || coalesce(cast(before as varchar), '') end as s
+    from e
+),
+ev0 as (
+    select session_id, 2 * n as m, 0 as pos, 'assistant_text' as kind, coalesce(line, s) as content, null as id from t
+    union all select session_id, 2 * n, 1, 'tool_use', '{"n":' || n || '}', id from t
+    union all select session_id, 2 * n + 1, 0, 'user_text', coalesce(line, s), null from t where k % 7 = 0
+    union all select session_id, 2 * n + 1, 1, 'tool_result', coalesce(line, r), id from t
+),
+ev as (select *, row_number() over (partition by session_id order by m, pos) - 1 as seq from ev0),
+w as (select session_id, seq, kind, id, unnest(regexp_extract_all(content, '[A-Za-z_$][A-Za-z0-9_$]*')) as x, generate_subscripts(regexp_extract_all(content, '[A-Za-z_$][A-Za-z0-9_$]*'), 1) as i from ev),
+"""
+    + f"""
+an as (
+    select session_id, seq, kind, 0 as rank, 'path' as via, lower(regexp_extract(content, '{text.PATH}')) as fragment, 1 as i from ev where regexp_matches(content, '{text.PATH}')
+    union all select session_id, seq, kind, 1, 'error', content, 1 from ev where regexp_matches(content, '{text.ERROR_LINE}')
+    union all select session_id, seq, kind, 1, 'error', regexp_extract(content, '{text.ERROR_CLASS}'), 2 from ev where regexp_matches(content, '{text.ERROR_CLASS}')
+    union all select session_id, seq, kind, 2, 'quote', content, 1 from ev where length(content) >= 40
+    union all select session_id, seq, kind, 3, 'symbol', x, min(i) from w where length(x) >= 6 and regexp_matches(x, '[A-Z_$0-9]') and lower(x) not in ({", ".join(f"'{x}'" for x in text.COMMON_IDENTIFIERS)}) group by all
+    union all select session_id, seq, kind, 4, 'tool_id', id, 1 from ev where kind = 'tool_result'
+    union all select session_id, seq, kind, 4, 'tool_id', x, min(i) from w where kind <> 'tool_result' group by all
+),
+res as (select *, count(*) over (partition by session_id, via, fragment) as n from an where kind = 'tool_result'),
+met as (
+    select l.session_id, l.seq as from_seq, l.kind as from_kind, r.seq as to_seq, r.via, row_number() over (partition by l.session_id, l.seq, r.seq order by r.rank, l.i, r.fragment) as nth
+    from res r join an l on l.session_id = r.session_id and l.via = r.via and l.fragment = r.fragment and l.kind <> 'tool_result' and l.seq > r.seq
+    join ev le on le.session_id = l.session_id and le.seq = l.seq join ev re on re.session_id = r.session_id and re.seq = r.seq
+    where (r.via <> 'symbol' or r.n <= 3) and (l.kind = 'user_text' or le.m - re.m > 2)
+)
+select session_id, from_kind, via, count(*) as edges, count(distinct to_seq) as results from met where nth = 1 group by all"""
+)
+
+
+@query(_EDGES)
+def edges_by_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.dependency_edges(ledger.ledger(_varied(spark, sf_dir)), CONFIG.graph)
+    return edges.groupBy("session_id", "from_kind", "via").agg(F.count("*").alias("edges"), F.count_distinct("to_id").alias("results"))
+
+
 # ---- scores, actions
 
 
@@ -293,6 +358,43 @@ def ancestor_pruner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.decide_ancestor(scored).select("session_id", "call_seq", "action")
 
 
+@query(f"with {_SCORES} select session_id, call_seq, round(keep_call, 6) as keep_call, round(keep_result, 6) as keep_result from k2")
+def redacted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ruleset_scores with a long key in every result: scores are as without it, so the scorer saw none of them.
+
+    A key of 129 characters would lift short results over the ruleset's 200; its placeholder doesn't.
+    """
+    key = lambda r: F.concat(F.lit("token=s"), F.sha2(r["tool_use_id"], 256), F.sha2(F.concat(r["tool_use_id"], F.lit("x")), 256), F.lit("\n"))
+    planted = _session(spark, sf_dir).withColumn("tool_results", F.transform("tool_results", lambda r: r.withField("text", F.concat(r["text"], key(r)))))
+    return compaction.decided(planted, CONFIG).select("session_id", "call_seq", F.round("keep_call", 6).alias("keep_call"), F.round("keep_result", 6).alias("keep_result"))
+
+
+_TEXTS = """
+x as (
+    select *, 'e_' || substr(sha256('tool_result' || chr(31) || tool_use_id || chr(31) || result), 1, 16) as aid,
+           case when tool = 'Bash' then 'command=run ' || k when tool = 'WebFetch' then 'url=https://example.org/' || k else 'file_path=' || p end as about,
+           case when k % 4 = 0 then 'Looking at ' || p || ' again.' else '' end as said,
+           case when k % 25 = 0 then 'You saw this:' || chr(10) || kind || ' printed this line, of forty characters or more, about ' || p else '' end as quoted
+    from {of}
+)"""
+
+
+@query(
+    f"with {_SCORES},{_TEXTS.format(of='k2')}, a as (select *, case when pinned or keep_result >= 0.5e0 then 'keep' when keep_call >= 0.5e0 then 'drop_result' else 'drop_call' end as action from x), "
+    "m as (select session_id, length(said) + length(input) as was, action <> 'drop_call' or said <> '' as stays, length(said) + case when action = 'drop_call' then 0 else length(input) end as is_now from a "
+    "union all select session_id, length(quoted) + length(result), action <> 'drop_call' or quoted <> '', length(quoted) + case when action = 'drop_call' then 0 when action = 'keep' or length(result) <= 420 then length(result) "
+    "else 301 + length('[truncated ' || (length(result) - 300) || ' chars of this tool result' || case when is_error then ' (error)' else '' end || '; re-run the tool if needed]') end from a), "
+    "n as (select session_id, count(*) as messages_before, cast(sum(was) as bigint) as chars_before, count(*) filter (stays) as messages_after, cast(sum(is_now) as bigint) as chars_after from m group by 1), "
+    "c1 as (select session_id, count(*) as calls, count(*) filter (action = 'keep') as keep, count(*) filter (action = 'drop_result') as drop_result, count(*) filter (action = 'drop_call') as drop_call from a group by 1) "
+    "select * from n join c1 using (session_id)"
+)
+def ancestor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _session(spark, sf_dir)
+    scored = scoring.RulesetScorer(CONFIG.ruleset).score(rules.with_facts(_calls(spark, sf_dir), CONFIG.rules.current_window), messages)
+    decisions = scoring.decide_ancestor(scored)
+    return scoring.ancestor_stats(messages, scoring.apply_ancestor(messages, decisions), decisions)
+
+
 # ---- the whole compaction
 
 
@@ -300,15 +402,49 @@ def _compaction(spark: SparkSession, sf_dir: str) -> compaction.Compaction:
     return compaction.compact(_session(spark, sf_dir), CONFIG)
 
 
-@query()
+#: The transcripts after compaction: stubs in place of results, markers in place of calls, runs of markers as one.
+_AFTER = (
+    f"{_SCORES}{_decided('0.4e0')},{_TEXTS.format(of='v')}"
+    + """,
+y as (
+    select *, action in ('ARCHIVE_ONLY', 'DROP_REDUNDANT') as dropped,
+           case when action in ('PIN_VERBATIM', 'KEEP_VERBATIM') or length(result) <= 420 then result
+                else substr(result, 1, 300) || chr(10) || '[archived ' || aid || ': ' || (length(result) - 300) || ' more chars of this ' || tool || ' result' || case when is_error then ' (error)' else '' end || ' (' || about || '); '
+                     || case when action = 'RERUN_ON_DEMAND' then 're-run ' || tool || ' with the same input, or restore ' || aid else 'restore ' || aid || ' brings it back, or re-run the tool' end || ']' end as stub
+    from x
+),
+m as (
+    select session_id, call_index as message_index, 'assistant' as role, said as text, case when not dropped then input end as given, null as told, case when dropped then tool || ' ' || about || ' -> ' || aid end as item from y
+    union all select session_id, result_index, 'user', quoted, null, case when not dropped then stub end, null from y
+),
+m1 as (select *, text = '' and given is null and told is null as nothing from m),
+m2 as (select *, nothing as only_marker from m1 where not nothing or item is not null),
+m3 as (select *, lag(only_marker) over (partition by session_id order by message_index) as before_too from m2),
+m4 as (select *, sum(case when only_marker and coalesce(before_too, false) then 0 else 1 end) over (partition by session_id order by message_index) as island from m3),
+m5 as (select session_id, min(message_index) as message_index, min(role) as role, max(text) as text, max(given) as given, max(told) as told, string_agg(item, '; ' order by message_index) as items, count(item) as n from m4 group by session_id, island),
+rebuilt as (
+    select *, case when n = 0 then text else case when text = '' then '' else text || chr(10) || chr(10) end
+           || '[archived ' || n || case when n = 1 then ' tool call' else ' tool calls' end || ' made here: ' || items || ' - out of context]' end as full_text
+    from m5
+)"""
+)
+
+
+@query(
+    f"with {_AFTER}, was as (select session_id, 2 * count(*) as messages_before, cast(sum({_tokens('said')} + {_tokens('input')} + {_tokens('quoted')} + {_tokens('result')}) as bigint) as tokens_before, count(*) filter (len(protections) > 0) as protected from x group by 1), "
+    f"now as (select session_id, count(*) as messages_after, cast(sum({_tokens('full_text')} + coalesce({_tokens('given')}, 0) + coalesce({_tokens('told')}, 0)) as bigint) as tokens_after from rebuilt group by 1), "
+    "acts as (select session_id, count(*) as calls, " + ", ".join(f"count(*) filter (action = '{a}') as {a.lower()}" for a in scoring.ACTIONS) + " from v group by 1) "
+    "select *, round(1 - tokens_after / cast(tokens_before as double), 6) as reduction, 1 - tokens_after / cast(tokens_before as double) >= 0.25e0 as accepted from was join now using (session_id) join acts using (session_id)"
+)
 def compaction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compaction(spark, sf_dir).report
 
 
-@query()
+@query(f"with {_AFTER} select session_id, message_index, role, sha256(full_text) as text_sha256, case when given is null then 0 else 1 end as uses, case when told is null then 0 else 1 end as results, sha256(coalesce(given, '') || chr(31) || coalesce(told, '')) as content_sha256 from rebuilt")
 def apply_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _compaction(spark, sf_dir).messages
-    return rows.select("session_id", "message_index", "role", F.sha2(F.to_json(F.struct("text", "tool_uses", "tool_results")), 256).alias("content_sha256"), F.size("tool_uses").alias("uses"), F.size("tool_results").alias("results"))
+    content = F.concat(F.array_join(F.transform("tool_uses", lambda u: u["input"]), "\n"), F.lit("\x1f"), F.array_join(F.transform("tool_results", lambda r: r["text"]), "\n"))
+    return rows.select("session_id", "message_index", "role", F.sha2("text", 256).alias("text_sha256"), F.size("tool_uses").alias("uses"), F.size("tool_results").alias("results"), F.sha2(content, 256).alias("content_sha256"))
 
 
 @query(
@@ -373,7 +509,29 @@ def sketch_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calls(spark, sf_dir).select("session_id", "call_seq", line.alias("sketch"))
 
 
-@query()
+_SKETCHES = (
+    f"with {_CALLS}, "
+    + """l as (
+    select *, trim(regexp_replace(result, '[\\t-\\r ]+', ' ', 'g')) as flat, cast(k % 5 + 1 as varchar) as n_lines, split_part(result, chr(10), 1) as first_line,
+           trim(regexp_replace(substr(result, 1, 100), '[\\t-\\r ]+', ' ', 'g')) as h100, trim(regexp_replace(substr(result, 1, 120), '[\\t-\\r ]+', ' ', 'g')) as h120,
+           trim(regexp_replace(right(result, 60), '[\\t-\\r ]+', ' ', 'g')) as t60
+    from c
+),
+s as (
+    select session_id, call_seq, tool, case
+        when is_error then 'ERR: ' || case when length(first_line) <= 120 then first_line else substr(first_line, 1, 119) || '…' end || '; tail=' || t60
+        when tool = 'Read' then 'path=' || p || '; lines=' || n_lines || '; imports=0; head=' || case when length(first_line) <= 80 then first_line else substr(first_line, 1, 79) || '…' end
+        when tool = 'Grep' then 'matches=' || n_lines || '; files=' || p
+        when tool = 'Edit' then 'path=' || p || '; result=' || case when length(first_line) <= 100 then first_line else substr(first_line, 1, 99) || '…' end
+        when tool = 'WebFetch' then 'url=https://example.org/' || k || '; head=' || h120
+        else 'cmd=run ' || k || '; lines=' || n_lines || '; files=' || p || '; head=' || h100 || '; tail=' || t60 end as line
+    from l
+)
+select session_id, call_seq, tool, case when length(line) <= 240 then line else substr(line, 1, 239) || '…' end as sketch from s"""
+)
+
+
+@query(_SKETCHES)
 def sketch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = sketch.sketch(F.col("tool"), F.col("input"), F.col("result"), F.col("is_error"))
     return _calls(spark, sf_dir).select("session_id", "call_seq", "tool", line.alias("sketch"))
@@ -501,6 +659,23 @@ def fidelity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.fidelity(_decisions(spark, sf_dir), _labels(spark, sf_dir))
 
 
+@query(
+    "with e as (select cast(user_id as varchar) as session_id, cast(json_extract_string(props, '$.k') as int) as k from events), "
+    "j as (select session_id, k % 3 as kind, case when k % 4 = 0 then null when k % 5 = 0 then 'absent' when k % 5 = 1 then 'paraphrased' else 'present' end as present from e), "
+    "i as (select *, coalesce(present, 'absent') as seen from j) "
+    "select session_id, count(*) filter (kind = 0) as must_keep_total, count(*) filter (kind = 0 and seen = 'absent') as must_keep_absent, count(*) filter (kind = 1) as probes_total, count(*) filter (kind = 1 and seen = 'absent') as probes_absent, "
+    "count(*) filter (kind = 1 and seen = 'paraphrased') as probes_paraphrased, count(*) filter (kind = 2) as safe_to_drop_total, count(*) filter (kind = 2 and seen <> 'absent') as safe_to_drop_present, count(*) filter (present is null) as missing_verdicts from i group by 1"
+)
+def judge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of three kinds, and replies of a judge that has words around its JSON."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("item_id"), k.alias("k"))
+    items = rows.withColumn("kind", F.element_at(F.array(F.lit("call"), F.lit("probe"), F.lit("drop")), F.col("k") % 3 + 1))
+    said = F.when(F.col("k") % 5 == 0, "absent").when(F.col("k") % 5 == 1, "paraphrased").otherwise("Present")
+    reply = F.concat(F.lit('Here it is:\n```json\n{"verdicts":[{"id":"'), F.col("item_id"), F.lit('","present":"'), said, F.lit('"}]}\n``` as asked'))
+    return evals.judge_summary(items, evals.verdicts_of(rows.filter("k % 4 <> 0").select("session_id", reply.alias("text"))))
+
+
 @query(
     " union all ".join(
         f"select * from (with {_SCORES}{_decided(f'{t}e0')}, o as (select session_id, sum(length(result)) as before, sum(length(result)) filter (action not in ('PIN_VERBATIM', 'KEEP_VERBATIM')) as gone, count(*) filter ({_LABELS} = 'must_keep' and {_OUTCOMES} = 'dropped') as lost from v group by 1) select 'ruleset-{t}' as mode, count(*) as cases, count(*) as scored, 0 as failures, round(avg(coalesce(gone, 0) / cast(before as double)), 6) as mean_reduction, cast(sum(lost) as bigint) as must_keep_dropped from o)"

@@ -21,6 +21,13 @@ def fires(total: float, attempted: float, threshold: float) -> tuple[bool, float
     return True, float(total)
 
 
+def threshold_of(at_tokens: int, context_window: int | None = None, percent: float | None = None) -> int:
+    """Tokens at which a session is large: a number, or a share of the context window if that is less."""
+    if percent is None or not context_window:
+        return at_tokens
+    return min(at_tokens, int(context_window * min(max(percent, 0.0), 100.0) / 100))
+
+
 def auto_trigger(turns: DataFrame, threshold: int) -> DataFrame:
     """The turns (session_id, turn, tokens) at which a session fires: session_id, turn, total. A fold over each session's running total."""
     listed = F.array_sort(F.collect_list(F.struct("turn", F.col("tokens").cast("double").alias("tokens"))))
