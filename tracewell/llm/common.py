@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..storage import fresh_path, table
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Words of every contract: runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,50 +27,6 @@ def ready(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own on a single machine, and an error on a cluster."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if (kept := context._jsc.sc().getCheckpointDir()).isDefined():
-        return kept.get().rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="tracewell-shared-")
-    context.setCheckpointDir(f"file://{made}")
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df written to the shared folder and read again: later stages depend on the files, not on executors.
-
-    Once the files are there, nobody needs the shuffles that made them, so these are removed.
-    """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._table_path = path
-    return made
-
-
-def drop_tables(*made: DataFrame) -> None:
-    """Removes the files of tables that table() wrote; no plan that is still to run may read them."""
-    for df in made:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(df._table_path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Rows from which a key counts as hot, and hot keys at most: the bar rises with the rows, so that no more keys can reach it.
 HOT_ROWS, HOT_KEYS = 2_000, 100_000
 

@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, drop_tables, fold_of, fresh_path, ready, slices, table
+from ..storage import clean_shuffles, drop_path, drop_tables, fresh_path, table
+from .common import arrow_schema, fold_of, ready, slices
 
 ORDER = 3
 CHUNK_TOKENS = 1_250_000
 #: Entries of a bucket, on average, at most: tokens asked about.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 1_000_000
 #: Counts up to this are discounted.
 K = 5
 HELD = (5, 1)  # folds, and the one that isn't trained on
@@ -144,11 +145,11 @@ class Unigrams:
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str, chunk_tokens: int) -> DataFrame:
-    """A row per chunk: its ids, and packed the tokens (places in words), words, their training counts, tokens of each document and whether it trains."""
+    """A row per chunk: its ids, and packed the tokens (places in words), words, their training counts, tokens of each document and whether it trains; and the place of the end among the words."""
     ready(df)
     read = df.select(F.struct(F.col(id_col).alias("id"), (fold_of(id_col, HELD[0]) != HELD[1]).alias("train")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = arrow_schema(df, id_col)[0].type
-    schema = pa.schema([("chunk", pa.string()), ("ids", pa.list_(id_type)), *[(c, pa.binary()) for c in ("codes", "words", "counts", "lengths", "train")], ("entries", pa.int64()), ("tokens", pa.int64())])
+    schema = pa.schema([("chunk", pa.string()), ("ids", pa.list_(id_type)), *[(c, pa.binary()) for c in ("codes", "words", "counts", "lengths", "train")], ("end", pa.int64()), ("entries", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -162,7 +163,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, chunk_tokens: int) -> Data
             packed = (pack(codes.astype(np.uint32)), pack(gaps(words)), pack(counts), pack(of), pack(train))
             all_ids = pa.concat_arrays(ids)
             listed = pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), listed, *[pa.array([x], pa.binary()) for x in packed], pa.array([len(words)], pa.int64()), pa.array([len(codes)], pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), listed, *[pa.array([x], pa.binary()) for x in packed], *[pa.array([int(x)], pa.int64()) for x in (np.searchsorted(words, END), len(words), len(codes))]], schema=schema)
 
         for b in batches:
             for keys, part in slices(b):
@@ -180,7 +181,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, chunk_tokens: int) -> Data
         if lengths:
             yield flush()
 
-    ddl = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("codes", "words", "counts", "lengths", "train")], T.StructField("entries", T.LongType()), T.StructField("tokens", T.LongType())])
+    ddl = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("codes", "words", "counts", "lengths", "train")], *[T.StructField(c, T.LongType()) for c in ("end", "entries", "tokens")]])
     return read.mapInArrow(run, ddl)
 
 
@@ -196,6 +197,19 @@ def mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def home_of(context_ids: np.ndarray, orders: dict[int, Order], order: int) -> np.ndarray:
+    """The bucket of contexts: by the bucket in which they were counted themselves, so that neighbours stay neighbours and their gaps small."""
+    own, below = orders[order].buckets, orders[order - 1].buckets
+    return ((context_ids >> np.uint64(32)) * np.uint64(own) // np.uint64(below)).astype(np.int64).clip(0, own - 1)
+
+
+def rank_of(ids: np.ndarray) -> np.ndarray:
+    """The place of each identifier among all in order."""
+    out = np.empty(len(ids), np.int64)
+    out[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    return out
+
+
 def runs(keys: np.ndarray):
     """(key, start, stop) of each run of equal values of a sorted array."""
     if len(keys):
@@ -265,7 +279,6 @@ class Chunk:
         self.orders, self.unigrams = orders, unigrams
         self.codes, self.lengths = unpack(chunk["codes"], np.uint32).astype(np.int64), unpack(chunk["lengths"], np.uint32).astype(np.int64)
         self.train = np.repeat(unpack(chunk["train"], np.uint8), self.lengths)
-        words = ungaps(unpack(chunk["words"], np.uint64))
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.first = np.zeros(len(self.codes), bool)
         self.first[self.starts] = True
@@ -274,13 +287,14 @@ class Chunk:
             of.setdefault((r["kind"], r["order"]), []).append(r)
         self.told = {k: sorted(v, key=lambda r: r["bucket"]) for k, v in of.items()}
         mine = self.told["reply", 1]
-        numbers = np.concatenate([unpack(r["a"], np.uint32) for r in mine]).astype(np.uint64)
-        home = bucket_of(words, orders[1].buckets).astype(np.uint64)
-        one = Level(self.codes, np.zeros(0, np.int64), np.arange(len(words)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        numbers = [unpack(r["a"], np.uint32).astype(np.uint64) for r in mine]
+        home = np.repeat(np.array([r["bucket"] for r in mine], np.uint64), [len(x) for x in numbers])
+        numbers = np.concatenate(numbers)
+        one = Level(self.codes, np.zeros(0, np.int64), np.arange(len(numbers)), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         one.totals = np.concatenate([unpack(r["b"], np.uint64) for r in mine]).astype(np.int64)
         one.ids = (home << np.uint64(32)) | numbers
         self.levels = {1: one}
-        self.documents = one.totals[np.searchsorted(words, END)]  # trained on: as often as there is an end
+        self.documents = one.totals[chunk["end"]]  # trained on: as often as there is an end
 
     def extend(self, order: int) -> Level:
         """The level of an order, one above the last."""
@@ -297,15 +311,13 @@ class Chunk:
     def asked(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """N-grams in the order of asking (by bucket, then context, then word), and their buckets; contexts never trained on have nothing to ask."""
         level, how, words = self.levels[order], self.orders[order], self.levels[1]
-        rank_of = lambda ids: np.argsort(np.argsort(ids, kind="stable"), kind="stable")
         known = np.flatnonzero(level.hist[level.contexts] > 0)
         contexts, own = level.contexts[known], level.words[known]
         sorted_ = np.argsort(rank_of(level.context_ids)[contexts] * len(words.ids) + rank_of(words.ids)[own], kind="stable")
         contexts, own, known = contexts[sorted_], own[sorted_], known[sorted_]
-        hashes = mixed(level.context_ids)
         hot = (level.hist > how.hot)[contexts]
-        dealt = bucket_of(hashes, how.buckets)[contexts]
-        dealt[hot] = bucket_of(mixed(hashes[contexts[hot]] ^ words.ids[own[hot]]), how.buckets)
+        dealt = home_of(level.context_ids, self.orders, order)[contexts]
+        dealt[hot] = bucket_of(mixed(mixed(level.context_ids[contexts[hot]]) ^ words.ids[own[hot]]), how.buckets)
         sorted_ = np.argsort(dealt, kind="stable")
         return known[sorted_], dealt[sorted_]
 
@@ -337,7 +349,7 @@ class Chunk:
             lower, low_counts = unpack(r["d"], np.float64), unpack(r["e"], np.uint64).reshape(K, -1).astype(np.float64)
             level.weights[wanted] = weights_of(low_counts, lower, level.hist[wanted], how.factors)
         hot = self.hot(order)
-        for r, (_, i, j) in zip(self.told.get(("weight", order), []), runs(bucket_of(mixed(level.context_ids[hot]), how.buckets))):
+        for r, (_, i, j) in zip(self.told.get(("weight", order), []), runs(home_of(level.context_ids[hot], self.orders, order))):
             got = unpack(r["a"], np.float64)
             level.weights[hot[i:j]], level.none[hot[i:j]] = np.abs(got), got < 0
         level.weights[level.hist == 0] = 1.0
@@ -348,7 +360,7 @@ class Chunk:
         used = np.zeros(len(level.hist), bool)
         used[level.contexts] = True
         hot = np.flatnonzero(used & (level.hist > self.orders[order].hot))
-        return hot[np.lexsort((level.context_ids[hot], bucket_of(mixed(level.context_ids[hot]), self.orders[order].buckets)))]
+        return hot[np.lexsort((level.context_ids[hot], home_of(level.context_ids[hot], self.orders, order)))]
 
     def probabilities(self, order: int) -> np.ndarray:
         """Of each of the chunk's n-grams, by recursion."""
@@ -403,7 +415,7 @@ def ask_grams(chunk: dict, replies: list[dict], order: int, orders: dict[int, Or
         lists = (gaps(level.context_ids[contexts[first]]), each, needed[contexts[first]], base[grams[first]], own.levels[1].ids[level.words[grams]], counts[grams], below.totals[level.shorter[grams]].astype(np.uint64))
         out.append({"kind": "ask", "order": order, "chunk": chunk["chunk"], "bucket": k} | {c: pack(x) for c, x in zip("abcdefg", lists)})
     hot = own.hot(order)
-    for k, i, j in runs(bucket_of(mixed(level.context_ids[hot]), orders[order].buckets)):
+    for k, i, j in runs(home_of(level.context_ids[hot], orders, order)):
         out.append({"kind": "hot", "order": order, "chunk": chunk["chunk"], "bucket": k, "a": pack(level.context_ids[hot[i:j]])})
     return rows(*out)
 
@@ -447,7 +459,7 @@ def count_grams(t: pa.Table, order: int, orders: dict[int, Order], unigrams: Uni
         out.append({"kind": "reply", "order": order, "chunk": r["chunk"], "bucket": bucket} | {c: pack(y) for c, y in zip("abcde", told)})
     out.append({"kind": "model", "order": order, "bucket": bucket, "a": pack(gaps(context_ids[of])), "b": pack(word_ids[word[seen]]), "c": pack(totals[seen].astype(np.uint64)), "hist": [{"r": r, "n": n} for r, n in histogram(totals).items()]})
     shared = np.flatnonzero(hot)
-    home = bucket_of(mixed(context_ids[shared]), orders[order].buckets)
+    home = home_of(context_ids[shared], orders, order)
     big = np.bincount(of, np.where(totals[seen] > K, totals[seen], 0), n).astype(np.uint64)
     shared = shared[np.argsort(home, kind="stable")]
     for k, i, j in runs(np.sort(home)):
@@ -483,11 +495,26 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, *, order: int = O
     """
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    name, where = f"katz_chunks_{uuid.uuid4().hex}", fresh_path(spark, "katz-chunks")
-    chunks(df, id_col, text_col, chunk_tokens).write.bucketBy(tasks, "chunk").option("path", where).option("compression", "zstd").saveAsTable(name)
-    made = spark.table(name)
+    made = table(chunks(df, id_col, text_col, chunk_tokens), "katz-texts")
     entries, tokens = made.agg(F.sum("entries"), F.sum("tokens")).first()
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = []
+
+    def place(rows: DataFrame) -> DataFrame:
+        """rows in a table bucketed by chunk: what is grouped by chunk stays where it is."""
+        name, where = f"katz_{uuid.uuid4().hex}", fresh_path(spark, "katz-placed")
+        with clean_shuffles(spark):
+            rows.repartition(tasks, "chunk").write.bucketBy(tasks, "chunk").option("path", where).option("compression", "zstd").saveAsTable(name)
+        out = spark.table(name)
+        out._table_path, out._name = where, name
+        placed.append(out)
+        return out
+
+    def forget() -> None:
+        """Removes the oldest table that place() made."""
+        out = placed.pop(0)
+        spark.sql(f"drop table {out._name}")
+        drop_tables(out)
 
     def whole(counted: DataFrame) -> dict[int, int]:
         """The histogram over all buckets: its distinct counts number at most the root of twice the tokens."""
@@ -497,10 +524,12 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, *, order: int = O
     def by_bucket(asking: DataFrame, buckets: int, function) -> DataFrame:
         return asking.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(function, _DDL)
 
+    def told(rows: DataFrame) -> DataFrame:
+        return rows.filter("kind in ('reply', 'weight')").select("kind", "order", "chunk", "bucket", "a", "b", "c", "d", "e")
+
     def by_chunk(replies: DataFrame, columns: tuple, function, ddl) -> DataFrame:
         """function of each chunk and the replies to it; the chunks stay in place."""
-        told = replies.filter("kind in ('reply', 'weight')").select("kind", "order", "chunk", "bucket", "a", "b", "c", "d", "e").repartition(tasks, "chunk")
-        return made.select("chunk", *columns).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(function, ddl)
+        return texts.select("chunk", "end", *columns).groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(function, ddl)
 
     # Spark counts the arguments of what it calls, so the order goes in by closure.
     asks = lambda k: lambda own, told: ask_grams(own.to_pylist()[0], told.to_pylist(), k, orders, unigrams)
@@ -509,18 +538,24 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, *, order: int = O
 
     orders = {1: Order(max(least, math.ceil((entries or 0) / bucket_entries)), math.inf)}
     kept = [table(by_bucket(ask_words(made, orders[1].buckets), orders[1].buckets, count_words), "katz-1", "kind")]
-    replies = kept[0].select(*ROW.names)
-    unigrams = Unigrams(whole(replies))
-    lists = ("codes", "words", "lengths", "train")
+    unigrams = Unigrams(whole(kept[0]))
+    lists = ("codes", "lengths", "train")
+    texts = place(made.select("chunk", "ids", "end", *lists))
+    drop_tables(made)  # the words themselves aren't needed any more: they have numbers
+    replies, counted_at = told(kept[0].select(*ROW.names)), kept[0]._table_path
     for k in range(2, order + 1):
+        placed_replies = place(replies)
+        drop_path(spark, f"{counted_at}/kind=reply")
+        if k > 2:
+            placed.insert(0, placed.pop(1))
+            forget()
         buckets = max(least, math.ceil((tokens or 0) / bucket_entries))
         orders[k] = Order(buckets, max(1000.0, unigrams.total / (4 * buckets)))
-        asking = by_chunk(replies, lists, asks(k), _DDL)
-        kept.append(table(by_bucket(asking, buckets, counts(k)), f"katz-{k}", "kind"))
-        counted = kept[-1].select(*ROW.names)
+        kept.append(table(by_bucket(by_chunk(placed_replies, lists, asks(k), _DDL), buckets, counts(k)), f"katz-{k}", "kind"))
+        counted, counted_at = kept[-1].select(*ROW.names), kept[-1]._table_path
         orders[k].factors = factors_of(whole(counted))
         kept.append(table(by_bucket(counted.filter("kind in ('part', 'hot')"), buckets, weights(k)), f"katz-weights-{k}"))
-        replies = replies.unionByName(counted).unionByName(kept[-1].select(*ROW.names))
+        replies = placed_replies.unionByName(told(counted)).unionByName(told(kept[-1].select(*ROW.names)))
 
     first = arrow_schema(df, id_col)[0]
     schema = pa.schema([("_id", first.type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -538,8 +573,8 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, *, order: int = O
         return pa.table([ids, pa.array(chunk.lengths), pa.array(known), pa.array(base), pa.array(score)], schema=schema)
 
     ddl = T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = table(by_chunk(replies, ("ids", *lists), finish, ddl), "katz-scores")
-    spark.sql(f"drop table {name}")
-    made._table_path = where
-    drop_tables(made, *kept)
+    scored = table(by_chunk(replies.repartition(tasks, "chunk"), ("ids", *lists), finish, ddl), "katz-scores")
+    while placed:
+        forget()
+    drop_tables(*kept)
     return scored.select(F.col("_id").alias(id_col), (fold_of("_id", HELD[0]) == HELD[1]).alias("held_out"), "n_tokens", "n_known", F.lit(unigrams.total).cast("long").alias("train_tokens"), "base_score", "score")
