@@ -134,6 +134,23 @@ def test_near_rows_kept(spark):
     assert jaccard_join.near_classes(empty(spark), "doc_id", "text").count() == 0
 
 
+def test_recall_near_the_threshold(spark):
+    """Pairs of copies that are only just near: the share of links that are found, of 500 or so."""
+    rng, rows, want = np.random.default_rng(14), [], {}
+    for i in range(600):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        edited = list(own)
+        for at in range(10, 200, int(rng.integers(42, 60))):
+            edited[at] = f"x{i}"
+        rows += [(2 * i, " ".join(own), "en", "a"), (2 * i + 1, " ".join(edited), "en", "a")]
+        a, b = (set(jaccard_join.shingles(t).tolist()) for _, t, *_ in rows[-2:])
+        want[2 * i] = int(5 * len(a & b) >= 4 * len(a | b))
+    assert sum(want.values()) > 300
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.near_classes(documents(spark, rows), "doc_id", "text").collect()}
+    found = sum(got[i] for i in want)
+    assert found >= 0.995 * sum(want.values()) and all(got[i] <= n for i, n in want.items())
+
+
 def test_shingles():
     assert len(jaccard_join.shingles("")) == 0 and len(jaccard_join.shingles(" \n")) == 0
     assert len(jaccard_join.shingles("one")) == 1 and len(jaccard_join.shingles("a b c d e f")) == 2
@@ -703,3 +720,18 @@ def test_pipeline_stages(spark, tmp_path):
     out = pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in now.collect())
     assert out.agg(F.min("n_tokens")).first()[0] > 0
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, repeats, very long texts, clashing columns; and no rows at all: every stage keeps df's columns, and encodes each row that is left."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(i, int(i % 2), 0) for i in range(1, 11)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (documents(spark), empty(spark)):
+        n = docs.count()
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            rows = out.collect()
+            assert out.columns == docs.columns if name != "encode" else len(rows) == n
+            assert bool(rows) <= bool(n)
+        left = pipeline.exact_dedup(spark, docs, str(tmp_path)).collect()
+        assert len(left) == len({lower(r["text"]) for r in docs.collect()})
