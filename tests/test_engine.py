@@ -406,6 +406,8 @@ def test_probes(spark):
     probes = spark.createDataFrame([(1, "needle"), (2, "absent")], "id int, p string")
     texts = spark.createDataFrame([(7, "a needle"), (8, "needle b"), (9, None)], "d int, t string")
     assert {tuple(r) for r in evals.probe_retention(probes, texts, "id", "p", "d", "t").collect()} == {(1, 2, 7), (2, 0, None)}
+    nameless = spark.createDataFrame([(None, "needle")], "id int, p string")
+    assert [tuple(r) for r in evals.probe_retention(nameless, texts, "id", "p", "d", "t").collect()] == [(None, 2, 7)]
 
 
 def test_trigger_batch_and_stream(spark, tmp_path):
@@ -452,6 +454,9 @@ def test_transcripts(spark, tmp_path):
     assert skipped == {("abc", "parse_error"): 1, ("abc", "summary"): 1, ("abc", "sidechain"): 1, ("g", "orphan_chain"): 1}
     assert [r["text"] for r in rows if r["session_id"] == "g"] == ["a", "b"]
     assert one(transcripts.list_sessions(spark, str(tmp_path)), "session_id") == ["f", "g"]
+    (tmp_path / "h.jsonl").write_text(line("user", "1", None, f"the key {KEY}"))
+    hidden = transcripts.read_transcripts(spark, str(tmp_path), transcripts.LoadOptions(redact=True)).messages.collect()
+    assert len(hidden) == len(rows) + 1 and [r["text"] for r in hidden if r["session_id"] == "h"] == ["the key <SECRET_1>"]
 
 
 # ---- redaction before scoring, and what follows a compaction
@@ -567,5 +572,5 @@ def test_cases(spark, tmp_path):
     assert [tuple(r) for r in cases.labels.collect()] == [("case-1", "a", "must_keep")] and [tuple(r) for r in cases.probes.collect()] == [("case-1", "p", "value", "abc", "active")]
     assert cases.meta.count() == 0
     datasets.write_cases(cases.messages, cases.labels, f"{tmp_path}/out")
-    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out/meta").select("session_id", "messages", "tool_calls", "chars", "est_tokens").collect()] == [("case-1", 2, 1, 17, 1 + 6 + 1)]
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out/meta").select("session_id", "messages", "tool_calls", "chars", "est_tokens").collect()] == [("case-1", 2, 1, 17, 11)]
     assert spark.read.parquet(f"{tmp_path}/out/messages").count() == 2

@@ -32,14 +32,16 @@ def nonnull(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def estimate_tokens(text: Column) -> Column:
-    """Tokens of a text: 1 for every six letters of a word, half for a digit, 0.9 for any other sign, rounded up.
-
-    Counted in integer tenths, so every engine agrees.
-    """
+def token_tenths(text: Column) -> Column:
+    """Ten times the tokens of a text: 10 for every six letters of a word, 5 for a digit, 9 for any other sign. Whole numbers, so every engine agrees."""
     text = nonnull(text)
     letters, digits, others = F.regexp_count(text, F.lit("[A-Za-z]{1,6}")), F.regexp_count(text, F.lit("[0-9]")), F.regexp_count(text, F.lit(r"[^\t-\r A-Za-z0-9]"))
-    return F.floor((letters * 10 + digits * 5 + others * 9 + 9) / F.lit(10)).cast("long")
+    return letters * 10 + digits * 5 + others * 9
+
+
+def estimate_tokens(text: Column) -> Column:
+    """Tokens of a text, rounded up."""
+    return F.floor((token_tenths(text) + 9) / F.lit(10)).cast("long")
 
 
 def truncate(text: Column, n: int) -> Column:

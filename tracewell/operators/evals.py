@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from .rebuild import structure_faults
 from .scoring import DROPS_CALL
 
-#: Probes up to which the set is broadcast; more are matched in blocks of that many.
-PROBES = 10_000
+#: Probes, and bytes of them, up to which the set is broadcast; more are matched in blocks.
+PROBES, PROBE_BYTES = 10_000, 32 << 20
 
 
 def probe_retention(probes: DataFrame, texts: DataFrame, probe_id: str, probe_text: str, text_id: str, text: str) -> DataFrame:
     """Per probe, how many texts contain it: the stated set of probes, in blocks, against all texts."""
-    n = probes.count()
-    blocks = max(1, -(-n // PROBES))
+    n, size = probes.agg(F.count("*"), F.sum(F.octet_length(probe_text))).first()
+    blocks = max(1, -(-n // PROBES), -(-(size or 0) // PROBE_BYTES))
     found = None
     for i in range(blocks):
         own = probes.filter(F.pmod(F.xxhash64(probe_id), F.lit(blocks)) == i).select(F.col(probe_id).alias("probe_id"), F.col(probe_text).alias("probe"))
         part = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("content")).join(F.broadcast(own), F.contains("content", F.col("probe"))).groupBy("probe_id").agg(F.count("*").alias("texts"), F.min("text_id").alias("first_text"))
         found = part if found is None else found.unionByName(part)
     base = probes.select(F.col(probe_id).alias("probe_id"))
-    return base.join(found, "probe_id", "left").select("probe_id", F.coalesce("texts", F.lit(0)).alias("texts"), "first_text")
+    found = found.withColumnRenamed("probe_id", "_found")
+    return base.join(found, F.col("probe_id").eqNullSafe(F.col("_found")), "left").select("probe_id", F.coalesce("texts", F.lit(0)).alias("texts"), "first_text")
 
 
 def call_outcomes(decisions: DataFrame) -> DataFrame:

@@ -69,19 +69,24 @@ def rank_records(queries: DataFrame, records: DataFrame) -> DataFrame:
     matches = term_matches(terms, index)
     sizes = records.groupBy("session_id").agg(F.count("*").alias("n"))
     frequencies = matches.filter("whole or in_meta").groupBy("session_id", "term").agg(F.count("*").alias("df")).withColumnsRenamed({"session_id": "s", "term": "t"})
-    asked = terms.crossJoin(sizes)  # sessions' sizes, not records: a row per query, term and session, which the totals are over
-    asked = asked.join(frequencies, (F.col("session_id") == F.col("s")) & (F.col("term") == F.col("t")), "left").drop("s", "t").withColumn("df", F.coalesce("df", F.lit(0)))
-    asked = asked.withColumn("w", F.when(F.col("code"), 3.0).otherwise(1.0) * F.log(1 + F.col("n") / (1 + F.col("df"))))
-    wholes = asked.groupBy("query_id", "session_id").agg(F.sum("w").alias("total"))
-    hit = asked.join(matches, ["session_id", "term"])
+    # Only terms that a session has are rows; what the others weigh in a total follows from the session's size alone.
+    base = F.when(F.col("code"), 3.0).otherwise(1.0)
+    weight = base * F.log(1 + F.col("n") / (1 + F.col("df")))
+    sized = frequencies.join(sizes, F.col("s") == F.col("session_id")).select("s", "t", "df", "n")
+    lowered = terms.join(sized, F.col("term") == F.col("t")).groupBy("query_id", F.col("s").alias("session_id")).agg(F.sum(weight - base * F.log(1 + F.col("n"))).alias("lowered"))
+    whole = terms.groupBy("query_id").agg(F.sum(base).alias("bases"))
+    hit = terms.join(matches, "term").join(frequencies, (F.col("session_id") == F.col("s")) & (F.col("term") == F.col("t")), "left").drop("s", "t")
+    hit = hit.withColumn("df", F.coalesce("df", F.lit(0))).join(sizes, "session_id").withColumn("w", weight)
     anchored = F.col("eligible") & (F.col("whole") | F.col("in_meta"))
     rare = F.col("df") <= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.1))
     scored = hit.groupBy("query_id", "session_id", "id").agg(
         F.sum(F.when(F.col("in_meta"), 1.2).otherwise(F.col("weight")) * F.col("w")).alias("hits"),
         F.bool_or(anchored).alias("anchored"),
         F.bool_or(anchored & rare).alias("distinctive"),
+        F.max("n").alias("n"),
     )
-    scored = scored.filter("anchored and hits > 0").join(wholes, ["query_id", "session_id"])
+    scored = scored.filter("anchored and hits > 0").join(lowered, ["query_id", "session_id"], "left").join(whole, "query_id")
+    scored = scored.withColumn("total", F.col("bases") * F.log(1 + F.col("n")) + F.coalesce("lowered", F.lit(0.0)))
     share = F.least(F.lit(1.0), F.col("hits") / F.col("total"))
     score = F.when(F.col("distinctive"), F.greatest(F.lit(0.5), share)).otherwise(share)
     return scored.select("query_id", "session_id", "id", F.round(score, 6).alias("score")).join(records.select("session_id", "id", "seq"), ["session_id", "id"])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens
+from ..functions.text import token_tenths
 from ..schema import TOOL_RESULT, TOOL_USE
 
 _MESSAGE = "struct<role: string, text: string, toolUses: array<struct<id: string, tool: string, input: string, text: string, isError: boolean>>, toolResults: array<struct<toolUseId: string, text: string, isError: boolean>>>"
@@ -48,7 +48,7 @@ def counts(messages: DataFrame) -> DataFrame:
     def total(of) -> Column:
         return of(F.col("text")) + F.aggregate("tool_uses", F.lit(0).cast("long"), lambda n, u: n + of(u["input"]) + of(F.coalesce(u["text"], F.lit(""))))
 
-    return messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum(F.size("tool_uses")).alias("tool_calls"), F.sum(total(F.length)).cast("long").alias("chars"), F.sum(total(estimate_tokens)).alias("est_tokens"))
+    return messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum(F.size("tool_uses")).alias("tool_calls"), F.sum(total(F.length)).cast("long").alias("chars"), F.floor((F.sum(total(token_tenths)) + 9) / F.lit(10)).cast("long").alias("est_tokens"))
 
 
 def write_cases(messages: DataFrame, labels: DataFrame, path: str) -> None:

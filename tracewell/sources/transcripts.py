@@ -9,8 +9,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..functions.redaction import redact_messages
 from ..schema import MESSAGES
+from ..storage import table
 
 _REMINDER = re.compile(r"<system-reminder>.*?</system-reminder>", re.DOTALL)
 
@@ -20,6 +24,8 @@ class LoadOptions:
     sidechains: bool = False
     thinking: bool = False
     strip_reminders: bool = True
+    redact: bool = False
+    user_paths: bool = False
 
 
 def flat(content) -> str:
@@ -130,25 +136,31 @@ class Transcripts:
 
 
 def read_transcripts(spark: SparkSession, path: str, options: LoadOptions | None = None) -> Transcripts:
-    """Transcripts under a path, a file each: a file is one task's row, as its lines hang together."""
+    """Transcripts under a path, a file each: a file is one task's row, as its lines hang together. Files are parsed once, into a table."""
     options = options or LoadOptions()
     files = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", "_metadata.file_name")
-
-    def parts(kind: str, ddl: str) -> DataFrame:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        schema = to_arrow_schema(StructType.fromDDL(ddl))
-
-        def run(batches):
-            for b in batches:
-                for text, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    rows = parse(text.split("\n"), name.removesuffix(".jsonl"), options)[kind]
-                    yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
-
-        return files.mapInArrow(run, ddl)
-
-    return Transcripts(parts("messages", MESSAGES), parts("usage", _USAGE), parts("skipped", _SKIPPED))
+    kinds = {"messages": MESSAGES, "usage": _USAGE, "skipped": _SKIPPED}
+    ddl = "kind string, " + ", ".join(f"{kind} struct<{fields_of(columns)}>" for kind, columns in kinds.items())
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches):
+        for b in batches:
+            for text, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = parse(text.split("\n"), name.removesuffix(".jsonl"), options)
+                rows = [{"kind": kind, kind: row} for kind in kinds for row in found[kind]]
+                yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+
+    parsed = table(files.mapInArrow(run, ddl), "transcripts", "kind")
+    parts = {kind: parsed.filter(F.col("kind") == kind).select(f"{kind}.*") for kind in kinds}
+    if options.redact:
+        hidden = redact_messages(parts["messages"], user_paths=options.user_paths)
+        parts["messages"] = parts["messages"].join(hidden.select("session_id").distinct(), "session_id", "left_anti").unionByName(hidden)
+    return Transcripts(**parts)
+
+
+def fields_of(columns: str) -> str:
+    """Columns as the fields of a struct."""
+    return StructType.fromDDL(columns).simpleString().removeprefix("struct<").removesuffix(">")
 
 
 def list_sessions(spark: SparkSession, path: str) -> DataFrame:
