@@ -70,6 +70,7 @@ class EngineConfig:
     mark_removed: bool = True
     redact: bool = True
     user_paths: bool = False
+    extra_secrets: tuple[str, ...] = ()  # patterns of one's own kinds
     rules: RuleOptions = RuleOptions()
     ruleset: RulesetOptions = RulesetOptions()
     policy: PolicyOptions = PolicyOptions()

@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import ready, table
+
 # Kinds of secrets in order of precedence, with the pattern and the group that holds the secret.
 DETECTORS = (
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", 0),
@@ -43,14 +47,21 @@ HINTS = {
 }
 
 
-def suspicious(text: Column) -> Column:
-    """Whether a text has a piece that some kind needs; by plain searches in the JVM."""
-    pieces = sorted({h for kind, hints in HINTS.items() if kind != "env_credential" for h in hints})
-    lower = F.lower(text)
-    found = text.rlike("(?m)^[A-Z][A-Z0-9_]*(?:KEY|SECRET|TOKEN|PASSWORD|PASS)=")
-    for piece in pieces:
-        found = found | F.contains(lower, F.lit(piece))
-    return found
+# Pieces and patterns that every text with a secret has, for the JVM: a piece is looked for first, then the pattern.
+# Python's white space and letter case go beyond ASCII, so the pattern says so.
+_GAP = r"[\s\x1c-\x1f\x85\p{Z}]*"
+_PIECES = ("=", ":", "PRIVATE KEY-----", "eyJ", "sk-", "sk_", "ts_", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AKIA", "AIza", "xox", "Bearer")
+_SHAPE = r"PRIVATE KEY-----|eyJ|sk[-_]|ts_|gh[pousr]_|github_pat_|AKIA|AIza|xox|Bearer|://[^:\s/]+:|(?iu:passw(?:or)?d|pwd|secret|token|key)" + _GAP + r"[=:]|(?m:^[A-Z][A-Z0-9_]*(?:KEY|SECRET|TOKEN|PASSWORD|PASS)=)"
+_PATHS = (":\\Users\\", "/home/", "/Users/")
+
+
+def suspicious(text: Column, user_paths: bool = False, extra: tuple[str, ...] = ()) -> Column:
+    """Whether a text has a piece that some kind of secret needs; by searches in the JVM. Patterns of one's own can be anything, so with extra every text is."""
+    if extra:
+        return F.lit(True)
+    has = lambda pieces: reduce(or_, [F.contains(text, F.lit(x)) for x in pieces])
+    found = has(_PIECES) & text.rlike(_SHAPE)
+    return found | has(_PATHS) if user_paths else found
 
 
 def secrets_of(text: str, detectors) -> list[dict]:
@@ -84,6 +95,7 @@ _PLACEHOLDERS = [re.compile(p) for p in PLACEHOLDERS]
 
 def secret_spans(text: Column, user_paths: bool = False, extra: tuple[str, ...] = ()) -> Column:
     """The secrets of a text: texts that have no suspicious piece get none at once, the others go through an Arrow function, as overlaps and precedence are beyond one pattern."""
+    ready()
     given = (*DETECTORS, *(USER_PATHS if user_paths else ()), *(("custom", p, 0) for p in extra))
 
     @F.arrow_udf(_SPAN)
@@ -92,8 +104,7 @@ def secret_spans(text: Column, user_paths: bool = False, extra: tuple[str, ...]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
         return pa.array([secrets_of(t, detectors) if t else [] for t in texts.to_pylist()], kind)
 
-    wanted = F.lit(True) if user_paths or extra else suspicious(text)
-    return spans(F.when(wanted, text))  # a null has none
+    return spans(F.when(suspicious(text, user_paths, extra), text))  # a null has none
 
 
 def redact(df: DataFrame, session: str, order: list[str], text: str, **options) -> DataFrame:
@@ -102,7 +113,12 @@ def redact(df: DataFrame, session: str, order: list[str], text: str, **options)
     The same secret has the same number in a session, by first sight in the
     given order; distinct secrets of a session are ranked, not its texts.
     """
-    rows = df.withColumn("_spans", secret_spans(F.col(text), **options)).withColumn("_at", F.struct(*order))
+    return _numbered(df.withColumn("_spans", secret_spans(F.col(text), **options)), session, order, text)
+
+
+def _numbered(df: DataFrame, session: str, order: list[str], text: str) -> DataFrame:
+    """redact(), of rows whose secrets are in _spans."""
+    rows = df.withColumn("_at", F.struct(*order))
     found = rows.select(F.col(session).alias("_s"), "_at", F.posexplode("_spans").alias("_pos", "_x")).select("_s", F.col("_x.value").alias("_v"), F.col("_x.kind").alias("_k"), F.struct("_at", "_pos").alias("_first"))
     firsts = found.groupBy("_s", "_v").agg(F.min("_first").alias("_first"), F.min_by("_k", "_first").alias("_k"))
     secret = F.col("_k") != "user_path"
@@ -114,11 +130,24 @@ def redact(df: DataFrame, session: str, order: list[str], text: str, **options)
     used = keyed.select("_row", F.col(session).alias("_s"), F.explode("_spans").alias("_x")).select("_row", "_s", F.col("_x.value").alias("_v")).distinct().join(names, ["_s", "_v"])
     maps = used.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_v", "_name"))).alias("_names"))
     joined = keyed.join(maps, "_row", "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.element_at("_names", s["value"])).alias("out"), s["end"].alias("at"))
-    done = lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text))))
-    redacted = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, done)).otherwise(F.col(text))
-    return joined.withColumn("secrets", F.size("_spans")).withColumn(text, redacted).drop("_spans", "_at", "_row", "_names")
+    return joined.withColumn("secrets", F.size("_spans")).withColumn(text, _replaced(F.col(text), F.col("_spans"), F.col("_names"))).drop("_spans", "_at", "_row", "_names")
+
+
+def _replaced(text: Column, spans: Column, names: Column) -> Column:
+    """The text with each span as its name: one pass over the text, whatever it has of secrets."""
+
+    @F.arrow_udf("string")
+    def pieces(texts: pa.Array, own: pa.Array, named: pa.Array) -> pa.Array:
+        out = []
+        for t, spans, pairs in zip(texts.to_pylist(), own.to_pylist(), named.to_pylist()):
+            names, parts, at = dict(pairs or ()), [], 0
+            for s in spans or ():
+                parts += [t[at : s["start"]], names[s["value"]]]
+                at = s["end"]
+            out.append("".join([*parts, t[at:]]) if at else t)
+        return pa.array(out, pa.string())
+
+    return F.when(F.size(spans) > 0, pieces(F.when(F.size(spans) > 0, text), spans, names)).otherwise(text)
 
 
 def leaves_of(value) -> list[str]:
@@ -147,6 +176,7 @@ def _parsed(text: str):
 
 def json_leaves(json_text: Column) -> Column:
     """The strings of a JSON text; of a text that isn't JSON, the text. Null has none."""
+    ready()
 
     @F.arrow_udf("array<string>")
     def leaves(texts: pa.Array) -> pa.Array:
@@ -156,10 +186,14 @@ def json_leaves(json_text: Column) -> Column:
 
 
 def json_with_leaves(json_texts: Column, leaves: Column) -> Column:
-    """An array of JSON texts, each with its strings taken from its own array of leaves; those without leaves stay as they are."""
-
-    def rebuilt(text: str, own: list[str]) -> str:
-        made = with_leaves(value := _parsed(text), iter(own))
+    """An array of JSON texts, each with some strings (struct<leaf: int, content: string>) put in their places; those without any stay as they are."""
+    ready()
+
+    def rebuilt(text: str, new: list[dict]) -> str:
+        own = leaves_of(value := _parsed(text))
+        for x in new:
+            own[x["leaf"]] = x["content"]
+        made = with_leaves(value, iter(own))
         return made if value is text else json.dumps(made, ensure_ascii=False, separators=(",", ":"))
 
     @F.arrow_udf("array<string>")
@@ -169,31 +203,49 @@ def json_with_leaves(json_texts: Column, leaves: Column) -> Column:
     return inputs(json_texts, leaves)
 
 
-def slots_of(messages: DataFrame) -> DataFrame:
-    """session_id, message_index, slot, sub, leaf, content: the texts of messages that look suspicious, in the order in which secrets are numbered.
+#: The leaf of a text that isn't a string inside an input.
+WHOLE = 2**31 - 1
+
+
+def slots_of(messages: DataFrame, **options) -> DataFrame:
+    """session_id, message_index, slot, sub, leaf, content: the texts of messages that can have a secret, in the order in which secrets are numbered.
 
     A message's text is slot 0; the strings of its uses' inputs and their
-    texts are slot 1 by use (texts last), its results slot 2.
+    texts are slot 1 by use (texts last), its results slot 2.  options say what
+    counts as a secret, as in secret_spans().
     """
+    looks = lambda c: suspicious(F.coalesce(c, F.lit("")), **options)
     uses = F.transform("tool_uses", lambda u, i: F.struct(F.lit(1).alias("slot"), i.alias("sub"), u["input"].alias("json"), u["text"].alias("text")))
     results = F.transform("tool_results", lambda r, i: F.struct(F.lit(2).alias("slot"), i.alias("sub"), F.lit(None).cast("string").alias("json"), r["text"].alias("text")))
     own = F.array(F.struct(F.lit(0).alias("slot"), F.lit(0).alias("sub"), F.lit(None).cast("string").alias("json"), F.col("text")))
-    rows = messages.select("session_id", "message_index", F.inline(F.concat(own, uses, results)))
-    rows = rows.filter(suspicious(F.coalesce("text", F.lit(""))) | suspicious(F.coalesce("json", F.lit(""))))
-    strings = F.transform(json_leaves(F.when(suspicious(F.coalesce("json", F.lit(""))), F.col("json"))), lambda x, i: F.struct(i.alias("leaf"), x.alias("content")))
-    last = F.struct(F.lit(2**31 - 1).alias("leaf"), F.col("text").alias("content"))
+    rows = messages.select("session_id", "message_index", F.inline(F.concat(own, uses, results))).filter(looks(F.col("text")) | looks(F.col("json")))
+    strings = F.transform(json_leaves(F.when(looks(F.col("json")), F.col("json"))), lambda x, i: F.struct(i.alias("leaf"), x.alias("content")))
+    last = F.struct(F.lit(WHOLE).alias("leaf"), F.col("text").alias("content"))
     return rows.withColumn("all", strings).select("session_id", "message_index", "slot", "sub", F.inline(F.concat("all", F.array(last)))).filter("content is not null")
 
 
 def redact_messages(messages: DataFrame, **options) -> DataFrame:
     """The messages of sessions that have secrets, with these redacted in texts, inputs and results; sessions without any have no row.
 
-    A secret has the same number all over its session, by first sight.
+    A secret has the same number all over its session, by first sight.  The
+    texts with secrets are found and written first, in one pass over messages;
+    where there are none that is all, and where there are some only their
+    sessions are built anew.  This runs when it is called, not later.
     """
-    order = ["message_index", "slot", "sub", "leaf"]
-    slots = redact(slots_of(messages), "session_id", order, "content", **options)
-    changed = slots.groupBy("session_id", "message_index", "slot", "sub").agg(F.sum("secrets").alias("secrets"), F.max(F.when(F.col("leaf") == 2**31 - 1, F.col("content"))).alias("text"), F.transform(F.array_sort(F.collect_list(F.when(F.col("leaf") < 2**31 - 1, F.struct("leaf", "content")))), lambda x: x["content"]).alias("leaves"))
-    changed = changed.filter("secrets > 0").groupBy("session_id", "message_index").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("slot", "sub"), F.struct("text", "leaves")))).alias("_new"))
+    found = redacted_sessions(messages, **options)
+    return messages.sparkSession.createDataFrame([], messages.schema) if found is None else found
+
+
+def redacted_sessions(messages: DataFrame, **options) -> DataFrame | None:
+    """redact_messages(), or None if there is no secret."""
+    spans = slots_of(messages, **options).withColumn("_spans", secret_spans(F.col("content"), **options))
+    slots = table(spans.filter(F.size("_spans") > 0), "secrets")
+    if slots.isEmpty():
+        return None
+    slots = _numbered(slots, "session_id", ["message_index", "slot", "sub", "leaf"], "content")
+    inner = F.array_sort(F.collect_list(F.when(F.col("leaf") < WHOLE, F.struct("leaf", "content"))))
+    changed = slots.groupBy("session_id", "message_index", "slot", "sub").agg(F.max(F.when(F.col("leaf") == WHOLE, F.col("content"))).alias("text"), inner.alias("leaves"))
+    changed = changed.groupBy("session_id", "message_index").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("slot", "sub"), F.struct("text", "leaves")))).alias("_new"))
     mine = messages.join(changed.select("session_id").distinct(), "session_id", "left_semi").join(changed, ["session_id", "message_index"], "left")
     new = lambda slot, sub: F.try_element_at("_new", F.struct(F.lit(slot).alias("slot"), sub.alias("sub")))
     text = lambda slot, sub, old: F.coalesce(new(slot, sub)["text"], old)
@@ -208,5 +260,5 @@ def redact_messages(messages: DataFrame, **options) -> DataFrame:
 
 def secret_counts(messages: DataFrame, **options) -> DataFrame:
     """Distinct secrets of each session that has any: session_id, secrets."""
-    spans = slots_of(messages).select("session_id", F.explode(secret_spans(F.col("content"), **options)).alias("s")).filter("s.kind <> 'user_path'")
+    spans = slots_of(messages, **options).select("session_id", F.explode(secret_spans(F.col("content"), **options)).alias("s")).filter("s.kind <> 'user_path'")
     return spans.groupBy("session_id").agg(F.count_distinct("s.value").alias("secrets"))

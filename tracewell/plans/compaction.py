@@ -1,4 +1,4 @@
-"""The whole compaction as one plan: from messages to decisions, a rebuilt transcript, archive rows and a report."""
+"""The whole compaction: from messages to decisions, a rebuilt transcript, archive rows and a report."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.redaction import redact_messages
+from ..functions.redaction import redacted_sessions
 from ..functions.text import estimate_tokens
 from ..operators import graph, ledger, rebuild, rules, scoring
 from ..storage import table
@@ -32,12 +32,14 @@ class Compaction:
 def scored(protected: DataFrame, messages: DataFrame, config: EngineConfig, scorer: scoring.Scorer | None) -> DataFrame:
     """protected with scores, by a scorer that sees secrets of no session: its calls are made anew from redacted messages.
 
-    Pins, rules, references and the archive go by the originals.
+    Pins, rules, references and the archive go by the originals.  Secrets are
+    looked for when this is called, not when its rows are asked for.
     """
     # The sessions with secrets, redacted, are written once; most tables have none, and then there is nothing to hide.
-    hidden = table(redact_messages(messages, user_paths=config.user_paths), "redacted") if config.redact else None
-    if hidden is None or hidden.isEmpty():
+    hidden = redacted_sessions(messages, user_paths=config.user_paths, extra=config.extra_secrets) if config.redact else None
+    if hidden is None:
         return scoring.RulesetScorer(config.ruleset).score(protected, messages) if scorer is None else scorer.score(protected)
+    hidden = table(hidden, "redacted")
     again = rules.with_facts(ledger.tool_calls(hidden, config.preserve_recent), config.rules.current_window)
     again = again.select(*_KEY, F.struct(*SHOWN).alias("_hidden"))
     own = F.struct(*SHOWN)
@@ -52,7 +54,7 @@ def scored(protected: DataFrame, messages: DataFrame, config: EngineConfig, scor
 
 
 def decided(messages: DataFrame, config: EngineConfig, scorer: scoring.Scorer | None = None, references: bool = True) -> DataFrame:
-    """Calls with protections, duplicates, scores and actions."""
+    """Calls with protections, duplicates, scores and actions. Runs a job for the secrets that a scorer must not see, as scored() does."""
     calls = rules.exact_duplicates(ledger.tool_calls(messages, config.preserve_recent))
     found = graph.references_of_calls(ledger.ledger(messages), config.graph) if references else None
     protected = rules.with_protections(calls, config.rules, found)
@@ -60,6 +62,7 @@ def decided(messages: DataFrame, config: EngineConfig, scorer: scoring.Scorer |
 
 
 def compact(messages: DataFrame, config: EngineConfig | None = None, *, scorer: scoring.Scorer | None = None, compaction_id: str = "c_0", archived_at: str = "1970-01-01T00:00:00Z") -> Compaction:
+    """One compaction of all sessions; its decisions are made and written when this is called."""
     config = config or EngineConfig()
     events = ledger.ledger(messages)
     decisions = table(decided(messages, config, scorer), "decisions")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import EngineConfig, PolicyOptions
 from .functions import sketch, terms, text
-from .functions.redaction import redact
+from .functions.redaction import redact, redact_messages
 from .operators import archive, evals, fit, graph, ledger, retrieve, rules, scoring, search
 from .plans import compaction
 from .schema import TOOL_RESULT, TOOL_USE
@@ -369,6 +369,19 @@ def redacted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.decided(planted, CONFIG).select("session_id", "call_seq", F.round("keep_call", 6).alias("keep_call"), F.round("keep_result", 6).alias("keep_result"))
 
 
+@query(
+    f"with {_CALLS}, f as (select session_id, k, min(n) as first from e group by 1, 2), g as (select *, row_number() over (partition by session_id order by first) as id from f) "
+    "select e.session_id, 2 * e.n + 1 as message_index, 'at /home/<USER>/f' || e.k || ' by <SECRET_' || g.id || '>' as line from e join g using (session_id, k)"
+)
+def redacted_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User paths and secrets of an own kind, planted in every result, as redact_messages() leaves them; numbered by first sight in a session."""
+    k = lambda r: F.regexp_extract(r["text"], "src/f([0-9]+)", 1)
+    planted = lambda r: F.concat(F.lit("at /home/user"), F.col("session_id"), F.lit("/f"), k(r), F.lit(" by OWN-"), k(r), F.lit("-KIND\n"), r["text"])
+    messages = _session(spark, sf_dir).withColumn("tool_results", F.transform("tool_results", lambda r: r.withField("text", planted(r))))
+    hidden = redact_messages(messages, user_paths=True, extra=("OWN-[0-9]+-KIND",))
+    return hidden.filter(F.size("tool_results") > 0).select("session_id", "message_index", F.substring_index(F.col("tool_results")[0]["text"], "\n", 1).alias("line"))
+
+
 _TEXTS = """
 x as (
     select *, 'e_' || substr(sha256('tool_result' || chr(31) || tool_use_id || chr(31) || result), 1, 16) as aid,

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def ready(spark: SparkSession | None = None) -> SparkSession:
+    """The session (the active one if none is given); Python workers of functions made from now on can import this package from its own folder.
+
+    On a cluster whose executors don't see that folder, install the package there.
+    """
+    spark = spark or SparkSession.active()
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a folder of our own on a single machine, and an error on a cluster."""
     if found := spark.conf.get("spark.checkpoint.dir", None):

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..storage import ready
+
 GROWTH = 1.25
 
 
@@ -45,6 +47,7 @@ def auto_trigger(turns: DataFrame, threshold: int) -> DataFrame:
 
 def trigger_stream(turns: DataFrame, threshold: int) -> DataFrame:
     """auto_trigger() over a stream of turns; within a micro-batch a session's turns go in order."""
+    ready(turns.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, attempted = state.get if state.exists else (0.0, 0.0)
