@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import numbered, ready, table
 
 SHARDS, SEED = 16, 1
-#: Rows of a bin, about.
-BIN_ROWS = 20_000
+#: Rows of a bin, about; more where there would be over MOST_BINS bins, whose starts are summed up in one sort.
+BIN_ROWS, MOST_BINS = 2_000, 5_000_000
 #: Equal rows that are counted as one at most: a power of two.
 REPEATS = 8192
 #: Sources up to which a row for each is broadcast; more are joined by shuffle.
@@ -60,8 +60,9 @@ def _ranked(light: DataFrame) -> tuple[DataFrame, int]:
     sources = table(light.groupBy("_source").agg(F.sum("n").alias("_rows")), "shard-sources")
     n, total = sources.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     right = F.broadcast(sources) if n <= BROADCAST_ROWS else sources
+    bin_rows = max(BIN_ROWS, total // MOST_BINS)
     first = F.conv(F.substring("_key", 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
-    rows = light.join(right, "_source").withColumn("_bin", F.floor(first * F.ceil(F.col("_rows") / BIN_ROWS)))
+    rows = light.join(right, "_source").withColumn("_bin", F.floor(first * F.ceil(F.col("_rows") / bin_rows)))
     starts = _starts(rows.groupBy("_source", "_bin").agg(F.sum("n").alias("n")), "_start", ["_source"])
     before = Window.partitionBy("_source", "_bin").orderBy("_key", F.col("_id").asc_nulls_first(), "_size", "_crc", "_print", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(starts.hint("shuffle_hash"), ["_source", "_bin"])
@@ -73,7 +74,7 @@ def _placed(light: DataFrame, shards: int) -> DataFrame:
     """_ranked() with _place in the interleaving, _shard and _slot."""
     ranked, total = _ranked(table(light, "shard-rows"))
     at = (2 * F.col("_rank") + 1) / (2 * F.col("_rows"))
-    ranked = ranked.withColumn("_at", at).withColumn("_bin", F.floor(F.col("_at") * -(-total // BIN_ROWS)))
+    ranked = ranked.withColumn("_at", at).withColumn("_bin", F.floor(F.col("_at") * -(-total // max(BIN_ROWS, total // MOST_BINS))))
     ranked = table(ranked, "shard-ranks")
     starts = _starts(ranked.groupBy("_bin").agg(F.count("*").alias("n")), "_start", [])
     inside = F.row_number().over(Window.partitionBy("_bin").orderBy("_at", "_source")) - 1
