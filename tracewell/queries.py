@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .config import EngineConfig, PolicyOptions
 from .functions import sketch, terms, text
 from .functions.redaction import redact, redact_messages
-from .operators import archive, evals, fit, graph, ledger, retrieve, rules, scoring, search
+from .operators import archive, chains, evals, fit, graph, ledger, retrieve, rules, scoring, search
 from .plans import compaction
 from .schema import TOOL_RESULT, TOOL_USE
 from .sources.tables import archive_from_documents, messages_from_conversations, messages_from_events, read
@@ -408,6 +408,37 @@ def ancestor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ancestor_stats(messages, scoring.apply_ancestor(messages, decisions), decisions)
 
 
+# ---- chains of records
+
+#: Records from events: each follows the one before, but for branches; some users' first record has a parent that isn't there, or a later record.
+_RECORDS = """
+r as (
+    select cast(user_id as varchar) as session_id, n, n // 8 as block, n as at, 'r' || n as uuid,
+           case when n = 0 and user_id % 9 = 1 then 'gone' when n = 0 and user_id % 9 = 2 then 'r' || (cnt // 2)
+                when n > 4 and k % 11 = 0 then 'r' || (n - 2 - k % 3) when n > 0 then 'r' || (n - 1) end as parent, k % 7 <> 3 as leaf
+    from (select *, cast(session_id as bigint) as user_id from e)
+)"""
+
+
+@query(
+    f"with recursive {_CALLS}, {_RECORDS}, leaves as (select session_id, max(n) as n from r where leaf group by 1), "
+    "w as (select r.*, 0 as steps from r join leaves using (session_id, n) "
+    "union all select r.*, w.steps + 1 from w join r on r.session_id = w.session_id and r.uuid = w.parent where w.steps <= (select max(n) + 1 from r)), "
+    "good as (select session_id, max(steps) as long from w group by 1 having bool_or(parent is null)) "
+    "select w.session_id, w.n, good.long - w.steps as place, false as broken from w join good using (session_id) "
+    "union all select session_id, n, n as place, true as broken from r where session_id not in (select session_id from good)"
+)
+def main_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main chain of each user's events, read as records in blocks of eight that name their parents."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), (F.row_number().over(order) - 1).alias("n"), F.count("*").over(Window.partitionBy("user_id")).alias("cnt"))
+    named = lambda n: F.concat(F.lit("r"), n.cast("string"))
+    n, k, user = F.col("n"), F.col("k"), F.col("user_id")
+    parent = F.when((n == 0) & (user % 9 == 1), F.lit("gone")).when((n == 0) & (user % 9 == 2), named(F.floor(F.col("cnt") / 2))).when((n > 4) & (k % 11 == 0), named(n - 2 - k % 3)).when(n > 0, named(n - 1))
+    records = e.select(user.cast("string").alias("session_id"), "n", F.floor(n / 8).alias("block"), n.alias("at"), named(n).alias("uuid"), parent.alias("parent"), (k % 7 != 3).alias("leaf"))
+    return chains.in_order(records, "session_id").select("session_id", "n", "place", "broken")
+
+
 # ---- the whole compaction
 
 
