@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.config import EngineConfig, PolicyOptions, RehydrateOptions, RuleOptions
 from tracewell.functions import redaction, sketch, terms, text
-from tracewell.operators import archive, evals, fit, graph, ledger, rebuild, retrieve, rules, scoring, search
+from tracewell.operators import archive, asking, evals, fit, graph, ledger, rebuild, retrieve, rules, scoring, search
 from tracewell.plans import compaction
 from tracewell.schema import ARCHIVE, MESSAGES
 from tracewell.sources import datasets, transcripts
@@ -556,6 +556,78 @@ print("fine")
     assert "fine" in done.stdout, done.stderr[-2000:]
 
 
+class Flaky:
+    """Answers 0.5 and 0.25; fails for good at one tool, once at another, and says nonsense about a third."""
+
+    def __init__(self):
+        self.tried = set()
+
+    def __call__(self, state, questions):
+        tools = {q["tool"] for q in questions}
+        assert json.loads(state)["history"]
+        if "Grep" in tools or ("Bash" in tools and questions[0]["call"] not in self.tried and not self.tried.add(questions[0]["call"])):
+            raise OSError("down")
+        return {q["call"]: (1.5 if q["tool"] == "Edit" else 0.5, 0.25) for q in questions}
+
+
+def test_batched_asker(spark):
+    parts = []
+    for i, tool in enumerate(["Read", "Grep", "Bash", "Edit", "Read"]):
+        parts += [("assistant", f"step {i}", [use(f"c{i}", tool, path=f"x/{i}.py")]), ("user", "", [], [(f"c{i}", "out " * 30, False)])]
+    messages = transcript(spark, ("user", "do it"), *parts)
+    calls = ledger.tool_calls(messages, 2)
+    state = fit.fitted_states(messages, calls, 900, 2).first()
+    room = max(r["tokens"] for r in fit.batch_calls(calls, 1000).collect())
+    one_each = asking.AskOptions(state_tokens=900, request_tokens=state["tokens"] + room, preserve_recent=2)
+    scorer = asking.BatchScorer(messages, Flaky(), one_each)
+    got = {r["call_seq"]: (r["keep_call"], r["keep_result"], r["unscored"]) for r in scorer.score(calls).collect()}
+    batches = {r["call_seq"]: r["batch"] for r in fit.batch_calls(calls, room).collect()}
+    assert state["stage"] == "full" and len(json.loads(state["state"])["history"]) == 6 and json.loads(state["state"])["goal"] == "do it"
+    bad = {batches[2], batches[4]}
+    assert got == {n: (None, None, True) if batches[n] in bad else (0.5, 0.25, False) for n in batches}
+    stats = scorer.stats().first()
+    assert stats["failed"] == len(bad) and stats["requests"] >= len(set(batches.values())) + len(bad)
+    decided = compaction.decided(messages, EngineConfig(preserve_recent=2), asking.BatchScorer(messages, Flaky(), one_each)).collect()
+    assert {r["call_seq"] for r in decided if "unscored" in r["codes"]} >= {r["call_seq"] for r in decided if batches[r["call_seq"]] in bad and not r["pinned"] and not r["protections"]}
+
+    def never(state, questions):
+        raise OSError("down")
+
+    with pytest.raises(RuntimeError, match="all .* failed"):
+        asking.BatchScorer(messages, never, one_each).score(calls)
+    none = asking.BatchScorer(messages, Flaky(), asking.AskOptions(state_tokens=1)).score(calls)
+    assert none.filter("unscored").count() == 5
+
+
+@pytest.mark.parametrize("budget", [100_000, 900, 600, 420, 330])
+def test_fitted_states(spark, budget):
+    """A state costs what fit_state() says it costs, entry by entry."""
+    messages = session(spark)
+    calls = ledger.tool_calls(messages)
+    row = fit.fitted_states(messages, calls, budget).first()
+    want = fit.fit_state(messages, calls, budget).first()
+    assert (row["stage"], row["tokens"]) == (want["stage"], want["tokens"])
+    if row["state"] is None:
+        assert want["stage"] == "too large"
+        return
+    history = json.loads(row["state"])["history"]
+    given = spark.createDataFrame([(json.dumps(x, ensure_ascii=False, separators=(",", ":")),) for x in history], "j string")
+    assert given.agg(F.sum(text.estimate_tokens(F.col("j")) + 1)).first()[0] + 50 == row["tokens"]
+    assert [x["i"] for x in history] == sorted(x["i"] for x in history)
+
+
+def test_packing_a_large_session(spark):
+    calls = spark.range(200_000).select(F.lit("s").alias("session_id"), (F.col("id") + 1).cast("int").alias("call_seq"), F.repeat(F.lit("word "), (F.col("id") % 7).cast("int")).alias("input"), F.lit("Read").alias("tool"))
+    rows = fit.batch_calls(calls, 200).orderBy("call_seq").collect()
+    used, n, want = 0, 0, []
+    for r in rows:
+        if used + r["tokens"] > 200:
+            used, n = 0, n + 1
+        used += r["tokens"]
+        want.append(n)
+    assert [r["batch"] for r in rows] == want
+
+
 def test_gate_and_notes(spark):
     messages = session(spark)
     for least, changed in ((0.05, True), (0.99, False)):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .config import EngineConfig, PolicyOptions
 from .functions import sketch, terms, text
 from .functions.redaction import redact, redact_messages
-from .operators import archive, chains, evals, fit, graph, ledger, retrieve, rules, scoring, search
+from .operators import archive, asking, chains, evals, fit, graph, ledger, retrieve, rules, scoring, search
 from .plans import compaction
 from .schema import TOOL_RESULT, TOOL_USE
 from .sources.tables import archive_from_documents, messages_from_conversations, messages_from_events, read
@@ -683,6 +683,30 @@ def batch_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.batch_calls(_calls(spark, sf_dir), 400)
 
 
+def _asker(state: str, questions: list[dict]) -> dict:
+    """Answers by a call's number; fails for requests that begin with a call of a number that ends in 3."""
+    if questions[0]["call"] % 10 == 3:
+        raise ConnectionError("no answer")
+    return {q["call"]: ((q["call"] * 7 % 100) / 100, (q["call"] * 13 % 100) / 100) for q in questions}
+
+
+@query(
+    SQL["batch_calls"].replace("400", "700").replace("select session_id, call_seq, tokens, batch from f", "", 1).rstrip()
+    + ", b as (select session_id, batch, min(call_seq) % 10 = 3 as failed from f group by 1, 2) "
+    "select session_id, call_seq, batch, failed as unscored, case when not failed then round(call_seq * 7 % 100 / 100.0, 6) end as keep_call, case when not failed then round(call_seq * 13 % 100 / 100.0, 6) end as keep_result from f join b using (session_id, batch)"
+)
+def asked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from a batched asker that fails at some requests: their calls are unscored, all others have answers. The state has what the request leaves free of 700 tokens."""
+    messages = _session(spark, sf_dir)
+    calls = _calls(spark, sf_dir)
+    states = fit.fitted_states(messages, calls, 2_000, CONFIG.preserve_recent).withColumn("tokens", F.lit(0)).withColumn("state", F.coalesce("state", F.lit("{}")))
+    made = asking.replies(asking.requests(states, calls, 700), _asker, asking.AskOptions())
+    answers = made.select("session_id", F.inline("answers"))
+    packed = fit.batch_calls(calls, 700).select("session_id", "call_seq", "batch")
+    rows = packed.join(answers, ["session_id", "call_seq"], "left")
+    return rows.select("session_id", "call_seq", "batch", F.col("keep_call").isNull().alias("unscored"), F.round("keep_call", 6).alias("keep_call"), F.round("keep_result", 6).alias("keep_result"))
+
+
 @query("select item_id as probe_id, count(doc_id) as texts, min(doc_id) as first_text from benchmark left join documents on contains(documents.text, benchmark.text) group by 1")
 def probe_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.probe_retention(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
