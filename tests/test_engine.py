@@ -17,7 +17,7 @@ from tracewell.operators import archive, asking, evals, fit, graph, ledger, rebu
 from tracewell.plans import compaction
 from tracewell.schema import ARCHIVE, MESSAGES
 from tracewell.sources import datasets, transcripts
-from tracewell.streaming import trigger
+from tracewell.streaming import archiving, trigger
 
 
 def use(id, tool, **given):
@@ -252,6 +252,102 @@ def test_archive(spark, tmp_path):
     assert [f for f in os.listdir(tmp_path) if "purge" in f] == []
 
 
+def test_archive_lookups_read_one_bucket(spark, tmp_path):
+    store = archive.Archive(spark, f"file://{tmp_path}/archive", buckets=8)
+    rows = [record(f"r{i % 300}", f"text {i % 300}", f"s{i // 10}", i) for i in range(600)]
+    store.put(spark.createDataFrame(rows, ARCHIVE))
+    everything = len(store.read().inputFiles())
+    assert everything >= 8
+    for df, n in ((store.get("s7", "r75"), 1), (store.locate("r75"), 2), (store.get_many([("s7", "r75"), ("s7", "r76")]), 2)):
+        assert df.count() == n
+        found = re.findall(r"PartitionFilters: \[([^\n]*?)\], PushedFilters", df._jdf.queryExecution().executedPlan().toString())
+        assert found and "bucket" in found[0]
+    scan = store.get("s7", "r75")
+    scan.collect()
+    assert 1 <= scan._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value() < everything / 4
+    assert archive.Archive(spark, f"file://{tmp_path}/archive", buckets=99).buckets == 8
+
+
+def test_archive_batches(spark, tmp_path):
+    """A batch counts with its commit only; put again it adds nothing; purges and merges replace buckets in one commit."""
+    path = f"{tmp_path}/archive"
+    store = archive.Archive(spark, f"file://{path}", buckets=4)
+    make = lambda *ids: spark.createDataFrame([record(i, f"text {i}", f"s{ord(i[-1]) % 3}", n) for n, i in enumerate(ids)], ARCHIVE)
+    store.put(make("a", "b"), "one")
+    store.put(make("x", "y"), "one")
+    assert sorted(one(store.read(), "id")) == ["a", "b"]
+    store.put(make("b", "c"), "two")
+    os.remove(f"{path}/commits/two.json")  # as if the writer had died before its commit
+    assert sorted(one(store.read(), "id")) == ["a", "b"] and sorted(one(store.ids(), "id")) == ["a", "b"]
+    store.put(make("b", "c", "d"), "two")
+    assert sorted(one(store.read(), "id")) == ["a", "b", "c", "d"]
+    keys = store.read().filter("id in ('a', 'd')").select("session_id", "id")
+    assert store.purge(keys) == 2 and sorted(one(store.read(), "id")) == ["b", "c"] and sorted(one(store.ids(), "id")) == ["b", "c"]
+    store.put(make("a"), "three")
+    assert sorted(one(store.read(), "id")) == ["a", "b", "c"]
+    before = len(store.read().inputFiles())
+    store.merge()
+    store.put(make("q"), "three")
+    assert sorted(one(store.read(), "id")) == ["a", "b", "c"] and len(store.read().inputFiles()) <= before
+    store.vacuum()
+    assert sorted(one(store.read(), "id")) == ["a", "b", "c"] and len([d for d in os.listdir(f"{path}/data") if d.startswith("batch=")]) == 1
+    assert sorted(one(store.sessions(), "session_id")) == sorted({f"s{ord(i) % 3}" for i in "abc"})
+
+
+def test_archive_stream(spark, tmp_path, monkeypatch):
+    """A stream that dies after its commit, or before it, and runs again leaves each record once; other content stops it."""
+    def source(n):
+        spark.createDataFrame([record(f"r{i}", f"text {i}", f"s{i % 3}", i) for i in range(n, n + 4)], ARCHIVE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    store = archive.Archive(spark, f"file://{tmp_path}/archive", buckets=4)
+    start = lambda: archiving.archive_stream(spark.readStream.schema(ARCHIVE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), store, "feed", f"{tmp_path}/state")
+    commit = archive.Archive._commit
+
+    def dies_after(self, *args):
+        commit(self, *args)
+        raise OSError("killed")
+
+    def dies_before(self, name, *args):
+        monkeypatch.setattr(archive, "write_once", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        commit(self, name, *args)
+
+    source(0)
+    source(2)  # two of them again
+    monkeypatch.setattr(archive.Archive, "_commit", dies_after)
+    with pytest.raises(Exception, match="killed"):
+        start().awaitTermination(120)
+    monkeypatch.setattr(archive.Archive, "_commit", dies_before)
+    with pytest.raises(Exception, match="killed"):
+        start().awaitTermination(120)
+    monkeypatch.undo()
+    start().awaitTermination(120)
+    assert sorted(one(store.read(), "id")) == [f"r{i}" for i in range(6)]
+    assert sorted(f for f in os.listdir(f"{tmp_path}/archive/commits") if f.endswith(".json")) == ["feed-000000000000.json", "feed-000000000001.json"]
+    spark.createDataFrame([record("r1", "something else", "s1", 1)], ARCHIVE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="exists with different content"):
+        start().awaitTermination(120)
+
+
+def test_scoped_search_and_its_stream(spark, tmp_path):
+    words = ["parse_widget", "open_gate", "merge_rows", "fold_page"]
+    rows = [record(f"r{s}{i}", f"the {words[i % 4]} function number {i} of {s}\n" * 5, s, i) for s in ("s", "t", "u") for i in range(8)]
+    records = spark.createDataFrame(rows, ARCHIVE)
+    asked = [("q1", "s", "where is parse_widget defined?"), ("q2", "t", "what does open_gate return?"), ("q3", "nowhere", "where is parse_widget defined?"), ("q4", "t", "/parse_widget and more")]
+    prompts = spark.createDataFrame(asked, "query_id string, session_id string, text string")
+    ranked = search.rank_records(prompts, records).collect()
+    for q, s, t in asked:  # scores are those of a search in the session alone
+        alone = search.rank_records(spark.createDataFrame([(q, t)], "query_id string, text string"), records.filter(F.col("session_id") == s)).collect()
+        assert sorted((r["id"], r["score"]) for r in ranked if r["query_id"] == q) == sorted((r["id"], r["score"]) for r in alone)
+    batch = sorted(map(tuple, retrieve.rehydrate(prompts, records).collect()))
+    assert {r[0] for r in batch} == {"q1", "q2"} and all(dict((q, s) for q, s, _ in asked)[r[0]] == r[1] for r in batch)
+    for part in (prompts.filter("query_id <= 'q2'"), prompts.filter("query_id > 'q2'")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/prompts")
+    stream = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/prompts")
+    for _ in range(2):
+        archiving.retrieval_stream(stream, lambda: records, f"file://{tmp_path}/out", f"{tmp_path}/state").awaitTermination(240)
+    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/out").drop("batch").collect())) == batch
+
+
 def test_archive_keeps_equal_ids_of_sessions_apart(spark, tmp_path):
     """Two sessions of the same calls: all records of both stay, and each is found by its session."""
     store = archive.Archive(spark, f"file://{tmp_path}/archive")

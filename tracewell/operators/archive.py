@@ -1,11 +1,20 @@
-"""The archive: an append-only Parquet table by session, with lookups, lists and totals.
+"""The archive: append-only Parquet tables of records and of their ids, with lookups, lists and totals.
 
 A record is known by its session and id: ids are hashes of content, so two
 sessions may well have the same.
+
+Records are dealt to buckets by a hash of their session, an index of
+(id, session, content hash) by a hash of the id; both are sorted within their
+buckets, so a lookup reads one bucket of one of them.  Rows come in batches.  A
+batch counts once its commit record is there, which is put in place in one step:
+readers see all of it or nothing, and a batch that is written again, by a stream
+that was killed, say, changes nothing.  A commit can also replace buckets of
+earlier batches; that is how records are purged and small batches merged.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -14,18 +23,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, truncate
 from ..schema import ARCHIVE
-from ..storage import drop_path
+from ..storage import drop_path, table, write_once
 
 KEY = ["session_id", "id"]
+IDS = "id string, session_id string, content_hash string"
+#: Keys up to which a batch's are broadcast to what is known; more meet it in a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def fresh_records(known: DataFrame, records: DataFrame) -> DataFrame:
     """One of each session and id among records, without those that known has.
 
     An id that comes with other content than in known, or with two contents
-    among records, is an error.
+    among records, is an error.  Of known only the keys of records are grouped.
     """
-    had = known.groupBy(*KEY).agg(F.min("content_hash").alias("had"))
+    keys = records.select(*KEY).distinct()
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    had = known.join(F.broadcast(keys) if few else keys, KEY, "left_semi").groupBy(*KEY).agg(F.min("content_hash").alias("had"))
     once = records.groupBy(*KEY).agg(F.min(F.struct("content_hash", *[c for c in records.columns if c not in (*KEY, "content_hash")])).alias("r"), F.max("content_hash").alias("other"))
     joined = once.join(had, KEY, "left")
     clash = F.raise_error(F.concat(F.lit("archive record "), F.col("id"), F.lit(" of session "), F.col("session_id"), F.lit(" exists with different content")))
@@ -61,7 +75,7 @@ def totals(records: DataFrame) -> DataFrame:
 def get_many(records: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     """Records of (session_id, id) in the order asked for; keys that aren't there have no row."""
     wanted = records.sparkSession.createDataFrame([(n, *k) for n, k in enumerate(keys)], "place int, session_id string, id string")
-    return records.join(F.broadcast(wanted), KEY).orderBy("place").drop("place")
+    return records.join(F.broadcast(wanted) if len(keys) <= BROADCAST_KEYS else wanted, KEY).orderBy("place").drop("place")
 
 
 def why(records: DataFrame) -> DataFrame:
@@ -83,77 +97,150 @@ def wrapped(tag: str, content: Column) -> Column:
 
 
 class Archive:
-    """An archive under a folder, partitioned by session. One writer at a time."""
+    """An archive under a folder. One writer at a time; readers at any time."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        """buckets is what a new archive is laid out in; one that is there keeps its own."""
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = next((c["buckets"] for c in self._commits()), buckets)
 
-    def read(self) -> DataFrame:
+    def _commits(self) -> list:
+        """All commit records, a row for each batch."""
         try:
-            return self.spark.read.schema(ARCHIVE).parquet(self.path)
+            rows = self.spark.read.schema("batch string, buckets int, replaces string").option("pathGlobFilter", "*.json").json(f"{self.path}/commits").collect()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], ARCHIVE)
+            return []
+        return sorted(rows, key=lambda r: r["batch"])
+
+    def _table(self, what: str, columns: str) -> DataFrame:
+        """Rows of all batches that count, without buckets that were replaced; with batch and bucket."""
+        commits = self._commits()
+        gone: dict[str, set[int]] = {}
+        for c in commits:
+            for batch, buckets in json.loads(c["replaces"]).get(what, {}).items():
+                gone.setdefault(batch, set()).update(buckets)
+        active = [c["batch"] for c in commits if len(gone.get(c["batch"], ())) < self.buckets]
+        columns += ", batch string, bucket int"
+        there = [b for b in active if _exists(self.spark, f"{self.path}/{what}/batch={b}")]
+        if not there:
+            return self.spark.createDataFrame([], columns)
+        rows = self.spark.read.schema(columns).option("basePath", f"{self.path}/{what}").parquet(*[f"{self.path}/{what}/batch={b}" for b in there])
+        for b in there:
+            if b in gone:
+                rows = rows.filter((F.col("batch") != b) | ~F.col("bucket").isin(*sorted(gone[b])))
+        return rows
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _of_session(self, session_id: str | None) -> DataFrame:
+        rows = self._table("data", ARCHIVE)
+        return (rows if session_id is None else rows.filter(F.col("bucket") == self._bucket(F.lit(session_id)))).drop("batch", "bucket")
+
+    def read(self) -> DataFrame:
+        return self._of_session(None)
 
-    def put(self, records: DataFrame) -> None:
-        """Adds what is new; the same record again changes nothing, other content under a known id of its session fails."""
-        self._write(fresh_records(self.read(), records))
+    def ids(self) -> DataFrame:
+        """id, session_id, content_hash of all records."""
+        return self._table("ids", IDS).drop("batch", "bucket")
 
-    def _write(self, rows: DataFrame) -> None:
-        rows.repartition("session_id").write.mode("append").partitionBy("session_id").parquet(self.path)
+    def put(self, records: DataFrame, batch: str | None = None) -> None:
+        """Adds what is new; the same record again changes nothing, other content under a known id of its session fails.
+
+        A batch of a name that counts already adds nothing, so what was cut
+        short can be put again under its name.
+        """
+        name = batch or f"put-{uuid.uuid4().hex}"
+        if any(c["batch"] == name for c in self._commits()):
+            return
+        self._commit(name, table(fresh_records(self.ids(), records), "archive-fresh"), {})
+
+    def _commit(self, name: str, rows: DataFrame, replaces: dict, ids: DataFrame | None = None) -> None:
+        """Writes rows (and ids, theirs if not given) as a batch, then its commit record."""
+        rows = rows.select(*self.spark.createDataFrame([], ARCHIVE).columns)
+        ids = rows.select("id", "session_id", "content_hash") if ids is None else ids
+        self._deal(rows.withColumn("bucket", self._bucket(F.col("session_id"))), f"{self.path}/data/batch={name}")
+        self._deal(ids.withColumn("bucket", self._bucket(F.col("id"))), f"{self.path}/ids/batch={name}")
+        write_once(self.spark, f"{self.path}/commits/{name}.json", json.dumps({"batch": name, "buckets": self.buckets, "replaces": json.dumps(replaces)}))
+
+    def _deal(self, rows: DataFrame, path: str) -> None:
+        order = ["bucket", "id", "session_id"] if len(rows.columns) < 6 else ["bucket", "session_id", "id"]
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     def get(self, session_id: str, id: str) -> DataFrame:
-        return self.read().filter((F.col("session_id") == session_id) & (F.col("id") == id))
+        return self._of_session(session_id).filter((F.col("session_id") == session_id) & (F.col("id") == id))
 
     def locate(self, id: str) -> DataFrame:
-        """The sessions that have a record of that id."""
-        return self.read().filter(F.col("id") == id).select("session_id").distinct()
+        """The sessions that have a record of that id, from one bucket of the index."""
+        rows = self._table("ids", IDS)
+        return rows.filter((F.col("bucket") == self._bucket(F.lit(id))) & (F.col("id") == id)).select("session_id").distinct()
 
     def why(self, session_id: str, id: str) -> DataFrame:
         return why(self.get(session_id, id))
 
+    def get_many(self, keys: list[tuple[str, str]]) -> DataFrame:
+        """get_many(), from the buckets of the keys' sessions."""
+        rows, sessions = self._table("data", ARCHIVE), sorted({s for s, _ in keys})
+        if len(sessions) <= 4 * self.buckets:
+            rows = rows.filter(F.col("bucket").isin(*[self._bucket(F.lit(s)) for s in sessions]))
+        return get_many(rows.drop("batch", "bucket"), keys)
+
     def restore(self, keys: list[tuple[str, str]]) -> DataFrame:
         """The blocks that put records back, in the order asked for."""
-        return restored(get_many(self.read(), keys))
+        return restored(self.get_many(keys))
 
     def list(self, limit: int | None = None, **where) -> DataFrame:
-        rows = summaries(matching(self.read(), **where)).orderBy("seq", "archived_at", "id")
+        rows = summaries(matching(self._of_session(where.get("session_id")), **where)).orderBy("seq", "archived_at", "id")
         return rows if limit is None else rows.limit(limit)
 
     def stats(self, session_id: str | None = None) -> DataFrame:
-        return totals(matching(self.read(), session_id))
+        return totals(matching(self._of_session(session_id), session_id))
 
     def sessions(self) -> DataFrame:
-        return self.read().select("session_id").distinct()
+        return self.ids().select("session_id").distinct()
 
     def purge(self, keys: DataFrame) -> int:
         """Removes the records of keys (session_id, id); how many went.
 
-        One pass over the sessions that have any: what stays of them is written
-        to a folder of its own beside the archive first, and put in place from
-        there, all sessions at once.  If that is cut short, the folder still has
-        every record that stays, and putting it in place again mends it.
+        The buckets that have any are written anew without them, as a batch
+        whose commit replaces the old ones: until it is there nothing is
+        gone, then all of it is.
         """
-        keys = keys.select(*KEY).distinct()
-        before = self.read()
-        gone = before.join(keys, KEY, "left_semi")
-        touched = gone.select("session_id").distinct()
-        n = gone.count()
-        if not n:
-            return 0
-        staged = f"{self.path.rstrip('/')}-purge-{uuid.uuid4().hex}"
-        before.join(touched, "session_id", "left_semi").join(keys, KEY, "left_anti").write.parquet(staged)
-        kept = self.spark.read.schema(before.schema).parquet(staged)
-        emptied = touched.join(kept.select("session_id").distinct(), "session_id", "left_anti")
-        folders = [f"{self.path}/session_id={_escaped(self.spark, r['session_id'])}" for r in emptied.toLocalIterator()]  # sessions without any record left
-        kept.repartition("session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(self.path)
-        for folder in folders:
-            drop_path(self.spark, folder)
-        drop_path(self.spark, staged)
+        keys = table(keys.select(*KEY).distinct(), "archive-keys")
+        made, replaces = {}, {}
+        for what, columns in (("data", ARCHIVE), ("ids", IDS)):
+            rows = self._table(what, columns)
+            touched = rows.join(keys, KEY, "left_semi").groupBy("batch", "bucket").count().collect()  # a row for each batch and bucket
+            n = sum(r["count"] for r in touched)
+            if not n:
+                return 0
+            replaces[what] = {b: sorted(r["bucket"] for r in touched if r["batch"] == b) for b in {r["batch"] for r in touched}}
+            old = self.spark.createDataFrame([(r["batch"], r["bucket"]) for r in touched], "batch string, bucket int")
+            made[what] = rows.join(F.broadcast(old), ["batch", "bucket"], "left_semi").join(keys, KEY, "left_anti").drop("batch", "bucket")
+        self._commit(f"purge-{uuid.uuid4().hex}", made["data"], replaces, made["ids"])
         return n
 
-
-def _escaped(spark: SparkSession, value: str | None) -> str:
-    """A session's name as Spark writes it in a folder's."""
-    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("x", value)[2:]
+    def merge(self) -> None:
+        """Writes all batches as one, as after many small ones of a stream. Replays of the merged batches still add nothing."""
+        replaces = {what: {c["batch"]: list(range(self.buckets)) for c in self._commits()} for what in ("data", "ids")}
+        if replaces["data"]:
+            self._commit(f"merge-{uuid.uuid4().hex}", self.read(), replaces)
+
+    def vacuum(self) -> None:
+        """Removes the files of buckets that were replaced; readers that began before may still need them."""
+        commits = self._commits()
+        for c in commits:
+            for what, batches in json.loads(c["replaces"]).items():
+                for batch, buckets in batches.items():
+                    if len(buckets) == self.buckets:
+                        drop_path(self.spark, f"{self.path}/{what}/batch={batch}")
+                    else:
+                        for n in buckets:
+                            drop_path(self.spark, f"{self.path}/{what}/batch={batch}/bucket={n}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

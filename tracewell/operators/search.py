@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import code_terms, components_of, is_prose, query_terms, terms_of
+from ..storage import table
+
+#: Distinct terms of queries up to which they are broadcast to the archive's terms; a term is a word of the query's text.
+BROADCAST_TERMS = 50_000
 
 
 def newest_of_content(records: DataFrame) -> DataFrame:
@@ -28,12 +32,13 @@ def postings(records: DataFrame) -> DataFrame:
 
 
 def query_rows(queries: DataFrame) -> DataFrame:
-    """Per query (query_id, text) and term: code, and eligible (fit to anchor a record)."""
+    """Per query (query_id, text) and term: code, and eligible (fit to anchor a record); a query's session_id, if it has one, as asked."""
     code = code_terms(F.col("text"))
+    asked = [F.col("session_id").alias("asked")] if "session_id" in queries.columns else []
     rows = queries.withColumn("code", code).withColumn("own", terms_of(F.col("text")))
-    rows = rows.select("query_id", "code", "own", F.explode(F.array_union(query_terms(F.col("text")), components_of(F.col("code")))).alias("term"))
+    rows = rows.select("query_id", *asked, "code", "own", F.explode(F.array_union(query_terms(F.col("text")), components_of(F.col("code")))).alias("term"))
     is_code = F.array_contains("code", F.col("term"))
-    return rows.select("query_id", "term", is_code.alias("code"), (is_code | (F.array_contains("own", F.col("term")) & ~is_prose(F.col("term")))).alias("eligible"))
+    return rows.select("query_id", *["asked" for _ in asked], "term", is_code.alias("code"), (is_code | (F.array_contains("own", F.col("term")) & ~is_prose(F.col("term")))).alias("eligible"))
 
 
 def term_matches(terms: DataFrame, index: DataFrame) -> DataFrame:
@@ -41,29 +46,36 @@ def term_matches(terms: DataFrame, index: DataFrame) -> DataFrame:
 
     Exact terms weigh 1, terms between separators 0.9, terms inside others 0.4.
     """
-    wanted = terms.select("term").distinct().withColumn("n", F.length("term"))
+    wanted = table(terms.select("term").distinct().withColumn("n", F.length("term")), "search-terms")
+    few = wanted.count() <= BROADCAST_TERMS
+    hint = F.broadcast if few else lambda df: df
     vocabulary = index.filter("not in_meta").select(F.col("term").alias("token")).distinct()
-    # Tokens of four letters on hold a shorter term at some place: cut each token into its runs of four, and join by the first four of the term.
+    # Tokens of four letters on hold a shorter term at some place: cut each token into its runs of four, and meet the first four of each term, where the tokens are if terms are few.
     starts = F.sequence(F.lit(1), F.length("token") - 3)
     grams = vocabulary.filter(F.length("token") >= 4).select("token", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("token", i, F.lit(4))))).alias("gram"))
-    inside = wanted.filter("n >= 4").withColumn("gram", F.substring("term", 1, 4)).join(grams, "gram").filter(F.contains("token", F.col("term"))).select("term", "token", "n")
+    firsts = wanted.filter("n >= 4").withColumn("gram", F.substring("term", 1, 4))
+    inside = grams.join(hint(firsts), "gram").filter(F.contains("token", F.col("term"))).select("term", "token", "n")
     bounded = F.concat(F.lit("/"), F.regexp_replace("token", r"[_.\-/\\]", "/"), F.lit("/"))
     separated = F.contains(bounded, F.concat(F.lit("/"), F.regexp_replace("term", r"[_.\-/\\]", "/"), F.lit("/"))) & F.contains("token", F.col("term"))
     kinds = inside.select("term", "token", F.when(F.col("term") == F.col("token"), 1.0).when(separated, 0.9).when(F.col("n") >= 5, 0.4).alias("weight")).filter("weight is not null")
-    short = wanted.filter("n < 4").join(vocabulary, F.col("term") == F.col("token")).select("term", "token", F.lit(1.0).alias("weight"))
+    short = vocabulary.join(hint(wanted.filter("n < 4")), F.col("term") == F.col("token")).select("term", "token", F.lit(1.0).alias("weight"))
     by_content = index.filter("not in_meta").withColumnRenamed("term", "token").join(kinds.unionByName(short), "token").groupBy("session_id", "id", "term").agg(F.max("weight").alias("weight"))
-    by_meta = index.filter("in_meta").join(wanted.select("term"), "term").select("session_id", "id", "term", F.lit(1.0).alias("weight"), F.lit(True).alias("in_meta"))
+    by_meta = index.filter("in_meta").join(hint(wanted.select("term")), "term").select("session_id", "id", "term", F.lit(1.0).alias("weight"), F.lit(True).alias("in_meta"))
     rows = by_content.withColumn("in_meta", F.lit(False)).unionByName(by_meta).groupBy("session_id", "id", "term").agg(F.max("weight").alias("weight"), F.max("in_meta").alias("in_meta"))
     return rows.withColumn("whole", F.col("weight") >= 0.9)
 
 
 def rank_records(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """query_id, session_id, id, seq, score of the records that a query finds, in each session.
+    """query_id, session_id, id, seq, score of the records that a query finds: in its own session if queries have a session_id, else in each.
 
     A term's weight falls with the records that have it, and is threefold for
     code.  A record counts only if a term fit to anchor it matches whole; if
     such a term is rare, the score is a half at least.
     """
+    scoped = "session_id" in queries.columns
+    if scoped:
+        records = records.join(queries.select("session_id").distinct(), "session_id", "left_semi")
+    own = lambda c: F.col("asked") == F.col(c) if scoped else F.lit(True)
     records = newest_of_content(records)
     index, terms = postings(records), query_rows(queries)
     matches = term_matches(terms, index)
@@ -73,9 +85,10 @@ def rank_records(queries: DataFrame, records: DataFrame) -> DataFrame:
     base = F.when(F.col("code"), 3.0).otherwise(1.0)
     weight = base * F.log(1 + F.col("n") / (1 + F.col("df")))
     sized = frequencies.join(sizes, F.col("s") == F.col("session_id")).select("s", "t", "df", "n")
-    lowered = terms.join(sized, F.col("term") == F.col("t")).groupBy("query_id", F.col("s").alias("session_id")).agg(F.sum(weight - base * F.log(1 + F.col("n"))).alias("lowered"))
+    lowered = terms.join(sized, (F.col("term") == F.col("t")) & own("s")).groupBy("query_id", F.col("s").alias("session_id")).agg(F.sum(weight - base * F.log(1 + F.col("n"))).alias("lowered"))
     whole = terms.groupBy("query_id").agg(F.sum(base).alias("bases"))
-    hit = terms.join(matches, "term").join(frequencies, (F.col("session_id") == F.col("s")) & (F.col("term") == F.col("t")), "left").drop("s", "t")
+    found = matches.withColumnRenamed("term", "m")
+    hit = terms.join(found, (F.col("term") == F.col("m")) & own("session_id")).drop("m").join(frequencies, (F.col("session_id") == F.col("s")) & (F.col("term") == F.col("t")), "left").drop("s", "t")
     hit = hit.withColumn("df", F.coalesce("df", F.lit(0))).join(sizes, "session_id").withColumn("w", weight)
     anchored = F.col("eligible") & (F.col("whole") | F.col("in_meta"))
     rare = F.col("df") <= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.1))

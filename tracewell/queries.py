@@ -12,6 +12,7 @@ from .operators import archive, asking, chains, evals, fit, graph, ledger, retri
 from .plans import compaction
 from .schema import TOOL_RESULT, TOOL_USE
 from .sources.tables import archive_from_documents, messages_from_conversations, messages_from_events, read
+from .storage import fresh_path
 from .streaming import trigger
 
 CONFIG = EngineConfig()
@@ -499,6 +500,21 @@ def archive_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.groupBy("session_id", "action", "kind").agg(F.count("*").alias("records"), F.sum(F.length("content")).cast("long").alias("chars"))
 
 
+@query(
+    f"with {_SCORES}{_decided('0.4e0')}, a as (select session_id, 'e_' || substr(sha256('tool_result' || chr(31) || tool_use_id || chr(31) || result), 1, 16) as id, action, length(result) as chars, call_seq from v where action not in ('PIN_VERBATIM', 'KEEP_VERBATIM')) select session_id, id, action, chars from a where call_seq % 10 = 0"
+)
+def archive_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every tenth call, put into an archive in two batches (the first of them twice) and read back."""
+    made = _compaction(spark, sf_dir)
+    store = archive.Archive(spark, fresh_path(spark, "archive"), buckets=16)
+    results = made.archive.filter("kind = 'tool_result'")
+    even = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    for part, name in ((results.filter(even), "one"), (results.filter(even), "again"), (results, "all")):
+        store.put(part, name)
+    tenth = made.decisions.filter("call_seq % 10 = 0").select("session_id", "tool_use_id")
+    return store.read().join(tenth, ["session_id", "tool_use_id"]).select("session_id", "id", "action", F.length("content").cast("long").alias("chars"))
+
+
 @query(f"with {_CALLS} select distinct session_id, cast(0 as bigint) as faults, true as valid from c")
 def structure_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.structure_valid(_compaction(spark, sf_dir).messages).withColumn("faults", F.col("faults").cast("long"))
@@ -657,6 +673,13 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_topk(_prompts(spark, sf_dir), _archive(spark, sf_dir), 20).select("query_id", "session_id", "id", "seq", "score", "rank")
 
 
+@query(_RANK + ", top as (select *, row_number() over (partition by query_id, session_id order by score desc, seq desc) as rank from final) select query_id, session_id, id, seq, score, rank from top where rank <= 20 and session_id = 'src' || (query_id % 20)")
+def session_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_topk() for prompts that belong to one session each."""
+    prompts = _prompts(spark, sf_dir).withColumn("session_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return search.search_topk(prompts, _archive(spark, sf_dir), 20).select("query_id", "session_id", "id", "seq", "score", "rank")
+
+
 @query()
 def rehydrate_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.rehydrate(_prompts(spark, sf_dir), _archive(spark, sf_dir), CONFIG.rehydrate)

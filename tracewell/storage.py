@@ -80,3 +80,16 @@ def drop_tables(*made: DataFrame) -> None:
     """Removes the files of tables that table() wrote; no plan that is still to run may read them."""
     for df in made:
         drop_path(df.sparkSession, df._table_path)
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a file with text in place in one step (a rename); an error if it is there already."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    where, draft = of(path), of(f"{path}-{uuid.uuid4().hex}.draft")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(where) or not files.rename(draft, where):
+        files.delete(draft, False)
+        raise FileExistsError(path)
