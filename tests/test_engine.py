@@ -790,9 +790,40 @@ def test_cases(spark, tmp_path):
     (tmp_path / "bare").mkdir()
     (tmp_path / "bare" / "transcript.json").write_text("[]")
     cases = datasets.read_cases(spark, str(tmp_path))
-    assert [tuple(r)[:4] for r in cases.messages.orderBy("message_index").collect()] == [("case-1", 0, "user", "hi"), ("case-1", 1, "assistant", "")]
-    assert [tuple(r) for r in cases.labels.collect()] == [("case-1", "a", "must_keep")] and [tuple(r) for r in cases.probes.collect()] == [("case-1", "p", "value", "abc", "active")]
+    assert [tuple(r)[:4] for r in cases.messages.orderBy("message_index").collect()] == [("deep/case-1", 0, "user", "hi"), ("deep/case-1", 1, "assistant", "")]
+    assert [tuple(r) for r in cases.labels.collect()] == [("deep/case-1", "a", "must_keep")] and [tuple(r) for r in cases.probes.collect()] == [("deep/case-1", "p", "value", "abc", "active")]
     assert cases.meta.count() == 0
     datasets.write_cases(cases.messages, cases.labels, f"{tmp_path}/out")
-    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out/meta").select("session_id", "messages", "tool_calls", "chars", "est_tokens").collect()] == [("case-1", 2, 1, 17, 11)]
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out/meta").select("session_id", "messages", "tool_calls", "chars", "est_tokens").collect()] == [("deep/case-1", 2, 1, 17, 11)]
     assert spark.read.parquet(f"{tmp_path}/out/messages").count() == 2
+
+
+def test_cases_of_one_name_and_their_folders(spark, tmp_path):
+    """Cases whose folders have one name are two; what is written is read back as it was, probes and all."""
+    for v in ("v1", "v2+ä b"):
+        (tmp_path / "in" / v / "case").mkdir(parents=True)
+        (tmp_path / "in" / v / "case" / "transcript.json").write_text(json.dumps([{"role": "user", "text": f"hi {v}"}, {"role": "assistant", "text": "", "toolUses": [{"id": "a", "tool": "Read", "input": '{"path":"x"}', "text": "abc", "isError": False}]}, {"role": "user", "text": "", "toolResults": [{"toolUseId": "a", "text": "abc", "isError": False}]}]))
+    (tmp_path / "in" / "v1" / "case" / "labels.json").write_text(json.dumps({"labels": {"a": "must_keep", "b": "nice"}, "probes": [{"id": "p", "kind": "value", "text": "abc", "where": "active"}]}))
+    (tmp_path / "in" / "v1" / "case" / "meta.json").write_text('{"own": 1}')
+    cases = datasets.read_cases(spark, f"{tmp_path}/in")
+    assert sorted((r["session_id"], r["text"]) for r in cases.messages.filter("message_index = 0").collect()) == [("v1/case", "hi v1"), ("v2+ä b/case", "hi v2+ä b")]
+    assert datasets.write_case_folders(cases, f"file://{tmp_path}/out") == 2
+    again = datasets.read_cases(spark, f"file://{tmp_path}/out")
+    for name in ("messages", "labels", "probes"):
+        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(cases, name).collect())), name
+    meta = {r["session_id"]: json.loads(r["meta"]) for r in again.meta.collect()}
+    assert meta["v1/case"] == {"own": 1} and meta["v2+ä b/case"]["messages"] == 3
+    one = datasets.read_cases(spark, f"{tmp_path}/in/v1/case")
+    assert {r["session_id"] for r in one.messages.collect()} == {"case"}
+
+
+def test_probes_by_automaton(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [(i, None if i % 17 == 0 else "".join(rng.choice("abä😀 ") for _ in range(rng.randint(0, 60)))) for i in range(200)]
+    probes = [(i, None if i == 3 else "".join(rng.choice("abä😀 ") for _ in range(rng.randint(0, 5)))) for i in range(120)] + [(None, "ab"), (7, "ab")]
+    want = sorted(str((i, len(own), min(own, default=None))) for i, p in probes for own in [[t for t, x in texts if p is not None and x is not None and p in x]])
+    t, p = spark.createDataFrame(texts, "id int, x string"), spark.createDataFrame(probes, "id int, p string")
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(evals, "PROBE_BYTES", size)
+        assert sorted(str(tuple(r)) for r in evals.probe_retention(p, t, "id", "p", "id", "x").collect()) == want
+    assert evals.probe_retention(p.limit(0), t, "id", "p", "id", "x").count() == 0

@@ -2,28 +2,65 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..storage import ready, table
 from .rebuild import structure_faults
 from .scoring import DROPS_CALL
 
-#: Probes, and bytes of them, up to which the set is broadcast; more are matched in blocks.
-PROBES, PROBE_BYTES = 10_000, 32 << 20
+#: Bytes of probes that one automaton takes; a larger set is several, and texts are read once for each.
+PROBE_BYTES = 4 << 20
+
+
+def probe_matches(probes: DataFrame, texts: DataFrame, probe: str, text_id: str, text: str) -> DataFrame:
+    """probe, text_id of each distinct probe (not empty) and text that contains it.
+
+    The stated set of probes is made into automata, of which each takes a
+    bounded part of them to the tasks; a text is walked once for all probes of
+    one, so time hardly depends on their number.
+    """
+    spark = ready(texts.sparkSession)
+    own = table(probes.select(F.col(probe).alias("probe")).filter("probe <> ''").distinct(), "probes")
+    size = own.agg(F.sum(F.octet_length("probe"))).first()[0] or 0
+    parts = -(-size // PROBE_BYTES)
+    rows = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("content")).filter("content is not null")
+    kind = to_arrow_type(rows.schema["text_id"].dataType)
+    schema = pa.schema([("probe", pa.string()), ("text_id", kind)])
+    found = spark.createDataFrame([], StructType([StructField("probe", StringType()), rows.schema["text_id"]]))
+    for part in range(parts):
+        given = spark.sparkContext.broadcast([r[0] for r in own.filter(F.pmod(F.xxhash64("probe"), F.lit(parts)) == part).collect()])  # about PROBE_BYTES
+
+        def run(batches, given=given):
+            automaton = ahocorasick.Automaton()
+            for x in given.value:
+                automaton.add_word(x, x)
+            automaton.make_automaton()
+            for b in batches:
+                hits, at = [], []
+                for i, content in enumerate(b.column(1).to_pylist()):
+                    met = {x for _, x in automaton.iter(content)}
+                    hits += met
+                    at += [i] * len(met)
+                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string()), b.column(0).take(pa.array(at, pa.int64()))], schema=schema)
+
+        if given.value:
+            found = found.unionByName(rows.mapInArrow(run, found.schema))
+    return found
 
 
 def probe_retention(probes: DataFrame, texts: DataFrame, probe_id: str, probe_text: str, text_id: str, text: str) -> DataFrame:
-    """Per probe, how many texts contain it: the stated set of probes, in blocks, against all texts."""
-    n, size = probes.agg(F.count("*"), F.sum(F.octet_length(probe_text))).first()
-    blocks = max(1, -(-n // PROBES), -(-(size or 0) // PROBE_BYTES))
-    found = None
-    for i in range(blocks):
-        own = probes.filter(F.pmod(F.xxhash64(probe_id), F.lit(blocks)) == i).select(F.col(probe_id).alias("probe_id"), F.col(probe_text).alias("probe"))
-        part = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("content")).join(F.broadcast(own), F.contains("content", F.col("probe"))).groupBy("probe_id").agg(F.count("*").alias("texts"), F.min("text_id").alias("first_text"))
-        found = part if found is None else found.unionByName(part)
-    base = probes.select(F.col(probe_id).alias("probe_id"))
-    found = found.withColumnRenamed("probe_id", "_found")
-    return base.join(found, F.col("probe_id").eqNullSafe(F.col("_found")), "left").select("probe_id", F.coalesce("texts", F.lit(0)).alias("texts"), "first_text")
+    """Per probe, how many texts contain it, and the first of them; a null probe is in none, an empty one in all that aren't null."""
+    counts = lambda df: df.agg(F.count("*").alias("texts"), F.min("text_id").alias("first_text"))
+    found = counts(probe_matches(probes, texts, probe_text, text_id, text).groupBy("probe"))
+    everywhere = counts(texts.filter(F.col(text).isNotNull()).select(F.col(text_id).alias("text_id"))).select(F.lit("").alias("probe"), "*")
+    found = found.unionByName(everywhere).withColumnRenamed("probe", "_probe")
+    base = probes.select(F.col(probe_id).alias("probe_id"), F.col(probe_text).alias("_own"))
+    return base.join(found, F.col("_own") == F.col("_probe"), "left").select("probe_id", F.coalesce("texts", F.lit(0)).alias("texts"), "first_text")
 
 
 def call_outcomes(decisions: DataFrame) -> DataFrame:

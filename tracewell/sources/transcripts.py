@@ -24,6 +24,7 @@ from ..operators.chains import main_chains
 from ..operators.ordered import previous, running_sum
 from ..schema import TOOL_RESULT, TOOL_USE
 from ..storage import ready, table
+from .datasets import decoded
 
 _REMINDER = re.compile(r"<system-reminder>.*?</system-reminder>", re.DOTALL)
 #: Types of records that can be messages; all others are counted only.
@@ -175,7 +176,7 @@ def read_transcripts(spark: SparkSession, path: str, options: LoadOptions | None
     blank = (F.col("text") == "") & (F.size("tool_uses") == 0) & (F.size("tool_results") == 0)
     whole = running_sum(whole.withColumn("blank", blank).withColumn("tile", F.floor(F.col("g") / 4096)), ["file"], "tile", "g", F.when(F.col("blank"), 0).otherwise(1), "n")
     names = records.groupBy("file").agg(F.min_by("session", F.when(F.col("session").isNotNull(), F.struct("block", "at"))).alias("own"))
-    names = names.select("file", F.coalesce("own", F.url_decode(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))).alias("session_id"))
+    names = names.select("file", F.coalesce("own", decoded(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))).alias("session_id"))
     whole = table(whole.join(names, "file").withColumn("message_index", (F.col("n") - 1).cast("int")), "transcript-messages")
 
     # A use gets what the next result of its id says, unless the id is used again before that.
