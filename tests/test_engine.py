@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from tracewell.config import EngineConfig, PolicyOptions, RehydrateOptions, RuleOptions
 from tracewell.functions import redaction, sketch, terms, text
-from tracewell.operators import archive, asking, evals, fit, graph, ledger, rebuild, retrieve, rules, scoring, search
+from tracewell.operators import archive, asking, evals, fit, graph, ledger, rebuild, retrieve, rules, scoring, search, state
 from tracewell.plans import compaction
 from tracewell.schema import ARCHIVE, MESSAGES
 from tracewell.sources import datasets, transcripts
-from tracewell.streaming import archiving, trigger
+from tracewell.streaming import archiving, trigger, usage
 
 
 def use(id, tool, **given):
@@ -827,3 +828,60 @@ def test_probes_by_automaton(spark, monkeypatch):
         monkeypatch.setattr(evals, "PROBE_BYTES", size)
         assert sorted(str(tuple(r)) for r in evals.probe_retention(p, t, "id", "p", "id", "x").collect()) == want
     assert evals.probe_retention(p.limit(0), t, "id", "p", "id", "x").count() == 0
+
+
+def test_state_table(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(rows, "session_id string, name string, value string, version long")
+    store, other = (state.StateTable(spark, f"file://{tmp_path}/state", 4) for _ in range(2))
+    assert store.read().count() == 0
+    store.upsert(make(("s", state.LAST, "old", 1), ("s", state.LAST, "older", 0), ("t", state.LAST, "t", 5), ("s", state.TRUSTED, "true", 1)))
+    other.upsert(make(("s", state.LAST, "new", 3), ("t", state.LAST, "late", 4), ("t", state.TRUSTED, "true", 1)))
+    store.upsert(make(("s", state.LAST, "between", 2), ("t", state.TRUSTED, None, 2)))
+    want = [("s", "new", 3), ("t", "t", 5)]
+    for _ in range(2):
+        assert sorted(map(tuple, store.last_compactions().collect())) == want
+        assert one(other.trusted(), "session_id") == ["s"]
+        assert sorted(map(tuple, store.read("t").collect())) == [("t", state.LAST, "t", 5)]
+        store.merge()
+    assert store.store.rows("state", state.STATE).count() == 3
+    made = compaction.compact(session(spark))
+    store.upsert(state.compaction_state(made.report, "c_9", 9))
+    assert json.loads(one(store.last_compactions().filter("session_id = 's'"), "compaction")[0])["compaction_id"] == "c_9"
+
+
+def test_tokens_over_time(spark, tmp_path):
+    """Windows and sessions of activity: a stream gives what the table gives, less the rows that come too late, which are counted."""
+    rows = [("s", f"2024-01-01 {h:02d}:{m:02d}:00", h + m) for h, m in ((0, 5), (0, 50), (1, 10), (3, 0), (9, 30))] + [("t", "2024-01-01 02:00:00", 7)]
+    late = [("s", "2024-01-01 00:01:00", 100)]
+    end = [("z", "2024-01-03 00:00:00", 0)]
+    make = lambda rows: spark.createDataFrame(rows, "session_id string, ts string, tokens int").withColumn("ts", F.to_timestamp("ts"))
+    for n, part in enumerate((rows, end, late)):
+        make(part).coalesce(1).write.parquet(f"{tmp_path}/in/n={n}")
+    for name, of in (("w", lambda df: usage.tokens_by_window(df, "1 hour")), ("slide", lambda df: usage.tokens_by_window(df, "1 hour", "30 minutes")), ("a", lambda df: usage.tokens_by_activity(df, "1 hour"))):
+        stream = spark.readStream.schema("session_id string, ts timestamp, tokens int, n int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").drop("n")
+        query = of(stream).writeStream.format("memory").queryName(f"over_time_{name}").option("checkpointLocation", f"{tmp_path}/{name}").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        got = sorted(map(str, spark.table(f"over_time_{name}").collect()))
+        assert got == sorted(map(str, of(make(rows)).collect())), name
+        assert usage.late_rows(query) == (2 if name == "slide" else 1)
+
+
+def test_trigger_state_ends(spark, tmp_path):
+    """A session that stays idle begins at nothing and is armed again; one that goes on keeps its total."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        def run(rows, n):
+            spark.createDataFrame(rows, "session_id string, turn int, tokens long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema("session_id string, turn int, tokens long").parquet(f"{tmp_path}/in")
+            made = trigger.ending_trigger_stream(stream, 100, 20_000).writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/out{n}"))
+            made.option("checkpointLocation", f"{tmp_path}/state").trigger(once=True).start().awaitTermination(240)  # with availableNow, processing time would go on
+            return sorted(map(tuple, spark.read.schema("session_id string, turn long, total long").parquet(f"{tmp_path}/out{n}").collect()))
+
+        assert run([("s", 0, 60), ("s", 1, 60), ("t", 0, 60)], 0) == [("s", 1, 120)]
+        assert run([("t", 1, 60)], 1) == [("t", 1, 120)]
+        time.sleep(21)
+        assert run([("s", 2, 90), ("t", 2, 101)], 2) == [("t", 2, 101)]
+        assert run([("s", 3, 10)], 3) == [("s", 3, 100)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

@@ -5,25 +5,23 @@ sessions may well have the same.
 
 Records are dealt to buckets by a hash of their session, an index of
 (id, session, content hash) by a hash of the id; both are sorted within their
-buckets, so a lookup reads one bucket of one of them.  Rows come in batches.  A
-batch counts once its commit record is there, which is put in place in one step:
-readers see all of it or nothing, and a batch that is written again, by a stream
-that was killed, say, changes nothing.  A commit can also replace buckets of
-earlier batches; that is how records are purged and small batches merged.
+buckets, so a lookup reads one bucket of one of them.  Both are committed together,
+batch by batch; records are purged, and small batches merged, by batches that
+replace buckets of earlier ones.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import SPACE, truncate
 from ..schema import ARCHIVE
-from ..storage import drop_path, table, write_once
+from ..storage import table
+from .committed import Committed
 
 KEY = ["session_id", "id"]
 IDS = "id string, session_id string, content_hash string"
@@ -100,51 +98,22 @@ class Archive:
     """An archive under a folder. One writer at a time; readers at any time."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        """buckets is what a new archive is laid out in; one that is there keeps its own."""
-        self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = next((c["buckets"] for c in self._commits()), buckets)
-
-    def _commits(self) -> list:
-        """All commit records, a row for each batch."""
-        try:
-            rows = self.spark.read.schema("batch string, buckets int, replaces string").option("pathGlobFilter", "*.json").json(f"{self.path}/commits").collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
-        return sorted(rows, key=lambda r: r["batch"])
-
-    def _table(self, what: str, columns: str) -> DataFrame:
-        """Rows of all batches that count, without buckets that were replaced; with batch and bucket."""
-        commits = self._commits()
-        gone: dict[str, set[int]] = {}
-        for c in commits:
-            for batch, buckets in json.loads(c["replaces"]).get(what, {}).items():
-                gone.setdefault(batch, set()).update(buckets)
-        active = [c["batch"] for c in commits if len(gone.get(c["batch"], ())) < self.buckets]
-        columns += ", batch string, bucket int"
-        there = [b for b in active if _exists(self.spark, f"{self.path}/{what}/batch={b}")]
-        if not there:
-            return self.spark.createDataFrame([], columns)
-        rows = self.spark.read.schema(columns).option("basePath", f"{self.path}/{what}").parquet(*[f"{self.path}/{what}/batch={b}" for b in there])
-        for b in there:
-            if b in gone:
-                rows = rows.filter((F.col("batch") != b) | ~F.col("bucket").isin(*sorted(gone[b])))
-        return rows
-
-    def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        self.spark, self.store = spark, Committed(spark, path, buckets)
+
+    @property
+    def buckets(self) -> int:
+        return self.store.buckets
 
     def _of_session(self, session_id: str | None) -> DataFrame:
-        rows = self._table("data", ARCHIVE)
-        return (rows if session_id is None else rows.filter(F.col("bucket") == self._bucket(F.lit(session_id)))).drop("batch", "bucket")
+        rows = self.store.rows("data", ARCHIVE)
+        return (rows if session_id is None else rows.filter(F.col("bucket") == self.store.bucket(F.lit(session_id)))).drop("batch", "bucket")
 
     def read(self) -> DataFrame:
         return self._of_session(None)
 
     def ids(self) -> DataFrame:
         """id, session_id, content_hash of all records."""
-        return self._table("ids", IDS).drop("batch", "bucket")
+        return self.store.rows("ids", IDS).drop("batch", "bucket")
 
     def put(self, records: DataFrame, batch: str | None = None) -> None:
         """Adds what is new; the same record again changes nothing, other content under a known id of its session fails.
@@ -153,38 +122,30 @@ class Archive:
         short can be put again under its name.
         """
         name = batch or f"put-{uuid.uuid4().hex}"
-        if any(c["batch"] == name for c in self._commits()):
-            return
-        self._commit(name, table(fresh_records(self.ids(), records), "archive-fresh"), {})
+        if not self.store.has(name):
+            self._commit(name, table(fresh_records(self.ids(), records), "archive-fresh"))
 
-    def _commit(self, name: str, rows: DataFrame, replaces: dict, ids: DataFrame | None = None) -> None:
-        """Writes rows (and ids, theirs if not given) as a batch, then its commit record."""
-        rows = rows.select(*self.spark.createDataFrame([], ARCHIVE).columns)
+    def _commit(self, name: str, rows: DataFrame, replaces: dict | None = None, ids: DataFrame | None = None) -> None:
+        rows = rows.select(*StructType.fromDDL(ARCHIVE).names)
         ids = rows.select("id", "session_id", "content_hash") if ids is None else ids
-        self._deal(rows.withColumn("bucket", self._bucket(F.col("session_id"))), f"{self.path}/data/batch={name}")
-        self._deal(ids.withColumn("bucket", self._bucket(F.col("id"))), f"{self.path}/ids/batch={name}")
-        write_once(self.spark, f"{self.path}/commits/{name}.json", json.dumps({"batch": name, "buckets": self.buckets, "replaces": json.dumps(replaces)}))
-
-    def _deal(self, rows: DataFrame, path: str) -> None:
-        order = ["bucket", "id", "session_id"] if len(rows.columns) < 6 else ["bucket", "session_id", "id"]
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        self.store.commit(name, {"data": (rows, ["session_id", "id"]), "ids": (ids, ["id", "session_id"])}, replaces)
 
     def get(self, session_id: str, id: str) -> DataFrame:
         return self._of_session(session_id).filter((F.col("session_id") == session_id) & (F.col("id") == id))
 
     def locate(self, id: str) -> DataFrame:
         """The sessions that have a record of that id, from one bucket of the index."""
-        rows = self._table("ids", IDS)
-        return rows.filter((F.col("bucket") == self._bucket(F.lit(id))) & (F.col("id") == id)).select("session_id").distinct()
+        rows = self.store.rows("ids", IDS)
+        return rows.filter((F.col("bucket") == self.store.bucket(F.lit(id))) & (F.col("id") == id)).select("session_id").distinct()
 
     def why(self, session_id: str, id: str) -> DataFrame:
         return why(self.get(session_id, id))
 
     def get_many(self, keys: list[tuple[str, str]]) -> DataFrame:
         """get_many(), from the buckets of the keys' sessions."""
-        rows, sessions = self._table("data", ARCHIVE), sorted({s for s, _ in keys})
-        if len(sessions) <= 4 * self.buckets:
-            rows = rows.filter(F.col("bucket").isin(*[self._bucket(F.lit(s)) for s in sessions]))
+        rows, sessions = self.store.rows("data", ARCHIVE), sorted({s for s, _ in keys})
+        if len(sessions) <= 4 * self.store.buckets:
+            rows = rows.filter(F.col("bucket").isin(*[self.store.bucket(F.lit(s)) for s in sessions]))
         return get_many(rows.drop("batch", "bucket"), keys)
 
     def restore(self, keys: list[tuple[str, str]]) -> DataFrame:
@@ -211,7 +172,7 @@ class Archive:
         keys = table(keys.select(*KEY).distinct(), "archive-keys")
         made, replaces = {}, {}
         for what, columns in (("data", ARCHIVE), ("ids", IDS)):
-            rows = self._table(what, columns)
+            rows = self.store.rows(what, columns)
             touched = rows.join(keys, KEY, "left_semi").groupBy("batch", "bucket").count().collect()  # a row for each batch and bucket
             n = sum(r["count"] for r in touched)
             if not n:
@@ -224,23 +185,8 @@ class Archive:
 
     def merge(self) -> None:
         """Writes all batches as one, as after many small ones of a stream. Replays of the merged batches still add nothing."""
-        replaces = {what: {c["batch"]: list(range(self.buckets)) for c in self._commits()} for what in ("data", "ids")}
-        if replaces["data"]:
-            self._commit(f"merge-{uuid.uuid4().hex}", self.read(), replaces)
+        if self.store.commits():
+            self._commit(f"merge-{uuid.uuid4().hex}", self.read(), self.store.all_of("data", "ids"))
 
     def vacuum(self) -> None:
-        """Removes the files of buckets that were replaced; readers that began before may still need them."""
-        commits = self._commits()
-        for c in commits:
-            for what, batches in json.loads(c["replaces"]).items():
-                for batch, buckets in batches.items():
-                    if len(buckets) == self.buckets:
-                        drop_path(self.spark, f"{self.path}/{what}/batch={batch}")
-                    else:
-                        for n in buckets:
-                            drop_path(self.spark, f"{self.path}/{what}/batch={batch}/bucket={n}")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        self.store.vacuum()

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .config import EngineConfig, PolicyOptions
 from .functions import sketch, terms, text
 from .functions.redaction import redact, redact_messages
-from .operators import archive, asking, chains, evals, fit, graph, ledger, retrieve, rules, scoring, search
+from .operators import archive, asking, chains, evals, fit, graph, ledger, retrieve, rules, scoring, search, state
 from .plans import compaction
 from .schema import TOOL_RESULT, TOOL_USE
 from .sources.tables import archive_from_documents, messages_from_conversations, messages_from_events, read
 from .storage import fresh_path
-from .streaming import trigger
+from .streaming import trigger, usage
 
 CONFIG = EngineConfig()
 QUERIES: dict = {}
@@ -794,3 +794,43 @@ def mode_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def auto_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _turns(spark, sf_dir).select("session_id", F.col("message_index").alias("turn"), text.estimate_tokens(F.col("text")).alias("tokens"))
     return trigger.auto_trigger(turns, 300)
+
+
+# ---- time and state
+
+
+def _timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+
+
+_TIMED = "t as (select cast(user_id as varchar) as session_id, cast(ts as timestamp) as ts, cast(json_extract_string(props, '$.k') as bigint) as tokens from events)"
+
+
+@query(f"with {_TIMED} select session_id, cast(time_bucket(interval 1 day, ts) as varchar) as begins, count(*) as turns, cast(sum(tokens) as bigint) as tokens from t group by all")
+def tokens_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usage.tokens_by_window(_timed_turns(spark, sf_dir), "1 day")
+    return rows.select("session_id", F.date_format("begins", "yyyy-MM-dd HH:mm:ss").alias("begins"), "turns", "tokens")
+
+
+@query(
+    f"with {_TIMED}, g as (select *, case when ts < lag(ts) over (partition by session_id order by ts) + interval 6 hour then 0 else 1 end as f from t), "
+    "i as (select *, sum(f) over (partition by session_id order by ts rows unbounded preceding) as n from g) "
+    "select session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as begins, count(*) as turns, cast(sum(tokens) as bigint) as tokens from i group by session_id, n"
+)
+def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usage.tokens_by_activity(_timed_turns(spark, sf_dir), "6 hours")
+    return rows.select("session_id", F.date_format("begins", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("begins"), "turns", "tokens")
+
+
+@query(f"with {_CALLS} select session_id, 'call ' || max(n) as compaction, max(n) as version from e where k % 3 = 0 group by 1")
+def last_compactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of the states that two writers upsert, one of them twice, after they were merged half way."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.get_json_object("props", "$.k").cast("int").alias("k"), (F.row_number().over(order) - 1).cast("long").alias("version"))
+    rows = rows.filter("k % 3 = 0").select("session_id", F.lit(state.LAST).alias("name"), F.concat(F.lit("call "), F.col("version").cast("string")).alias("value"), "version")
+    store = state.StateTable(spark, fresh_path(spark, "state"))
+    store.upsert(rows.filter("version % 2 = 1"), "odd")
+    store.merge()
+    for _ in range(2):
+        store.upsert(rows.filter("version % 2 = 0"), "even")
+    return store.last_compactions()

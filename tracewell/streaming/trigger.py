@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..storage import ready
 
@@ -61,3 +62,36 @@ def trigger_stream(turns: DataFrame, threshold: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["session_id", "turn", "total"])
 
     return turns.groupBy("session_id").applyInPandasWithState(step, "session_id string, turn long, total long", "total double, attempted double", "append", GroupStateTimeout.NoTimeout)
+
+
+class _Trigger(StatefulProcessor):
+    """A session's running total and last attempt, as values that end by themselves when a session is idle."""
+
+    def __init__(self, threshold: int, idle_ms: int):
+        self.threshold, self.idle_ms = threshold, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("trigger", "total double, attempted double", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        total, attempted = self.state.get() if self.state.exists() else (0.0, 0.0)
+        out = []
+        for row in pd.concat(list(rows)).sort_values("turn").itertuples():
+            total += row.tokens
+            fire, attempted = fires(total, attempted, self.threshold)
+            if fire:
+                out.append((key[0], int(row.turn), int(total)))
+        self.state.update((float(total), float(attempted)))
+        yield pd.DataFrame(out, columns=["session_id", "turn", "total"])
+
+    def close(self) -> None:
+        pass
+
+
+def ending_trigger_stream(turns: DataFrame, threshold: int, idle_ms: int) -> DataFrame:
+    """trigger_stream() whose state for a session ends when no turn has come for idle_ms: it begins at nothing again, and is armed.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    ready(turns.sparkSession)
+    return turns.groupBy("session_id").transformWithStateInPandas(_Trigger(threshold, idle_ms), "session_id string, turn long, total long", "Append", "ProcessingTime")
