@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r ]"
 #: Something like a path: folders, then a name with an extension of up to eight characters.
 PATH = r"(?:[A-Za-z]:)?(?:[A-Za-z0-9_.-]+[\\/])+[A-Za-z0-9_.-]+\.[A-Za-z0-9]{1,8}"
+#: The same matches found faster: a path begins where its first folder's name does or at a drive's letter, and names are never shortened before a slash.
+_PATH = r"(?:(?<![A-Za-z0-9_.-])|(?=[A-Za-z]:))(?:[A-Za-z]:)?+(?:[A-Za-z0-9_.-]++[\\/])+[A-Za-z0-9_.-]+\.[A-Za-z0-9]{1,8}"
 IDENTIFIER = r"[A-Za-z_$][A-Za-z0-9_$]*"
 CODE_LIKE = r"[A-Z_$0-9]"
 # Words that mark a line as an error.
@@ -28,6 +30,10 @@ COMMON_IDENTIFIERS = (
 ).split()
 
 
+def no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
 def nonnull(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -60,12 +66,14 @@ def collapse(text: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./", ""))
+    plain = F.lower(F.translate(path, "\\", "/"))
+    return F.when(plain.startswith("./"), F.substr(plain, F.lit(3))).otherwise(plain)
 
 
 def paths_in(text: Column) -> Column:
-    """Distinct normalised paths of a text, in order of appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(nonnull(text), F.lit(PATH), F.lit(0)), normal_path))
+    """Distinct normalised paths of a text, in order of appearance. A text without a slash of either kind has none."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PATH), F.lit(0)), normal_path))
+    return F.when(F.contains(text, F.lit("/")) | F.contains(text, F.lit("\\")), found).otherwise(no_strings())
 
 
 def symbols_in(text: Column, least: int = 6, most: int = 200) -> Column:
@@ -77,19 +85,20 @@ def symbols_in(text: Column, least: int = 6, most: int = 200) -> Column:
 
 
 def lines_in(text: Column) -> Column:
-    return F.transform(F.split(nonnull(text), "\n"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
+    return F.transform(F.split(nonnull(text), "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def errors_in(text: Column) -> Column:
     """Error lines (120 characters) and the names of error classes."""
-    lines = lines_in(text)
-    marked = F.transform(F.filter(lines, lambda x: x.rlike(ERROR_LINE)), lambda x: truncate(x, 120))
-    return F.array_distinct(F.concat(marked, F.regexp_extract_all(nonnull(text), F.lit(ERROR_CLASS), F.lit(0))))
+    marked = F.transform(F.filter(lines_in(text), lambda x: x.rlike(ERROR_LINE)), lambda x: truncate(x, 120))
+    found = F.array_distinct(F.concat(marked, F.regexp_extract_all(text, F.lit(ERROR_CLASS), F.lit(0))))
+    return F.when(text.rlike(f"{ERROR_LINE}|{ERROR_CLASS}"), found).otherwise(no_strings())
 
 
 def quotes_in(text: Column, least: int = 40, most: int = 100) -> Column:
     """The first distinct lines long enough to be quoted on purpose."""
-    return F.slice(F.array_distinct(F.filter(lines_in(text), lambda x: F.length(x) >= least)), 1, most)
+    found = F.slice(F.array_distinct(F.filter(lines_in(text), lambda x: F.length(x) >= least)), 1, most)
+    return F.when(F.length(text) >= least, found).otherwise(no_strings())
 
 
 def tool_ids_in(text: Column) -> Column:
