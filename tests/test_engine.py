@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewell.config import EngineConfig, PolicyOptions, RehydrateOptions, RuleOptions
 from tracewell.functions import redaction, sketch, terms, text
-from tracewell.operators import archive, asking, evals, fit, graph, ledger, rebuild, retrieve, rules, scoring, search, state
+from tracewell.operators import archive, asking, evals, fit, graph, ledger, rebuild, retrieve, review, rules, scoring, search, state
 from tracewell.plans import compaction
 from tracewell.schema import ARCHIVE, MESSAGES
 from tracewell.sources import datasets, transcripts
@@ -896,3 +896,36 @@ def test_paths_faster(spark):
         found = re.findall(text.PATH, r["t"] or "")
         assert r["p"] == list(dict.fromkeys(re.sub(r"^\./", "", x.replace("\\", "/")).lower() for x in found)), r["t"]
     assert sum(bool(r["p"]) for r in rows) > 500
+
+
+def test_reviews(spark):
+    """A session that would lose all it scored is put to a reviewer, whose reply is read leniently and whose keeps are applied."""
+    parts = []
+    for i in range(8):
+        parts += [("assistant", "", [use(f"c{i}", "Read", path=f"x/{i}.py")]), ("user", "", [], [(f"c{i}", f"content {i}\n" * 30, False)])]
+    messages = transcript(spark, ("user", "go"), *parts, *[("user", f"more {i}") for i in range(30)])
+    decisions = compaction.decided(messages, EngineConfig())
+    candidates = review.review_candidates(decisions)
+    rows = candidates.orderBy("call_seq").collect()
+    assert [r["tool_use_id"] for r in rows] == [f"c{i}" for i in range(8)] and rows[0]["about"] == "path=x/0.py"
+    question = review.review_questions(candidates, 0.4).first()
+    assert question["candidates"] == 8 and question["question"].count("\n- c") + question["question"].startswith("- c") == 8
+    replies = {"s": 'Sure:\n```json\n{"verdict": "keep_some", "keep": ["c3", "zz", "c1", 5], "reason": "  two\\n values "}\n```', "none": "no idea", "bad": '{"verdict": "maybe"}', "all": '{"verdict": "drop_all", "keep": ["c1"]}', "unnamed": '{"verdict": "keep_some", "keep": ["zz"]}', "broken": '{"verdict": "drop_all"'}
+    known = candidates.unionByName(candidates.withColumn("session_id", F.lit("all")))
+    got = {r["session_id"]: tuple(r)[1:] for r in review.parse_reviews(spark.createDataFrame(list(replies.items()), "session_id string, text string"), known).collect()}
+    assert got == {"s": ("keep_some", ["c3", "c1"], "two values"), "none": (None, [], None), "bad": (None, [], None), "all": ("drop_all", [], ""), "unnamed": ("unsure", [], "asked to keep some but named none"), "broken": (None, [], None)}
+    keeps = review.kept_by_review(spark.createDataFrame([("s", ["c3", "c1"])], "session_id string, keep array<string>"))
+    again = scoring.decide(scoring.apply_review(decisions.drop("action", "codes", "confidence"), keeps))
+    assert {r["tool_use_id"] for r in again.filter("action = 'KEEP_VERBATIM'").collect()} == {"c1", "c3"}
+
+
+def test_probes_by_place(spark):
+    messages = transcript(spark, ("user", "alpha"), ("assistant", "", [use("a", "Read", path="beta.py")]), ("user", "", [], [("a", "gamma", False)])).unionByName(transcript(spark, ("user", "delta"), session="t"))
+    kept = spark.createDataFrame([record("x", "epsilon delta")], ARCHIVE)
+    probes = [("s", t, t, place) for t in ("alpha", "beta", "gamma", "delta", "epsilon") for place in ("active", "active_or_archive")] + [("t", "delta", "delta", "active"), ("u", "alpha", "alpha", "active")]
+    rows = evals.probes_by_place(spark.createDataFrame(probes, "session_id string, probe_id string, probe string, place string"), messages, kept).collect()
+    assert len(rows) == len(probes)
+    for r in rows:
+        active = (r["session_id"], r["probe"]) in {("s", "alpha"), ("s", "beta"), ("s", "gamma"), ("t", "delta")}
+        archived = r["session_id"] == "s" and r["probe"] in ("delta", "epsilon")
+        assert (r["active"], r["archived"], r["held"]) == (active, archived, active or (archived and r["place"] == "active_or_archive"))

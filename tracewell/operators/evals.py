@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.text import truncate
 from ..storage import ready, table
 from .rebuild import structure_faults
 from .scoring import DROPS_CALL
@@ -102,8 +103,6 @@ def mode_aggregate(results: DataFrame) -> DataFrame:
 
 def sampled(rows: DataFrame, session: str, order: str, most: int) -> DataFrame:
     """At most `most` rows of each session, evenly spaced in order."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1
     n = F.count("*").over(Window.partitionBy(session))
     rows = rows.withColumn("_p", place).withColumn("_n", n)
@@ -113,6 +112,55 @@ def sampled(rows: DataFrame, session: str, order: str, most: int) -> DataFrame:
     return rows.filter(chosen).drop("_p", "_n", "_k")
 
 
+def message_blobs(messages: DataFrame) -> DataFrame:
+    """session_id, message_index, blob: all that a message has to search in, its text, inputs and results, a line break between them."""
+    uses, results = F.transform("tool_uses", lambda u: u["input"]), F.transform("tool_results", lambda r: F.coalesce(r["text"], F.lit("")))
+    return messages.select("session_id", "message_index", F.array_join(F.concat(F.array("text"), uses, results), "\n").alias("blob"))
+
+
+def probes_by_place(probes: DataFrame, messages: DataFrame, archive: DataFrame) -> DataFrame:
+    """probes (session_id, probe_id, probe, place) with active (some message of its session has it), archived, and held: where its place asks for it, active or active_or_archive.
+
+    A probe is looked for in each message and record of its own session, not across two of them.
+    """
+    own = probes.select("session_id", "probe_id", "probe", "place")
+
+    def met(texts: DataFrame, content: str, name: str) -> DataFrame:
+        rows = texts.select(F.col("session_id").alias("_s"), content).join(own.select("session_id", "probe").distinct(), F.col("_s") == F.col("session_id"))
+        return rows.filter(F.contains(content, F.col("probe"))).select("session_id", "probe").distinct().withColumn(name, F.lit(True))
+
+    rows = own.join(met(message_blobs(messages), "blob", "active"), ["session_id", "probe"], "left").join(met(archive, "content", "archived"), ["session_id", "probe"], "left").na.fill(False, ["active", "archived"])
+    return rows.withColumn("held", F.col("active") | ((F.col("place") == "active_or_archive") & F.col("archived")))
+
+
+#: What a judge is asked about a case at most.
+ITEMS = 40
+
+
+def judge_items(probes: DataFrame, labels: DataFrame, calls: DataFrame, most: int = ITEMS) -> DataFrame:
+    """What a judge is asked about each session: session_id, place, item_id, kind (probe, call, drop), text.
+
+    Probes (session_id, probe_id, probe) come first, then calls labelled
+    must_keep; what room is left goes to an even sample of those that are safe to
+    drop.  Calls are in order; labels of calls that aren't there ask nothing.
+    """
+    asked = labels.filter("label in ('must_keep', 'safe_to_drop')").join(calls.select("session_id", "tool_use_id", "call_seq", "tool", "input", "result"), ["session_id", "tool_use_id"])
+    shown = F.concat(F.substring("result", 1, 300), F.lit(" (tool "), F.col("tool"), F.lit(", input "), truncate(F.col("input"), 200), F.lit(")"))
+    asked = asked.select("session_id", F.when(F.col("label") == "must_keep", 1).otherwise(2).alias("rank"), "call_seq", F.concat(F.lit("call:"), F.col("tool_use_id")).alias("item_id"), shown.alias("text"))
+    items = probes.select("session_id", F.lit(0).alias("rank"), F.lit(0).alias("call_seq"), F.col("probe_id").alias("item_id"), F.col("probe").alias("text")).unionByName(asked)
+    place = F.row_number().over(Window.partitionBy("session_id", "rank").orderBy("call_seq", "item_id")) - 1
+    whole = Window.partitionBy("session_id")
+    fixed = F.count_if(F.col("rank") < 2).over(whole)
+    rows = items.withColumns({"_p": place, "_room": F.greatest(F.lit(0), most - fixed), "_n": F.count_if(F.col("rank") == 2).over(whole)})
+    # Of n calls for room places, those numbered floor(i * n / room).
+    room, n = F.nullif("_room", F.lit(0)), F.nullif("_n", F.lit(0))
+    k = F.ceil(F.col("_p") * room / n)
+    chosen = (F.col("rank") < 2) | (F.col("_n") <= F.col("_room")) | ((F.floor(k * n / room) == F.col("_p")) & (k < room))
+    order = F.row_number().over(Window.partitionBy("session_id").orderBy("rank", "_p"))
+    kind = F.when(F.col("rank") == 0, "probe").when(F.col("rank") == 1, "call").otherwise("drop")
+    return rows.filter(chosen).withColumn("place", order).filter(F.col("place") <= most).select("session_id", "place", "item_id", kind.alias("kind"), "text")
+
+
 def verdicts_of(replies: DataFrame) -> DataFrame:
     """session_id, item_id, present of judges' replies (session_id, text): the JSON between the first and the last brace, whatever is around it; a reply without any has no verdict."""
     json = F.regexp_extract("text", r"(?s)\{.*\}", 0)

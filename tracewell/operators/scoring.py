@@ -215,6 +215,11 @@ def action_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("session_id").agg(F.count("*").alias("calls"), *[F.count_if(F.col("action") == a).alias(a.lower()) for a in ACTIONS])
 
 
+def reason_counts(decisions: DataFrame) -> DataFrame:
+    """Per session and reason, how many calls were decided for it: session_id, reason, calls."""
+    return decisions.select("session_id", F.explode("codes").alias("reason")).groupBy("session_id", "reason").agg(F.count("*").alias("calls"))
+
+
 def suspect_calibration(decisions: DataFrame, least: int = 5) -> DataFrame:
     """Sessions of which at least so many calls were scored and none kept for its score, with the best score."""
     scored = F.exists("codes", lambda c: c.startswith("classifier_"))

@@ -515,6 +515,18 @@ def archive_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().join(tenth, ["session_id", "tool_use_id"]).select("session_id", "id", "action", F.length("content").cast("long").alias("chars"))
 
 
+@query(f"with {_CALLS} select session_id, count(*) filter (k % 13 in (1, 2)) as faults, count(*) filter (k % 13 in (1, 2)) = 0 as valid from c group by 1")
+def structure_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of which some uses are lost and some come a message after their results."""
+    uses = F.col("tool_uses")
+    k = F.regexp_extract(uses[0]["input"], "([0-9]+)", 1).cast("int")
+    messages = _session(spark, sf_dir)
+    marked = messages.withColumn("kind", F.when(F.size(uses) > 0, F.when(k % 13 == 1, "lost").when(k % 13 == 2, "late")))
+    late = marked.filter("kind = 'late'").withColumn("message_index", F.col("message_index") + 1_000_000).drop("kind")
+    kept = marked.withColumn("tool_uses", F.when(F.col("kind").isNull(), uses).otherwise(F.slice(uses, 1, 0))).drop("kind")
+    return evals.structure_valid(kept.unionByName(late))
+
+
 @query(f"with {_CALLS} select distinct session_id, cast(0 as bigint) as faults, true as valid from c")
 def structure_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.structure_valid(_compaction(spark, sf_dir).messages).withColumn("faults", F.col("faults").cast("long"))
@@ -750,6 +762,30 @@ def fidelity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.fidelity(_decisions(spark, sf_dir), _labels(spark, sf_dir))
 
 
+@query(
+    f"with {_SCORES}{_decided('0.4e0')}, why as (select session_id, case when pinned then ['pinned_window'] when len(protections) > 0 then protections when copy_seq is not null then ['duplicate'] "
+    "else ['classifier_result'] || case when weak > 0 then ['referenced_weakly'] else [] end || case when br >= t then [] else ['classifier_call'] end || case when br < t and keep_call >= t and tool in ('Read', 'Grep') and not changed then ['rerunnable'] else [] end end as codes from v) "
+    "select session_id, reason, count(*) as calls from (select session_id, unnest(codes) as reason from why) group by all"
+)
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.reason_counts(_decisions(spark, sf_dir))
+
+
+@query(
+    f"with {_CALLS}, i as (select session_id, 0 as rank, 0 as call_seq, 'p' || n as item_id, 'probe ' || n as text from e where n < 3 "
+    "union all select session_id, case when k % 10 = 0 then 1 else 2 end, call_seq, 'call:' || tool_use_id, substr(result, 1, 300) || ' (tool ' || tool || ', input ' || input || ')' from c where k % 10 = 0 or k % 10 >= 4), "
+    "p as (select *, row_number() over (partition by session_id, rank order by call_seq, item_id) - 1 as p, greatest(0, 40 - count(*) filter (rank < 2) over (partition by session_id)) as room, count(*) filter (rank = 2) over (partition by session_id) as n from i), "
+    "x as (select * from p where rank < 2 or n <= room or list_contains(list_transform(range(room), lambda i: i * n // room), p)), "
+    "o as (select *, row_number() over (partition by session_id order by rank, p) as place from x) "
+    "select session_id, cast(place as int) as place, item_id, case rank when 0 then 'probe' when 1 then 'call' else 'drop' end as kind, text from o where place <= 40"
+)
+def judge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _calls(spark, sf_dir)
+    n = (F.col("call_seq") - 1).cast("string")
+    probes = calls.filter("call_seq <= 3").select("session_id", F.concat(F.lit("p"), n).alias("probe_id"), F.concat(F.lit("probe "), n).alias("probe"))
+    return evals.judge_items(probes, _labels(spark, sf_dir), calls)
+
+
 @query(
     "with e as (select cast(user_id as varchar) as session_id, cast(json_extract_string(props, '$.k') as int) as k from events), "
     "j as (select session_id, k % 3 as kind, case when k % 4 = 0 then null when k % 5 = 0 then 'absent' when k % 5 = 1 then 'paraphrased' else 'present' end as present from e), "
