@@ -49,7 +49,9 @@ def term_matches(terms: DataFrame, index: DataFrame) -> DataFrame:
     wanted = table(terms.select("term").distinct().withColumn("n", F.length("term")), "search-terms")
     few = wanted.count() <= BROADCAST_TERMS
     hint = F.broadcast if few else lambda df: df
-    vocabulary = index.filter("not in_meta").select(F.col("term").alias("token")).distinct()
+    # A number given, or small bytes would make one task of what is much work for each token.
+    tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = index.filter("not in_meta").select(F.col("term").alias("token")).distinct().repartition(tasks, "token")
     # Tokens of four letters on hold a shorter term at some place: cut each token into its runs of four, and meet the first four of each term, where the tokens are if terms are few.
     starts = F.sequence(F.lit(1), F.length("token") - 3)
     grams = vocabulary.filter(F.length("token") >= 4).select("token", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("token", i, F.lit(4))))).alias("gram"))
