@@ -22,6 +22,7 @@ Scoring is one scan.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -39,6 +40,8 @@ THRESHOLD = 0.3
 #: Passes that start the weights from the documents' labels, and passes that find the lines' own.
 STARTS, ROUNDS = 5, 20
 RIDGE = 3e-3
+#: Lines whose features are held at once while a text is scored.
+BLOCK = 4096
 #: Good lines' share of the length of a document of label 1 at least, and of label 0 at most, while fitting.
 GOOD_LEAST, GOOD_MOST = 0.8, 0.5
 
@@ -51,31 +54,38 @@ _UPPER_TWO = tuple("ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜŒ")
 FEATURES = ("words", "letters", "upper", "digits", "symbols", "bars", "bangs", "repeats", "distinct", "long", "stops", "again", "empty", "marked")
 
 
-def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(lines by FEATURES, code points of each line); an empty text is one empty line."""
+def feature_blocks(text: str):
+    """(lines by FEATURES, code points of each line) of a text, BLOCK lines at a time; an empty text is one empty line."""
     lines = text.split("\n")
     seen = Counter(lines)
-    rows, sizes = [], []
-    for line in lines:
-        raw = line.encode("utf-8", "surrogatepass")
-        flat = raw.translate(None, _CONT)  # one byte a code point
-        n, words = len(flat), line.split()
-        count = len(words)
-        letters = n - len(flat.translate(None, _LETTER))
-        upper = n - len(flat.translate(None, _UPPER))
-        if len(raw) > n:
-            upper += sum(map(line.count, _UPPER_TWO))
-        repeats = sum(map(str.__eq__, words, words[1:]))
-        distinct = len(set(words))
-        marked = sum(1 for w in words if not w[-1].isalnum() and w[-1] not in ".,;:?\"')")
-        chars, pieces = max(n, 1), max(count, 1)
-        rows.append((
-            math.log1p(count), letters / chars, upper / max(letters, 1), (n - len(flat.translate(None, _DIGIT))) / chars,
-            (n - len(flat.translate(None, _SYMBOL))) / chars, flat.count(b"|") / pieces, flat.count(b"!") / pieces, repeats / pieces,
-            distinct / pieces, min(n / pieces, 40) / 10, line.rstrip().endswith((".", "?", "!", ":")), seen[line] > 1, count == 0, marked / pieces,
-        ))
-        sizes.append(n)
-    return np.array(rows, np.float64), np.array(sizes, np.float64)
+    for start in range(0, len(lines), BLOCK):
+        rows, sizes = [], []
+        for line in lines[start : start + BLOCK]:
+            raw = line.encode("utf-8", "surrogatepass")
+            flat = raw.translate(None, _CONT)  # one byte a code point
+            n, words = len(flat), line.split()
+            count = len(words)
+            letters = n - len(flat.translate(None, _LETTER))
+            upper = n - len(flat.translate(None, _UPPER))
+            if len(raw) > n:
+                upper += sum(map(line.count, _UPPER_TWO))
+            repeats = sum(map(str.__eq__, words, words[1:]))
+            distinct = len(set(words))
+            marked = sum(1 for w in words if not w[-1].isalnum() and w[-1] not in ".,;:?\"')")
+            chars, pieces = max(n, 1), max(count, 1)
+            rows.append((
+                math.log1p(count), letters / chars, upper / max(letters, 1), (n - len(flat.translate(None, _DIGIT))) / chars,
+                (n - len(flat.translate(None, _SYMBOL))) / chars, flat.count(b"|") / pieces, flat.count(b"!") / pieces, repeats / pieces,
+                distinct / pieces, min(n / pieces, 40) / 10, line.rstrip().endswith((".", "?", "!", ":")), seen[line] > 1, count == 0, marked / pieces,
+            ))
+            sizes.append(n)
+        yield np.array(rows, np.float64), np.array(sizes, np.float64)
+
+
+def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """feature_blocks() of all lines."""
+    rows, sizes = zip(*feature_blocks(text))
+    return np.concatenate(rows), np.concatenate(sizes)
 
 
 def with_neighbours(x: np.ndarray) -> np.ndarray:
@@ -96,13 +106,35 @@ class Field:
     slope: float = 1.0
     offset: float = 0.0
 
+    def unaries(self, blocks) -> np.ndarray:
+        """The score of good of each line, of features that come block by block: neighbours are made for one block at a time."""
+        zero, out = np.zeros((1, len(FEATURES))), []
+
+        def put(before: np.ndarray, x: np.ndarray, after: np.ndarray) -> None:
+            rows = with_neighbours(np.concatenate([before, x, after]))[1:-1]
+            rows -= self.mean
+            rows /= self.scale
+            out.append(rows @ self.weights)
+
+        before, held = zero, None
+        for x in blocks:
+            if held is not None:
+                put(before, held, x[:1])
+                before = held[-1:]
+            held = x
+        put(before, held, zero)
+        return np.concatenate(out)
+
     def marginals(self, x: np.ndarray) -> np.ndarray:
         """Per line, the probability of good by forward-backward."""
-        unary = ((with_neighbours(x) - self.mean) / self.scale) @ self.weights
-        return chain(unary, self.moves)[0]
+        return chain(self.unaries(x[k : k + BLOCK] for k in range(0, len(x), BLOCK)), self.moves)[0]
 
     def quality_of(self, x: np.ndarray, sizes: np.ndarray) -> float:
-        good, weights = self.marginals(x), np.maximum(sizes, 1e-9)
+        return self._share(self.marginals(x), sizes)
+
+    @staticmethod
+    def _share(good: np.ndarray, sizes: np.ndarray) -> float:
+        weights = np.maximum(sizes, 1e-9)
         return float(good @ weights / weights.sum())
 
     @staticmethod
@@ -111,7 +143,15 @@ class Field:
         return math.log(q / (1 - q))
 
     def score(self, text: str) -> float:
-        z = self.slope * self.logit(self.quality_of(*line_features(text))) + self.offset
+        sizes: list[np.ndarray] = []
+
+        def blocks():
+            for x, n in feature_blocks(text):
+                sizes.append(n)
+                yield x
+
+        good = chain(self.unaries(blocks()), self.moves)[0]
+        z = self.slope * self.logit(self._share(good, np.concatenate(sizes))) + self.offset
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
@@ -120,15 +160,16 @@ def chain(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = len(unary)
     (m00, m01), (m10, m11) = np.exp(moves).tolist()
     shift = np.maximum(unary, 0)
-    good, bad = np.exp(unary - shift).tolist(), np.exp(-shift).tolist()
-    f0, f1, norms = [0.0] * n, [0.0] * n, [0.0] * n
+    # Arrays, not lists: eight bytes a line each.
+    good, bad = array("d", np.exp(unary - shift).tobytes()), array("d", np.exp(-shift).tobytes())
+    f0, f1, norms = (array("d", bytes(8 * n)) for _ in range(3))
     a, b = bad[0], good[0]
     for i in range(n):
         if i:
             a, b = (f0[i - 1] * m00 + f1[i - 1] * m10) * bad[i], (f0[i - 1] * m01 + f1[i - 1] * m11) * good[i]
         norms[i] = s = a + b
         f0[i], f1[i] = a / s, b / s
-    out, expected = [0.0] * n, np.zeros((2, 2))
+    out, expected = array("d", bytes(8 * n)), np.zeros((2, 2))
     out[n - 1] = f1[n - 1]
     c = d = 1.0  # backward
     e00 = e01 = e10 = e11 = 0.0
