@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import chains, ordered
-from tracewell.sources import transcripts
+from tracewell.sources import capture, datasets, transcripts
 
 
 def walked(records):
@@ -217,3 +217,21 @@ def test_redacting_function(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text(json.dumps(line))
     row = transcripts.read_transcripts(spark, str(tmp_path), transcripts.LoadOptions(redact=lambda t: t.replace("alice", "<USER>"))).messages.first()
     assert row["text"] == "see <USER>" and json.loads(row["tool_uses"][0]["input"]) == {"alice": ["<USER>", 3]}
+
+
+def test_captured_sessions(spark, tmp_path):
+    key = "sk-ant-" + "k" * 30
+    for project, name, n in (("my-app", "a", 3), ("my-app", "b b+", 9), ("other", "c", 6), ("my-app", "small", 1)):
+        (tmp_path / "in" / project).mkdir(parents=True, exist_ok=True)
+        lines = [{"type": "user" if i % 2 == 0 else "assistant", "uuid": str(i), "parentUuid": str(i - 1) if i else None, "isCompactSummary": i == 2, "message": {"content": [{"type": "text", "text": f"text {i} {key} in /home/alice/x {'word ' * 20}"}], "usage": {"input_tokens": 5}}} for i in range(n)]
+        (tmp_path / "in" / project / f"{name}.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    files = capture.session_files(spark, f"{tmp_path}/in", min_bytes=500, project="my").collect()
+    assert [(r["project"], r["bytes"] > 500) for r in files] == [("my-app", True)] * 2
+    got = {r["session_id"]: r for r in capture.capture_sessions(spark, f"{tmp_path}/in", f"{tmp_path}/out", limit=3, user_paths=True, captured_at="now").collect()}
+    assert {k: (r["messages"], r["compactions"], r["secrets"]) for k, r in got.items()} == {"my-app--b b+": (9, 1, 1), "other--c": (6, 1, 1), "my-app--a": (3, 1, 1)}
+    cases = datasets.read_cases(spark, f"{tmp_path}/out")
+    rows = cases.messages.orderBy("session_id", "message_index").collect()
+    assert len(rows) == 18 and all("<SECRET_1> in /home/<USER>/x" in r["text"] and key not in r["text"] for r in rows)
+    meta = {r["session_id"]: json.loads(r["meta"]) for r in cases.meta.collect()}
+    assert meta["my-app--a"]["input_tokens"] == 5 and meta["my-app--a"]["project"] == "my-app" and meta["my-app--a"]["compactions"] == [2] and meta["my-app--a"]["captured_at"] == "now" and meta["my-app--a"]["source"].endswith("/my-app/a.jsonl")
+    assert capture.capture_sessions(spark, f"{tmp_path}/in", f"{tmp_path}/none", limit=3, min_bytes=10**9).count() == 0

@@ -113,15 +113,16 @@ def parse_line(line: str, options: LoadOptions) -> dict | None:
 
 @dataclass
 class Transcripts:
-    """messages; usage, a row per call of the model; compactions, the messages that sum up what was before them; skipped, counts by reason."""
+    """messages; usage, a row per call of the model; compactions, the messages that sum up what was before them; skipped, counts by reason; files, the file and session_id of each."""
 
     messages: DataFrame
     usage: DataFrame
     compactions: DataFrame
     skipped: DataFrame
+    files: DataFrame
 
 
-def read_records(spark: SparkSession, path: str, options: LoadOptions) -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], options: LoadOptions) -> DataFrame:
     """All lines under path, parsed, with their places; written, so that places stay."""
     ready(spark)
     lines = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
@@ -152,8 +153,8 @@ def chained(records: DataFrame, options: LoadOptions) -> tuple[DataFrame, DataFr
     return table(light.join(chains.chain, ["file", "block", "at"]).unionByName(others), "transcript-chain"), broken
 
 
-def read_transcripts(spark: SparkSession, path: str, options: LoadOptions | None = None) -> Transcripts:
-    """Transcripts under a path, a file each. Its lines are parsed once and its messages written, when this is called."""
+def read_transcripts(spark: SparkSession, path: str | list[str], options: LoadOptions | None = None) -> Transcripts:
+    """Transcripts under a path, or several, a file each. Its lines are parsed once and its messages written, when this is called."""
     options = options or LoadOptions()
     records = read_records(spark, path, options)
     chain, broken = chained(records, options)
@@ -176,7 +177,7 @@ def read_transcripts(spark: SparkSession, path: str, options: LoadOptions | None
     blank = (F.col("text") == "") & (F.size("tool_uses") == 0) & (F.size("tool_results") == 0)
     whole = running_sum(whole.withColumn("blank", blank).withColumn("tile", F.floor(F.col("g") / 4096)), ["file"], "tile", "g", F.when(F.col("blank"), 0).otherwise(1), "n")
     names = records.groupBy("file").agg(F.min_by("session", F.when(F.col("session").isNotNull(), F.struct("block", "at"))).alias("own"))
-    names = names.select("file", F.coalesce("own", decoded(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))).alias("session_id"))
+    names = table(names.select("file", F.coalesce("own", decoded(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1))).alias("session_id")), "transcript-files")
     whole = table(whole.join(names, "file").withColumn("message_index", (F.col("n") - 1).cast("int")), "transcript-messages")
 
     # A use gets what the next result of its id says, unless the id is used again before that.
@@ -201,7 +202,7 @@ def read_transcripts(spark: SparkSession, path: str, options: LoadOptions | None
         hidden = table(redact_messages(messages, user_paths=options.user_paths), "transcript-redacted")
         messages = messages.join(hidden.select("session_id").distinct(), "session_id", "left_anti").unionByName(hidden)
     usage = whole.filter("usage is not null").select("session_id", F.when(~F.col("blank"), F.col("message_index")).alias("message_index"), "usage.*")
-    return Transcripts(messages, usage, whole.filter("compact and not blank").select("session_id", "message_index"), skipped)
+    return Transcripts(messages, usage, whole.filter("compact and not blank").select("session_id", "message_index"), skipped, names)
 
 
 def list_sessions(spark: SparkSession, path: str) -> DataFrame:
