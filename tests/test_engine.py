@@ -929,3 +929,20 @@ def test_probes_by_place(spark):
         active = (r["session_id"], r["probe"]) in {("s", "alpha"), ("s", "beta"), ("s", "gamma"), ("t", "delta")}
         archived = r["session_id"] == "s" and r["probe"] in ("delta", "epsilon")
         assert (r["active"], r["archived"], r["held"]) == (active, archived, active or (archived and r["place"] == "active_or_archive"))
+
+
+def test_code_shapes(spark):
+    """Shapes of code against the tests they stand for, one by one."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aB1_$./\\-:,; é") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", terms.code_terms(F.col("t")).alias("c")).collect():
+        want = []
+        for raw in re.findall(r"[A-Za-z0-9_$][A-Za-z0-9_$.\-/\\]*", r["t"]):
+            raw = re.sub(r"[.:,;]+$", "", raw)
+            letters, numbers = any(c.isascii() and c.isalpha() for c in raw), any(c in "0123456789" for c in raw)
+            mixed = any(a.islower() and b.isupper() for a, b in zip(raw, raw[1:]))
+            capitals = len(raw) >= 3 and raw.upper() == raw and letters and not re.search(r"[./\\-]", raw)
+            joined = re.search(r"[A-Za-z0-9][_$./\\-][A-Za-z0-9$]", raw) and not set(raw) <= set("0123456789.-/")
+            if mixed or capitals or joined or (numbers and not letters and len(raw) >= 3):
+                want.append(raw.lower())
+        assert r["c"] == list(dict.fromkeys(want)), r["t"]

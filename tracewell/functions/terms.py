@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import nonnull
 
+# What a term is in lower case and as written, what separates its parts, and what ends a sentence after it.
 TERM = r"[a-z0-9_$][a-z0-9_$.\-/\\]+"
 RAW_TERM = r"[A-Za-z0-9_$][A-Za-z0-9_$.\-/\\]*"
 SEPARATOR = r"[_.\-/\\]"
+SENTENCE_END = r"[.:,;]+$"
+# Shapes of names in code, by what a term must have and what it must not be (null: anything). Mixed case,
+# three capitals or more, parts that something joins other than a number's, and numbers of three signs or more.
+CODE_SHAPES = (
+    (r"[a-z][A-Z]", None),
+    (r"^(?=.*[A-Z])[A-Z0-9_$]{3,}$", None),
+    (r"[A-Za-z0-9][_$./\\\-][A-Za-z0-9$]", r"^[0-9.\-/]+$"),
+    (r"^(?=.{3})[^A-Za-z]*[0-9][^A-Za-z]*$", None),
+)
 
 # Words that no search needs.
 STOP_WORDS = """
@@ -68,13 +81,10 @@ def query_terms(text: Column) -> Column:
 
 
 def code_terms(text: Column) -> Column:
-    """Terms that look like names in code: mixed case, capitals, parts joined by separators, or long numbers."""
-    raw = F.transform(F.regexp_extract_all(nonnull(text), F.lit(RAW_TERM), F.lit(0)), lambda t: F.regexp_replace(t, r"[.:,;]+$", ""))
-    camel = lambda t: t.rlike("[a-z][A-Z]")
-    caps = lambda t: t.rlike("^[A-Z0-9_$]{3,}$") & t.rlike("[A-Z]")
-    compound = lambda t: t.rlike(r"[A-Za-z0-9][_$./\\\-][A-Za-z0-9$]") & ~t.rlike(r"^[0-9.\-/]+$")
-    digits = lambda t: t.rlike("[0-9]") & ~t.rlike("[A-Za-z]") & (F.length(t) >= 3)
-    return F.array_distinct(F.transform(F.filter(raw, lambda t: (F.length(t) >= 2) & (camel(t) | caps(t) | compound(t) | digits(t))), F.lower))
+    """Terms that have one of CODE_SHAPES as they are written, in lower case."""
+    written = F.transform(F.regexp_extract_all(nonnull(text), F.lit(RAW_TERM), F.lit(0)), lambda t: F.regexp_replace(t, SENTENCE_END, ""))
+    shaped = lambda t: reduce(or_, [t.rlike(has) if never is None else t.rlike(has) & ~t.rlike(never) for has, never in CODE_SHAPES])
+    return F.array_distinct(F.transform(F.filter(written, shaped), F.lower))
 
 
 def components_of(code: Column) -> Column:
