@@ -12,7 +12,7 @@ from .operators import archive, asking, chains, evals, fit, graph, ledger, retri
 from .plans import compaction
 from .schema import TOOL_RESULT, TOOL_USE
 from .sources.tables import archive_from_documents, messages_from_conversations, messages_from_events, read
-from .storage import fresh_path
+from .storage import fresh_path, table
 from .streaming import trigger, usage
 
 CONFIG = EngineConfig()
@@ -38,6 +38,11 @@ def _session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_from_events(read(spark, sf_dir, "events"))
 
 
+def _written_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_session() as a table, as transcripts are: what reads them many times doesn't derive them as often."""
+    return table(_session(spark, sf_dir), "session")
+
+
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.tool_calls(_session(spark, sf_dir), CONFIG.preserve_recent)
 
@@ -313,7 +318,7 @@ def edges_by_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str, config: EngineConfig = CONFIG) -> DataFrame:
-    return compaction.decided(_session(spark, sf_dir), config)
+    return compaction.decided(_written_session(spark, sf_dir), config)
 
 
 @query(f"with {_SCORES} select session_id, call_seq, array_to_string(protections, ',') as protections, round(keep_call, 6) as keep_call, round(keep_result, 6) as keep_result from k2")
@@ -444,7 +449,7 @@ def main_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _compaction(spark: SparkSession, sf_dir: str) -> compaction.Compaction:
-    return compaction.compact(_session(spark, sf_dir), CONFIG)
+    return compaction.compact(_written_session(spark, sf_dir), CONFIG)
 
 
 #: The transcripts after compaction: stubs in place of results, markers in place of calls, runs of markers as one.
