@@ -360,7 +360,7 @@ def plain_likeness(a, b):
                 paragraphs.append([])
         for p in filter(None, paragraphs):
             sections[-1].append(tuple(p))
-            digest = merkle._join(b"paragraph", [merkle.Node(hashlib.blake2b(x, digest_size=16).digest(), len(x), ()) for x in p]).digest
+            digest = hashlib.sha256(b"paragraph" + len(p).to_bytes(4, "big") + b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in p)).digest()
             if (len(p) == 1 and p[0].endswith(b"\n") and not p[0].strip()) or (len(p) == 1 and not p[0].strip()) or digest[0] % merkle.SECTION == 0:
                 sections.append([])
         return [tuple(x) for x in sections if x]
