@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from collections import Counter
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -30,6 +31,7 @@ WINDOW = 8  # bytes that decide on a cut
 SECTION = 8  # paragraphs of a section on average
 KEPT = 16  # bytes of a digest by which nodes are compared
 BLOCK = 1 << 20  # bytes that are looked at for cuts at once
+FEW = 512  # digests that are counted without sorting
 SORTED = 1 << 17  # digests that are sorted at once
 
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=4, person=b"leaf cuts").digest() for i in range(256)), "<u4")
@@ -136,11 +138,25 @@ def tree(data: bytes) -> Tree:
     return Tree(root, size, levels)
 
 
+def _left_over(own: list, other: list) -> np.ndarray:
+    there = Counter(other)
+    out = np.ones(len(own), bool)
+    for i, x in enumerate(own):
+        n = there.get(x)
+        if n:
+            there[x] = n - 1
+            out[i] = False
+    return out
+
+
 def unmatched(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of left have no partner of the same digest in right, and the other way; each has one partner at most.
 
-    Many digests are compared by shares of their values, so that sorting needs little room.
+    Few digests are counted one by one; many are compared by shares of their values, so that sorting needs little room.
     """
+    if len(left) + len(right) <= FEW:
+        a, b = left.tolist(), right.tolist()
+        return _left_over(a, b), _left_over(b, a)
     alone = np.ones(len(left), bool), np.ones(len(right), bool)
     shares = 1 + (len(left) + len(right)) // SORTED
     if not len(left) or not len(right):
