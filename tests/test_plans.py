@@ -71,3 +71,17 @@ def test_calls_without_result_or_id_have_no_row(spark):
     messages = spark.createDataFrame([("s", 0, "assistant", "", [use("a"), use("b"), use(none), use("c")], []), ("s", 1, "user", "", [], [("a", "old", True), ("a", none, none), (none, "x", False)]), ("s", 2, "assistant", "", [use("c")], [("c", "r", True)])], kind)
     got = ledger.tool_calls(messages).select("call_seq", "tool_use_id", "result", "is_error", "call_index", "result_index", "ambiguous").collect()
     assert sorted(tuple(r) for r in got) == [(1, "a", "", False, 0, 1, False), (2, "c", "r", True, 0, 2, True), (3, "c", "r", True, 2, 2, True)]
+
+
+def test_paths_errors_and_fields_are_as_their_patterns_say(spark):
+    from tracewell.functions import text
+
+    rows = ["see a/b.py, C:\\d\\E.txt:3 x", "x=./q/r.c\nq/r.c a//b.c (z/y.tar.gz)", "-a/b.c9 9a/b.c b.c /etc/x.conf", "é/a.b éa/b.c", "a/ b.c", "", "no slash", None, "panic: x\nok\nMyError: y", "pan ic", '{"p\\u0061th": "u", "command": 5}', '{"path": "", "filePath": "f"}', "path"]
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    t = F.col("t")
+    plain = F.coalesce(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(text._PATH), F.lit(0)), text.normal_path)), text.no_strings())
+    marked = F.transform(F.filter(text.lines_in(t), lambda x: x.rlike(text.ERROR_LINE)), lambda x: text.truncate(x, 120))
+    errors = F.when(t.isNotNull(), F.array_distinct(F.concat(marked, F.regexp_extract_all(t, F.lit(text.ERROR_CLASS), F.lit(0))))).otherwise(text.no_strings())
+    got = df.select(text.paths_in(t).alias("a"), plain.alias("b"), text.errors_in(t).alias("c"), errors.alias("d"), text.json_string(t, "path").alias("e"), F.get_json_object("t", "$.path").alias("f"), text.json_string(t, "command").alias("g"), F.get_json_object("t", "$.command").alias("h")).collect()
+    for r in got:
+        assert (r.a, r.c, r.e, r.g) == (r.b, r.d, r.f, r.h)
