@@ -85,3 +85,16 @@ def test_paths_errors_and_fields_are_as_their_patterns_say(spark):
     got = df.select(text.paths_in(t).alias("a"), plain.alias("b"), text.errors_in(t).alias("c"), errors.alias("d"), text.json_string(t, "path").alias("e"), F.get_json_object("t", "$.path").alias("f"), text.json_string(t, "command").alias("g"), F.get_json_object("t", "$.command").alias("h")).collect()
     for r in got:
         assert (r.a, r.c, r.e, r.g) == (r.b, r.d, r.f, r.h)
+
+
+@tables
+@pytest.mark.parametrize("name", ["search_topk", "rank_records", "session_search", "ancestor_stats", "fit_stage"])
+def test_what_is_read_again_is_written(spark, name):
+    plan = optimized(queries.QUERIES[name](spark, SF_DIR))
+    assert "Generate inline" not in plan and "get_json_object" not in plan
+
+
+@tables
+def test_chains_send_no_table_through_the_driver(spark):
+    plan = queries.QUERIES["main_chain"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan

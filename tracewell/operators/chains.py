@@ -48,7 +48,8 @@ def main_chains(records: DataFrame, group: str = "group") -> Chains:
 
     places = nodes.select(F.col("g").alias("pg"), F.col("uuid").alias("pu"), F.col("block").alias("tb"), F.col("seg").alias("ts"), F.col("at").alias("ta"))
     heads = nodes.filter("head").select("g", "block", "seg", "parent")
-    links = heads.join(places, (F.col("g") == F.col("pg")) & (F.col("parent") == F.col("pu")), "left").drop("pg", "pu")
+    # Tables here are small as files and large as rows: none of them goes through the driver to be broadcast.
+    links = heads.join(places.hint("merge"), (F.col("g") == F.col("pg")) & (F.col("parent") == F.col("pu")), "left").drop("pg", "pu")
     links = table(links, "chain-links")
     most = links.groupBy("g").count().agg(F.max("count")).first()[0] or 0
 
@@ -56,23 +57,23 @@ def main_chains(records: DataFrame, group: str = "group") -> Chains:
     while 2 ** (len(jumps) - 1) < most:
         low, high = jumps[-1].alias("l"), jumps[-1].alias("h")
         on = (F.col("l.g") == F.col("h.g")) & (F.col("l.tb") == F.col("h.block")) & (F.col("l.ts") == F.col("h.seg"))
-        further = table(low.join(high, on).select("l.g", "l.block", "l.seg", "h.tb", "h.ts", "h.ta"), "chain-jumps")
+        further = table(low.join(high.hint("merge"), on).select("l.g", "l.block", "l.seg", "h.tb", "h.ts", "h.ta"), "chain-jumps")
         if further.isEmpty():
             break
         jumps.append(further)
     endless = 2 ** (len(jumps) - 1) >= most
 
     leaves = own.filter("leaf").groupBy("g").agg(F.max_by("uuid", F.struct("block", "at")).alias("uuid"))
-    marks = table(nodes.join(leaves, ["g", "uuid"]).select("g", "block", "seg", F.col("at").alias("cut"), F.lit(0).cast("long").alias("steps")), "chain-marks")
+    marks = table(nodes.join(leaves.hint("merge"), ["g", "uuid"]).select("g", "block", "seg", F.col("at").alias("cut"), F.lit(0).cast("long").alias("steps")), "chain-marks")
     cyclic = marks.join(jumps[-1], ["g", "block", "seg"], "left_semi").select("g") if endless and most else marks.select("g").limit(0)
-    marks = marks.join(cyclic, "g", "left_anti")
+    marks = marks.join(cyclic.hint("merge"), "g", "left_anti")
     for k in range(len(jumps) - 1, -1, -1):
-        up = marks.join(jumps[k], ["g", "block", "seg"]).select("g", F.col("tb").alias("block"), F.col("ts").alias("seg"), F.col("ta").alias("cut"), (F.col("steps") + 2**k).alias("steps"))
+        up = marks.join(jumps[k].hint("merge"), ["g", "block", "seg"]).select("g", F.col("tb").alias("block"), F.col("ts").alias("seg"), F.col("ta").alias("cut"), (F.col("steps") + 2**k).alias("steps"))
         marks = table(marks.unionByName(up), "chain-marks")
     ends = marks.groupBy("g").agg(F.max(F.struct("steps", "block", "seg")).alias("e")).select("g", "e.block", "e.seg")
-    whole = ends.join(links.filter("parent is null"), ["g", "block", "seg"], "left_semi").select("g")
-    chain = nodes.join(marks.join(whole, "g", "left_semi"), ["g", "block", "seg"]).filter("at <= cut")
-    broken = records.select(F.col(group).alias("g")).distinct().join(whole, "g", "left_anti")
+    whole = ends.join(links.filter("parent is null").hint("merge"), ["g", "block", "seg"], "left_semi").select("g")
+    chain = nodes.join(marks.join(whole.hint("merge"), "g", "left_semi").hint("merge"), ["g", "block", "seg"]).filter("at <= cut")
+    broken = records.select(F.col(group).alias("g")).distinct().join(whole.hint("merge"), "g", "left_anti")
     return Chains(chain.select(F.col("g").alias(group), "block", "at", (-F.col("steps")).alias("stretch")), broken.withColumnRenamed("g", group))
 
 
@@ -80,7 +81,7 @@ def in_order(records: DataFrame, group: str = "group") -> DataFrame:
     """The records of each group's main chain, or all of a broken group in their own order: with stretch (in whose order and at's they come), broken and place from 0."""
     chains = main_chains(records, group)
     chain, broken = table(chains.chain, "chain"), table(chains.broken, "chain-broken")
-    there = records.join(chain, [group, "block", "at"]).withColumn("broken", F.lit(False))
-    others = records.join(broken, group, "left_semi").withColumn("stretch", F.col("block").cast("long")).withColumn("broken", F.lit(True))
+    there = records.join(chain.hint("merge"), [group, "block", "at"]).withColumn("broken", F.lit(False))
+    others = records.join(broken.hint("merge"), group, "left_semi").withColumn("stretch", F.col("block").cast("long")).withColumn("broken", F.lit(True))
     both = there.unionByName(others)
     return running_sum(both, [group], "stretch", "at", F.lit(1), "place").withColumn("place", F.col("place") - 1)

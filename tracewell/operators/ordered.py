@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def _with_blocks(rows: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
     renamed = blocks.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-    return rows.join(renamed, same, "left").drop(*[f"_of_{k}" for k in keys])
+    return rows.join(renamed.hint("merge"), same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def previous(rows: DataFrame, group: list[str], block: str, order: str, value: Column, name: str) -> DataFrame:
