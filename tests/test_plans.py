@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell import queries
-from tracewell.config import GraphOptions
-from tracewell.operators import graph, ledger, scoring
+from tracewell.config import EngineConfig, GraphOptions
+from tracewell.functions import text
+from tracewell.operators import archive, evals, graph, ledger, rebuild, scoring
+from tracewell.plans import compaction
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+MESSAGES = "session_id string, message_index int, role string, text string, tool_uses array<struct<tool_use_id: string, tool: string, input: string, text: string, is_error: boolean>>, tool_results array<struct<tool_use_id: string, text: string, is_error: boolean>>"
 tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables here")
 
 
@@ -98,3 +101,27 @@ def test_what_is_read_again_is_written(spark, name):
 def test_chains_send_no_table_through_the_driver(spark):
     plan = queries.QUERIES["main_chain"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+@tables
+def test_decisions_are_made_without_holding_results(spark):
+    messages = queries._session(spark, SF_DIR).localCheckpoint()
+    decided = compaction.decided(messages, EngineConfig()).drop(*compaction.TEXTS, "input", "path", "command")
+    lines = [x for x in decided._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    # A result is read once, before the rules' windows: the only one that holds it pairs uses with results.
+    assert lines and not [x for x in lines if "rlike" in x.lower()]
+    plan = decided._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    read = next(i for i, x in enumerate(plan) if "RLIKE" in x)
+    rules = [i for i, x in enumerate(plan) if "Window [" in x and "canonical_input" in x]
+    assert rules and all(i < read for i in rules)
+
+
+
+
+
+def test_only_words_shaped_like_an_id_are_anchors(spark):
+    rows = [("s", "r0", 0, "tool_result", "", "t1", 0), ("s", "r1", 1, "tool_result", "", None, 1), ("s", "u", 2, "user_text", "see t1, t2, x1 and t11", None, 9), ("z", "v", 0, "user_text", "t1", None, 0)]
+    events = spark.createDataFrame(rows, "session_id string, event_id string, seq long, kind string, content string, tool_use_id string, message_index int")
+    assert [(r.session_id, r.from_id, r.to_id, r.via) for r in graph.dependency_edges(events).collect()] == [("s", "u", "r0", "tool_id")]
+    plan = optimized(graph.dependency_edges(events))
+    assert "collect_set" in plan and plan.count("regexp_extract_all(content") <= 3
