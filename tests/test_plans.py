@@ -118,6 +118,15 @@ def test_decisions_are_made_without_holding_results(spark):
 
 
 
+def test_tokens_are_those_of_the_patterns(spark):
+    rows = [None, "", "   ", "a", "aaaaaa", "aaaaaaa", "abcdefg 12 é日 \U0001f600x9\n\t$$ a1b22c", "\x0b\x0c\r x", "12.5%", "$1 \\ a$a"]
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    t = F.coalesce(F.col("t"), F.lit(""))
+    listed = F.regexp_count(t, F.lit("[A-Za-z]{1,6}")) * 10 + F.regexp_count(t, F.lit("[0-9]")) * 5 + F.regexp_count(t, F.lit(r"[^\t-\r A-Za-z0-9]")) * 9
+    got = df.select(text.token_tenths(F.col("t")).alias("a"), listed.alias("b"), text.tokens_in_all(F.array("t", F.lit("ab 1"))).alias("c"), (F.floor((listed + 9) / 10) + 2).alias("d")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and [r.c for r in got] == [r.d for r in got]
+    assert "regexp_extract_all" not in optimized(df.select(text.tokens_in_all(F.array("t"))))
+
 
 def test_only_words_shaped_like_an_id_are_anchors(spark):
     rows = [("s", "r0", 0, "tool_result", "", "t1", 0), ("s", "r1", 1, "tool_result", "", None, 1), ("s", "u", 2, "user_text", "see t1, t2, x1 and t11", None, 9), ("z", "v", 0, "user_text", "t1", None, 0)]
