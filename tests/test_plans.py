@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from tracewell import queries
 from tracewell.config import EngineConfig, GraphOptions
 from tracewell.functions import text
-from tracewell.operators import archive, evals, graph, ledger, rebuild, scoring
+from tracewell.operators import archive, graph, ledger, scoring
 from tracewell.plans import compaction
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MESSAGES = "session_id string, message_index int, role string, text string, tool_uses array<struct<tool_use_id: string, tool: string, input: string, text: string, is_error: boolean>>, tool_results array<struct<tool_use_id: string, text: string, is_error: boolean>>"
 tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables here")
 
 
@@ -117,6 +116,19 @@ def test_decisions_are_made_without_holding_results(spark):
 
 
 
+def test_first_batch_is_read_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    records = spark.createDataFrame([("s", "a", "h"), ("s", "b", "i"), ("t", "a", "j"), ("s", "a", "h")], "session_id string, id string, content_hash string").mapInArrow(counted, "session_id string, id string, content_hash string")
+    known = spark.createDataFrame([], "session_id string, id string, content_hash string")
+    assert archive.fresh_records(known, records).count() == 3
+    assert read.value == 4
+
 
 def test_tokens_are_those_of_the_patterns(spark):
     rows = [None, "", "   ", "a", "aaaaaa", "aaaaaaa", "abcdefg 12 é日 \U0001f600x9\n\t$$ a1b22c", "\x0b\x0c\r x", "12.5%", "$1 \\ a$a"]

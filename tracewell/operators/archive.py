@@ -33,13 +33,17 @@ def fresh_records(known: DataFrame, records: DataFrame) -> DataFrame:
     """One of each session and id among records, without those that known has.
 
     An id that comes with other content than in known, or with two contents
-    among records, is an error.  Of known only the keys of records are grouped.
+    among records, is an error.  Of known only the keys of records are grouped;
+    where nothing is known, as in a first batch, records aren't read for their keys.
     """
-    keys = records.select(*KEY).distinct()
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    had = known.join(F.broadcast(keys) if few else keys, KEY, "left_semi").groupBy(*KEY).agg(F.min("content_hash").alias("had"))
     once = records.groupBy(*KEY).agg(F.min(F.struct("content_hash", *[c for c in records.columns if c not in (*KEY, "content_hash")])).alias("r"), F.max("content_hash").alias("other"))
-    joined = once.join(had, KEY, "left")
+    if known.isEmpty():
+        joined = once.withColumn("had", F.lit(None).cast("string"))
+    else:
+        keys = records.select(*KEY).distinct()
+        few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        had = known.join(F.broadcast(keys) if few else keys, KEY, "left_semi").groupBy(*KEY).agg(F.min("content_hash").alias("had"))
+        joined = once.join(had, KEY, "left")
     clash = F.raise_error(F.concat(F.lit("archive record "), F.col("id"), F.lit(" of session "), F.col("session_id"), F.lit(" exists with different content")))
     same = (F.col("r.content_hash") == F.col("other")) & F.coalesce(F.col("had") == F.col("other"), F.lit(True))
     checked = joined.withColumn("fresh", F.when(same, F.col("had").isNull()).otherwise(clash.cast("boolean")))
