@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import queries
 from tracewell.config import EngineConfig, GraphOptions
 from tracewell.functions import text
-from tracewell.operators import archive, graph, ledger, scoring
+from tracewell.operators import archive, evals, graph, ledger, rebuild, scoring
 from tracewell.plans import compaction
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -75,6 +75,43 @@ def test_calls_without_result_or_id_have_no_row(spark):
     assert sorted(tuple(r) for r in got) == [(1, "a", "", False, 0, 1, False), (2, "c", "r", True, 0, 2, True), (3, "c", "r", True, 2, 2, True)]
 
 
+@tables
+def test_rebuilding_and_its_check_shuffle_once(spark):
+    messages = queries._session(spark, SF_DIR).localCheckpoint()
+    decisions = compaction.decided(messages, EngineConfig(redact=False), archive_ids=True).localCheckpoint()
+    assert exchanges(evals.structure_valid(rebuild.apply_actions(messages, decisions, EngineConfig()))) == 1
+
+
+_KIND = "session_id string, message_index int, role string, text string, tool_uses array<struct<tool_use_id: string, tool: string, input: string, text: string, is_error: boolean>>, tool_results array<struct<tool_use_id: string, text: string, is_error: boolean>>"
+
+
+def _odd(spark):
+    use = lambda i: (i, "Bash", '{"command":"a"}', None, None)
+    told = lambda i, x="x": (i, x, False)
+    rows = [(0, "go", [], []), (1, "", [use("a"), use("b"), use(None)], []), (2, "", [], [told("a"), told("b", "y"), told(None)]), (3, None, None, [told("a")]), (4, "", [use("a")], [told("a"), told("c"), told("a")]), (5, "", [use("b")], None), (6, "", [use("c")], [])]
+    return spark.createDataFrame([("s", i, "user", *rest) for i, *rest in rows], _KIND)
+
+
+def test_calls_name_the_records_that_the_ledger_does(spark):
+    messages = _odd(spark)
+    got = {(r["tool_use_id"], r["archive_id"]) for r in ledger.tool_calls(messages, archive_ids=True).collect()}
+    want = {(r["tool_use_id"], r["result_id"]) for r in ledger.interactions(ledger.ledger(messages)).filter("tool_use_id is not null").collect()}
+    assert got == want and {i[-2:] for k, i in got if k == "a"} == {"~3"}
+
+
+def test_odd_messages_are_rebuilt_with_and_without_names_of_records(spark):
+    messages = _odd(spark)
+    decisions = spark.createDataFrame([("s", i, "Bash", "ARCHIVE_ONLY", False, '{"command":"a"}', f"e_{i}") for i in ("a", None)], "session_id string, tool_use_id string, tool string, action string, is_error boolean, input string, archive_id string")
+    rows = rebuild.apply_actions(messages, decisions, EngineConfig()).orderBy("message_index").collect()
+    ids = [(r["message_index"], r["text"], *(None if r[c] is None else [x["tool_use_id"] for x in r[c]] for c in ("tool_uses", "tool_results"))) for r in rows]
+    note = "[archived 1 tool call made here: Bash command=a -> e_a - out of context]"
+    assert ids == [(0, "go", [], []), (1, note, ["b", None], []), (2, "", [], ["b", None]), (3, None, None, ["a"]), (4, note, [], ["c"]), (5, "", ["b"], None), (6, "", ["c"], [])]
+    plain = rebuild.apply_actions(messages, decisions.drop("archive_id"), EngineConfig()).orderBy("message_index").collect()
+    assert [r[:2] for r in plain] == [r[:2] for r in rows] and "-> e_" in plain[1]["text"]
+    checked = evals.structure_valid(messages).first()
+    assert checked["faults"] == rebuild.structure_faults(messages).count() == 2 and not checked["valid"]
+
+
 def test_paths_errors_and_fields_are_as_their_patterns_say(spark):
     from tracewell.functions import text
 
