@@ -946,3 +946,22 @@ def test_code_shapes(spark):
             if mixed or capitals or joined or (numbers and not letters and len(raw) >= 3):
                 want.append(raw.lower())
         assert r["c"] == list(dict.fromkeys(want)), r["t"]
+
+
+def test_whole_texts_are_looked_through_for_paths(spark):
+    """A path that a recent message and a result mention after thousands of other characters counts, in either of the two."""
+    far = "word " * 1500
+    calls = [("early", "see lib/a.py"), ("late", far + "see lib\\A.py"), ("said", "see lib/b.py"), ("none", far + "see lib/c.py")]
+    parts = [x for i, r in calls for x in (("assistant", "", [use(i, "Read", path=f"in/{i}")]), ("user", "", [], [(i, r, False)]))]
+    messages = transcript(spark, ("user", "go"), *parts, ("assistant", "open lib/a.py"), ("assistant", far + "and lib/b.py"))
+    marked = scoring.with_readings(ledger.tool_calls(messages), messages)
+    assert {r["tool_use_id"]: r["_mentioned"] for r in marked.collect()} == {"early": True, "late": True, "said": True, "none": False}
+
+
+def test_paths_in_long_texts(spark):
+    """Long chains of folders, with or without a name at their end, are looked through in linear time and without deep recursion."""
+    texts = ["a/" * 300_000, "a/" * 300_000 + "b.py", "x" * 300_000 + "/y", "C:" * 200_000 + "/", "a/b.c/" * 50_000, "//a.b" * 50_000, "." * 300_000 + "/" + "." * 300_000]
+    began = time.time()
+    rows = [[r["p"], r["n"]] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(text.paths_in(F.col("t")).alias("p"), F.length("t").alias("n")).collect()]
+    assert [len(p) for p, _ in rows] == [0, 1, 0, 0, 1, 0, 0] and len(rows[1][0][0]) == 600_004
+    assert rows[4][0][0] == ("a/b.c/" * 50_000)[:-1] and time.time() - began < 60
