@@ -239,3 +239,24 @@ def test_search_shuffles_marks_once_and_no_texts(spark):
     assert plan(search.search_topk(prompts, records)).count("Exchange hashpartitioning") == 2
     brought = plan(retrieve.rehydrate(prompts, records))
     assert brought.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in brought
+
+
+def test_texts_are_searched_for_secrets_once(spark, monkeypatch):
+    """Each suspicious text goes to the search for secrets once; inputs without secrets stay as they are."""
+    from tests.test_engine import transcript, use
+    from tracewell.functions import redaction
+
+    searched, plain = spark.sparkContext.accumulator(0), redaction.secrets_of
+
+    def counted(text, detectors):
+        searched.add(1)
+        return plain(text, detectors)
+
+    monkeypatch.setattr(redaction, "secrets_of", counted)
+    secret = "token=" + "ab12" * 10
+    parts = [x for i in range(5) for x in (("assistant", "", [use(f"u{i}", "Read", path=f"a{i}")]), ("user", "", [], [(f"u{i}", f"see {secret}{i}", False)]))]
+    messages = transcript(spark, ("user", "go"), *parts, ("assistant", "", [use("v", "Bash", command=secret)])).localCheckpoint()
+    hidden = redaction.redacted_sessions(messages).orderBy("message_index").collect()
+    assert [r["tool_results"][0]["text"] for r in hidden if r["tool_results"]] == [f"see token=<SECRET_{i + 1}>" for i in range(5)]
+    assert hidden[-1]["tool_uses"][0]["input"] == '{"command":"token=<SECRET_6>"}' and hidden[1]["tool_uses"][0]["input"] == '{"path":"a0"}'
+    assert searched.value == 6
